@@ -88,9 +88,11 @@ def sensitivity_verdict(sensitivity: DataFrame, model_errors: DataFrame) -> Data
         F.max(F.when(F.col("_beats"), F.col("window_days"))).alias("longest_winning"),
         F.min(F.when(~F.col("_beats"), F.col("window_days"))).alias("shortest_losing"),
         F.bool_or("_regained").alias("_regained"),
-        F.max_by("window_days", F.struct(F.abs("percent_error"), -F.col("window_days"))).alias(
-            "least_favourable"
-        ),
+        # Look-backs longer than every customer's age are one rule; the shortest stands for them,
+        # whatever the last bits of their sums.
+        F.max_by(
+            "window_days", F.struct(F.round(F.abs("percent_error"), 9), -F.col("window_days"))
+        ).alias("least_favourable"),
     )
     verdict = (
         F.when(F.col("look_backs_winning") == F.col("look_backs"), "all")

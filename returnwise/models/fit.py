@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from returnwise.functions.numeric import log_gamma
 from returnwise.models import families, shipping  # noqa: F401  (registers the helpers)
 from returnwise.models.families import BG_NBD, MBG_NBD, PARAMETERS, PARETO_NBD, count_term
-from returnwise.models.optimizer import Optimum, maximise
+from returnwise.models.optimizer import NotConverged, Optimum, maximise
 from returnwise.session import materialise
 
 GAMMA_GAMMA = "gamma_gamma"
@@ -340,16 +340,21 @@ def fit_gamma_gamma(calibration: DataFrame, prior: bool = True) -> Fit:
                 [penalised(math.exp(u), math.exp(w), log_v, a, b) for u, w in points]
             )
 
-        return maximise(evaluate, start, tolerance=1e-10 / customers, most_jobs=200)
+        return maximise(evaluate, start, tolerance=1e-8 / customers, most_jobs=40)
 
     # Coarse pass: the best shapes at each scale of a wide grid.
-    coarse = math.log(mean) + np.arange(-6.0, 15.0)
+    coarse = math.log(mean) + np.arange(-6.0, 11.0)
     a, b = _log_scale_sums(spend, np.exp(coarse))
-    start, profile = np.zeros(2), []
-    for log_v, a_v, b_v in zip(coarse, a, b, strict=True):
-        profile.append(best_shapes(log_v, a_v, b_v, start))
-        start = profile[-1].point
-    top = int(np.argmax([f.value for f in profile]))
+    start, profile = np.zeros(2), {}
+    for i, (log_v, a_v, b_v) in enumerate(zip(coarse, a, b, strict=True)):
+        try:
+            profile[i] = best_shapes(log_v, a_v, b_v, start)
+        except NotConverged:
+            continue  # a scale no customer's spend is near has no usable shapes
+        start = profile[i].point
+    if not profile:
+        raise ModelError("the spend likelihood has no optimum on these customers.")
+    top = max(profile, key=lambda i: profile[i].value)
     # Fine pass: interpolation nodes over the neighbourhood of the best one.
     half = 1.2
     nodes = _chebyshev(coarse[top], half, 25)
@@ -359,14 +364,14 @@ def fit_gamma_gamma(calibration: DataFrame, prior: bool = True) -> Fit:
 
     def joint(points: np.ndarray) -> np.ndarray:
         # Outside the interpolated span the objective falls away, which keeps the search inside.
-        return np.array(
-            [
-                penalised(math.exp(u), math.exp(w), s, float(fit_a(s)), float(fit_b(s)))
-                if abs(s - coarse[top]) <= half
-                else -1e300
-                for u, w, s in points
-            ]
-        )
+        values = []
+        for u, w, s in points:
+            inside = min(max(s, coarse[top] - half), coarse[top] + half)
+            value = penalised(
+                math.exp(u), math.exp(w), inside, float(fit_a(inside)), float(fit_b(inside))
+            )
+            values.append(value - 100.0 * (s - inside) ** 2)
+        return np.array(values)
 
     found = maximise(
         joint, np.array([*profile[top].point, coarse[top]]), tolerance=1e-8 / customers,

@@ -67,6 +67,8 @@ def maximise(
     jobs, damping = 1, 0.0
     while True:
         base, gradient, hessian = _derivatives(values, k)
+        if not (np.isfinite(gradient).all() and np.isfinite(hessian).all()):
+            raise NotConverged("the objective is not finite around the search point")
         scale = np.abs(np.linalg.eigvalsh(hessian)).max() + 1e-12
         promised = 0.5 * float(gradient @ _step(gradient, hessian, 0.0))
         if promised < tolerance:

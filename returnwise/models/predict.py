@@ -112,8 +112,8 @@ def predict(
         "is_gamma_gamma_eligible",
         alive_column(purchase).alias("probability_alive"),
         spend_column(spend).alias("expected_avg_value"),
-        F.explode(lengths).cast("int").alias("horizon_days"),
-    )
+        F.explode(lengths).alias("horizon_days"),
+    ).withColumn("horizon_days", F.col("horizon_days").cast("int"))
     return (
         base.withColumn("expected_purchases", purchases_column(purchase, F.col("horizon_days")))
         .select(

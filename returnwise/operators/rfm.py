@@ -13,6 +13,16 @@ from returnwise.session import small
 KEYS = ("source", "customer_id")
 
 
+def exact_mean(total: Column, count: Column) -> Column:
+    """Money over a count to four decimals, halves up, zero for none.
+
+    Decimal division: exact halves of the fourth decimal are real in money, and a double quotient
+    falls on either side of them.
+    """
+    quotient = total.cast(schemas.MONEY) / F.when(count > 0, count).cast("decimal(10,0)")
+    return F.coalesce(F.round(quotient, 4), F.lit(0)).cast(schemas.MEAN_MONEY)
+
+
 def mean_repeat_spend(total: Column, first: Column, repeats: Column) -> Column:
     """Unrounded mean spend over repeat occasions, zero without repeats."""
     return F.when(
@@ -34,9 +44,7 @@ def _summary_columns(
         last_day.alias("last_order_date"),
         total.cast(schemas.MONEY).alias("total_spend"),
         first.cast(schemas.MONEY).alias("first_occasion_spend"),
-        F.round(mean_repeat_spend(total, first, repeats), 4)
-        .cast(schemas.MEAN_MONEY)
-        .alias("monetary_value"),
+        exact_mean(total - first, repeats).alias("monetary_value"),
         ((repeats > 0) & (total - first > 0)).alias("is_gamma_gamma_eligible"),
     ]
 
@@ -88,11 +96,7 @@ def _holdout_columns(n: Column, spend: Column) -> list[Column]:
     return [
         count.alias("holdout_frequency"),
         total.alias("holdout_spend"),
-        F.round(
-            F.when(count > 0, total.cast("double") / count.cast("double")).otherwise(F.lit(0.0)), 4
-        )
-        .cast(schemas.MEAN_MONEY)
-        .alias("holdout_monetary_value"),
+        exact_mean(total, count).alias("holdout_monetary_value"),
     ]
 
 

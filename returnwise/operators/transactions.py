@@ -19,11 +19,10 @@ def stage_transactions(raw: DataFrame, source: str) -> DataFrame:
     """Bring raw line items to the contract: casts and derivations only, no filter, no dedupe."""
     amount = F.col("gross_amount").cast(schemas.LINE_MONEY)
     quantity = F.col("quantity").cast("int")
-    # The quotient is taken in double on purpose: decimal division would fix its own scale first
-    # and round a second time in the cast.
-    price = F.round(
-        amount.cast("double") / F.nullif(quantity, F.lit(0)).cast("double"), 4
-    ).cast(schemas.UNIT_PRICE)
+    # Decimal division: exact halves of the fourth decimal are real here and a double quotient
+    # falls on either side of them.
+    units = F.nullif(quantity, F.lit(0)).cast("decimal(10,0)")
+    price = F.round(amount / units, 4).cast(schemas.UNIT_PRICE)
     return raw.select(
         F.lit(source).alias("source"),
         F.col("customer_id").cast("long").alias("customer_id"),

@@ -27,6 +27,7 @@ from returnwise.operators.scored import scored
 from returnwise.operators.sensitivity import recent_window_sensitivity
 from returnwise.operators.transactions import load_summary
 from returnwise.operators.windows import analysis_windows, closed_cohort
+from returnwise.session import materialise
 from returnwise.settings import Settings
 from returnwise.sources import store as stored
 from returnwise.sources.fixed_width import raw_transactions, read_transactions
@@ -57,14 +58,13 @@ def transform(
 ) -> dict[str, DataFrame]:
     """Build every relation that needs no fit, then check them.
 
-    The occasions are written hash-partitioned by customer files and read back: they are the only
-    thing the customer relations need, and they are a calendar's worth of rows per customer.
+    The line items are collapsed once and the occasions written: they are all the customer
+    relations need, and they hold at most a calendar's worth of rows per customer.
     With ``close_cohort`` later arrivals are set aside, from the stored line items as well, so that
     the reconciling checks speak about one population.
     """
-    occasions = purchase_occasions(transactions)
-    windows = analysis_windows(transactions, settings)
-    store.overwrite(stored.WINDOWS, windows)
+    occasions = materialise(purchase_occasions(transactions))
+    store.overwrite(stored.WINDOWS, analysis_windows(occasions, settings))
     windows = store.read(stored.WINDOWS)
     if close_cohort:
         occasions = closed_cohort(occasions, windows)
