@@ -21,35 +21,37 @@ DECILES = 10
 HEAVY_SHARE = 0.001
 
 
-def _attach(pairs: DataFrame, ranks: DataFrame, keys: list[str], totals: DataFrame) -> DataFrame:
-    """Join ranks to pairs on ``keys``; values many pairs share travel by broadcast.
+def _attach(pairs: DataFrame, ranks: DataFrame, side: str) -> DataFrame:
+    """Add ``_r<side>``, the rank of a pair's value on one side; heavy values travel by broadcast.
 
     A value that a third of the pairs share would put them all in one task of a shuffled join.
     Such values are at most ``1 / HEAVY_SHARE`` per group, so their ranks are small enough to
     send everywhere, and the others have no large group left.
     """
-    group = [k for k in keys if k != keys[-1]]
-    marked = ranks.join(small(totals), group).withColumn(
-        "_heavy", F.col("n") > F.col("_all") * HEAVY_SHARE
+    group, value = f"_g{side}", f"_{side}"
+    ours = ranks.where(F.col("_side") == side).select(
+        F.col("_g").alias(group), F.col("_v").alias(value), "rank", "_is_heavy"
     )
-    columns = [*keys, F.col("rank").alias("_rank")]
-    heavy = marked.where("_heavy").select(*columns)
-    light = marked.where(~F.col("_heavy")).select(*columns)
-    with_heavy = pairs.join(
-        small(heavy.withColumnRenamed("_rank", "_heavy_rank")), keys, "left"
+    heavy = ours.where("_is_heavy").select(group, value, F.col("rank").alias("_heavy_rank"))
+    light = ours.where(~F.col("_is_heavy")).select(
+        group,
+        F.col(value).alias("_key"),
+        F.lit(-1).cast("long").alias("_salt"),
+        F.col("rank").alias("_light_rank"),
     )
-    # Heavy pairs leave the shuffled join at once: their join key is nulled, which matches nothing
-    # and is spread by the row's own hash.
-    shuffled_key = F.when(F.col("_heavy_rank").isNull(), F.col(keys[-1]))
-    salted = with_heavy.withColumn("_key", shuffled_key).withColumn(
-        "_salt",
-        F.when(F.col("_heavy_rank").isNotNull(), F.pmod(F.xxhash64(*pairs.columns), F.lit(4096)))
-        .otherwise(F.lit(-1).cast("long")),
+    known = F.col("_heavy_rank").isNotNull()
+    # Pairs with a heavy value are done. In the shuffled join their key is NULL, which matches
+    # nothing, and a hash of the pair spreads them.
+    prepared = pairs.join(small(heavy), [group, value], "left").withColumns(
+        {
+            "_key": F.when(~known, F.col(value)),
+            "_salt": F.when(known, F.pmod(F.xxhash64("_x", "_y"), F.lit(4096))).otherwise(
+                F.lit(-1).cast("long")
+            ),
+        }
     )
-    right = light.withColumnRenamed(keys[-1], "_key").withColumn("_salt", F.lit(-1).cast("long"))
-    joined = salted.join(right, [*group, "_key", "_salt"], "left")
-    return joined.select(
-        *pairs.columns, F.coalesce("_heavy_rank", "_rank").alias("rank")
+    return prepared.join(light, [group, "_key", "_salt"], "left").select(
+        *pairs.columns, F.coalesce("_heavy_rank", "_light_rank").alias(f"_r{side}")
     )
 
 
@@ -59,54 +61,61 @@ def rank_correlations(
 ) -> DataFrame:
     """Spearman's rho with averaged ties for every ``by`` group: ``(by..., rho, n)``.
 
-    Rows are first reduced to distinct pairs with counts. Each side's ranks come from its value
-    counts by one global sort. ``x_by`` / ``y_by`` name the subset of ``by`` that determines a
-    side's population, so that an outcome shared by several predictors is ranked once. A constant
-    side has no ranking: rho is NaN.
+    Rows are first reduced to distinct pairs with counts. The value counts of both sides of every
+    group are then ranked by one global sort. ``x_by`` / ``y_by`` name the subset of ``by`` that
+    determines a side's population, so that an outcome shared by several predictors is ranked
+    once. A constant side has no ranking: rho is NaN. ``by`` groups are few; their totals are
+    broadcast.
     """
     by = list(by)
-    x_by, y_by = list(by if x_by is None else x_by), list(by if y_by is None else y_by)
+    side_keys = {"x": list(by if x_by is None else x_by), "y": list(by if y_by is None else y_by)}
     counted = materialise(
-        pairs.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-        .groupBy(*by, "_x", "_y")
+        pairs.groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
         .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            *by, "_x", "_y", "n",
+            *[F.to_json(F.struct(*keys)).alias(f"_g{s}") for s, keys in side_keys.items()],
+        )
     )
 
-    def ranks(side: str, side_by: list[str]) -> tuple[DataFrame, DataFrame]:
-        # A side shared by several groups appears once per group; any one of them has all of it.
-        spare = [c for c in by if c not in side_by]
-        rows = counted
+    def side_values(side: str) -> DataFrame:
+        rows, keys = counted, side_keys[side]
+        spare = [c for c in by if c not in keys]
         if spare:
-            first = counted.groupBy(*side_by).agg(F.min(F.struct(*spare)).alias("_one"))
-            rows = counted.join(small(first), side_by).where(F.struct(*spare) == F.col("_one"))
-        values = rows.groupBy(*side_by, side).agg(F.sum("n").alias("n"))
-        ranked = average_ranks(values, side, side_by)
-        totals = ranked.groupBy(*side_by).agg(F.sum("n").alias("_all"))
-        return ranked, totals
-
-    x_ranks, x_totals = ranks("_x", x_by)
-    y_ranks, y_totals = ranks("_y", y_by)
-    both = _attach(counted, x_ranks, [*x_by, "_x"], x_totals).withColumnRenamed("rank", "_rx")
-    both = _attach(both, y_ranks, [*y_by, "_y"], y_totals).withColumnRenamed("rank", "_ry")
+            # The side appears once per spare group; any one of them has all of it.
+            first = counted.groupBy(f"_g{side}").agg(F.min(F.struct(*spare)).alias("_one"))
+            rows = rows.join(small(first), f"_g{side}").where(F.struct(*spare) == F.col("_one"))
+        return rows.select(
+            F.lit(side).alias("_side"), F.col(f"_g{side}").alias("_g"),
+            F.col(f"_{side}").alias("_v"), "n",
+        )
 
-    # Ranks are centred on their known mean before squaring, which keeps the sums small.
-    n = F.col("n").cast("double")
-    sized = both.join(
-        small(counted.groupBy(*by).agg(F.sum("n").alias("_all"))), by
+    values = (
+        side_values("x").unionByName(side_values("y"))
+        .groupBy("_side", "_g", "_v")
+        .agg(F.sum("n").alias("n"))
     )
-    mid = (F.col("_all") + 1) / 2.0
+    ranked = average_ranks(values, "_v", ["_side", "_g"])
+    totals = ranked.groupBy("_side", "_g").agg(F.sum("n").alias("_all"))
+    ranks = ranked.join(small(totals), ["_side", "_g"]).withColumn(
+        "_is_heavy", F.col("n") > F.col("_all") * HEAVY_SHARE
+    )
+    both = _attach(_attach(counted, ranks, "x"), ranks, "y")
+
+    # Ranks are centred on their known mean before squaring, which keeps the sums small.
+    sizes = counted.groupBy(*by).agg(F.sum("n").alias("_all"))
+    n, mid = F.col("n").cast("double"), (F.col("_all") + 1) / 2.0
     dx, dy = (F.col("_rx") - mid) / F.col("_all"), (F.col("_ry") - mid) / F.col("_all")
-    moments = sized.groupBy(*by).agg(
+    moments = both.join(small(sizes), by).groupBy(*by).agg(
         F.sum("n").alias("n"),
         F.sum(n * dx * dy).alias("_xy"),
         F.sum(n * dx * dx).alias("_xx"),
         F.sum(n * dy * dy).alias("_yy"),
-        (F.min("_x") == F.max("_x")).alias("_flat_x"),
-        (F.min("_y") == F.max("_y")).alias("_flat_y"),
+        ((F.min("_x") == F.max("_x")) | (F.min("_y") == F.max("_y"))).alias("_flat"),
     )
-    rho = F.when(F.col("_flat_x") | F.col("_flat_y"), F.lit(NAN)).otherwise(
-        F.col("_xy")
-        / F.sqrt(F.when(F.col("_xx") > 0, F.col("_xx")) * F.when(F.col("_yy") > 0, F.col("_yy")))
+    scale = F.sqrt(F.col("_xx") * F.col("_yy"))
+    rho = F.when(F.col("_flat") | (scale == 0), F.lit(NAN)).otherwise(
+        F.col("_xy") / F.when(scale != 0, scale)
     )
     return moments.select(*by, rho.alias("rho"), "n")
 

@@ -23,7 +23,7 @@ def purchase_occasions(transactions: DataFrame) -> DataFrame:
     )
     collapsed = transactions.groupBy("source", "customer_id", "order_date").agg(
         F.sum(F.col("quantity").cast("long")).alias("quantity"),
-        F.sum("gross_amount").cast(schemas.MONEY).alias("gross_amount"),
+        schemas.sum_money(F.col("gross_amount")).alias("gross_amount"),
         lines.cast("long").alias("line_items"),
     )
     return collapsed.select(

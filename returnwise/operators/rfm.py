@@ -68,7 +68,7 @@ def rfm_summary(
         F.count(F.lit(1)).alias("_n"),
         F.min("order_date").alias("_first_day"),
         F.max("order_date").alias("_last_day"),
-        F.sum("gross_amount").alias("_total"),
+        schemas.sum_money(F.col("gross_amount")).alias("_total"),
         F.min_by("gross_amount", "order_date").alias("_first"),
     )
     return grouped.select(
@@ -120,7 +120,7 @@ def holdout_actuals(occasions: DataFrame, windows: DataFrame) -> DataFrame:
         .agg(
             F.count_if(in_calibration).alias("_calibration"),
             F.count_if(in_holdout).alias("_n"),
-            F.sum(F.when(in_holdout, F.col("gross_amount"))).alias("_spend"),
+            schemas.sum_money(F.when(in_holdout, F.col("gross_amount"))).alias("_spend"),
         )
         .where(F.col("_calibration") > 0)
         .select(*KEYS, *_holdout_columns(F.col("_n"), F.col("_spend")), "duration_holdout")
@@ -192,10 +192,10 @@ def customer_history(
             F.count_if(in_calibration).alias("_n"),
             F.min(calibration_day).alias("_first_day"),
             F.max(calibration_day).alias("_last_day"),
-            F.sum(F.when(in_calibration, amount)).alias("_total"),
+            schemas.sum_money(F.when(in_calibration, amount)).alias("_total"),
             F.min_by(amount, calibration_day).alias("_first"),
             F.count_if(in_holdout).alias("_holdout"),
-            F.sum(F.when(in_holdout, amount)).alias("_holdout_spend"),
+            schemas.sum_money(F.when(in_holdout, amount)).alias("_holdout_spend"),
             _recent_count(recent_window_days),
         )
         .where(F.col("_n") > 0)

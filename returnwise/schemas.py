@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
@@ -69,6 +72,16 @@ VALIDATION_METRICS = _struct(
 )
 
 
+def sum_money(amount: Column) -> Column:
+    """Exact sum of a two-decimal amount, added as whole cents.
+
+    A decimal sum is wider than a machine word and leaves the fast aggregation path; whole cents
+    do not, and an overflow fails instead of wrapping.
+    """
+    cents = F.sum((amount * 100).cast("long"))
+    return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select exactly the contract's columns; a missing or retyped one fails by name."""
     have = {field.name: field.dataType for field in df.schema}

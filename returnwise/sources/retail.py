@@ -29,7 +29,7 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("order_date"),
         F.col("l_quantity").cast("int").alias("quantity"),
-        F.round("l_extendedprice", 2).cast(schemas.LINE_MONEY).alias("gross_amount"),
+        F.col("l_extendedprice").cast(schemas.LINE_MONEY).alias("gross_amount"),
     )
 
 
@@ -42,7 +42,7 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
             F.col("user_id").alias("customer_id"),
             F.col("ts").cast("date").alias("order_date"),
             F.lit(1).alias("quantity"),
-            F.round("value", 2).cast(schemas.LINE_MONEY).alias("gross_amount"),
+            F.col("value").cast(schemas.LINE_MONEY).alias("gross_amount"),
         )
     )
 
@@ -68,7 +68,9 @@ def order_totals(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(
             F.sum(F.col("l_quantity").cast("int")).alias("quantity"),
-            F.sum(F.round("l_extendedprice", 2).cast(schemas.LINE_MONEY)).alias("gross_amount"),
+            schemas.sum_money(F.col("l_extendedprice").cast(schemas.LINE_MONEY)).alias(
+                "gross_amount"
+            ),
             F.count(F.lit(1)).alias("line_items"),
         )
     )
@@ -77,7 +79,7 @@ def order_totals(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_custkey").cast("long").alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("order_date"),
         "quantity",
-        F.col("gross_amount").cast(schemas.MONEY).alias("gross_amount"),
+        "gross_amount",
         "line_items",
     )
     from_events = raw_events(spark, folder).select(
