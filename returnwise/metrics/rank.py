@@ -128,7 +128,8 @@ def p_value_column(rho: Column, n: Column) -> Column:
             [numeric.correlation_p_value(a, int(b)) for a, b in zip(r, count, strict=True)]
         )
 
-    return F.pandas_udf(evaluate, "double")(rho, n)
+    # Arrow carries an undefined result as NULL.
+    return F.coalesce(F.pandas_udf(evaluate, "double")(rho, n), F.lit(NAN))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
