@@ -1405,7 +1405,9 @@ def _(b: Book) -> DataFrame:
 def _(b: Book) -> DataFrame:
     # The default split is far shorter than the orders' span.
     short = window_ops.analysis_windows(b.transactions, Settings())
-    return relations.transactions_within_windows(b.transactions, short)
+    return relations.transactions_within_windows(
+        relations.transaction_profile(b.transactions), short
+    )
 
 
 @query(
@@ -1422,6 +1424,19 @@ def _(b: Book) -> DataFrame:
     )
 
 
+@query(
+    "l1_transaction_profile",
+    "source:s transaction_count:i transaction_quantity:i transaction_amount:f2 earliest_order:s "
+    "latest_order:s implausible_rows:i",
+    """select source, count(*) as transaction_count, sum(quantity) as transaction_quantity,
+         sum(gross_amount) as transaction_amount, min(order_date) as earliest_order,
+         max(order_date) as latest_order, count(*) filter (gross_amount < 0) as implausible_rows
+       from tx group by 1""",
+)
+def _(b: Book) -> DataFrame:
+    return relations.transaction_profile(b.transactions)
+
+
 @query(
     "l3_baselines_recompute",
     KEYS,
@@ -1570,7 +1585,7 @@ def _(b: Book) -> DataFrame:
         F.max("gross_amount").alias("gross_amount"),
         F.count(F.lit(1)).alias("line_items"),
     )
-    return relations.occasions_collapsed(wrong, b.transactions)
+    return relations.occasions_collapsed(wrong, relations.transaction_profile(b.transactions))
 
 
 @query(

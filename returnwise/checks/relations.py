@@ -3,7 +3,7 @@ it checks."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import reduce
 
@@ -16,6 +16,7 @@ from returnwise.models.fingerprints import (
     prediction_fingerprint,
 )
 from returnwise.operators.rfm import KEYS
+from returnwise.schemas import sum_money
 from returnwise.session import small
 
 PRECISION = 1e-9
@@ -34,29 +35,49 @@ def _any(conditions: list[Column]) -> Column:
 # ---- transactions and windows -----------------------------------------------------------------
 
 
-def transactions_within_windows(transactions: DataFrame, windows: DataFrame) -> DataFrame:
-    """Sources with a transaction before calibration or after the holdout."""
-    span = transactions.groupBy("source").agg(
-        F.min("order_date").alias("earliest_order"), F.max("order_date").alias("latest_order")
+def implausible_amount() -> Column:
+    """A sale with a negative amount, no units, or no usable unit price."""
+    return ~F.col("is_return") & (
+        (F.col("gross_amount") < 0)
+        | (F.col("quantity") <= 0)
+        | (F.col("unit_price") < 0)
+        | F.col("unit_price").isNull()
     )
+
+
+def transaction_profile(transactions: DataFrame, required: Sequence[str] = ()) -> DataFrame:
+    """One row per source with everything the line-item checks look at, from one scan.
+
+    Line items are by far the largest relation; the checks on them share this pass.
+    """
+    return transactions.groupBy("source").agg(
+        F.count(F.lit(1)).alias("transaction_count"),
+        F.sum("quantity").alias("transaction_quantity"),
+        sum_money(F.col("gross_amount")).alias("transaction_amount"),
+        F.min("order_date").alias("earliest_order"),
+        F.max("order_date").alias("latest_order"),
+        F.count_if(implausible_amount()).alias("implausible_rows"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in required if c != "source"],
+    )
+
+
+def transactions_within_windows(profile: DataFrame, windows: DataFrame) -> DataFrame:
+    """Sources with a transaction before calibration or after the holdout."""
     bounds = windows.select("source", "calibration_start", "holdout_end")
-    return span.join(small(bounds), "source").where(
+    return profile.join(small(bounds), "source").where(
         (F.col("earliest_order") < F.col("calibration_start"))
         | (F.col("latest_order") > F.col("holdout_end"))
     )
 
 
+def sources_with_implausible_amounts(profile: DataFrame) -> DataFrame:
+    """Sources holding at least one implausible sale; :func:`amounts_plausible` lists them."""
+    return profile.where(F.col("implausible_rows") > 0).select("source", "implausible_rows")
+
+
 def amounts_plausible(transactions: DataFrame) -> DataFrame:
-    """Sales with a negative amount, no units, or no usable unit price."""
-    return transactions.where(
-        ~F.col("is_return")
-        & (
-            (F.col("gross_amount") < 0)
-            | (F.col("quantity") <= 0)
-            | (F.col("unit_price") < 0)
-            | F.col("unit_price").isNull()
-        )
-    )
+    """The implausible sales themselves."""
+    return transactions.where(implausible_amount())
 
 
 def windows_match(windows: DataFrame, pinned: Mapping[str, tuple[date, date, date, date]]) -> DataFrame:
@@ -79,19 +100,16 @@ def known_duplicates(excess: DataFrame, expected: Mapping[str, int]) -> DataFram
     ).where(F.col("excess_rows") != F.col("expected_excess_rows"))
 
 
-def occasions_collapsed(occasions: DataFrame, transactions: DataFrame) -> DataFrame:
+def occasions_collapsed(occasions: DataFrame, profile: DataFrame) -> DataFrame:
     """One row when the collapse lost or invented lines, units or money, or collapsed nothing."""
     after = occasions.agg(
         F.count(F.lit(1)).alias("occasion_count"),
         F.sum("line_items").alias("line_item_count"),
         F.sum("quantity").alias("occasion_quantity"),
-        F.sum("gross_amount").alias("occasion_amount"),
-    )
-    before = transactions.agg(
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.sum("quantity").alias("transaction_quantity"),
-        F.sum("gross_amount").alias("transaction_amount"),
+        sum_money(F.col("gross_amount")).alias("occasion_amount"),
     )
+    names = ("transaction_count", "transaction_quantity", "transaction_amount")
+    before = profile.agg(*[F.sum(c).alias(c) for c in names])
     return after.crossJoin(before).where(  # one row each
         (F.col("line_item_count") != F.col("transaction_count"))
         | (F.col("occasion_count") >= F.col("line_item_count"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from returnwise.checks import generic, relations
 from returnwise.operators.scored import BASELINES
 from returnwise.operators.transactions import duplicate_excess
+from returnwise.session import materialise
 
 TRANSFORM = "transform"
 POST_FIT = "post_fit"
@@ -78,13 +79,32 @@ def _some(tables: Tables, names: Sequence[str]) -> dict[str, DataFrame]:
     return {name: tables[name] for name in names}
 
 
+def _profile(tables: Tables) -> DataFrame:
+    """The shared pass over the line items, where a run has one already."""
+    if "transaction_profile" in tables:
+        return tables["transaction_profile"]
+    return relations.transaction_profile(tables["transactions"], REQUIRED["transactions"])
+
+
+def _none(tables: Tables) -> DataFrame:
+    """No violations, for a check nothing is expected of: one that reads no data."""
+    return tables["analysis_windows"].limit(0)
+
+
+def _null_transactions(tables: Tables) -> DataFrame:
+    """Sources with NULLs in a required line-item column."""
+    names = [f"null_{c}" for c in REQUIRED["transactions"] if c != "source"]
+    found = reduce(lambda a, b: a | b, [F.col(n) > 0 for n in names])
+    return _profile(tables).where(found | F.col("source").isNull()).select("source", *names)
+
+
 def all_checks() -> list[Check]:
     """Every check with the stage it belongs to."""
     checks = [
         Check("transactions_within_windows", TRANSFORM, lambda t, e:
-              relations.transactions_within_windows(t["transactions"], t["analysis_windows"])),
+              relations.transactions_within_windows(_profile(t), t["analysis_windows"])),
         Check("amounts_plausible", TRANSFORM, lambda t, e:
-              relations.amounts_plausible(t["transactions"])),
+              relations.sources_with_implausible_amounts(_profile(t))),
         Check("no_leakage", TRANSFORM, lambda t, e:
               relations.no_leakage(t["rfm_calibration"], t["analysis_windows"])),
         Check("calibration_within_full", TRANSFORM, lambda t, e:
@@ -99,12 +119,13 @@ def all_checks() -> list[Check]:
               relations.holdout_reconciles(
                   t["rfm_calibration"], t["rfm_full"], t["holdout_actuals"])),
         Check("known_duplicates", TRANSFORM, lambda t, e:
-              relations.known_duplicates(duplicate_excess(t["transactions"]), e.duplicates)),
+              relations.known_duplicates(duplicate_excess(t["transactions"]), e.duplicates)
+              if e.duplicates else _none(t)),
         Check("monetary_value_matches", TRANSFORM, lambda t, e:
               relations.monetary_value_matches(
                   t["rfm_calibration"], t["purchase_occasions"], t["analysis_windows"])),
         Check("occasions_collapsed", TRANSFORM, lambda t, e:
-              relations.occasions_collapsed(t["purchase_occasions"], t["transactions"])),
+              relations.occasions_collapsed(t["purchase_occasions"], _profile(t))),
         Check("one_row_per_customer", TRANSFORM, lambda t, e:
               relations.one_row_per_customer(_some(t, _SUMMARIES))),
         Check("sensitivity_complete", TRANSFORM, lambda t, e:
@@ -137,10 +158,13 @@ def all_checks() -> list[Check]:
         Check("accepted_fit_method", POST_FIT, lambda t, e:
               generic.accepted_values(t["predictions"], "fit_method", FIT_METHODS)),
         Check("accepted_sources", TRANSFORM, lambda t, e:
-              generic.accepted_values(t["transactions"], "source", e.sources)
-              if e.sources else t["transactions"].limit(0)),
+              generic.accepted_values(_profile(t), "source", e.sources)
+              if e.sources else _none(t)),
+        Check("not_null_transactions", TRANSFORM, lambda t, e: _null_transactions(t)),
     ]
     for table, columns in REQUIRED.items():
+        if table == "transactions":
+            continue
         stage = POST_FIT if table in _POST_FIT_TABLES else TRANSFORM
         checks.append(
             Check(f"not_null_{table}", stage,
@@ -160,8 +184,10 @@ def run_checks(
     """Report of one stage: ``(check_name, stage, violations)``.
 
     The checks are counted in one union, so Spark runs them side by side and shares the shuffles
-    of relations several of them read.
+    of relations several of them read. The line items are profiled once beforehand.
     """
+    if stage == TRANSFORM and "transaction_profile" not in tables:
+        tables = {**tables, "transaction_profile": materialise(_profile(tables))}
     counts = [
         check.run(tables, expected)
         .agg(F.count(F.lit(1)).alias("violations"))

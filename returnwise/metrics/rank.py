@@ -95,10 +95,15 @@ def rank_correlations(
         .groupBy("_side", "_g", "_v")
         .agg(F.sum("n").alias("n"))
     )
-    ranked = average_ranks(values, "_v", ["_side", "_g"])
-    totals = ranked.groupBy("_side", "_g").agg(F.sum("n").alias("_all"))
-    ranks = ranked.join(small(totals), ["_side", "_g"]).withColumn(
-        "_is_heavy", F.col("n") > F.col("_all") * HEAVY_SHARE
+    totals = values.groupBy("_side", "_g").agg(F.sum("n").alias("_all"))
+    # Written because four joins read it: heavy and light values of either side.
+    ranks = materialise(
+        average_ranks(values, "_v", ["_side", "_g"])
+        .join(small(totals), ["_side", "_g"])
+        .select(
+            "_side", "_g", "_v", "rank",
+            (F.col("n") > F.col("_all") * HEAVY_SHARE).alias("_is_heavy"),
+        )
     )
     both = _attach(_attach(counted, ranks, "x"), ranks, "y")
 

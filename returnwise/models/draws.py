@@ -31,6 +31,7 @@ from returnwise.functions.numeric import log_gamma
 
 LAPLACE_SIR = "laplace_sir"
 MASS = 0.94
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -134,7 +135,9 @@ def predict_draws(
     """Forecasts averaged over draws, with the interval of revenue.
 
     Purchases and order value are multiplied draw by draw, so the interval carries both. Each
-    customer's draws live in one row of one Arrow batch; nothing is shuffled or regrouped.
+    customer's draws live in one row of one Arrow batch and are never regrouped. A row costs
+    hundreds of model evaluations, so the rows are spread by count over the cores first; splits
+    by byte size would leave tasks of hours.
     """
     family = purchase.fit.family
     count = min(len(purchase.points), len(spend.points))
@@ -145,24 +148,36 @@ def predict_draws(
     def drawn(
         x: pd.Series, tx: pd.Series, T: pd.Series, z: pd.Series, own: pd.Series, t: pd.Series
     ) -> pd.DataFrame:
-        counts, last, age, mean, days = (s.to_numpy(dtype=float) for s in (x, tx, T, z, t))
-        purchases = ahead(family, parameters, counts, last, age, days)
-        alive = active(family, parameters, counts, last, age)
-        individual = p * (v + counts * mean) / (p * counts + q - 1.0)
-        value = np.where(own.to_numpy(dtype=bool), individual, p * v / (q - 1.0))
-        revenue = purchases * value
-        return pd.DataFrame(
-            {
-                "expected_purchases": purchases.mean(axis=0),
-                "probability_alive": alive.mean(axis=0),
-                "expected_avg_value": value.mean(axis=0),
-                "expected_forward_revenue": revenue.mean(axis=0),
-                "revenue": list(revenue.T),
-            }
-        )
+        columns = [s.to_numpy(dtype=float) for s in (x, tx, T, z, t, own)]
+        pieces = []
+        # A few hundred customers at a time: the draws of a whole batch would not stay in cache.
+        for start in range(0, len(x), CHUNK):
+            counts, last, age, mean, days, fitted = (c[start : start + CHUNK] for c in columns)
+            purchases = ahead(family, parameters, counts, last, age, days)
+            alive = active(family, parameters, counts, last, age)
+            individual = p * (v + counts * mean) / (p * counts + q - 1.0)
+            value = np.where(fitted > 0, individual, p * v / (q - 1.0))
+            revenue = purchases * value
+            pieces.append(
+                pd.DataFrame(
+                    {
+                        "expected_purchases": purchases.mean(axis=0),
+                        "probability_alive": alive.mean(axis=0),
+                        "expected_avg_value": value.mean(axis=0),
+                        "expected_forward_revenue": revenue.mean(axis=0),
+                        "revenue": list(revenue.T),
+                    }
+                )
+            )
+        return pd.concat(pieces, ignore_index=True)
 
     udf = F.pandas_udf(drawn, _DRAWN)
-    rows = calibration.select(
+    spark = calibration.sparkSession
+    tasks = max(
+        4 * spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
+    rows = calibration.repartition(tasks).select(
         "source",
         "customer_id",
         *STATE,

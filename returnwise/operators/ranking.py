@@ -102,19 +102,26 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one column per name, one row per ``by`` group.
 
-    Only the two rows around each quantile are aggregated; nothing holds a whole column.
+    Works on value counts, so a value many rows share is one row, and aggregates only the values
+    around each quantile; nothing holds a whole column.
     """
-    placed = global_positions(df.select(*by, value), [F.col(value)], by)
-    totals = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    placed = global_positions(counts, [F.col("_value")], by, weight="_n", name="_before")
+    totals = placed.groupBy(*by).agg(F.sum("_n").alias("_rows"))
     sized = placed.join(small(totals), list(by)) if by else placed.crossJoin(small(totals))
+
+    def covers(position: Column) -> Column:
+        inside = (position >= F.col("_before")) & (position < F.col("_before") + F.col("_n"))
+        return F.when(inside, F.col("_value")).otherwise(F.lit(0.0))
+
     columns = []
     for name, p in probabilities.items():
         at = (F.col("_rows") - 1) * F.lit(p)
         low = F.floor(at)
-        share = at - low
-        weight = (
-            F.when(F.col("position") == low, 1 - share)
-            .when(F.col("position") == low + 1, share)
-        )
-        columns.append(F.sum(weight * F.col(value)).alias(name))
+        part = (1 - (at - low)) * covers(low) + (at - low) * covers(low + 1)
+        columns.append(F.sum(part).alias(name))
     return sized.groupBy(*by).agg(*columns)

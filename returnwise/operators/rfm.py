@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from returnwise import schemas
 from returnwise.session import small
 
+# Customer relations are grouped by these columns and nothing else (what is constant per source is
+# carried as a maximum), so that joins between them find both sides partitioned alike.
 KEYS = ("source", "customer_id")
 
 
@@ -64,7 +66,8 @@ def rfm_summary(
     in_period = occasions.join(small(bounds), "source").where(
         F.col("order_date").between(F.col("_start"), F.col("_end"))
     )
-    grouped = in_period.groupBy(*KEYS, "_end").agg(
+    grouped = in_period.groupBy(*KEYS).agg(
+        F.max("_end").alias("_end"),
         F.count(F.lit(1)).alias("_n"),
         F.min("order_date").alias("_first_day"),
         F.max("order_date").alias("_last_day"),
@@ -116,8 +119,9 @@ def holdout_actuals(occasions: DataFrame, windows: DataFrame) -> DataFrame:
     return (
         occasions.join(small(bounds), "source")
         .where(in_calibration | in_holdout)
-        .groupBy(*KEYS, "duration_holdout")
+        .groupBy(*KEYS)
         .agg(
+            F.max("duration_holdout").alias("duration_holdout"),
             F.count_if(in_calibration).alias("_calibration"),
             F.count_if(in_holdout).alias("_n"),
             schemas.sum_money(F.when(in_holdout, F.col("gross_amount"))).alias("_spend"),
@@ -148,8 +152,12 @@ def recent_counts(occasions: DataFrame, windows: DataFrame, days: Iterable[int])
             small(windows.select("source", "calibration_start", "calibration_end")), "source"
         )
         .where(F.col("order_date").between(F.col("calibration_start"), F.col("calibration_end")))
-        .groupBy(*KEYS, "calibration_end")
-        .agg(F.min("order_date").alias("_first_day"), *[_recent_count(d) for d in days])
+        .groupBy(*KEYS)
+        .agg(
+            F.max("calibration_end").alias("calibration_end"),
+            F.min("order_date").alias("_first_day"),
+            *[_recent_count(d) for d in days],
+        )
         .withColumn("customer_age", F.datediff("calibration_end", "_first_day"))
     )
     return grouped.select(
@@ -187,8 +195,10 @@ def customer_history(
     grouped = (
         occasions.join(small(bounds), "source")
         .where(in_calibration | in_holdout)
-        .groupBy(*KEYS, "calibration_end", "duration_holdout")
+        .groupBy(*KEYS)
         .agg(
+            F.max("calibration_end").alias("calibration_end"),
+            F.max("duration_holdout").alias("duration_holdout"),
             F.count_if(in_calibration).alias("_n"),
             F.min(calibration_day).alias("_first_day"),
             F.max(calibration_day).alias("_last_day"),

@@ -117,22 +117,16 @@ def scored(
     """The scored relation: the population is the calibration customers and is never filtered.
 
     A customer without a forecast at the holdout length keeps a row with NULL forecast columns,
-    so that the completeness checks can see it. The customer side is already partitioned by its
-    key, so only the forecasts shuffle.
+    so that the completeness checks can see it. Forecasts are cut to the holdout length before
+    the join, which then runs on the customer key the other side is already partitioned by; only
+    the forecasts shuffle.
     """
     base = baselines(occasions, windows, recent_window_days)
-    forecast = prediction_boundary(predictions).select(
-        *KEYS, "horizon_days", *PREDICTION_COLUMNS
-    )
-    joined = base.join(
-        forecast.withColumnRenamed("horizon_days", "_horizon"),
-        (base.source == forecast.source)
-        & (base.customer_id == forecast.customer_id)
-        & (base.duration_holdout == F.col("_horizon")),
-        "left",
-    )
-    return joined.select(
-        *[base[c] for c in base.columns],
-        F.col("_horizon").alias("horizon_days"),
-        *PREDICTION_COLUMNS,
+    length = windows.select("source", F.col("duration_holdout").alias("_length"))
+    forecast = (
+        prediction_boundary(predictions)
+        .join(small(length), "source")
+        .where(F.col("horizon_days") == F.col("_length"))
+        .select(*KEYS, "horizon_days", *PREDICTION_COLUMNS)
     )
+    return base.join(forecast, list(KEYS), "left")

@@ -34,7 +34,7 @@ from returnwise.sources.fixed_width import raw_transactions, read_transactions
 from returnwise.sources.store import Store
 
 _MAIN = (
-    "transactions", "analysis_windows", "purchase_occasions", "rfm_calibration", "rfm_full",
+    "analysis_windows", "purchase_occasions", "rfm_calibration", "rfm_full",
     "holdout_actuals", "monthly_retention", "recent_window_sensitivity",
 )
 
@@ -60,8 +60,9 @@ def transform(
 
     The line items are collapsed once and the occasions written: they are all the customer
     relations need, and they hold at most a calendar's worth of rows per customer.
-    With ``close_cohort`` later arrivals are set aside, from the stored line items as well, so that
-    the reconciling checks speak about one population.
+    The line items themselves are never copied; the returned ``transactions`` is a view. With
+    ``close_cohort`` later arrivals are set aside, in that view as well, so that the reconciling
+    checks speak about one population.
     """
     occasions = materialise(purchase_occasions(transactions))
     store.overwrite(stored.WINDOWS, analysis_windows(occasions, settings))
@@ -73,7 +74,6 @@ def transform(
     if close_cohort:
         kept = occasions.select("source", "customer_id").distinct()
         transactions = transactions.join(kept, ["source", "customer_id"], "left_semi")
-    store.overwrite(stored.TRANSACTIONS, transactions)
     store.overwrite(stored.CALIBRATION, rfm_calibration(occasions, windows))
     store.overwrite("main.rfm_full", rfm_full(occasions, windows))
     store.overwrite("main.holdout_actuals", holdout_actuals(occasions, windows))
@@ -83,7 +83,7 @@ def transform(
         stored.SENSITIVITY,
         recent_window_sensitivity(occasions, windows, settings.recent_window_days),
     )
-    tables = main_tables(store)
+    tables = {**main_tables(store), "transactions": transactions}
     if check:
         suite.require_clean(suite.run_checks(tables, suite.TRANSFORM, expected))
     return tables

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,7 +58,7 @@ class Store:
         df.write.mode("overwrite").parquet(self.path(relation))
 
     def replace_sources(self, relation: str, df: DataFrame) -> int:
-        """Replace the rows of the sources in ``df`` and return the rows now held for them.
+        """Replace the rows of the sources in ``df``; returns the rows now held for them.
 
         A frame whose columns differ from what is stored is refused before anything is written.
         """
@@ -69,14 +69,16 @@ class Store:
                     f"{relation} is stored as {stored.simpleString()}, "
                     f"the frame is {df.schema.simpleString()}"
                 )
+        # Counted while written: a second pass could mean fitting or scoring twice.
+        written = Observation()
         (
-            df.write.mode("overwrite")
+            df.observe(written, F.count(F.lit(1)).alias("rows"))
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("source")
             .parquet(self.path(relation))
         )
-        sources = df.select("source").distinct()
-        return self.read(relation).join(F.broadcast(sources), "source", "left_semi").count()
+        return written.get["rows"]
 
 
 def _shape(schema: T.StructType) -> set[tuple[str, str]]:
@@ -92,7 +94,6 @@ WINDOWS = "main.analysis_windows"
 OCCASIONS = "main.purchase_occasions"
 SCORED = "main.scored"
 SENSITIVITY = "main.recent_window_sensitivity"
-TRANSACTIONS = "main.transactions"
 
 
 def write_predictions(store: Store, predictions: DataFrame) -> int:

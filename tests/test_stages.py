@@ -69,7 +69,7 @@ def validation(store, fitted):
 
 
 def test_transform_stores_every_relation(store, tables):
-    assert set(tables) == set(stages._MAIN)
+    assert set(tables) == {*stages._MAIN, "transactions"}
     assert tables["rfm_calibration"].count() == 400
     assert store.exists("main.repeat_series")
 
