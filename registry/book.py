@@ -95,7 +95,9 @@ class Book:
     @cached_property
     def scored(self) -> DataFrame:
         return materialise(
-            scored(self.cohort, self.stored_windows, self.predictions, RECENT_DAYS)
+            scored(
+                self.cohort, self.stored_windows, self.predictions, RECENT_DAYS, self.calibration
+            )
         )
 
     @cached_property

@@ -131,8 +131,8 @@ def no_leakage(calibration: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def _beside(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    return left.join(right, list(KEYS), how)
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.join(right, list(KEYS))
 
 
 def calibration_within_full(calibration: DataFrame, full: DataFrame) -> DataFrame:
@@ -194,15 +194,25 @@ def holdout_consistent(holdout: DataFrame) -> DataFrame:
 def holdout_reconciles(
     calibration: DataFrame, full: DataFrame, holdout: DataFrame
 ) -> DataFrame:
-    """Customers whose calibration and holdout occasions do not add up, or who miss a relation."""
-    joined = _beside(
-        _beside(
-            calibration.select(*KEYS, F.col("occasions").alias("calibration_occasions")),
-            full.select(*KEYS, F.col("occasions").alias("full_occasions")),
-            "full_outer",
-        ),
-        holdout.select(*KEYS, "holdout_frequency"),
-        "full_outer",
+    """Customers whose calibration and holdout occasions do not add up, or who miss a relation.
+
+    A full outer join of three relations, written as one grouping of their union: each relation
+    has one row per customer, and a grouping needs one shuffle where two outer joins need three.
+    """
+    parts = {
+        "calibration_occasions": (calibration, "occasions"),
+        "holdout_frequency": (holdout, "holdout_frequency"),
+        "full_occasions": (full, "occasions"),
+    }
+    rows = reduce(
+        DataFrame.unionByName,
+        [
+            df.select(*KEYS, F.lit(name).alias("_part"), F.col(column).cast("long").alias("_count"))
+            for name, (df, column) in parts.items()
+        ],
+    )
+    joined = rows.groupBy(*KEYS).agg(
+        *[F.max(F.when(F.col("_part") == name, F.col("_count"))).alias(name) for name in parts]
     )
     added = F.col("calibration_occasions") + F.col("holdout_frequency")
     return joined.where(~F.coalesce(added == F.col("full_occasions"), F.lit(False)))

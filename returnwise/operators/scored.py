@@ -84,15 +84,21 @@ def baseline_columns() -> dict[str, Column]:
     }
 
 
-def baselines(occasions: DataFrame, windows: DataFrame, recent_window_days: int = 91) -> DataFrame:
-    """Features, outcome and naive rules, before any forecast is attached."""
-    history = customer_history(occasions, windows, recent_window_days)
-    return with_baselines(history)
-
+def baselines(
+    occasions: DataFrame,
+    windows: DataFrame,
+    recent_window_days: int = 91,
+    calibration: DataFrame | None = None,
+) -> DataFrame:
+    """Features, outcome and naive rules, before any forecast is attached.
 
-def with_baselines(history: DataFrame) -> DataFrame:
+    The pooled constants come from the stored calibration summary where the caller has one;
+    otherwise the occasions are aggregated a second time for them.
+    """
+    history = customer_history(occasions, windows, recent_window_days)
+    pooled = population_constants(history if calibration is None else calibration)
     rules = baseline_columns()
-    return history.join(small(population_constants(history)), "source").select(
+    return history.join(small(pooled), "source").select(
         *KEYS,
         "frequency",
         "recency",
@@ -113,6 +119,7 @@ def scored(
     windows: DataFrame,
     predictions: DataFrame,
     recent_window_days: int = 91,
+    calibration: DataFrame | None = None,
 ) -> DataFrame:
     """The scored relation: the population is the calibration customers and is never filtered.
 
@@ -121,7 +128,7 @@ def scored(
     the join, which then runs on the customer key the other side is already partitioned by; only
     the forecasts shuffle.
     """
-    base = baselines(occasions, windows, recent_window_days)
+    base = baselines(occasions, windows, recent_window_days, calibration)
     length = windows.select("source", F.col("duration_holdout").alias("_length"))
     forecast = (
         prediction_boundary(predictions)

@@ -233,7 +233,11 @@ def validate(
     windows, occasions = tables["analysis_windows"], tables["purchase_occasions"]
     predictions = store.read(stored.PREDICTIONS).select(*schemas.PREDICTIONS.names)
     store.overwrite(
-        stored.SCORED, scored(occasions, windows, predictions, settings.recent_window_days)
+        stored.SCORED,
+        scored(
+            occasions, windows, predictions, settings.recent_window_days,
+            tables["rfm_calibration"],
+        ),
     )
     # Only the validated source is checked: another one may not have been fitted yet.
     one = {
