@@ -38,7 +38,7 @@ def _expected(t: str) -> str:
     c = f"({_A} + {_B} + frequency - 1)"
     series = _series(f"({_A} + {_B} - 1 - {_R})", f"({_A} - 1)", c, z)
     return (
-        f"round(alive * {c} / ({_A} - 1) * (1 - power(1 - {z}, {_A} - 1) * {series}), 11)"
+        f"(alive * {c} / ({_A} - 1) * (1 - power(1 - {z}, {_A} - 1) * {series}))"
     )
 
 

@@ -318,7 +318,7 @@ def _(b: Book) -> DataFrame:
 @query(
     "a13_prediction_boundary",
     f"{KEYS} horizon_days:i expected_purchases:f6 probability_alive:f6 expected_avg_value:f4 "
-    "expected_forward_revenue:f2 spend_estimate_source:s is_gamma_gamma_eligible:b",
+    "expected_forward_revenue:f1 spend_estimate_source:s is_gamma_gamma_eligible:b",
     "select * from pred",
 )
 def _(b: Book) -> DataFrame:
@@ -574,7 +574,7 @@ _SCORED = (
     f"{KEYS} frequency:i recency:i customer_age:i monetary_value:f4 is_gamma_gamma_eligible:b "
     "duration_holdout:i holdout_frequency:i holdout_spend:f2 holdout_monetary_value:f4 "
     "horizon_days:i expected_purchases:f6 probability_alive:f6 expected_avg_value:f4 "
-    "expected_forward_revenue:f2 spend_estimate_source:s baseline_purchases:f6 "
+    "expected_forward_revenue:f1 spend_estimate_source:s baseline_purchases:f6 "
     "baseline_purchases_flat:f6 baseline_avg_value:f6 baseline_revenue:f4 "
     "baseline_revenue_flat:f4 baseline_carry_forward:f6 baseline_revenue_carry_forward:f4 "
     "baseline_recent:f6 baseline_revenue_recent:f4 baseline_zero:f6 recent_window_days:i"
@@ -832,7 +832,7 @@ def _(b: Book) -> DataFrame:
 @query(
     "j11_predict",
     f"{KEYS} horizon_days:i expected_purchases:f6 probability_alive:f6 expected_avg_value:f4 "
-    "expected_forward_revenue:f2 spend_estimate_source:s is_gamma_gamma_eligible:b",
+    "expected_forward_revenue:f1 spend_estimate_source:s is_gamma_gamma_eligible:b",
     "select * from pred",
 )
 def _(b: Book) -> DataFrame:
