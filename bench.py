@@ -51,6 +51,9 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
+            # Small tables: let adaptive execution keep a task per core instead of one per megabyte.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+            "spark.sql.files.openCostInBytes": "65536",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

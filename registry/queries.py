@@ -536,6 +536,26 @@ def _(b: Book) -> DataFrame:
     return rfm.recent_repeats(b.occasions, b.windows, RECENT_DAYS)
 
 
+@query(
+    "c7_customer_windows",
+    f"{KEYS} calibration_occasions:i calibration_spend:f2 full_occasions:i full_spend:f2 "
+    "holdout_occasions:i holdout_total:f2 repeats_91:i",
+    f"""select f.source, f.customer_id, coalesce(c.occasions, 0) as calibration_occasions,
+          c.total_spend as calibration_spend, f.occasions as full_occasions,
+          f.total_spend as full_spend, f.occasions - coalesce(c.occasions, 0) as holdout_occasions,
+          case when f.occasions > coalesce(c.occasions, 0)
+            then f.total_spend - coalesce(c.total_spend, 0) end as holdout_total,
+          recent_repeats as repeats_91
+        from full_rfm f left join cal c using (source, customer_id)
+        left join recent r on r.source = f.source and r.customer_id = f.customer_id
+          and r.window_days = {RECENT_DAYS}""",
+)
+def _(b: Book) -> DataFrame:
+    wide = rfm.customer_windows(b.occasions, b.windows, [RECENT_DAYS])
+    repeats = rfm.counts_of(wide, [RECENT_DAYS]).select("source", "customer_id", "repeats_91")
+    return wide.join(repeats, ["source", "customer_id"], "left")
+
+
 @query(
     "c8_recent_window_sensitivity",
     "source:s window_days:i customers:i predicted_purchases:f6 actual_purchases:i percent_error:f6",

@@ -175,14 +175,15 @@ def recent_repeats(occasions: DataFrame, windows: DataFrame, window_days: int) -
     )
 
 
-def customer_history(
-    occasions: DataFrame, windows: DataFrame, recent_window_days: int
+def customer_windows(
+    occasions: DataFrame, windows: DataFrame, look_backs: Iterable[int]
 ) -> DataFrame:
-    """Calibration summary, holdout outcome and recent repeats of each calibration customer.
+    """Every per-customer quantity of both windows, from a single shuffle of the occasions.
 
-    The same quantities as :func:`rfm_calibration`, :func:`holdout_actuals` and
-    :func:`recent_repeats`, but from a single shuffle of the occasions and without any join of
-    per-customer relations. This is what the scored relation is built on.
+    The calibration and full-period summaries, the holdout outcome and the repeats of any number of
+    look-backs are projections of this relation (the ``*_of`` functions), so a run that stores it
+    shuffles the occasions once for all of them. Columns a projection does not read are pruned from
+    the aggregate.
     """
     day, amount = F.col("order_date"), F.col("gross_amount")
     in_calibration = day.between(F.col("calibration_start"), F.col("calibration_end"))
@@ -192,37 +193,90 @@ def customer_history(
         "source", "calibration_start", "calibration_end", "holdout_start", "holdout_end",
         "duration_holdout",
     )
-    grouped = (
+    return (
         occasions.join(small(bounds), "source")
-        .where(in_calibration | in_holdout)
+        .where(day.between(F.col("calibration_start"), F.col("holdout_end")))
         .groupBy(*KEYS)
         .agg(
-            F.max("calibration_end").alias("calibration_end"),
-            F.max("duration_holdout").alias("duration_holdout"),
-            F.count_if(in_calibration).alias("_n"),
-            F.min(calibration_day).alias("_first_day"),
-            F.max(calibration_day).alias("_last_day"),
-            schemas.sum_money(F.when(in_calibration, amount)).alias("_total"),
-            F.min_by(amount, calibration_day).alias("_first"),
-            F.count_if(in_holdout).alias("_holdout"),
-            schemas.sum_money(F.when(in_holdout, amount)).alias("_holdout_spend"),
-            _recent_count(recent_window_days),
+            *[
+                F.max(c).alias(c)
+                for c in ("calibration_end", "holdout_end", "duration_holdout")
+            ],
+            F.count_if(in_calibration).alias("calibration_occasions"),
+            F.min(calibration_day).alias("calibration_first_day"),
+            F.max(calibration_day).alias("calibration_last_day"),
+            schemas.sum_money(F.when(in_calibration, amount)).alias("calibration_spend"),
+            F.min_by(amount, calibration_day).alias("calibration_first_spend"),
+            F.count(F.lit(1)).alias("full_occasions"),
+            F.min(day).alias("full_first_day"),
+            F.max(day).alias("full_last_day"),
+            schemas.sum_money(amount).alias("full_spend"),
+            F.min_by(amount, day).alias("full_first_spend"),
+            F.count_if(in_holdout).alias("holdout_occasions"),
+            schemas.sum_money(F.when(in_holdout, amount)).alias("holdout_total"),
+            *[_recent_count(d) for d in sorted(set(look_backs))],
+        )
+        .withColumn(
+            "customer_age", F.datediff("calibration_end", "calibration_first_day")
         )
-        .where(F.col("_n") > 0)
     )
-    summary = grouped.select(
+
+
+def _summary_of(wide: DataFrame, part: str, period_end: str) -> list[Column]:
+    names = ("occasions", "first_day", "last_day", "spend", "first_spend")
+    return _summary_columns(*[F.col(f"{part}_{n}") for n in names], F.col(period_end))
+
+
+def _members(wide: DataFrame) -> DataFrame:
+    """Customers with an occasion in calibration: the population of everything but the full view."""
+    return wide.where(F.col("calibration_occasions") > 0)
+
+
+def calibration_of(wide: DataFrame) -> DataFrame:
+    """The calibration summary out of :func:`customer_windows`."""
+    return _members(wide).select(*KEYS, *_summary_of(wide, "calibration", "calibration_end"))
+
+
+def full_of(wide: DataFrame) -> DataFrame:
+    """The full-period summary out of :func:`customer_windows`."""
+    return wide.select(*KEYS, *_summary_of(wide, "full", "holdout_end"))
+
+
+def holdout_of(wide: DataFrame) -> DataFrame:
+    """The holdout outcome out of :func:`customer_windows`."""
+    return _members(wide).select(
         *KEYS,
-        *_summary_columns(
-            F.col("_n"), F.col("_first_day"), F.col("_last_day"), F.col("_total"),
-            F.col("_first"), F.col("calibration_end"),
-        ),
-        *_holdout_columns(F.col("_holdout"), F.col("_holdout_spend")),
+        *_holdout_columns(F.col("holdout_occasions"), F.col("holdout_total")),
         "duration_holdout",
-        f"_recent_{recent_window_days}",
     )
-    return summary.select(
-        *[c for c in summary.columns if not c.startswith("_recent")],
+
+
+def counts_of(wide: DataFrame, look_backs: Iterable[int]) -> DataFrame:
+    """Age, recent repeats per look-back and holdout purchases out of :func:`customer_windows`."""
+    return _members(wide).select(
+        *KEYS,
+        "customer_age",
+        *[_repeats_within(d).alias(f"repeats_{d}") for d in sorted(set(look_backs))],
+        F.col("holdout_occasions").alias("holdout_frequency"),
+    )
+
+
+def history_of(wide: DataFrame, recent_window_days: int) -> DataFrame:
+    """Calibration summary, holdout outcome and recent repeats side by side."""
+    return _members(wide).select(
+        *KEYS,
+        *_summary_of(wide, "calibration", "calibration_end"),
+        *_holdout_columns(F.col("holdout_occasions"), F.col("holdout_total")),
+        "duration_holdout",
         F.lit(recent_window_days).alias("recent_window_days"),
         _repeats_within(recent_window_days).alias("recent_repeats"),
         F.least(F.lit(recent_window_days), F.col("customer_age")).alias("recent_exposure_days"),
     )
+
+
+def customer_history(
+    occasions: DataFrame, windows: DataFrame, recent_window_days: int
+) -> DataFrame:
+    """:func:`history_of` straight from the occasions; what the scored relation is built on."""
+    wide = customer_windows(occasions, windows, [recent_window_days])
+    return history_of(wide, recent_window_days)

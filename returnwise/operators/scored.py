@@ -95,7 +95,11 @@ def baselines(
     The pooled constants come from the stored calibration summary where the caller has one;
     otherwise the occasions are aggregated a second time for them.
     """
-    history = customer_history(occasions, windows, recent_window_days)
+    return baselines_of(customer_history(occasions, windows, recent_window_days), calibration)
+
+
+def baselines_of(history: DataFrame, calibration: DataFrame | None = None) -> DataFrame:
+    """:func:`baselines` over a history already at hand."""
     pooled = population_constants(history if calibration is None else calibration)
     rules = baseline_columns()
     return history.join(small(pooled), "source").select(
@@ -121,14 +125,19 @@ def scored(
     recent_window_days: int = 91,
     calibration: DataFrame | None = None,
 ) -> DataFrame:
-    """The scored relation: the population is the calibration customers and is never filtered.
+    """The scored relation, straight from the occasions."""
+    base = baselines(occasions, windows, recent_window_days, calibration)
+    return scored_of(base, windows, predictions)
+
+
+def scored_of(base: DataFrame, windows: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Attach the forecasts: the population is the calibration customers and is never filtered.
 
     A customer without a forecast at the holdout length keeps a row with NULL forecast columns,
     so that the completeness checks can see it. Forecasts are cut to the holdout length before
     the join, which then runs on the customer key the other side is already partitioned by; only
     the forecasts shuffle.
     """
-    base = baselines(occasions, windows, recent_window_days, calibration)
     length = windows.select("source", F.col("duration_holdout").alias("_length"))
     forecast = (
         prediction_boundary(predictions)

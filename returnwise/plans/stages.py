@@ -20,11 +20,11 @@ from returnwise.models import draws as posterior
 from returnwise.models import fit as models
 from returnwise.models.fingerprints import fit_run
 from returnwise.models.predict import predict, purchases_column, resolve_horizons
+from returnwise.operators import rfm
 from returnwise.operators.cohorts import monthly_retention, repeat_series
 from returnwise.operators.occasions import purchase_occasions
-from returnwise.operators.rfm import holdout_actuals, rfm_calibration, rfm_full
-from returnwise.operators.scored import scored
-from returnwise.operators.sensitivity import recent_window_sensitivity
+from returnwise.operators.scored import baselines_of, scored_of
+from returnwise.operators.sensitivity import configured, sensitivity_of
 from returnwise.operators.transactions import load_summary
 from returnwise.operators.windows import analysis_windows, closed_cohort
 from returnwise.session import materialise
@@ -34,7 +34,7 @@ from returnwise.sources.fixed_width import raw_transactions, read_transactions
 from returnwise.sources.store import Store
 
 _MAIN = (
-    "analysis_windows", "purchase_occasions", "rfm_calibration", "rfm_full",
+    "analysis_windows", "purchase_occasions", "customer_windows", "rfm_calibration", "rfm_full",
     "holdout_actuals", "monthly_retention", "recent_window_sensitivity",
 )
 
@@ -59,7 +59,9 @@ def transform(
     """Build every relation that needs no fit, then check them.
 
     The line items are collapsed once and the occasions written: they are all the customer
-    relations need, and they hold at most a calendar's worth of rows per customer.
+    relations need, and they hold at most a calendar's worth of rows per customer. One shuffle of
+    them then gives the wide customer relation, of which the summaries, the outcome and the
+    look-backs are projections.
     The line items themselves are never copied; the returned ``transactions`` is a view. With
     ``close_cohort`` later arrivals are set aside, in that view as well, so that the reconciling
     checks speak about one population.
@@ -74,15 +76,17 @@ def transform(
     if close_cohort:
         kept = occasions.select("source", "customer_id").distinct()
         transactions = transactions.join(kept, ["source", "customer_id"], "left_semi")
-    store.overwrite(stored.CALIBRATION, rfm_calibration(occasions, windows))
-    store.overwrite("main.rfm_full", rfm_full(occasions, windows))
-    store.overwrite("main.holdout_actuals", holdout_actuals(occasions, windows))
-    store.overwrite("main.monthly_retention", monthly_retention(occasions))
-    store.overwrite("main.repeat_series", repeat_series(occasions, windows))
+    days = configured(settings.recent_window_days)
+    store.overwrite("main.customer_windows", rfm.customer_windows(occasions, windows, days))
+    wide = store.read("main.customer_windows")
+    store.overwrite(stored.CALIBRATION, rfm.calibration_of(wide))
+    store.overwrite("main.rfm_full", rfm.full_of(wide))
+    store.overwrite("main.holdout_actuals", rfm.holdout_of(wide))
     store.overwrite(
-        stored.SENSITIVITY,
-        recent_window_sensitivity(occasions, windows, settings.recent_window_days),
+        stored.SENSITIVITY, sensitivity_of(rfm.counts_of(wide, days), windows, days)
     )
+    store.overwrite("main.monthly_retention", monthly_retention(occasions))
+    store.overwrite("main.repeat_series", repeat_series(occasions, windows))
     tables = {**main_tables(store), "transactions": transactions}
     if check:
         suite.require_clean(suite.run_checks(tables, suite.TRANSFORM, expected))
@@ -234,9 +238,13 @@ def validate(
     predictions = store.read(stored.PREDICTIONS).select(*schemas.PREDICTIONS.names)
     store.overwrite(
         stored.SCORED,
-        scored(
-            occasions, windows, predictions, settings.recent_window_days,
-            tables["rfm_calibration"],
+        scored_of(
+            baselines_of(
+                rfm.history_of(tables["customer_windows"], settings.recent_window_days),
+                tables["rfm_calibration"],
+            ),
+            windows,
+            predictions,
         ),
     )
     # Only the validated source is checked: another one may not have been fitted yet.

@@ -27,6 +27,7 @@ def build_session(name: str, master: str | None = None, **conf: str) -> SparkSes
 
 
 _local_root: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -58,10 +59,24 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/returnwise-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_intermediate(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application; returns how many there were.
+
+    For the end of a run: frames still built on them can no longer be evaluated.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        target = hadoop.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def small(df: DataFrame) -> DataFrame:
     """Mark a relation for broadcast.
 

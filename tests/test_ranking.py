@@ -150,3 +150,18 @@ def test_decile_shares_are_undefined_without_an_outcome(spark):
                                "customer_id int, p double, a double")
     shares = rank.decile_table(df, "a", "p").toPandas()["share_of_actual"]
     assert shares.isna().all()
+
+
+def test_intermediate_tables_can_be_released(spark, monkeypatch):
+    import os
+
+    from returnwise import session
+    from returnwise.session import materialise, release_intermediate
+
+    # Only what this test writes: other tests' tables stay.
+    monkeypatch.setattr(session, "_written", {})
+    df = materialise(spark.range(5).toDF("id"))
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    assert release_intermediate(spark) == 1
+    assert not os.path.exists(folder)

@@ -149,6 +149,24 @@ def test_the_fused_history_equals_the_separate_relations(world):
             assert (other[column].to_numpy() == fused[column].to_numpy()).all(), column
 
 
+def test_projections_of_the_wide_relation_equal_the_separate_relations(world):
+    _, occ, win, _ = world
+    keys = ["source", "customer_id"]
+    wide = rfm.customer_windows(occ, win, [30, 91])
+    counts = rfm.recent_counts(occ, win, [30, 91])
+    for projected, separate in (
+        (rfm.calibration_of(wide), rfm.rfm_calibration(occ, win)),
+        (rfm.full_of(wide), rfm.rfm_full(occ, win)),
+        (rfm.holdout_of(wide), rfm.holdout_actuals(occ, win)),
+        (rfm.counts_of(wide, [30, 91]).drop("holdout_frequency"), counts),
+    ):
+        assert projected.schema.simpleString() == separate.schema.simpleString()
+        left, right = as_pandas(projected, *keys), as_pandas(separate, *keys)
+        assert len(left) == len(right)
+        for column in left.columns:
+            assert (left[column].to_numpy() == right[column].to_numpy()).all(), column
+
+
 def test_sensitivity_sums_the_recent_rule_at_every_window(world):
     _, occ, win, _ = world
     got = sensitivity.recent_window_sensitivity(occ, win, 77).toPandas()
