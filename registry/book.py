@@ -6,23 +6,22 @@ import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from registry.oracles import BG, FORWARD_DAYS, GG, RECENT_DAYS
+from registry.oracles import BG, FORWARD_DAYS, GG, LOOK_BACKS, RECENT_DAYS
 from returnwise.models import fit as models
 from returnwise.models.fingerprints import fit_run
 from returnwise.models.fit import Fit
 from returnwise.models.predict import predict
+from returnwise.operators import rfm
 from returnwise.operators.occasions import purchase_occasions
-from returnwise.operators.rfm import holdout_actuals, rfm_calibration, rfm_full
-from returnwise.operators.scored import scored
-from returnwise.operators.sensitivity import recent_window_sensitivity
+from returnwise.operators.scored import baselines_of, scored_of
+from returnwise.operators.sensitivity import configured, sensitivity_of
 from returnwise.operators.windows import analysis_windows, closed_cohort
 from returnwise.session import checkpoint_root, materialise
 from returnwise.sources import retail
 from returnwise.sources.store import Store
 
-import pyspark.sql.functions as F
-
 LITERAL_PURCHASE = Fit(models.BG_NBD, "map", dict(BG), float("nan"), 0, 0)
 LITERAL_SPEND = Fit(models.GAMMA_GAMMA, "map", dict(GG), float("nan"), 0, 0)
 
@@ -30,9 +29,10 @@ LITERAL_SPEND = Fit(models.GAMMA_GAMMA, "map", dict(GG), float("nan"), 0, 0)
 class Book:
     """Lazily built relations over one folder; the expensive ones are written once per session.
 
-    ``transactions``, ``occasions`` and ``windows`` stay lazy plans over the tables. From
-    ``cohort`` on, the relations describe customers acquired before the cutoff and are stored,
-    as the stages store them.
+    ``transactions``, ``plan_occasions`` and ``plan_windows`` are plans over the tables.
+    ``occasions`` and everything after it are stored, as the stages store them, so the line items
+    are collapsed once however many queries run. From ``cohort`` on, the relations describe
+    customers acquired before the cutoff.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -43,47 +43,52 @@ class Book:
         return retail.transactions(self.spark, self.folder)
 
     @cached_property
-    def occasions(self) -> DataFrame:
+    def plan_occasions(self) -> DataFrame:
         return purchase_occasions(retail.order_totals(self.spark, self.folder))
 
     @cached_property
-    def windows(self) -> DataFrame:
-        return analysis_windows(self.occasions, retail.RETAIL_SETTINGS)
+    def plan_windows(self) -> DataFrame:
+        return analysis_windows(self.plan_occasions, retail.RETAIL_SETTINGS)
 
     @cached_property
-    def stored_occasions(self) -> DataFrame:
-        return materialise(self.occasions)
+    def occasions(self) -> DataFrame:
+        return materialise(self.plan_occasions)
 
     @cached_property
-    def stored_windows(self) -> DataFrame:
-        return materialise(analysis_windows(self.stored_occasions, retail.RETAIL_SETTINGS))
+    def windows(self) -> DataFrame:
+        return materialise(analysis_windows(self.occasions, retail.RETAIL_SETTINGS))
 
     @cached_property
     def cohort(self) -> DataFrame:
-        return materialise(closed_cohort(self.stored_occasions, self.stored_windows))
+        return materialise(closed_cohort(self.occasions, self.windows))
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        return materialise(rfm.customer_windows(self.cohort, self.windows, LOOK_BACKS))
 
     @cached_property
     def calibration(self) -> DataFrame:
-        return materialise(rfm_calibration(self.cohort, self.stored_windows))
+        return materialise(rfm.calibration_of(self.wide))
 
     @cached_property
     def full(self) -> DataFrame:
-        return materialise(rfm_full(self.cohort, self.stored_windows))
+        return rfm.full_of(self.wide)
 
     @cached_property
     def holdout(self) -> DataFrame:
-        return materialise(holdout_actuals(self.cohort, self.stored_windows))
+        return rfm.holdout_of(self.wide)
 
     @cached_property
     def sensitivity(self) -> DataFrame:
+        days = configured(RECENT_DAYS)
         return materialise(
-            recent_window_sensitivity(self.cohort, self.stored_windows, RECENT_DAYS)
+            sensitivity_of(rfm.counts_of(self.wide, days), self.windows, days)
         )
 
     @cached_property
     def predictions(self) -> DataFrame:
         """Forecasts with literal parameters at the holdout length and one year ahead."""
-        lengths = self.stored_windows.select(
+        lengths = self.windows.select(
             "source",
             F.array("duration_holdout", F.lit(FORWARD_DAYS)).alias("_horizons"),
         )
@@ -94,11 +99,8 @@ class Book:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return materialise(
-            scored(
-                self.cohort, self.stored_windows, self.predictions, RECENT_DAYS, self.calibration
-            )
-        )
+        base = baselines_of(rfm.history_of(self.wide, RECENT_DAYS), self.calibration)
+        return materialise(scored_of(base, self.windows, self.predictions))
 
     @cached_property
     def fit_runs(self) -> DataFrame:

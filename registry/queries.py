@@ -412,7 +412,7 @@ def _(b: Book) -> DataFrame:
     "select * from win",
 )
 def _(b: Book) -> DataFrame:
-    return b.windows
+    return b.plan_windows
 
 
 @query(
@@ -433,7 +433,7 @@ def _(b: Book) -> DataFrame:
        from cocc group by 1, 2""",
 )
 def _(b: Book) -> DataFrame:
-    return window_ops.closed_cohort(b.occasions, b.windows).groupBy("source", "customer_id").agg(
+    return window_ops.closed_cohort(b.plan_occasions, b.plan_windows).groupBy("source", "customer_id").agg(
         F.count(F.lit(1)).alias("occasions"), F.min("order_date").alias("first_day")
     )
 
@@ -445,7 +445,7 @@ def _(b: Book) -> DataFrame:
          * from occ""",
 )
 def _(b: Book) -> DataFrame:
-    return b.occasions
+    return b.plan_occasions
 
 
 @query(
@@ -503,7 +503,7 @@ def _(b: Book) -> DataFrame:
 
 @query("c4_rfm_calibration", _RFM, "select * from cal")
 def _(b: Book) -> DataFrame:
-    return _with_exact_value(rfm.rfm_calibration(b.occasions, b.windows))
+    return _with_exact_value(rfm.rfm_calibration(b.plan_occasions, b.plan_windows))
 
 
 @query("c5_rfm_full", _RFM, "select * from full_rfm")
@@ -603,7 +603,7 @@ _SCORED = (
 
 @query("c10_scored", _SCORED, "select * from scored")
 def _(b: Book) -> DataFrame:
-    return scored_ops.scored(b.cohort, b.stored_windows, b.predictions, RECENT_DAYS)
+    return scored_ops.scored(b.cohort, b.windows, b.predictions, RECENT_DAYS)
 
 
 @query(
@@ -624,7 +624,7 @@ def _(b: Book) -> DataFrame:
     "select * from base",
 )
 def _(b: Book) -> DataFrame:
-    return scored_ops.baselines(b.cohort, b.stored_windows, RECENT_DAYS)
+    return scored_ops.baselines(b.cohort, b.windows, RECENT_DAYS)
 
 
 @query(
@@ -856,7 +856,7 @@ def _(b: Book) -> DataFrame:
     "select * from pred",
 )
 def _(b: Book) -> DataFrame:
-    lengths = b.stored_windows.select(
+    lengths = b.windows.select(
         "source", F.array("duration_holdout", F.lit(FORWARD_DAYS)).alias("_horizons")
     )
     from returnwise.models.predict import predict
@@ -1035,7 +1035,7 @@ def _(b: Book) -> DataFrame:
        from base group by 1""",
 )
 def _(b: Book) -> DataFrame:
-    rows = scored_ops.baselines(b.cohort, b.stored_windows, RECENT_DAYS)
+    rows = scored_ops.baselines(b.cohort, b.windows, RECENT_DAYS)
     return errors.error_metrics(rows, "holdout_frequency", "baseline_purchases", ["source"])
 
 
@@ -1048,7 +1048,7 @@ def _(b: Book) -> DataFrame:
           from ccal join chold using (source, customer_id)) group by 1""",
 )
 def _(b: Book) -> DataFrame:
-    rows = scored_ops.baselines(b.cohort, b.stored_windows, RECENT_DAYS)
+    rows = scored_ops.baselines(b.cohort, b.windows, RECENT_DAYS)
     return rank.spearman(rows, "frequency", "holdout_frequency", ["source"])
 
 
@@ -1189,7 +1189,7 @@ def _(b: Book) -> DataFrame:
 )
 def _(b: Book) -> DataFrame:
     # Intervals spanned by two naive rules, so that the summary is checkable without a sampler.
-    rows = scored_ops.baselines(b.cohort, b.stored_windows, RECENT_DAYS).select(
+    rows = scored_ops.baselines(b.cohort, b.windows, RECENT_DAYS).select(
         "source",
         "holdout_spend",
         F.col("baseline_revenue").alias("expected_forward_revenue"),
@@ -1215,13 +1215,13 @@ def _(b: Book) -> DataFrame:
     "select * from months",
 )
 def _(b: Book) -> DataFrame:
-    return diagnostics.monthly_actuals(b.cohort, b.stored_windows)
+    return diagnostics.monthly_actuals(b.cohort, b.windows)
 
 
 def _monthly(b: Book) -> DataFrame:
     one = F.col("source") == retail.ORDERS
     return diagnostics.monthly_holdout(
-        b.cohort.where(one), b.stored_windows.where(one), b.orders_states, LITERAL_PURCHASE,
+        b.cohort.where(one), b.windows.where(one), b.orders_states, LITERAL_PURCHASE,
         retail.ORDERS,
     )
 
@@ -1254,7 +1254,7 @@ def _(b: Book) -> DataFrame:
 )
 def _(b: Book) -> DataFrame:
     # Against a forecast of nothing, so the ranking of months is checkable in SQL.
-    monthly = diagnostics.monthly_actuals(b.cohort, b.stored_windows).select(
+    monthly = diagnostics.monthly_actuals(b.cohort, b.windows).select(
         "source", "month", "days", "actual",
         F.lit(0.0).alias("expected"), (-F.col("actual")).alias("shortfall"),
     )
@@ -1465,7 +1465,7 @@ def _(b: Book) -> DataFrame:
 def _(b: Book) -> DataFrame:
     inflated = b.scored.withColumn("baseline_purchases", F.col("baseline_purchases") * 1.5)
     return relations.baselines_recompute(
-        inflated, b.calibration, b.cohort, b.stored_windows, RECENT_DAYS
+        inflated, b.calibration, b.cohort, b.windows, RECENT_DAYS
     )
 
 
@@ -1477,7 +1477,7 @@ def _(b: Book) -> DataFrame:
        from cfull r join win using (source) group by 1""",
 )
 def _(b: Book) -> DataFrame:
-    return relations.no_leakage(b.full, b.stored_windows)
+    return relations.no_leakage(b.full, b.windows)
 
 
 @query(
@@ -1583,7 +1583,7 @@ def _(b: Book) -> DataFrame:
         .otherwise(F.lit(0))
         .cast("decimal(18,4)"),
     )
-    bad = relations.monetary_value_matches(leaked, b.cohort, b.stored_windows)
+    bad = relations.monetary_value_matches(leaked, b.cohort, b.windows)
     first = b.calibration.select("source", "customer_id", "first_occasion_spend")
     return bad.join(first, ["source", "customer_id"]).where(F.col("first_occasion_spend") > 0.2)
 
@@ -1650,7 +1650,7 @@ def _(b: Book) -> DataFrame:
 )
 def _(b: Book) -> DataFrame:
     # Customers without a recent repeat dropped, as an inner join would.
-    counts = rfm.recent_counts(b.cohort, b.stored_windows, LOOK_BACKS)
+    counts = rfm.recent_counts(b.cohort, b.windows, LOOK_BACKS)
     buying = counts.groupBy("source").agg(
         *[F.count_if(F.col(f"repeats_{d}") > 0).alias(f"n_{d}") for d in LOOK_BACKS]
     )
@@ -1691,7 +1691,7 @@ def _(b: Book) -> DataFrame:
     # Every look-back but the configured one, which the scored rule already guards.
     scale = F.when(F.col("window_days") == RECENT_DAYS, 1.0).otherwise(0.8)
     scaled = b.sensitivity.withColumn("predicted_purchases", F.col("predicted_purchases") * scale)
-    return relations.sensitivity_recomputes(scaled, b.calibration, b.cohort, b.stored_windows)
+    return relations.sensitivity_recomputes(scaled, b.calibration, b.cohort, b.windows)
 
 
 @query(
@@ -1716,7 +1716,7 @@ def _(b: Book) -> DataFrame:
 )
 def _(b: Book) -> DataFrame:
     wrong = b.scored.withColumn("horizon_days", F.lit(FORWARD_DAYS))
-    return relations.scored_horizon(wrong, b.stored_windows)
+    return relations.scored_horizon(wrong, b.windows)
 
 
 @query(
@@ -1785,7 +1785,7 @@ def _(b: Book) -> DataFrame:
 )
 def _(b: Book) -> DataFrame:
     tables = {
-        "analysis_windows": b.stored_windows,
+        "analysis_windows": b.windows,
         "purchase_occasions": b.cohort,
         "rfm_calibration": b.calibration,
         "recent_window_sensitivity": b.sensitivity,

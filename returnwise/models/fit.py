@@ -63,8 +63,8 @@ def assumption_counts(calibration: DataFrame) -> DataFrame:
     repeat_spend = F.col("total_spend").cast("double") - F.col("first_occasion_spend").cast("double")
     mean = F.col("monetary_value").cast("double")
     eligible = F.col("is_gamma_gamma_eligible")
-    # monetary_value carries four decimals, so its product with the count is only that exact; the
-    # cent is the reference tolerance and wins while counts are small.
+    # monetary_value carries four decimals, so its product with the count is only that exact; a
+    # cent is allowed while counts are small.
     allowed = F.greatest(F.lit(0.01), F.col("frequency") * 0.00005 + F.abs(repeat_spend) * 1e-12)
     return calibration.agg(
         F.count(F.lit(1)).alias("customers"),
