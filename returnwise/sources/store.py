@@ -48,14 +48,21 @@ class Store:
             )
 
     def read(self, relation: str, source: str | None = None) -> DataFrame:
+        """A stored relation, or only one source's folder of it."""
         df = self.spark.read.parquet(self.path(relation))
         if source is not None:
             df = df.where(F.col("source") == source)
+        if "source" in df.columns and df.schema["source"].dataType != T.StringType():
+            # A folder name that looks like a number is read as one.
+            df = df.withColumn("source", F.col("source").cast("string"))
         return df
 
     def overwrite(self, relation: str, df: DataFrame) -> None:
-        """Full refresh of a relation that is rebuilt as a whole."""
-        df.write.mode("overwrite").parquet(self.path(relation))
+        """Full refresh of a relation that is rebuilt as a whole, in one folder per source."""
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        if "source" in df.columns:
+            writer = writer.partitionBy("source")
+        writer.parquet(self.path(relation))
 
     def replace_sources(self, relation: str, df: DataFrame) -> int:
         """Replace the rows of the sources in ``df``; returns the rows now held for them.

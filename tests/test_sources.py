@@ -185,3 +185,16 @@ def test_parameters_are_kept_per_method(spark, tmp_path):
     assert stored.read_parameters(store, "s", "map", "bg_nbd") == {"r": 3.0}
     with pytest.raises(MissingStage, match="no stored"):
         stored.read_parameters(store, "s", "map", "pareto_nbd")
+
+
+def test_a_full_refresh_drops_sources_it_no_longer_has(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    both = predictions(spark, "a", 1.0).unionByName(predictions(spark, "7", 2.0))
+    store.overwrite("main.x", both)
+    assert {r["source"] for r in store.read("main.x").collect()} == {"a", "7"}
+    store.overwrite("main.x", predictions(spark, "7", 3.0))
+    kept = store.read("main.x", "7")
+    assert kept.count() == store.read("main.x").count() == 6
+    assert kept.schema["source"].dataType.simpleString() == "string"
+    plan = store.read("main.x", "7")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source" in plan
