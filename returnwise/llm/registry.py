@@ -4,7 +4,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from returnwise.llm import decontaminate, language, lines, packing, simhash
+from returnwise.llm import (
+    chat,
+    decontaminate,
+    language,
+    lines,
+    packing,
+    quality,
+    secrets_scan,
+    simhash,
+)
 from returnwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +23,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets_scan.query(table(spark, folder, "documents"))
+
+
 def op3_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.query(table(spark, folder, "documents"))
 
@@ -22,6 +35,10 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op6_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.query(table(spark, folder, "conversations"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.query(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -30,14 +47,21 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.query(table(spark, folder, "documents"))
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_secret_scan,
         op3_simhash_components,
         op4_best_fit_packing,
+        op6_chat_windows,
         op7_benchmark_decontamination,
         op9_line_dedup,
+        op10_quality,
     )
 }
 
