@@ -9,6 +9,8 @@ from returnwise.llm import (
     decontaminate,
     language,
     lines,
+    lm,
+    neighbours,
     packing,
     quality,
     secrets_scan,
@@ -35,6 +37,10 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.query(table(spark, folder, "documents"))
+
+
 def op6_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return chat.query(table(spark, folder, "conversations"))
 
@@ -43,6 +49,10 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.query(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.query(table(spark, folder, "documents"))
 
@@ -58,8 +68,10 @@ QUERIES: dict[str, Query] = {
         op2_secret_scan,
         op3_simhash_components,
         op4_best_fit_packing,
+        op5_lm_score,
         op6_chat_windows,
         op7_benchmark_decontamination,
+        op8_nearest_neighbours,
         op9_line_dedup,
         op10_quality,
     )
