@@ -31,7 +31,7 @@ WORDS, CLASS_WORDS, ENDINGS = 1024, 32, 32
 EMBEDDING, HIDDEN = 16, 24
 #: Share of training documents that the network learns from, chosen by a hash of the id.
 LEARN_SHARE = 0.1
-ROUNDS = 3
+ROUNDS = 2
 RATE = 0.01
 #: Documents learned from side by side, and steps of a window of backpropagation.
 STREAMS, STEPS = 64, 16
