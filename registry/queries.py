@@ -1532,10 +1532,13 @@ def _halved(b: Book) -> DataFrame:
 @query(
     "l8_holdout_consistent",
     f"{KEYS} holdout_frequency:i",
-    "select source, customer_id, holdout_frequency from chold where holdout_spend > 0.05",
+    """select source, customer_id, holdout_frequency
+       from (select *, ((round(holdout_spend * 100)::bigint + 1) // 2)::double / 100 as half from chold)
+       where abs(holdout_monetary_value::double * holdout_frequency - half)
+         > greatest(0.01, holdout_frequency * 0.000051)""",
 )
 def _(b: Book) -> DataFrame:
-    return relations.holdout_consistent(_halved(b)).where(F.col("holdout_spend") > 0.02)
+    return relations.holdout_consistent(_halved(b))
 
 
 @query(
@@ -1573,7 +1576,9 @@ def _(b: Book) -> DataFrame:
     f"{KEYS} frequency:i repeat_occasions:i repeat_spend:f2",
     """select source, customer_id, frequency, frequency as repeat_occasions,
          total_spend - first_occasion_spend as repeat_spend
-       from ccal where frequency > 0 and first_occasion_spend > 0.2""",
+       from ccal where frequency > 0
+         and abs(round(total_spend::double / frequency, 4) * frequency - (total_spend - first_occasion_spend)::double)
+           > greatest(0.01, frequency * 0.000051)""",
 )
 def _(b: Book) -> DataFrame:
     # The first purchase leaks into the mean.
@@ -1583,9 +1588,7 @@ def _(b: Book) -> DataFrame:
         .otherwise(F.lit(0))
         .cast("decimal(18,4)"),
     )
-    bad = relations.monetary_value_matches(leaked, b.cohort, b.windows)
-    first = b.calibration.select("source", "customer_id", "first_occasion_spend")
-    return bad.join(first, ["source", "customer_id"]).where(F.col("first_occasion_spend") > 0.2)
+    return relations.monetary_value_matches(leaked, b.cohort, b.windows)
 
 
 @query(
@@ -1734,12 +1737,11 @@ def _(b: Book) -> DataFrame:
     f"{KEYS} calibration_spend:f2 full_spend:f2",
     """select source, customer_id, c.total_spend as calibration_spend, f.total_spend as full_spend
        from ccal c join cfull f using (source, customer_id) join chold h using (source, customer_id)
-       where holdout_spend > 0.05""",
+       where round(holdout_spend * 100)::bigint > 1""",
 )
 def _(b: Book) -> DataFrame:
-    return relations.spend_reconciles(b.calibration, b.full, _halved(b)).where(
-        F.col("holdout_spend") > 0.02
-    )
+    # Half of a cent rounds up to the cent, so only more than one cent goes missing.
+    return relations.spend_reconciles(b.calibration, b.full, _halved(b))
 
 
 @query(

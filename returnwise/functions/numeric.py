@@ -36,10 +36,41 @@ def log_gamma(x):
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2.0 * math.pi) + tail - correction
 
 
+#: Above this argument the power series is too slow and the integral takes over.
+NEAR_ONE = 0.95
+_NODE = np.arange(-9.0, 4.5, 1.0 / 64.0)
+
+
+def gauss_one(b, c, z):
+    """Gauss hypergeometric 2F1(1, b; c; z) for 0 <= z < 1 and c > 1, near one by its integral.
+
+    With u the (c-1)-th power of the distance from the end, Euler's integral is the mean of
+    (1 - z + z u^(1/(c-1)))^(-b) over u in (0, 1); the double exponential rule takes its end point.
+    """
+    b, c, z = (np.array(v, dtype=float) for v in np.broadcast_arrays(b, c, z))
+    out = np.empty(z.shape)
+    near = z > NEAR_ONE
+    out[~near] = gauss_series(1.0, b[~near], c[~near], z[~near])
+    if near.any():
+        # log u and the rule's weights; the far ends underflow to nothing.
+        reach = np.pi * np.sinh(_NODE)
+        log_u = -np.logaddexp(0.0, -reach)
+        log_weight = log_u - np.logaddexp(0.0, reach) + np.log(np.pi * np.cosh(_NODE) / 64.0)
+        flat_b, flat_c, flat_z = b[near], c[near], z[near]
+        got = np.empty(flat_b.size)
+        for i in range(0, flat_b.size, 2048):
+            own = slice(i, i + 2048)
+            base = np.log((1.0 - flat_z[own, None]) + flat_z[own, None] * np.exp(log_u / (flat_c[own, None] - 1.0)))
+            got[own] = np.exp(log_weight - flat_b[own, None] * base).sum(axis=1)
+        out[near] = got
+    return out
+
+
 def gauss_series(a, b, c, z, tolerance: float = 1e-14, most: int = 20_000):
     """Gauss hypergeometric 2F1(a, b; c; z) for 0 <= z < 1 by its power series.
 
-    Entries leave the loop as soon as their own terms have become negligible.
+    Entries leave the loop as soon as their own terms have become negligible; if one has not after
+    ``most`` terms, that is an error.
     """
     a, b, c, z = (np.array(v, dtype=float) for v in np.broadcast_arrays(a, b, c, z))
     shape = z.shape
@@ -58,6 +89,8 @@ def gauss_series(a, b, c, z, tolerance: float = 1e-14, most: int = 20_000):
             la, lb, lc, lz = la[going], lb[going], lc[going], lz[going]
             if live.size == 0:
                 break
+    if live.size:
+        raise ArithmeticError(f"2F1 has not converged within {most} terms at z = {lz.max()}")
     return total.reshape(shape)
 
 

@@ -47,6 +47,13 @@ def require_pairs(df: DataFrame, actual: str, predicted: str) -> int:
     return row["n"]
 
 
+def paired_column(actual: str, predicted: str) -> Column:
+    """The forecast, failing the job on a pair with a missing side."""
+    message = F.lit(f"a row lacks {actual} or {predicted}: it would silently leave the metrics.")
+    broken = F.col(actual).isNull() | F.col(predicted).isNull()
+    return F.when(broken, F.raise_error(message).cast("double")).otherwise(F.col(predicted))
+
+
 def error_metrics(
     df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()
 ) -> DataFrame:

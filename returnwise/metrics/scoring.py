@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from returnwise import schemas
-from returnwise.metrics.errors import error_metrics
+from returnwise.metrics.errors import error_metrics, paired_column
 from returnwise.metrics.rank import rank_correlations
 
 CHAMPION = "bg_nbd"
@@ -86,7 +86,9 @@ def score_all(scored: DataFrame, challengers: Mapping[str, str] | None = None) -
 
 def score_rows(rows: DataFrame) -> DataFrame:
     """Errors in one grouped aggregate and rank correlations in one global sort per side."""
-    errors = error_metrics(rows, "actual", "predicted", GROUPS)
+    # A customer without a forecast must not leave the means unnoticed.
+    paired = rows.withColumn("predicted", paired_column("actual", "predicted"))
+    errors = error_metrics(paired, "actual", "predicted", GROUPS)
     ranks = rank_correlations(
         rows, "predicted", "actual", GROUPS, y_by=("source", "quantity")
     )

@@ -7,6 +7,7 @@ parameters are pinned down, not what a customer will do.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -32,6 +33,8 @@ from returnwise.functions.numeric import log_gamma
 LAPLACE_SIR = "laplace_sir"
 MASS = 0.94
 CHUNK = 256
+#: Below this effective number of draws the intervals are announced as unreliable.
+LEAST_EFFECTIVE = 20
 
 
 @dataclass(frozen=True)
@@ -62,7 +65,16 @@ def _proposals(fit: Fit, count: int, generator: np.random.Generator) -> tuple:
 def _resample(
     logs: np.ndarray, weights: np.ndarray, count: int, generator: np.random.Generator
 ) -> np.ndarray:
+    weights = np.where(np.isfinite(weights), weights, -np.inf)
+    if not np.isfinite(weights).any():
+        raise ArithmeticError("no proposal lies where the posterior has any weight")
     scaled = np.exp(weights - weights.max())
+    effective = scaled.sum() ** 2 / (scaled**2).sum()
+    if effective < LEAST_EFFECTIVE:
+        warnings.warn(
+            f"{len(logs)} proposals are worth {effective:.1f} draws: the intervals are too narrow",
+            stacklevel=3,
+        )
     picks = generator.choice(len(logs), size=count, p=scaled / scaled.sum())
     return np.exp(logs[picks])
 
@@ -103,6 +115,8 @@ def spend_draws(calibration: DataFrame, fit: Fit, count: int = 200, seed: int =
         - flat_p * fit_b(span) - flat_q * fit_a(span)
     )
     weights = target + _log_prior(np.zeros(2), logs[:, :2]) - proposal
+    # With q at or below one the mean order value is infinite: such draws say nothing of revenue.
+    weights = np.where(flat_q > 1.0, weights, -np.inf)
     return Draws(replace(fit, method=LAPLACE_SIR), _resample(logs, weights, count, generator))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from returnwise.functions.numeric import gauss_series, log_add, log_gamma
+from returnwise.functions.numeric import gauss_one, gauss_series, log_add, log_gamma
 
 BG_NBD = "bg_nbd"
 MBG_NBD = "mbg_nbd"
@@ -60,7 +60,7 @@ def _pareto_dropout(p: tuple, x, tx, T):
     def log_f(u):
         w = (high - low) / (high + u)
         # 2F1(g, m+1; g+1; w) = (1-w)^(-m) 2F1(1, g-m; g+1; w)
-        series = gauss_series(1.0, g - second, g + 1.0, w)
+        series = gauss_one(g - second, g + 1.0, w)
         return np.log(series) - second * np.log1p(-w) - g * np.log(high + u)
 
     early, late = log_f(tx), log_f(T)

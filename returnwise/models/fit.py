@@ -269,7 +269,8 @@ def fit_challenger(calibration: DataFrame, family: str) -> ChallengerOutcome:
     started = time.perf_counter()
     try:
         fit = fit_purchase_model(calibration, family)
-    except Exception as failure:  # noqa: BLE001 - reported as a row
+    except (ModelError, NotConverged, ArithmeticError, np.linalg.LinAlgError) as failure:
+        # Only a model that does not fit is a row of the report; a fault of the cluster is a fault.
         return ChallengerOutcome(
             family, None, f"{type(failure).__name__}: {failure}", time.perf_counter() - started
         )
@@ -294,6 +295,10 @@ def _log_scale_sums(spend: DataFrame, scales: np.ndarray) -> tuple[np.ndarray, n
     )
 
 
+#: How often the scales searched may be widened or moved before the fit gives up with an error.
+WIDENINGS = 12
+
+
 def _chebyshev(center: float, half_width: float, count: int) -> np.ndarray:
     return center + half_width * np.cos(np.pi * (np.arange(count) + 0.5) / count)
 
@@ -342,41 +347,63 @@ def fit_gamma_gamma(calibration: DataFrame, prior: bool = True) -> Fit:
 
         return maximise(evaluate, start, tolerance=1e-8 / customers, most_jobs=40)
 
-    # Coarse pass: the best shapes at each scale of a wide grid.
-    coarse = math.log(mean) + np.arange(-6.0, 11.0)
-    a, b = _log_scale_sums(spend, np.exp(coarse))
-    start, profile = np.zeros(2), {}
-    for i, (log_v, a_v, b_v) in enumerate(zip(coarse, a, b, strict=True)):
-        try:
-            profile[i] = best_shapes(log_v, a_v, b_v, start)
-        except NotConverged:
-            continue  # a scale no customer's spend is near has no usable shapes
-        start = profile[i].point
-    if not profile:
-        raise ModelError("the spend likelihood has no optimum on these customers.")
-    top = max(profile, key=lambda i: profile[i].value)
-    # Fine pass: interpolation nodes over the neighbourhood of the best one.
-    half = 1.2
-    nodes = _chebyshev(coarse[top], half, 25)
-    fine_a, fine_b = _log_scale_sums(spend, np.exp(nodes))
-    fit_a = np.polynomial.Chebyshev.fit(nodes, fine_a, 24, domain=[coarse[top] - half, coarse[top] + half])
-    fit_b = np.polynomial.Chebyshev.fit(nodes, fine_b, 24, domain=[coarse[top] - half, coarse[top] + half])
-
-    def joint(points: np.ndarray) -> np.ndarray:
-        # Outside the interpolated span the objective falls away, which keeps the search inside.
-        values = []
-        for u, w, s in points:
-            inside = min(max(s, coarse[top] - half), coarse[top] + half)
-            value = penalised(
-                math.exp(u), math.exp(w), inside, float(fit_a(inside)), float(fit_b(inside))
+    # Coarse pass: the best shapes at each scale of a grid, widened until the best lies inside it.
+    profile: dict[float, Optimum] = {}
+    wanted, middle, passes = np.arange(-6.0, 11.0), math.log(mean), 0
+    while True:
+        a, b = _log_scale_sums(spend, np.exp(middle + wanted))
+        passes += 1
+        start = np.zeros(2)
+        for offset, a_v, b_v in zip(wanted, a, b, strict=True):
+            try:
+                profile[float(offset)] = best_shapes(middle + offset, a_v, b_v, start)
+            except NotConverged:
+                continue  # a scale no customer's spend is near has no usable shapes
+            start = profile[float(offset)].point
+        if not profile:
+            raise ModelError("the spend likelihood has no optimum on these customers.")
+        top = max(profile, key=lambda offset: profile[offset].value)
+        if min(profile) < top < max(profile):
+            break
+        if passes == WIDENINGS:
+            raise NotConverged("the spend likelihood keeps rising at the end of every grid of scales")
+        wanted = top + (np.arange(1.0, 9.0) if top == max(profile) else -np.arange(8.0, 0.0, -1.0))
+    # Fine pass: interpolation nodes around the best scale, moved along until the optimum is inside.
+    half, center, shapes = 1.2, middle + top, profile[top].point
+    for _ in range(WIDENINGS):
+        domain = [center - half, center + half]
+        nodes = _chebyshev(center, half, 25)
+        fine_a, fine_b = _log_scale_sums(spend, np.exp(nodes))
+        passes += 1
+        fit_a = np.polynomial.Chebyshev.fit(nodes, fine_a, 24, domain=domain)
+        fit_b = np.polynomial.Chebyshev.fit(nodes, fine_b, 24, domain=domain)
+
+        def joint(points: np.ndarray) -> np.ndarray:
+            # Outside the interpolated span there is no value, so no step goes there.
+            return np.array(
+                [
+                    penalised(math.exp(u), math.exp(w), s, float(fit_a(s)), float(fit_b(s)))
+                    if domain[0] <= s <= domain[1] else -np.inf
+                    for u, w, s in points
+                ]
             )
-            values.append(value - 100.0 * (s - inside) ** 2)
-        return np.array(values)
 
-    found = maximise(
-        joint, np.array([*profile[top].point, coarse[top]]), tolerance=1e-8 / customers,
-        most_jobs=400,
-    )
+        try:
+            found = maximise(
+                joint, np.array([*shapes, center]), tolerance=1e-8 / customers, most_jobs=400
+            )
+            if abs(found.point[2] - center) < 0.9 * half:
+                break
+            shapes, center = found.point[:2], float(found.point[2])
+        except NotConverged as failure:
+            # The search stands at the span's edge: look where the profile rises.
+            edges = [best_shapes(s, float(fit_a(s)), float(fit_b(s)), shapes) for s in domain]
+            if max(e.value for e in edges) <= profile[top].value:
+                raise failure
+            chosen = int(edges[1].value > edges[0].value)
+            shapes, center = edges[chosen].point, domain[chosen]
+    else:
+        raise NotConverged("the spend likelihood has no optimum among the scales searched")
     p, q, v = (float(value) for value in np.exp(found.point))
     s = float(found.point[2])
     return Fit(
@@ -385,7 +412,7 @@ def fit_gamma_gamma(calibration: DataFrame, prior: bool = True) -> Fit:
         parameters={"p": p, "q": q, "v": v},
         log_likelihood=likelihood(p, q, s, float(fit_a(s)), float(fit_b(s))),
         customers=int(customers),
-        jobs=4,
+        jobs=passes + 2,
         covariance=np.linalg.pinv(found.curvature * customers),
     )
 

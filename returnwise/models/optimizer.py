@@ -13,6 +13,9 @@ import numpy as np
 
 STEP = 1e-3  # finite-difference step on the (log) parameters
 LONGEST = 2.0  # longest move of one parameter in one step
+#: Dampings tried beside the current one, as shares of the largest curvature. A curved ridge has
+#: curvatures many powers of ten apart, so the ladder spans them all.
+LADDER = tuple(10.0**k for k in range(-6, 2))
 
 
 class NotConverged(RuntimeError):
@@ -73,30 +76,27 @@ def maximise(
         promised = 0.5 * float(gradient @ _step(gradient, hessian, 0.0))
         if promised < tolerance:
             return Optimum(center, base, -hessian, jobs)
-        while True:
-            if jobs >= most_jobs:
-                raise NotConverged(f"no optimum within {most_jobs} evaluations")
-            main = center + _step(gradient, hessian, damping * scale)
-            shorter = [
-                center + _step(gradient, hessian, d * scale)
-                for d in (max(damping, 0.01) * 4, max(damping, 0.01) * 30)
-            ]
-            stencil = _stencil(main)
-            got = evaluate(np.vstack([stencil, *[s[None, :] for s in shorter]]))
+        if jobs >= most_jobs:
+            raise NotConverged(f"no optimum within {most_jobs} evaluations")
+        ladder = [d for d in LADDER if d != damping]
+        main = center + _step(gradient, hessian, damping * scale)
+        others = [center + _step(gradient, hessian, d * scale) for d in ladder]
+        stencil = _stencil(main)
+        got = evaluate(np.vstack([stencil, *[s[None, :] for s in others]]))
+        jobs += 1
+        candidates = np.concatenate([got[:1], got[len(stencil) :]])
+        candidates = np.where(np.isfinite(candidates), candidates, -np.inf)
+        best = int(candidates.argmax())
+        if candidates[best] <= base:
+            # Rounding can hide the last improvement of an already flat optimum.
+            if promised < 1e3 * tolerance:
+                return Optimum(center, base, -hessian, jobs)
+            raise NotConverged("no step of any length improves on the search point")
+        if best == 0:
+            center, values = main, got[: len(stencil)]
+            damping = damping / 10 if damping > LADDER[0] else 0.0
+        else:
+            # The damping that won is the next step's first choice.
+            center, damping = others[best - 1], ladder[best - 1]
+            values = evaluate(_stencil(center))
             jobs += 1
-            candidates = np.concatenate([got[:1], got[len(stencil) :]])
-            candidates = np.where(np.isfinite(candidates), candidates, -np.inf)
-            best = int(candidates.argmax())
-            if candidates[best] <= base:
-                # Rounding can hide the last improvement of an already flat optimum.
-                if promised < 1e3 * tolerance and damping > 1:
-                    return Optimum(center, base, -hessian, jobs)
-                damping = max(damping, 0.01) * 100
-                continue
-            if best == 0:
-                center, values, damping = main, got[: len(stencil)], damping / 10
-            else:
-                center = shorter[best - 1]
-                values = evaluate(_stencil(center))
-                jobs += 1
-            break

@@ -33,14 +33,15 @@ _written: dict[str, list[str]] = {}
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    Taken from ``spark.checkpoint.dir``. Only a local-master session without that setting gets a
-    temporary folder; on a cluster a machine-local folder would not survive a lost executor, so
-    its absence is an error there.
+    Taken from ``spark.checkpoint.dir``. Only a session whose executors are threads of this process
+    gets a temporary folder where the setting is missing; wherever executors have machines or
+    processes of their own a local folder would not survive them, so its absence is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(
             "spark.checkpoint.dir is not set: point it at a folder every executor can reach."
         )

@@ -49,13 +49,16 @@ class Store:
 
     def read(self, relation: str, source: str | None = None) -> DataFrame:
         """A stored relation, or only one source's folder of it."""
-        df = self.spark.read.parquet(self.path(relation))
-        if source is not None:
-            df = df.where(F.col("source") == source)
-        if "source" in df.columns and df.schema["source"].dataType != T.StringType():
-            # A folder name that looks like a number is read as one.
-            df = df.withColumn("source", F.col("source").cast("string"))
-        return df
+        df = self._stored(relation)
+        return df if source is None else df.where(F.col("source") == source)
+
+    def _stored(self, relation: str) -> DataFrame:
+        """The relation with folder names read as text: ``007`` and ``7`` are different sources."""
+        path = self.path(relation)
+        found = self.spark.read.parquet(path).schema
+        folders = {"source", "fit_method", "family"}
+        text = [T.StructField(f.name, T.StringType()) if f.name in folders else f for f in found]
+        return self.spark.read.schema(T.StructType(text)).parquet(path)
 
     def overwrite(self, relation: str, df: DataFrame) -> None:
         """Full refresh of a relation that is rebuilt as a whole, in one folder per source."""

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from returnwise.functions.numeric import correlation_p_value, gauss_series, log_gamma
@@ -172,9 +173,14 @@ def test_challengers_fit_the_same_customers(customers, family):
 
 
 def test_a_failing_challenger_is_a_result_and_an_unknown_one_a_mistake(customers):
-    broken = customers[0].drop("recency")
+    # Recency beyond the age leaves the likelihood without a finite value.
+    broken = customers[0].withColumn("recency", F.expr("customer_age * 1e6")).withColumn(
+        "frequency", F.lit(-5)
+    )
     outcome = models.fit_challenger(broken, families.MBG_NBD)
     assert not outcome.succeeded and outcome.error
+    with pytest.raises(AnalysisException):  # a fault of the input is not a result
+        models.fit_challenger(customers[0].drop("recency"), families.MBG_NBD)
     with pytest.raises(models.ModelError, match="unknown challenger"):
         models.fit_challenger(customers[0], "bg_bb")
 
