@@ -6,6 +6,12 @@ the segments of either side as it is. So every fingerprint enumerates the small
 segment (32 flips) with the other segment untouched, and the index table is keyed by the outcome.
 Whatever a probe fetches is a true neighbour of the probe, at most 65 fingerprints can ever share
 one, and a family of near copies costs rows in proportion to its size, never all pairs.
+
+That is the narrow form, :func:`components`. Near copies in the wider sense (five-word shingles,
+a similarity of 0.8 or more) differ in ten of 64 bits, which no small ball around half a fingerprint
+spans. :func:`deduplicate` therefore takes 1024 bits of the distinct shingles, in 32 segments, and
+enumerates in each segment balls that leave eight of its 32 bits open: a pair is fetched when all
+its differing bits in one segment lie in one ball's open bits. The complete distance decides.
 """
 
 import re
@@ -13,7 +19,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from returnwise.llm.common import by_batch, free_name, ship
@@ -24,9 +30,40 @@ SHINGLE_WORDS = 3
 SEED = 42
 SEGMENT_BITS = 32
 MOST_BITS_APART = 2
+#: Near copies in the wider sense: words of a shingle, least similarity, bits of a print.
+NEAR_WORDS = 5
+NEAR_LEAST = 0.8
+WIDE_BITS = 1024
+#: Orders of a wide print's bits, balls in each 32-bit segment of each, and the bits that a ball
+#: leaves open. Every bit kept halves what unrelated texts share by chance.
+ORDERS = 3
+BALLS = 2
+OPEN_BITS = 8
+#: Similarities by complete distance between which the shingles are compared, and the shingles a
+#: set must have for the upper one to decide.
+DOUBT = (0.65, 0.9)
+SURE_SIZE = 64
+#: Members before it with which a member of a ball is compared, besides the first.
+PARTNERS = 4
 #: Bytes of a text that are shingled at a time; longer texts go block by block.
 BLOCK = 1 << 20
 
+#: One odd multiple of the golden ratio's bits for each 64-bit word of a wide print.
+_MIX = np.arange(1, 2 * (WIDE_BITS // 64), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _kept_masks() -> np.ndarray:
+    """For every segment and ball, ones at the bits that the ball keeps."""
+    rng = np.random.default_rng(SEED)
+    masks = np.zeros((ORDERS * WIDE_BITS // SEGMENT_BITS, BALLS), dtype=np.int64)
+    for at in np.ndindex(*masks.shape):
+        for bit in rng.permutation(SEGMENT_BITS)[OPEN_BITS:]:
+            masks[at] |= 1 << int(bit)
+    return masks
+
+
+_ORDER = np.concatenate([np.random.default_rng(i).permutation(WIDE_BITS) for i in range(ORDERS)])
+_KEPT = _kept_masks()
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -134,27 +171,183 @@ def components(docs: DataFrame) -> DataFrame:
     return marked.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles of five words.
+
+    Words are those of :func:`fingerprint`; a shorter text is one shingle, a text without words has
+    none.
+    """
+    hashes, carried, size = [], [], NEAR_WORDS
+    digest = xxhash.xxh64_intdigest
+    for words in _blocks((text or "").encode("utf-8", "surrogatepass").lower()):
+        words = carried + words
+        if len(words) >= size:
+            made = [digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(size)))]
+            hashes.append(np.unique(np.array(made, dtype="<u8")))
+        carried = words[-(size - 1) :]
+    if not hashes and carried:
+        hashes.append(np.array([digest(b" ".join(carried), SEED)], dtype="<u8"))
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, dtype="<u8")
+
+
+def sketch(text: str | None) -> tuple[bytes, bytes, int]:
+    """``(class, print, size)`` of a text's shingle set.
+
+    Equal classes mean equal sets. The print is a SimHash of ``WIDE_BITS`` bits.
+    """
+    distinct = shingle_set(text)
+    ones = np.zeros(WIDE_BITS, dtype=np.int64)
+    for at in range(0, len(distinct), 255):  # sums of 255 bits fit a byte
+        mixed = distinct[at : at + 255, None] ^ _MIX
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(31)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (
+        xxhash.xxh3_128_digest(distinct.tobytes()),
+        np.packbits(2 * ones > len(distinct)).tobytes(),
+        len(distinct),
+    )
+
+
+_SKETCH = pa.struct([("class", pa.binary()), ("print", pa.binary()), ("size", pa.int64())])
+
+
+def _sketches(texts: list[str | None]) -> list[dict[str, bytes]]:
+    return [dict(zip(("class", "print", "size"), sketch(t))) for t in texts]
+
+
+def _bits(prints: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(prints), WIDE_BITS // 8)
+
+
+def _ball_keys(prints: list[bytes]) -> list[np.ndarray]:
+    """For every print one number for each ball: the ball's place and the bits it keeps."""
+    if not prints:
+        return []
+    ordered = np.ascontiguousarray(np.packbits(np.unpackbits(_bits(prints), axis=1)[:, _ORDER], axis=1))
+    segments = ordered.view("<u4").astype(np.int64)
+    keys = (segments[:, :, None] & _KEPT[None]).reshape(len(prints), -1)
+    return list(keys | (np.arange(keys.shape[1], dtype=np.int64) << SEGMENT_BITS))
+
+
+def similarity(bits_apart: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity at which sets differ in so many of the wide print's bits."""
+    cosine = np.cos(np.pi * np.asarray(bits_apart) / WIDE_BITS)
+    return cosine / (2 - cosine)
+
+
+def _likeness(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    if not a:
+        return np.zeros(0)
+    return similarity(np.bitwise_count(_bits(a) ^ _bits(b)).sum(axis=1, dtype=np.int64))
+
+
+def _jaccard(a: list[list[int]], b: list[list[int]]) -> list[float]:
+    common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
+    return [n / max(1, len(x) + len(y) - n) for n, x, y in zip(common, a, b)]
+
+
+def near_pairs(nodes: DataFrame) -> DataFrame:
+    """``(a, b, alike, sure)`` of ``nodes(node, print, size)`` whose prints come near enough.
+
+    The members of one ball stand in an order of their own. Each is compared with ``PARTNERS``
+    members before it and with the first: all pairs in a small ball, rows in proportion to the
+    members in a large one. A large family's members meet in many balls, each with another order.
+    A pair is sure where the complete distance of two larger sets leaves no doubt.
+    """
+    keys = by_batch(lambda: _ball_keys, pa.list_(pa.int64()), "array<long>")
+    held = nodes.select("node", F.explode(keys("print")).alias("key"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"))
+    met = held.select(
+        "node",
+        F.array(F.first("node").over(order), *[F.lag("node", i + 1).over(order) for i in range(PARTNERS)]).alias("met"),
+    )
+    pairs = (
+        met.select("node", F.explode("met").alias("other"))
+        .where("other <> node")
+        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        .distinct()
+    )
+    alike = by_batch(lambda: _likeness, pa.float64(), "double", arguments=2)
+    sides = [
+        nodes.select(F.col("node").alias(x), F.col("print").alias(f"{x}_print"), F.col("size").alias(f"{x}_size"))
+        for x in "ab"
+    ]
+    larger = (F.col("a_size") >= SURE_SIZE) & (F.col("b_size") >= SURE_SIZE)
+    return (
+        pairs.join(sides[0], "a").join(sides[1], "b")
+        .select("a", "b", alike("a_print", "b_print").alias("alike"), larger.alias("larger"))
+        .where(F.col("alike") >= DOUBT[0])
+        .select("a", "b", "alike", (F.col("larger") & (F.col("alike") >= DOUBT[1])).alias("sure"))
+    )
+
+
+def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that join the components of near copies; ``texts(node, text)`` are theirs.
+
+    Sure pairs link as they are. The others are compared shingle by shingle, but for those that
+    sure links have joined already, so a large family costs no sets for its inner pairs.
+    """
+    pairs = materialise(near_pairs(nodes))
+    sure = pairs.where("sure").select("a", "b")
+    names = connected_components(sure)
+    a = names.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+    b = names.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    open_pairs = materialise(
+        pairs.where("not sure").join(a, "a", "left").join(b, "b", "left")
+        .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    )
+    asked = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    hashes = by_batch(
+        lambda: lambda texts: [shingle_set(t).view(np.int64) for t in texts],
+        pa.list_(pa.int64()), "array<long>",
+    )
+    sets = materialise(
+        texts.join(asked, "node", "left_semi").select("node", hashes("text").alias("shingles"))
+    )
+    alike = by_batch(lambda: _jaccard, pa.float64(), "double", arguments=2)
+    exact = (
+        open_pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
+        .where(alike("a_set", "b_set") >= NEAR_LEAST)
+        .select("a", "b")
+    )
+    return sure.union(exact)
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id.
+    """``docs`` with one document of each group of near copies, the one with the smallest doc_id.
 
-    All columns are kept. Of repeated rows with one doc_id in a component, one row stays (the first
-    by text). A component in which no row has an id keeps one row.
+    Near copies are texts whose sets of five-word shingles are alike by ``NEAR_LEAST`` or more; a
+    group is a component of such links. The complete distance of 1024-bit prints is within about
+    0.026 (one standard deviation) of the similarity; where that leaves doubt the shingles decide.
+    Texts without words (NULL too) are copies of each other, texts under five words only of equal
+    ones. All columns are kept. Of repeated rows with one doc_id in a group, one row stays; a group in which
+    no row has an id keeps one row.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    key, mark = free_name(docs, "__row"), free_name(docs, "__print")
+    ship(docs.sparkSession)
+    key, mark = free_name(docs, "__row"), free_name(docs, "__sketch")
+    sketches = by_batch(lambda: _sketches, _SKETCH, "class binary, print binary, size long")
     rows = materialise(
-        docs.withColumn(key, F.monotonically_increasing_id()).withColumn(
-            mark, fingerprint_column("text")
+        docs.withColumn(key, F.monotonically_increasing_id()).withColumn(mark, sketches("text"))
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col(key).alias("row"))
+    groups = materialise(
+        rows.groupBy(F.col(f"{mark}.class").alias("class"))
+        .agg(
+            F.min(order).alias("best"),
+            F.first(f"{mark}.print").alias("print"),
+            F.first(f"{mark}.size").alias("size"),
         )
+        .select("best", F.col("best.row").alias("node"), "print", "size")
     )
-    prints = rows.select(F.col(mark).alias("fingerprint"), "doc_id", F.col(key).alias("row"))
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    groups = materialise(prints.groupBy("fingerprint").agg(F.min(order).alias("best")))
-    found = connected_components(links(groups.select("fingerprint")))
+    texts = rows.select(F.col(key).alias("node"), "text")
+    found = connected_components(near_links(groups.select("node", "print", "size"), texts))
     kept = (
-        groups.join(found, groups.fingerprint == found.node, "left")
-        .groupBy(F.coalesce("component", "fingerprint").alias("component"))
+        groups.select("best", "node")
+        .join(found, "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("component"))
         .agg(F.min("best").alias("best"))
         .select(F.col("best.row").alias(key))
     )

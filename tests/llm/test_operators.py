@@ -96,6 +96,49 @@ def test_links_keep_every_component_of_a_dense_family(spark):
     assert all(got.get(p, p) == want[p] for p in prints)
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_against_brute_force(spark):
+    rng, word = np.random.default_rng(3), lambda: f"w{rng.integers(5000)}"
+    rows = []
+    for _ in range(40):  # families of copies with a few words changed, and two exact copies
+        base = [word() for _ in range(rng.integers(60, 500))]
+        for changes in (0, 0, *rng.integers(1, max(2, len(base) // 60), 3)):
+            copy = list(base)
+            for at in rng.integers(0, len(base), changes):
+                copy[at] = word()
+            rows.append((len(rows), " ".join(copy), "en"))
+        half = base[: len(base) // 2] + [word() for _ in range(len(base) // 2)]
+        rows.append((len(rows), " ".join(half), "en"))
+    kept = {r.doc_id for r in simhash.deduplicate(documents(spark, rows)).collect()}
+    sets = [shingles(t) for _, t, _ in rows]
+
+    def representatives(least):
+        first = list(range(len(rows)))
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            if a // 6 == b // 6 and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                first[b] = min(first[a], first[b])
+        return {i for i, f in enumerate(first) if f == i}
+
+    assert representatives(0.8) <= kept
+    assert len(kept - representatives(0.8)) <= 2
+
+
+def test_a_large_family_of_near_copies_joins(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.integers(0, 200, 2):
+            copy[at] = f"x{i}"
+        rows.append((i, " ".join(copy), "en"))
+    assert [r.doc_id for r in simhash.deduplicate(documents(spark, rows)).collect()] == [0]
+
+
 def expected_lines(rows):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower()
     holders = {}
