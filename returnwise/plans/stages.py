@@ -6,6 +6,7 @@ more than the current stage.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,7 @@ from returnwise.operators.windows import analysis_windows, closed_cohort
 from returnwise.session import materialise
 from returnwise.settings import Settings
 from returnwise.sources import store as stored
+from returnwise.sources.checksum import require_pinned
 from returnwise.sources.fixed_width import raw_transactions, read_transactions
 from returnwise.sources.store import Store
 
@@ -39,11 +41,19 @@ _MAIN = (
 )
 
 
-def ingest(store: Store, path: str, relation: str = "raw.transactions") -> DataFrame:
+def ingest(
+    store: Store,
+    path: str,
+    relation: str = "raw.transactions",
+    manifest: Mapping[str, str] | None = None,
+) -> DataFrame:
     """Strict load of a fixed-width file into the raw relation; a repeat load replaces it.
 
-    Returns the load summary.
+    With ``manifest`` (file name to SHA-256) nothing is replaced unless every file is the pinned
+    one. Returns the load summary.
     """
+    if manifest is not None:
+        require_pinned(store.spark, path, manifest)
     store.overwrite(relation, raw_transactions(read_transactions(store.spark, path)))
     return load_summary(store.read(relation).withColumn("source", F.lit(relation)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import date, timedelta
 
 import numpy as np
@@ -17,6 +18,7 @@ from returnwise.operators import rfm
 from returnwise.plans import stages
 from returnwise.settings import Settings, SplitWeeks
 from returnwise.sources import store as stored
+from returnwise.sources.checksum import ChecksumMismatch
 from returnwise.sources.store import Store
 
 SETTINGS = Settings(split=SplitWeeks(20, 20), forward_horizon_days=365, recent_window_days=45)
@@ -303,3 +305,15 @@ def test_fixed_width_file_to_calibration(spark, tmp_path):
     assert stages.ingest(store, str(path)).first()["rows"] == 2
     assert stages.ingest(store, str(path)).first()["rows"] == 2
     assert store.read("raw.transactions").count() == 2
+
+
+def test_ingest_accepts_only_pinned_content(spark, tmp_path):
+    path = tmp_path / "lines.txt"
+    path.write_text(" 00001 19970101  1   11.77\n")
+    digest = hashlib.sha256(path.read_bytes()).hexdigest()
+    store = Store(spark, str(tmp_path / "store"))
+    assert stages.ingest(store, str(path), manifest={"lines.txt": digest}).first()["rows"] == 1
+    path.write_text(" 00001 19970101  1   11.77\n 00001 19970301  2   20.00\n")
+    with pytest.raises(ChecksumMismatch):
+        stages.ingest(store, str(path), manifest={"lines.txt": digest})
+    assert store.read("raw.transactions").count() == 1
