@@ -9,9 +9,11 @@ one, and a family of near copies costs rows in proportion to its size, never all
 
 That is the narrow form, :func:`components`. Near copies in the wider sense (five-word shingles,
 a similarity of 0.8 or more) differ in ten of 64 bits, which no small ball around half a fingerprint
-spans. :func:`deduplicate` therefore takes 1024 bits of the distinct shingles, in 32 segments, and
-enumerates in each segment balls that leave eight of its 32 bits open: a pair is fetched when all
-its differing bits in one segment lie in one ball's open bits. The complete distance decides.
+spans. :func:`deduplicate` therefore takes 1024 bits of the distinct shingles, in three
+orders of 32 segments each, and enumerates in each segment balls that leave eight of its 32 bits
+open: a pair is fetched when all its differing bits in one segment lie in one ball's open bits. In
+simulation that finds 94 % of single pairs at 0.8 exactly and 99 % at 0.85. The complete distance
+decides, or the shingles where it leaves doubt.
 """
 
 import re
