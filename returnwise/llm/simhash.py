@@ -45,8 +45,8 @@ OPEN_BITS = 8
 #: set must have for the upper one to decide.
 DOUBT = (0.65, 0.9)
 SURE_SIZE = 64
-#: Members before it with which a member of a ball is compared, besides the first.
-PARTNERS = 4
+#: Members of a ball that are compared with each other at a time, about.
+SLOT_MEMBERS = 256
 #: Bytes of a text that are shingled at a time; longer texts go block by block.
 BLOCK = 1 << 20
 
@@ -250,23 +250,30 @@ def _jaccard(a: list[list[int]], b: list[list[int]]) -> list[float]:
     return [n / max(1, len(x) + len(y) - n) for n, x, y in zip(common, a, b)]
 
 
-def near_pairs(nodes: DataFrame) -> DataFrame:
-    """``(a, b, alike, sure)`` of ``nodes(node, print, size)`` whose prints come near enough.
+def near_balls(nodes: DataFrame) -> DataFrame:
+    """``(key, node, members, met)`` of every ball that holds two or more of ``nodes(node, print)``.
 
-    The members of one ball stand in an order of their own. Each is compared with ``PARTNERS``
-    members before it and with the first: all pairs in a small ball, rows in proportion to the
-    members in a large one. A large family's members meet in many balls, each with another order.
-    A pair is sure where the complete distance of two larger sets leaves no doubt.
+    The members of one ball stand in an order of their own; ``met`` are its first member and the
+    one before.
     """
     keys = by_batch(lambda: _ball_keys, pa.list_(pa.int64()), "array<long>")
     held = nodes.select("node", F.explode(keys("print")).alias("key"))
     order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"))
-    met = held.select(
+    return held.select(
+        "key",
         "node",
-        F.array(F.first("node").over(order), *[F.lag("node", i + 1).over(order) for i in range(PARTNERS)]).alias("met"),
-    )
+        F.count("*").over(Window.partitionBy("key")).alias("members"),
+        F.array(F.first("node").over(order), F.lag("node").over(order)).alias("met"),
+    ).where("members > 1")
+
+
+def _first_pairs(balls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b, alike, larger)`` of each member and those it met, whose prints come near enough.
+
+    A family of close copies is one component after these, at rows in proportion to its members.
+    """
     pairs = (
-        met.select("node", F.explode("met").alias("other"))
+        balls.select("node", F.explode("met").alias("other"))
         .where("other <> node")
         .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         .distinct()
@@ -281,23 +288,118 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
         pairs.join(sides[0], "a").join(sides[1], "b")
         .select("a", "b", alike("a_print", "b_print").alias("alike"), larger.alias("larger"))
         .where(F.col("alike") >= DOUBT[0])
-        .select("a", "b", "alike", (F.col("larger") & (F.col("alike") >= DOUBT[1])).alias("sure"))
     )
 
 
-def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that join the components of near copies; ``texts(node, text)`` are theirs.
+def _met_in_block(rows: pa.Table, best: bool) -> tuple[np.ndarray, ...]:
+    """Places of the pairs to compare in one block, and how alike their prints are."""
+    slots, labels = rows["slot"].to_numpy(), rows["label"].to_numpy()
+    words = _bits(rows["print"].to_pylist()).view("<u8")
+    apart = np.zeros((len(words), len(words)), dtype=np.int64)
+    for at in range(words.shape[1]):
+        apart += np.bitwise_count(words[:, None, at] ^ words[None, :, at])
+    open_pairs = labels[:, None] != labels[None, :]
+    if rows["low"][0].as_py() != rows["high"][0].as_py():
+        open_pairs &= slots[:, None] != slots[None, :]
+    alike = np.where(open_pairs, similarity(apart), -1.0)
+    if best:
+        i, j = np.arange(len(words)), alike.argmax(axis=1)
+        near = alike[i, j] >= DOUBT[0]
+        i, j = i[near], j[near]
+    else:
+        i, j = np.nonzero(np.triu(alike >= DOUBT[0], 1))
+    return i, j, alike[i, j]
+
+
+def _compare_blocks(best: bool):
+    def made(rows: pa.Table) -> pa.RecordBatch:
+        i, j, alike = _met_in_block(rows, best)
+        nodes, sizes = rows["node"].to_numpy(), rows["size"].to_numpy()
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.minimum(nodes[i], nodes[j])),
+                pa.array(np.maximum(nodes[i], nodes[j])),
+                pa.array(alike),
+                pa.array(np.minimum(sizes[i], sizes[j]) >= SURE_SIZE),
+            ],
+            names=["a", "b", "alike", "larger"],
+        )
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            place = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("key", "low", "high")])
+            starts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *starts[:-1]], starts):
+                yield made(rows.slice(a, b - a))
+            held = rows.slice(starts[-1] if len(starts) else 0)
+        if held is not None:
+            yield made(held)
+
+    return run
+
+
+def _rest_pairs(balls: DataFrame, names: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
+    """``(a, b, alike, larger)`` of members of one ball that lie in different components so far.
+
+    A ball's largest component need not be compared within itself. Its members and the others are
+    dealt out over slots of about ``SLOT_MEMBERS``; the others' slots meet every slot, so a ball of
+    any size is compared wholly, a pair of slots at a time. With ``best``, each member of such a
+    pair of slots gives its most alike partner alone, otherwise all that are near enough.
+    """
+    labelled = balls.where("members > 3").join(names, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("label")
+    )
+    sizes = (
+        labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+        .groupBy("key")
+        .agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"))
+        .where("all > main.n")
+        .select(
+            "key",
+            F.col("main.label").alias("main"),
+            F.ceil(F.col("main.n") / SLOT_MEMBERS).cast("int").alias("mains"),
+            F.ceil((F.col("all") - F.col("main.n")) / SLOT_MEMBERS).cast("int").alias("others"),
+        )
+    )
+    inside, mixed = F.col("label") == F.col("main"), F.xxhash64("node", "key")
+    slot = F.when(inside, F.pmod(mixed, "mains")).otherwise(F.col("mains") + F.pmod(mixed, "others"))
+    meets = F.sequence(F.when(inside, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)
+    dealt = (
+        labelled.join(sizes, "key")
+        .withColumn("slot", slot.cast("int"))
+        .select("key", "node", "label", "slot", F.explode(meets).alias("meets"))
+        .select(
+            "key", "node", "label", "slot",
+            F.least("slot", "meets").alias("low"), F.greatest("slot", "meets").alias("high"),
+        )
+        .join(nodes.select("node", "print", "size"), "node")
+        .repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high")
+    )
+    made = dealt.mapInArrow(_compare_blocks(best), "a long, b long, alike double, larger boolean")
+    return made.groupBy("a", "b").agg(F.first("alike").alias("alike"), F.first("larger").alias("larger"))
+
+
+def _confirmed(pairs: DataFrame, names: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` among ``pairs`` that join components of ``names``.
 
-    Sure pairs link as they are. The others are compared shingle by shingle, but for those that
-    sure links have joined already, so a large family costs no sets for its inner pairs.
+    Where the complete distance of two larger sets leaves no doubt, a pair links as it is. The
+    others are compared shingle by shingle, but for those in one component already, so a large
+    family costs no sets for its inner pairs.
     """
-    pairs = materialise(near_pairs(nodes))
-    sure = pairs.where("sure").select("a", "b")
-    names = connected_components(sure)
+    is_sure = F.col("larger") & (F.col("alike") >= DOUBT[1])
+    sure = pairs.where(is_sure).select("a", "b")
+    if names is None:
+        names = connected_components(sure)
     a = names.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
     b = names.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
     open_pairs = materialise(
-        pairs.where("not sure").join(a, "a", "left").join(b, "b", "left")
+        pairs.where(~is_sure).join(a, "a", "left").join(b, "b", "left")
         .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     )
     asked = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -315,7 +417,27 @@ def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         .where(alike("a_set", "b_set") >= NEAR_LEAST)
         .select("a", "b")
     )
-    return sure.union(exact)
+    return materialise(sure.union(exact))
+
+
+def near_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, component)`` of the linked ones of ``nodes(node, print, size)``.
+
+    ``texts(node, text)`` are theirs. First every member of a ball is compared with two others,
+    which joins families of close copies. Balls that still hold several components are then
+    compared wholly: each member's most alike partner first, and what these links leave apart
+    after that. So every two texts that share a ball are compared unless links join them already.
+    """
+    balls = materialise(near_balls(nodes))
+    links = _confirmed(materialise(_first_pairs(balls, nodes)), None, texts)
+    names = connected_components(links)
+    for best in (True, False):
+        pairs = materialise(_rest_pairs(balls, names, nodes, best))
+        if pairs.isEmpty():
+            break
+        links = links.union(_confirmed(pairs, names, texts))
+        names = connected_components(links)
+    return names
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -345,7 +467,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         .select("best", F.col("best.row").alias("node"), "print", "size")
     )
     texts = rows.select(F.col(key).alias("node"), "text")
-    found = connected_components(near_links(groups.select("node", "print", "size"), texts))
+    found = near_components(groups.select("node", "print", "size"), texts)
     kept = (
         groups.select("best", "node")
         .join(found, "node", "left")

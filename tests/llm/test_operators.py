@@ -127,6 +127,42 @@ def test_near_copies_against_brute_force(spark):
     assert len(kept - representatives(0.8)) <= 2
 
 
+def test_balls_are_compared_wholly(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    origin = rng.integers(0, 256, 128, dtype=np.uint8)
+    prints = [np.packbits(np.unpackbits(origin) ^ (rng.random(1024) < p)) for p in rng.choice([0.05, 0.1, 0.3], 60)]
+    labels = [0 if i % 3 else i for i in range(60)]
+    schema = "node long, print binary, size long"
+    nodes = spark.createDataFrame([(i, bytes(p), 100) for i, p in enumerate(prints)], schema)
+    balls = spark.createDataFrame([(k, i, 60) for k in (7, 9) for i in range(60)], "key long, node long, members long")
+    names = spark.createDataFrame([(i, x) for i, x in enumerate(labels) if not x], "node long, component long")
+    expected = {
+        (i, j) for i, j in itertools.combinations(range(60), 2)
+        if labels[i] != labels[j]
+        and simhash.similarity(int(np.unpackbits(prints[i] ^ prints[j]).sum())) >= simhash.DOUBT[0]
+    }
+    assert expected
+    for members in (4, 256):
+        monkeypatch.setattr(simhash, "SLOT_MEMBERS", members)
+        found = simhash._rest_pairs(balls, names, nodes, best=False).collect()
+        assert {(r.a, r.b) for r in found} == expected and len(found) == len(expected)
+        best = {(r.a, r.b) for r in simhash._rest_pairs(balls, names, nodes, best=True).collect()}
+        assert best <= expected and {x for p in best for x in p} == {x for p in expected for x in p}
+
+
+def test_a_loose_family_joins_its_origin(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(words), "en")]
+    for i in range(1, 301):
+        copy = list(words)
+        for at in rng.choice(np.arange(3, 397, 6), 7, replace=False):
+            copy[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(copy), "en"))
+    kept = [r.doc_id for r in simhash.deduplicate(documents(spark, rows)).collect()]
+    assert 0 in kept and len(kept) <= 3
+
+
 def test_a_large_family_of_near_copies_joins(spark):
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(200)]
