@@ -45,6 +45,8 @@ OPEN_BITS = 8
 #: set must have for the upper one to decide.
 DOUBT = (0.65, 0.9)
 SURE_SIZE = 64
+#: Of so many balls, one is used to join families of close copies before all balls are compared.
+FIRST_EVERY = 4
 #: Members of a ball that are compared with each other at a time, about.
 SLOT_MEMBERS = 256
 #: Bytes of a text that are shingled at a time; longer texts go block by block.
@@ -251,10 +253,9 @@ def _jaccard(a: list[list[int]], b: list[list[int]]) -> list[float]:
 
 
 def near_balls(nodes: DataFrame) -> DataFrame:
-    """``(key, node, members, met)`` of every ball that holds two or more of ``nodes(node, print)``.
+    """``(key, node, before)`` of every ball that holds two or more of ``nodes(node, print)``.
 
-    The members of one ball stand in an order of their own; ``met`` are its first member and the
-    one before.
+    The members of one ball stand in an order of their own; ``before`` is the one before, if any.
     """
     keys = by_batch(lambda: _ball_keys, pa.list_(pa.int64()), "array<long>")
     held = nodes.select("node", F.explode(keys("print")).alias("key"))
@@ -263,19 +264,20 @@ def near_balls(nodes: DataFrame) -> DataFrame:
         "key",
         "node",
         F.count("*").over(Window.partitionBy("key")).alias("members"),
-        F.array(F.first("node").over(order), F.lag("node").over(order)).alias("met"),
-    ).where("members > 1")
+        F.lag("node").over(order).alias("before"),
+    ).where("members > 1").drop("members")
 
 
 def _first_pairs(balls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(a, b, alike, larger)`` of each member and those it met, whose prints come near enough.
+    """``(a, b, alike, larger)`` of each member and the one before it, if their prints are near.
 
-    A family of close copies is one component after these, at rows in proportion to its members.
+    Every ``FIRST_EVERY``-th ball is enough to join a family of close copies, at rows in proportion
+    to its members; what stays apart is left to the whole comparison.
     """
+    first = F.pmod(F.shiftright("key", SEGMENT_BITS), F.lit(FIRST_EVERY)) == 0
     pairs = (
-        balls.select("node", F.explode("met").alias("other"))
-        .where("other <> node")
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        balls.where(first & F.col("before").isNotNull())
+        .select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
         .distinct()
     )
     alike = by_batch(lambda: _likeness, pa.float64(), "double", arguments=2)
@@ -351,7 +353,7 @@ def _rest_pairs(balls: DataFrame, names: DataFrame, nodes: DataFrame, best: bool
     any size is compared wholly, a pair of slots at a time. With ``best``, each member of such a
     pair of slots gives its most alike partner alone, otherwise all that are near enough.
     """
-    labelled = balls.where("members > 3").join(names, "node", "left").select(
+    labelled = balls.join(names, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("label")
     )
     sizes = (
@@ -423,21 +425,29 @@ def _confirmed(pairs: DataFrame, names: DataFrame | None, texts: DataFrame) -> D
 def near_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """``(node, component)`` of the linked ones of ``nodes(node, print, size)``.
 
-    ``texts(node, text)`` are theirs. First every member of a ball is compared with two others,
+    ``texts(node, text)`` are theirs. First members of some balls are compared with one other,
     which joins families of close copies. Balls that still hold several components are then
-    compared wholly: each member's most alike partner first, and what these links leave apart
-    after that. So every two texts that share a ball are compared unless links join them already.
+    compared wholly: each member's most alike partner first, for as long as that adds links, and
+    what these leave apart after that; no pair is compared shingle by shingle twice. So every two texts that share a ball are compared unless
+    links join them already.
     """
     balls = materialise(near_balls(nodes))
-    links = _confirmed(materialise(_first_pairs(balls, nodes)), None, texts)
+    pairs = materialise(_first_pairs(balls, nodes))
+    links, asked = _confirmed(pairs, None, texts), pairs.select("a", "b")
     names = connected_components(links)
-    for best in (True, False):
-        pairs = materialise(_rest_pairs(balls, names, nodes, best))
-        if pairs.isEmpty():
-            break
-        links = links.union(_confirmed(pairs, names, texts))
-        names = connected_components(links)
-    return names
+    best = True
+    while True:
+        pairs = _rest_pairs(balls, names, nodes, best)
+        pairs = materialise(pairs.join(asked, ["a", "b"], "left_anti"))
+        added, asked = _confirmed(pairs, names, texts), asked.union(pairs.select("a", "b"))
+        if not added.isEmpty():
+            links = links.union(added)
+            names = connected_components(links)
+        elif best:
+            best = False
+            continue
+        if not best:
+            return names
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def test_balls_are_compared_wholly(spark, monkeypatch):
     labels = [0 if i % 3 else i for i in range(60)]
     schema = "node long, print binary, size long"
     nodes = spark.createDataFrame([(i, bytes(p), 100) for i, p in enumerate(prints)], schema)
-    balls = spark.createDataFrame([(k, i, 60) for k in (7, 9) for i in range(60)], "key long, node long, members long")
+    balls = spark.createDataFrame([(k, i) for k in (7, 9) for i in range(60)], "key long, node long")
     names = spark.createDataFrame([(i, x) for i, x in enumerate(labels) if not x], "node long, component long")
     expected = {
         (i, j) for i, j in itertools.combinations(range(60), 2)
