@@ -44,6 +44,11 @@ class Draws:
     fit: Fit
     points: np.ndarray
 
+    def mean(self) -> Fit:
+        """The fit with the posterior means as its parameters."""
+        means = map(float, self.points.mean(axis=0))
+        return replace(self.fit, parameters=dict(zip(self.fit.parameters, means, strict=True)))
+
     def rows(self, source: str) -> list[tuple]:
         """``(source, draw_id, family, parameter, value)`` rows."""
         return [
@@ -137,9 +142,20 @@ def hdi(values: Column, mass: float = MASS) -> tuple[Column, Column]:
     return F.element_at(ordered, start), F.element_at(ordered, start + steps)
 
 
+def hdi_rows(values: np.ndarray, mass: float = MASS) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`hdi` of every column of ``values``, for use inside tasks."""
+    ordered = np.sort(values, axis=0)
+    steps = int(np.floor(len(values) * mass))
+    with np.errstate(invalid="ignore"):
+        widths = ordered[steps:] - ordered[: len(values) - steps]
+    start = np.where(np.isnan(widths), np.inf, widths).argmin(axis=0)
+    at = np.arange(values.shape[1])
+    return ordered[start, at], ordered[start + steps, at]
+
+
 _DRAWN = (
     "struct<expected_purchases:double, probability_alive:double, expected_avg_value:double, "
-    "expected_forward_revenue:double, revenue:array<double>>"
+    "expected_forward_revenue:double, low:double, high:double>"
 )
 
 
@@ -172,6 +188,7 @@ def predict_draws(
             individual = p * (v + counts * mean) / (p * counts + q - 1.0)
             value = np.where(fitted > 0, individual, p * v / (q - 1.0))
             revenue = purchases * value
+            low, high = hdi_rows(revenue)
             pieces.append(
                 pd.DataFrame(
                     {
@@ -179,7 +196,8 @@ def predict_draws(
                         "probability_alive": alive.mean(axis=0),
                         "expected_avg_value": value.mean(axis=0),
                         "expected_forward_revenue": revenue.mean(axis=0),
-                        "revenue": list(revenue.T),
+                        "low": low,
+                        "high": high,
                     }
                 )
             )
@@ -202,7 +220,6 @@ def predict_draws(
     evaluated = rows.withColumn(
         "_d", udf(*STATE, "monetary_value", "is_gamma_gamma_eligible", "horizon_days")
     )
-    low, high = hdi(F.col("_d.revenue"))
     return evaluated.select(
         "source",
         "customer_id",
@@ -211,8 +228,8 @@ def predict_draws(
         F.col("_d.probability_alive").alias("probability_alive"),
         F.col("_d.expected_avg_value").alias("expected_avg_value"),
         F.col("_d.expected_forward_revenue").alias("expected_forward_revenue"),
-        low.alias("forward_revenue_hdi_low"),
-        high.alias("forward_revenue_hdi_high"),
+        F.col("_d.low").alias("forward_revenue_hdi_low"),
+        F.col("_d.high").alias("forward_revenue_hdi_high"),
         spend_source_column().alias("spend_estimate_source"),
         "is_gamma_gamma_eligible",
         F.lit(LAPLACE_SIR).alias("fit_method"),

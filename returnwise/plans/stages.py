@@ -164,6 +164,7 @@ def fit(
             calibration, purchase_posterior, spend_posterior, lengths
         )
         method = posterior.LAPLACE_SIR
+        purchase, spend = purchase_posterior.mean(), spend_posterior.mean()
     else:
         predictions = predict(calibration, purchase, spend, lengths)
     rows = stored.write_predictions(store, predictions)

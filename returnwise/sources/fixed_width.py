@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from returnwise import schemas
-from returnwise.session import materialise, small
+from returnwise.session import materialise
 
 
 class FixedWidthFormatError(ValueError):
@@ -82,7 +82,7 @@ def read_numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataF
     offsets = blocks.select(
         "_path", "_block", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
     )
-    return fixed.join(small(offsets), ["_path", "_block"]).select(
+    return fixed.join(offsets, ["_path", "_block"]).select(
         "value",
         "_source_file",
         (F.col("_before") + F.col("_slot") - F.col("_first") + 1).alias("_line_number"),

@@ -284,6 +284,8 @@ def test_hdi_is_the_narrowest_window(spark):
         k = int(0.94 * len(v))
         best = int(np.argmin(v[k:] - v[: len(v) - k]))
         assert (row["low"], row["high"]) == (v[best], v[best + k])
+        unordered = generator.permutation(v)[:, None]
+        assert draws.hdi_rows(unordered) == (row["low"], row["high"])
 
 
 def summary(spark, frame):

@@ -109,6 +109,8 @@ def test_full_bayes_brings_intervals(spark, store, tables, validation, tmp_path_
     stages.transform(other, shop(spark), SETTINGS, check=False)
     outcome = stages.fit(other, "s", SETTINGS, full_bayes=True)
     assert outcome.method == draws.LAPLACE_SIR
+    kept = stored.read_parameters(other, "s", draws.LAPLACE_SIR, outcome.purchase.family)
+    assert kept == outcome.purchase.parameters
     result = stages.validate(other, "s", SETTINGS, expected=Expected(recent_window_days=45))
     row = result.tables["intervals"].first()
     assert row["customers"] == 400 and row["median_relative_width"] > 0
