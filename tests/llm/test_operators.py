@@ -386,6 +386,27 @@ def test_decontamination(spark, odd, empty):
     assert not collected(decontaminate.query(empty, benchmark))
 
 
+def test_decontamination_finds_what_is_common(spark):
+    """A passage that a third of all rows hold, and one of words that are in every text."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    everyday = ["".join(rng.choice(list("ijklmn"), 4)) for _ in range(30)]
+    sentence = lambda n, words=vocabulary: " ".join(rng.choice(words, n))
+    items = [(i, f"{sentence(20)}. {sentence(12)}.") for i in range(20)]
+    items.append((20, f"{sentence(16, everyday)}. {sentence(10, everyday)}."))
+    rows, holders = [], {i: set() for i in range(len(items))}
+    for i in range(300):
+        put = ([3] if i % 3 == 0 else []) + ([20] if i % 50 == 7 else [])
+        for k in put:
+            holders[k].add(i)
+        body = " ".join(f"{sentence(3)} {sentence(2, everyday)}" for _ in range(30))
+        rows.append((i, " ".join([body, *(items[k][1] for k in put), sentence(60)]), "en"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.query(documents(spark, rows), benchmark).collect()}
+    for k, own in holders.items():
+        assert {i for i, ids in got.items() if str(k) in ids.split(",")} == own
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1200, 16))
