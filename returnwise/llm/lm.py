@@ -5,8 +5,7 @@ classes of their own inside the network; every other word falls into a class by
 which its smoothed corpus count decides, so each text has a proper probability whatever its words.
 Counts cover all training documents and stay distributed: the commonest words travel to every task
 as a table of bounded size, the rest meet their counts in a join. The network learns by truncated
-backpropagation on a share of the training documents that grows with them, in tasks whose
-parameters are averaged after each round. Scoring carries the state from window to window through
+backpropagation on all training documents, in tasks whose parameters are averaged after each round. Scoring carries the state from window to window through
 the whole document.
 """
 
@@ -29,12 +28,11 @@ HEAD = 200_000
 #: Words that the network tells apart, in classes of this many; and classes by ending for the rest.
 WORDS, CLASS_WORDS, ENDINGS = 1024, 32, 32
 EMBEDDING, HIDDEN = 16, 24
-#: Share of training documents that the network learns from, chosen by a hash of the id.
-LEARN_SHARE = 0.1
-ROUNDS = 2
+#: Passes over all training documents.
+ROUNDS = 4
 RATE = 0.01
-#: Documents learned from side by side, and steps of a window of backpropagation.
-STREAMS, STEPS = 64, 16
+#: Documents learned from side by side, at least and at most, and steps of a window of backpropagation.
+STREAMS, STEPS = (64, 512), 16
 #: Documents scored side by side, and steps between evaluations of the output layer.
 SCORED, WINDOW = 2048, 32
 #: Different words that a counting task holds before it passes its counts on.
@@ -166,7 +164,9 @@ class Network:
         grads["W"] = inputs.reshape(-1, inputs.shape[2]).T @ flat
         grads["b"] = flat.sum(axis=0)
         grads["E"] = np.zeros_like(self.E)
-        np.add.at(grads["E"], ids.ravel(), flat @ self.W.T)
+        order = np.argsort(ids, axis=None, kind="stable")
+        read, first = np.unique(ids.ravel()[order], return_index=True)
+        grads["E"][read] = np.add.reduceat((flat @ self.W.T)[order], first, axis=0)
         return float(out.sum()), grads, h
 
     def learn(self, texts: list[np.ndarray]) -> int:
@@ -175,11 +175,15 @@ class Network:
         second = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         turn = seen = 0
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        for a in range(0, len(order), STREAMS):
-            own = [texts[i] for i in order[a : a + STREAMS]]
+        streams = int(np.clip(len(texts) // 8, *STREAMS))
+        for a in range(0, len(order), streams):
+            own = [texts[i] for i in order[a : a + streams]]
             longest = max(map(len, own))
             h = np.zeros((len(own), self.hidden), np.float32)
             for at in range(0, longest, STEPS):
+                live = [x for x in own if len(x) > at]  # the shortest come first
+                h = h[len(own) - len(live) :]
+                own = live
                 ids = np.zeros((STEPS, len(own)), np.int64)
                 mask = np.zeros((STEPS, len(own)), bool)
                 for j, x in enumerate(own):
@@ -308,29 +312,29 @@ def learn(docs: DataFrame, train) -> Model | None:
     network = Network(class_mass / class_mass.sum(), mass)
     pad = network.own * CLASS_WORDS
 
-    share = F.pmod(F.xxhash64(F.lit("network"), "doc_id"), F.lit(10_000)) < int(LEARN_SHARE * 10_000)
     shared = spark.sparkContext.broadcast(ids)
 
     def coded(texts):
         return [_to_ids(tokens(t), shared.value, pad).tolist() for t in texts]
 
-    sample = materialise(chosen.where(share).select(by_batch(lambda: coded, pa.list_(pa.int64()), "array<bigint>")("text").alias("ids")))
+    known = materialise(chosen.select(by_batch(lambda: coded, pa.list_(pa.int64()), "array<bigint>")("text").alias("ids")))
     for _ in range(ROUNDS):
-        network = _round(sample, network)
+        network = _round(known, network)
     return Model(counts, whole.n, whole.v, head, ids, network, rest + 0.5 * (kinds + 1))
 
 
-def _round(sample: DataFrame, network: Network, block: int = 4096) -> Network:
+def _round(known: DataFrame, network: Network, block: int = 4096) -> Network:
     """The average of the tasks' networks after each has learned from its documents."""
-    shared = sample.sparkSession.sparkContext.broadcast(network)
+    shared = known.sparkSession.sparkContext.broadcast(network)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
         mine, seen = copy.deepcopy(shared.value), 0
         for batch in batches:
-            texts = [np.array(x) for x in batch.column(0).to_pylist()]
-            if texts:
+            column = batch.column(0)
+            texts = np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
+            if batch.num_rows:
                 seen += mine.learn(texts)
         if seen:
             values = mine.blocks()
@@ -348,7 +352,7 @@ def _round(sample: DataFrame, network: Network, block: int = 4096) -> Network:
         return pa.table({"part": group.column("part")[:1], "weights": pa.array([average.tolist()], pa.list_(pa.float32()))})
 
     parts = (
-        sample.mapInArrow(work, "part int, seen bigint, weights array<float>")
+        known.mapInArrow(work, "part int, seen bigint, weights array<float>")
         .groupBy("part").applyInArrow(mean, "part int, weights array<float>").orderBy("part").collect()
     )
     if parts:

@@ -338,6 +338,21 @@ def test_language_model(spark, odd, empty):
     assert len(nothing) == 13 and all(r.score == 0 and r.n_known == 0 for r in nothing)
 
 
+def test_network_learns_from_all_documents(spark, monkeypatch):
+    """Every round reads every training document, however long or repeated."""
+    read, whole = [], lm._round
+
+    def spy(rows, network):
+        read.append(sorted(len(r.ids) for r in rows.collect()))
+        return whole(rows, network)
+
+    monkeypatch.setattr(lm, "_round", spy)
+    rows = [(i, " ".join(["one two three"] * (i % 40 + 1)), "en") for i in range(100)]
+    lm.learn(documents(spark, rows), F.col("doc_id") % 5 != 1)
+    want = sorted(len(lm.tokens(t)) for i, t, _ in rows if i % 5 != 1)
+    assert len(read) == lm.ROUNDS and all(r == want for r in read)
+
+
 def test_network_gradients_and_windows():
     rng = np.random.default_rng(0)
     net = lm.Network(np.full(2 + lm.ENDINGS, 1 / (2 + lm.ENDINGS)), rng.random(64) + 0.1, hidden=4, embedding=3)
