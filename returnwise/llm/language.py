@@ -25,6 +25,8 @@ ORDER = 4
 #: hash of their id; which ones and how many is the same for any layout of the table.
 LEARN_DOCS = 1500
 CALIBRATE_DOCS = 500
+#: Calibration texts from which a language's own spread is taken alone.
+OWN_SPREAD = 20
 #: A text is rejected beyond this many times the deviation that all but one in a thousand
 #: calibration texts stay within.
 REJECT_QUANTILE = 0.999
@@ -223,6 +225,11 @@ def learn(docs: DataFrame, usable, learn_docs: int = LEARN_DOCS, calibrate_docs:
     return model
 
 
+def _spread(n: np.ndarray, square: np.ndarray) -> tuple[float, float]:
+    """Variance between texts, and the part that falls with length."""
+    return max(np.median(square[n >= np.median(n)]), 1e-6), max(np.median(square * n), 1e-6)
+
+
 def _calibrate(model: Model, rows: DataFrame) -> None:
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("n", pa.int64()), ("loss", pa.list_(pa.float64()))])
@@ -239,20 +246,39 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
     seen = rows.select("lang", by_batch(start, kind, "struct<n:bigint,loss:array<double>>")("text").alias("s"))
     seen = seen.where("s.n > 1").select("lang", "s.n", "s.loss").collect()
     count = len(model.languages)
-    model.mean, model.spread = np.zeros(count), np.zeros((count, 2))
+    model.mean, model.spread = np.full(count, math.nan), np.full((count, 2), math.nan)
     deviations, known = [], []
-    for j, lang in enumerate(model.languages):
-        own = [(r.n, r.loss[j] / r.n) for r in seen if r.lang == lang]
-        if len(own) < 20:
-            model.mean[j], model.spread[j] = math.nan, (math.nan, math.nan)
-            continue
-        n, h = np.array(own).T
-        model.mean[j] = np.median(h)
-        square = (h - model.mean[j]) ** 2
-        # Variance between texts, and the part that falls with length.
-        per_char = np.median(square * n)
-        model.spread[j] = max(np.median(square[n >= np.median(n)]), 1e-6), max(per_char, 1e-6)
-        deviations.extend((h - model.mean[j]) / np.sqrt(model.spread[j, 0] + model.spread[j, 1] / n))
+    texts = [np.array([(r.n, r.loss[j] / r.n) for r in seen if r.lang == lang]).reshape(-1, 2) for j, lang in enumerate(model.languages)]
+    for j, own in enumerate(texts):
+        if len(own):
+            model.mean[j] = np.median(own[:, 1])
+        if len(own) >= OWN_SPREAD:
+            model.spread[j] = _spread(own[:, 0], (own[:, 1] - model.mean[j]) ** 2)
+    # The others take the spread of all languages, or their own if it is larger, and what so few
+    # texts leave open about the mean; without any text the largest mean of a language stands in.
+    if any(map(len, texts)):
+        most, differ = np.nanmax(model.mean), np.nanvar(model.mean)
+        several = [(own, len(own) / (len(own) - 1), m) for own, m in zip(texts, model.mean) if len(own) > 1]
+        several = several or [(np.concatenate(texts), 1.0, np.nanmedian(model.mean))]
+        pooled = _spread(
+            np.concatenate([own[:, 0] for own, _, _ in several]),
+            np.concatenate([(own[:, 1] - m) ** 2 * f for own, f, m in several]),
+        )
+        for j, own in enumerate(texts):
+            if len(own) >= OWN_SPREAD:
+                continue
+            model.spread[j] = pooled
+            if len(own) > 1:
+                model.spread[j] = np.maximum(pooled, _spread(own[:, 0], (own[:, 1] - model.mean[j]) ** 2))
+            if len(own):
+                model.spread[j, 0] *= 1 + 1 / len(own)
+            else:
+                model.mean[j] = most
+                model.spread[j, 0] += differ
+    for j, own in enumerate(texts):
+        if len(own) > 1:
+            n, h = own.T
+            deviations.extend((h - model.mean[j]) / np.sqrt(model.spread[j, 0] + model.spread[j, 1] / n))
     if deviations:
         model.reject = REJECT_MARGIN * max(1.0, float(np.quantile(deviations, REJECT_QUANTILE)))
     for r in seen:

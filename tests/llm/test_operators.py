@@ -255,6 +255,20 @@ def test_language(spark, odd, empty):
     assert all(r.lang_pred == "und" for r in language.identify(odd.where("lang is null")).collect())
 
 
+def test_rare_languages_reject(spark):
+    """A language with few calibration texts keeps its own held-out texts and rejects foreign ones."""
+    rng = np.random.default_rng(8)
+    made = lambda letters: ["".join(rng.choice(list(letters), rng.integers(3, 8))) for _ in range(60)]
+    common, rare, foreign = made("abcdefghijklm"), made("nopqrstuvwxyz"), made("nopqrstuvwxyz")
+    text = lambda words: " ".join(rng.choice(words, 60))
+    rows = [(i, text(rare if i % 10 == 0 else common), "xx" if i % 10 == 0 else "en") for i in range(500)]
+    rows += [(1000 + i, text(foreign), None) for i in range(20)]
+    got = {r.doc_id: r for r in language.identify(documents(spark, rows)).collect()}
+    assert all(got[i].lang_pred == "xx" and got[i].rejected for i in range(1000, 1020))
+    own = [got[i] for i, _, lang in rows if lang == "xx" and got[i].held_out]
+    assert own and not any(r.rejected for r in own)
+
+
 def test_kneser_ney_sums_to_one():
     codes = language.Reader().codes("abracadabra banana cabana")
     padded = np.concatenate((np.full(2, 32, np.uint16), codes))
