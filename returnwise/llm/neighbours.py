@@ -26,7 +26,8 @@ DEGREE, REVERSE = 24, 16
 TREES, LEAF = 8, 512
 #: NN-descent stops when fewer than this share of all list entries changed in a round.
 SETTLED = 0.02
-MOST_ROUNDS = 6
+#: A graph that has not settled after so many rounds is an error.
+MOST_ROUNDS = 100
 #: Candidates that one meeting passes on to each of its members.
 TOLD = 6
 #: Beam of a query, and how many of its nodes are opened in a round.
@@ -166,10 +167,12 @@ def graph(nodes: DataFrame, count: int, degree: int = DEGREE) -> DataFrame:
         return _best(node, other, cosine, np.ones(len(node), dtype=bool), 1 << 30)
 
     edges = select(_leaves(nodes, count, degree))
-    for _ in range(MOST_ROUNDS):
+    for turn in range(MOST_ROUNDS + 1):
         fresh = edges.where("fresh").count()
         if fresh <= SETTLED * count * degree:
             break
+        if turn == MOST_ROUNDS:
+            raise RuntimeError(f"the neighbour graph has not settled in {MOST_ROUNDS} rounds: {fresh} new entries")
         back = edges.select(F.col("other").alias("at"), F.col("node").alias("member"), "fresh")
         chosen = back.withColumn(
             "rank", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("fresh"), F.xxhash64("at", "member")))

@@ -463,6 +463,15 @@ def test_neighbours(spark):
     assert not collected(neighbours.nearest(df.where("false")))
 
 
+def test_neighbours_must_settle(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_ROUNDS", 1)
+    monkeypatch.setattr(neighbours, "LEAF", 16)
+    x = np.random.default_rng(6).standard_normal((600, 16))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="settled"):
+        neighbours.graph(nodes, 600)
+
+
 def test_quality(spark, odd, empty):
     good = "Words of a sentence follow each other here, and end with a stop. "
     rows = [(i, "SPAM!! " * (5 + i % 7) if i % 4 == 0 else good * (1 + i % 5), "en") for i in range(100, 900)]
