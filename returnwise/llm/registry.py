@@ -8,10 +8,13 @@ from returnwise.llm import (
     chat,
     decontaminate,
     language,
+    licenses,
     lines,
     lm,
+    manifest,
     neighbours,
     packing,
+    phrases,
     quality,
     secrets_scan,
     simhash,
@@ -61,6 +64,18 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.query(table(spark, folder, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.query(table(spark, folder, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.query(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -74,10 +89,16 @@ QUERIES: dict[str, Query] = {
         op8_nearest_neighbours,
         op9_line_dedup,
         op10_quality,
+        op11_phrase_collocations,
+        op12_merkle_manifest,
+        op13_license_scan,
     )
 }
 
 SQL: dict[str, str] = {
+    "op11_phrase_collocations": phrases.SQL,
+    "op12_merkle_manifest": manifest.SQL,
+    "op13_license_scan": licenses.SQL,
     "op9_line_dedup": """
         with docs as (
             select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as lines
