@@ -17,7 +17,7 @@ from returnwise.session import materialise
 
 TRANSFORM = "transform"
 POST_FIT = "post_fit"
-FIT_METHODS = ("map", "ml", "laplace_sir")
+FIT_METHODS = ("map", "ml", "mcmc")
 
 Tables = Mapping[str, DataFrame]
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from returnwise.metrics.errors import NAN, percent_error_column
 from returnwise.metrics.rank import assign_deciles, decile_table
+from returnwise.models.draws import Draws, hdi
 from returnwise.models.fit import Fit
-from returnwise.models.predict import expected_over_states
+from returnwise.models.predict import expected_over_draws, expected_over_states
 from returnwise.operators.ranking import exact_quantiles
 from returnwise.session import small
 
@@ -141,30 +143,40 @@ def monthly_actuals(occasions: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def monthly_holdout(
-    occasions: DataFrame, windows: DataFrame, states: DataFrame, fit: Fit, source: str
+    occasions: DataFrame, windows: DataFrame, states: DataFrame, fit: Fit | Draws, source: str
 ) -> DataFrame:
     """Actual and expected holdout purchases per month for one source.
 
     A month's expectation is the conditional expectation up to its end less that up to its start.
+    Over draws it is their mean, as the forecasts are, and the narrowest interval of the draws'
+    months comes with it (``expected_low``, ``expected_high``).
     """
     actual = monthly_actuals(occasions, windows).where(F.col("source") == source)
     # The month edges are calendar-sized: one per month of the holdout window.
     edges = [r["to_day"] for r in actual.select("to_day").distinct().collect()]
-    cumulative = expected_over_states(states, fit, edges)
-    ordered = Window.partitionBy("source").orderBy("to_day")
-    table = actual.join(
-        F.broadcast(cumulative), actual.to_day == cumulative.length
-    ).withColumn(
+    drawn = isinstance(fit, Draws)
+    points = fit.points if drawn else np.array([fit.vector])
+    family = fit.fit.family if drawn else fit.family
+    cumulative = expected_over_draws(states, family, points, edges)
+    # One row for each month and draw.
+    ordered = Window.partitionBy("source", "draw_id").orderBy("to_day")
+    each = actual.join(small(cumulative), actual.to_day == cumulative.length).withColumn(
         "expected_in_month",
         F.col("expected") - F.coalesce(F.lag("expected").over(ordered), F.lit(0.0)),
     )
+    table = each.groupBy("source", "month", "days", "actual").agg(
+        F.avg("expected_in_month").alias("expected"),
+        F.collect_list("expected_in_month").alias("_draws"),
+    )
+    low, high = hdi(F.col("_draws"))
     return table.select(
         "source",
         "month",
         "days",
         "actual",
-        F.col("expected_in_month").alias("expected"),
-        (F.col("expected_in_month") - F.col("actual")).alias("shortfall"),
+        "expected",
+        (F.col("expected") - F.col("actual")).alias("shortfall"),
+        *([low.alias("expected_low"), high.alias("expected_high")] if drawn else []),
     )
 
 

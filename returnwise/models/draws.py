@@ -1,13 +1,13 @@
-"""Parameter uncertainty: seeded draws around the optimum and per-customer intervals.
+"""Parameter uncertainty: posterior draws from Markov chains and per-customer intervals.
 
-The proposal is the Gaussian of the curvature at the optimum; every proposal's likelihood comes
-from one job over the states, and the weights resample them. The intervals describe how well the
-parameters are pinned down, not what a customer will do.
+Chains run side by side (:mod:`returnwise.models.chains`): every job over the states brings all of
+them several steps forward. The intervals describe how well the parameters are pinned down, not
+what a customer will do.
 """
 
 from __future__ import annotations
 
-import warnings
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from returnwise import schemas
-from returnwise.models import families, shipping  # noqa: F401  (registers the helpers)
+from returnwise.models import chains, families, shipping  # noqa: F401  (registers the helpers)
 from returnwise.models.fit import (
     Fit,
+    ModelError,
     _log_prior,
     _log_scale_sums,
     _prior_center,
@@ -29,12 +30,18 @@ from returnwise.models.fit import (
 from returnwise.models.families import PARAMETERS
 from returnwise.models.predict import STATE, spend_source_column
 from returnwise.functions.numeric import log_gamma
+from returnwise.session import materialise
 
-LAPLACE_SIR = "laplace_sir"
+MCMC = "mcmc"
 MASS = 0.94
 CHUNK = 256
-#: Below this effective number of draws the intervals are announced as unreliable.
-LEAST_EFFECTIVE = 20
+#: Points the chains may start from, and the tails of their distribution (Student t).
+PROPOSALS = 1024
+PROPOSAL_TAILS = 4.0
+#: Half the width, in logarithms, of a panel of spend scales, and the nodes it is known by.
+PANEL_HALF, PANEL_NODES = 1.2, 25
+#: Spend scales further than this from the optimum, in logarithms, have no posterior weight here.
+SCALE_REACH = 14.0
 
 
 @dataclass(frozen=True)
@@ -43,6 +50,8 @@ class Draws:
 
     fit: Fit
     points: np.ndarray
+    effective: float = math.nan
+    rhat: float = math.nan
 
     def mean(self) -> Fit:
         """The fit with the posterior means as its parameters."""
@@ -58,71 +67,121 @@ class Draws:
         ]
 
 
-def _proposals(fit: Fit, count: int, generator: np.random.Generator) -> tuple:
+def given(family: str, names: tuple[str, ...], points: np.ndarray) -> Draws:
+    """Draws from a table of parameter rows, in the order of ``names``."""
+    points = np.asarray(points, dtype=float)
+    if points.ndim != 2 or points.shape[1] != len(names) or not len(points):
+        raise ModelError(f"draws of {family} need rows of {', '.join(names)}.")
+    means = dict(zip(names, map(float, points.mean(axis=0)), strict=True))
+    return Draws(Fit(family, MCMC, means, float("nan"), 0, 0), points)
+
+
+def _proposals(fit: Fit, generator: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Heavy-tailed points around the optimum, with the logarithm of their density."""
     center = np.log(np.array(fit.vector))
     values, vectors = np.linalg.eigh((fit.covariance + fit.covariance.T) / 2)
-    # A direction the data leaves flat would send proposals off without bound.
-    spread = np.sqrt(np.clip(values, 1e-12, 1.0))
-    standard = generator.standard_normal((count, center.size))
-    return center + (standard * spread) @ vectors.T, -0.5 * (standard**2).sum(axis=1)
-
-
-def _resample(
-    logs: np.ndarray, weights: np.ndarray, count: int, generator: np.random.Generator
-) -> np.ndarray:
-    weights = np.where(np.isfinite(weights), weights, -np.inf)
-    if not np.isfinite(weights).any():
-        raise ArithmeticError("no proposal lies where the posterior has any weight")
-    scaled = np.exp(weights - weights.max())
-    effective = scaled.sum() ** 2 / (scaled**2).sum()
-    if effective < LEAST_EFFECTIVE:
-        warnings.warn(
-            f"{len(logs)} proposals are worth {effective:.1f} draws: the intervals are too narrow",
-            stacklevel=3,
-        )
-    picks = generator.choice(len(logs), size=count, p=scaled / scaled.sum())
-    return np.exp(logs[picks])
+    standard = generator.standard_normal((PROPOSALS, center.size))
+    tails = np.sqrt(PROPOSAL_TAILS / generator.chisquare(PROPOSAL_TAILS, (PROPOSALS, 1)))
+    steps = standard * tails
+    density = -(PROPOSAL_TAILS + center.size) / 2 * np.log1p((steps**2).sum(axis=1) / PROPOSAL_TAILS)
+    return center + (steps * np.sqrt(np.maximum(values, 1e-12))) @ vectors.T, density
 
 
-def purchase_draws(states: DataFrame, fit: Fit, count: int = 200, seed: int = 42) -> Draws:
-    """Posterior draws of a purchase model from one distributed likelihood job."""
+def _sampled(fit: Fit, target: chains.Target, count: int, seed: int) -> Draws:
     generator = np.random.default_rng(seed)
-    logs, proposal = _proposals(fit, 2 * count, generator)
+    starts = chains.overdispersed(target, *_proposals(fit, generator), generator)
+    found = chains.sample(target, starts, generator, least_effective=max(chains.LEAST_EFFECTIVE, count))
+    points = np.exp(found.draws(count, generator))
+    return Draws(replace(fit, method=MCMC), points, found.effective, found.rhat)
+
+
+def purchase_draws(states: DataFrame, fit: Fit, count: int = 200, seed: int = 42) -> Draws:
+    """Posterior draws of a purchase model; each likelihood job serves all chains.
+
+    Raises ``NotConverged`` where the chains don't come to agree: there are no intervals then.
+    """
+    histogram = count_histogram(states)
     mean_age = states.agg(F.sum(F.col("n") * F.col("T")) / F.sum("n")).first()[0]
     center = _prior_center(PARAMETERS[fit.family], float(mean_age))
-    target = log_likelihoods(states, fit.family, np.exp(logs), count_histogram(states))
-    weights = target + _log_prior(center, logs) - proposal
-    return Draws(replace(fit, method=LAPLACE_SIR), _resample(logs, weights, count, generator))
+
+    def target(logs: np.ndarray) -> np.ndarray:
+        # Parameters beyond what a double's exponent holds have no weight under the prior.
+        inside = (np.abs(logs - center) < 100.0).all(axis=1)
+        result = np.full(len(logs), -np.inf)
+        if inside.any():
+            with np.errstate(all="ignore"):
+                value = log_likelihoods(states, fit.family, np.exp(logs[inside]), histogram)
+            result[inside] = value + _log_prior(center, logs[inside])
+        return result
+
+    return _sampled(fit, target, count, seed)
+
+
+class _ScaleSums:
+    """Sums of ln(v + x z) and x ln(v + x z) over customers, as functions of ln v.
+
+    Both are smooth: a panel of scales is known everywhere from one job over its nodes. Panels are
+    added as chains reach them.
+    """
+
+    def __init__(self, spend: DataFrame):
+        self.spend, self.panels = spend, {}
+
+    def __call__(self, log_v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number = np.floor(log_v / (2 * PANEL_HALF)).astype(int)
+        a, b = np.empty(len(log_v)), np.empty(len(log_v))
+        for panel in np.unique(number):
+            here = number == panel
+            fit_a, fit_b = self._panel(int(panel))
+            a[here], b[here] = fit_a(log_v[here]), fit_b(log_v[here])
+        return a, b
+
+    def _panel(self, number: int):
+        if number not in self.panels:
+            middle = (2 * number + 1) * PANEL_HALF
+            angles = np.pi * (np.arange(PANEL_NODES) + 0.5) / PANEL_NODES
+            nodes = middle + PANEL_HALF * np.cos(angles)
+            domain = [middle - PANEL_HALF, middle + PANEL_HALF]
+            self.panels[number] = tuple(
+                np.polynomial.Chebyshev.fit(nodes, sums, PANEL_NODES - 1, domain=domain)
+                for sums in _log_scale_sums(self.spend, np.exp(nodes))
+            )
+        return self.panels[number]
 
 
 def spend_draws(calibration: DataFrame, fit: Fit, count: int = 200, seed: int = 43) -> Draws:
-    """Posterior draws of the spend model, likewise."""
-    generator = np.random.default_rng(seed)
-    logs, proposal = _proposals(fit, 2 * count, generator)
-    spend = spend_frame(calibration)
+    """Posterior draws of the spend model, from a few jobs in all.
+
+    With q at or below one the mean order value is infinite: such parameters say nothing of revenue
+    and have no weight.
+    """
+    spend = materialise(spend_frame(calibration))
     x, n = count_histogram(spend.groupBy("frequency").agg(F.count(F.lit(1)).alias("n")))
     frequency, z = F.col("frequency").cast("double"), F.col("monetary_value")
-    row = spend.agg(F.sum(frequency * F.log(z)).alias("x_log_z")).first()
+    x_log_z = spend.agg(F.sum(frequency * F.log(z)).alias("s")).first()["s"]
     x_log_x = float((n * x * np.log(x)).sum())
-    # The scale sums are smooth in ln v: a few nodes over the proposed span give all of them.
-    span = logs[:, 2]
-    middle, half = (span.max() + span.min()) / 2, (span.max() - span.min()) / 2 + 1e-6
-    nodes = middle + half * np.cos(np.pi * (np.arange(25) + 0.5) / 25)
-    a, b = _log_scale_sums(spend, np.exp(nodes))
-    domain = [middle - half, middle + half]
-    fit_a = np.polynomial.Chebyshev.fit(nodes, a, 24, domain=domain)
-    fit_b = np.polynomial.Chebyshev.fit(nodes, b, 24, domain=domain)
-    p, q = np.exp(logs[:, [0]]), np.exp(logs[:, [1]])
-    shape = (log_gamma(p * x + q) - log_gamma(p * x) - log_gamma(q)) @ n
-    flat_p, flat_q = p[:, 0], q[:, 0]
-    target = (
-        shape + n.sum() * flat_q * span + flat_p * (row["x_log_z"] + x_log_x)
-        - flat_p * fit_b(span) - flat_q * fit_a(span)
-    )
-    weights = target + _log_prior(np.zeros(2), logs[:, :2]) - proposal
-    # With q at or below one the mean order value is infinite: such draws say nothing of revenue.
-    weights = np.where(flat_q > 1.0, weights, -np.inf)
-    return Draws(replace(fit, method=LAPLACE_SIR), _resample(logs, weights, count, generator))
+    sums, best = _ScaleSums(spend), math.log(fit.vector[2])
+
+    def target(logs: np.ndarray) -> np.ndarray:
+        inside = (
+            (np.abs(logs[:, 2] - best) < SCALE_REACH) & (logs[:, 1] > 0.0)
+            & (np.abs(logs) < 100.0).all(axis=1)
+        )
+        result = np.full(len(logs), -np.inf)
+        if not inside.any():
+            return result
+        chosen = logs[inside]
+        p, q = np.exp(chosen[:, [0]]), np.exp(chosen[:, [1]])
+        a, b = sums(chosen[:, 2])
+        shape = (log_gamma(p * x + q) - log_gamma(p * x) - log_gamma(q)) @ n
+        value = (
+            shape + n.sum() * q[:, 0] * chosen[:, 2] + p[:, 0] * (x_log_z + x_log_x)
+            - p[:, 0] * b - q[:, 0] * a
+        )
+        result[inside] = value + _log_prior(np.zeros(2), chosen[:, :2])
+        return result
+
+    return _sampled(fit, target, count, seed)
 
 
 def hdi(values: Column, mass: float = MASS) -> tuple[Column, Column]:
@@ -232,5 +291,5 @@ def predict_draws(
         F.col("_d.high").alias("forward_revenue_hdi_high"),
         spend_source_column().alias("spend_estimate_source"),
         "is_gamma_gamma_eligible",
-        F.lit(LAPLACE_SIR).alias("fit_method"),
+        F.lit(MCMC).alias("fit_method"),
     ).select(*schemas.PREDICTIONS.names)

@@ -167,3 +167,40 @@ def expected_over_states(
         .groupBy("length")
         .agg(F.sum("expected").alias("expected"))
     )
+
+
+def expected_over_draws(
+    states: DataFrame, family: str, points: np.ndarray, lengths: Sequence[int]
+) -> DataFrame:
+    """Population totals of the expectation by length and draw, ``(length, draw_id, expected)``.
+
+    A vector-valued sum over the distinct states: each task adds up a matrix of lengths by draws
+    and hands on its cells, so what is shuffled is bounded by the calendar and the draws. States
+    go through in chunks, since every one of them meets every draw.
+    """
+    lengths = [int(v) for v in lengths]
+    vectors = tuple(points[:, [j]] for j in range(points.shape[1]))
+    ahead, chunk = families.expected_purchases, max(1, 100_000 // len(points))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = np.zeros((len(lengths), len(points)))
+        for batch in batches:
+            columns = [batch[c].to_numpy(dtype=float) for c in ("frequency", "recency", "T", "n")]
+            for start in range(0, len(batch), chunk):
+                x, tx, T, n = (c[start : start + chunk] for c in columns)
+                for i, length in enumerate(lengths):
+                    totals[i] += ahead(family, vectors, x, tx, T, float(length)) @ n
+        yield pd.DataFrame(
+            {
+                "length": np.repeat(lengths, len(points)),
+                "draw_id": np.tile(np.arange(len(points)), len(lengths)),
+                "expected": totals.ravel(),
+            }
+        )
+
+    return (
+        states.select("frequency", "recency", "T", "n")
+        .mapInPandas(partial, "length long, draw_id long, expected double")
+        .groupBy("length", "draw_id")
+        .agg(F.sum("expected").alias("expected"))
+    )

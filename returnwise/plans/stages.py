@@ -144,7 +144,8 @@ def fit(
     """Fit both models on one source's calibration customers and store the forecasts.
 
     Predictions are written first and provenance after them, computed from what was stored, so a
-    provenance row never speaks for a write that failed.
+    provenance row never speaks for a write that failed. With ``full_bayes`` the posterior draws
+    behind the forecasts come last, marked with that provenance.
     """
     calibration = stored.load_calibration(store, source)
     models.check_assumptions(calibration)
@@ -154,7 +155,7 @@ def fit(
     lengths = resolve_horizons(window, settings.forward_horizon_days).first()["horizons"]
     holdout_days = window.first()["duration_holdout"]
 
-    method = purchase.method
+    method, drawn = purchase.method, ()
     if full_bayes:
         states = models.stored_states(calibration)
         seed = settings.random_seed
@@ -163,8 +164,9 @@ def fit(
         predictions = posterior.predict_draws(
             calibration, purchase_posterior, spend_posterior, lengths
         )
-        method = posterior.LAPLACE_SIR
+        method = posterior.MCMC
         purchase, spend = purchase_posterior.mean(), spend_posterior.mean()
+        drawn = (purchase_posterior, spend_posterior)
     else:
         predictions = predict(calibration, purchase, spend, lengths)
     rows = stored.write_predictions(store, predictions)
@@ -180,6 +182,9 @@ def fit(
         schemas.MODEL_PARAMETERS,
     )
     stored.write_parameters(store, parameters)
+    if drawn:
+        rows_drawn = [row for one in drawn for row in one.rows(source)]
+        stored.write_draws(store, source, method, rows_drawn)
     return FitOutcome(source, method, purchase, spend, lengths, rows)
 
 
@@ -191,6 +196,18 @@ def load_purchase_fit(store: Store, source: str, method: str) -> models.Fit:
     return models.Fit(family, method, ordered, float("nan"), 0, 0)
 
 
+def load_draws(store: Store, source: str, family: str = models.BG_NBD) -> posterior.Draws:
+    """The posterior draws behind the stored predictions; nothing is drawn or fitted anew.
+
+    Bounded by the number of draws, whatever the population.
+    """
+    names = models.GAMMA_GAMMA_PARAMETERS if family == models.GAMMA_GAMMA else models.PARAMETERS[family]
+    rows = stored.read_draws(store, source, posterior.MCMC, family)
+    table = rows.groupBy("draw_id").pivot("parameter", list(names)).agg(F.first("value"))
+    points = table.orderBy("draw_id").select(*names).toPandas().to_numpy(dtype=float)
+    return posterior.given(family, names, points)
+
+
 @dataclass(frozen=True)
 class Validation:
     """Result relations of a validation run; the metrics relation is also stored."""
@@ -284,10 +301,13 @@ def validate(
     states = models.stored_states(calibration)
     window = windows.where(F.col("source") == source)
     one_occasions = occasions.where(F.col("source") == source)
-    monthly = diagnostics.monthly_holdout(one_occasions, window, states, purchase, source)
-    if method != posterior.LAPLACE_SIR:
-        # A draw-averaged forecast is not the forecast at the averaged parameters.
-        diagnostics.require_reconciled(monthly, frame)
+    # A draw-averaged forecast is not the forecast at the averaged parameters: the months are
+    # averaged over the same draws.
+    behind = load_draws(store, source) if method == posterior.MCMC else purchase
+    monthly = materialise(
+        diagnostics.monthly_holdout(one_occasions, window, states, behind, source)
+    )
+    diagnostics.require_reconciled(monthly, frame)
 
     bucket_rows = buckets.bucket_table(frame, extra)
     misses = buckets.bucket_misses(bucket_rows, (scoring.CHAMPION, *extra))

@@ -62,6 +62,16 @@ MODEL_PARAMETERS = _struct(
     value=T.DoubleType(),
 )
 
+MODEL_DRAWS = _struct(
+    source=T.StringType(),
+    fit_method=T.StringType(),
+    family=T.StringType(),
+    run_id=T.StringType(),
+    draw_id=T.IntegerType(),
+    parameter=T.StringType(),
+    value=T.DoubleType(),
+)
+
 VALIDATION_METRICS = _struct(
     source=T.StringType(),
     model_family=T.StringType(),

@@ -7,6 +7,7 @@ others.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -21,6 +22,10 @@ class MissingStage(RuntimeError):
     """A relation is absent because an earlier stage has not run."""
 
 
+class StaleDraws(RuntimeError):
+    """Stored draws belong to another fit than the stored predictions or parameters."""
+
+
 @dataclass(frozen=True)
 class Store:
     """Relation paths under one root: ``raw``, ``main`` and ``model`` schemas."""
@@ -98,6 +103,7 @@ def _shape(schema: T.StructType) -> set[tuple[str, str]]:
 PREDICTIONS = "model.customer_predictions"
 FIT_RUNS = "model.fit_runs"
 PARAMETERS = "model.model_parameters"
+DRAWS = "model.draws"
 METRICS = "model.validation_metrics"
 CALIBRATION = "main.rfm_calibration"
 WINDOWS = "main.analysis_windows"
@@ -143,6 +149,65 @@ def read_parameters(store: Store, source: str, method: str, family: str) -> dict
     return {r["parameter"]: r["value"] for r in rows}
 
 
+def run_id(store: Store, source: str) -> str:
+    """What tells one fit of a source from another: a digest of its provenance row.
+
+    The row pins what the fit read and wrote, so the same predictions on the same data have the
+    same id wherever they were made; the time of the fit is no part of it.
+    """
+    store.require("fit", FIT_RUNS)
+    runs = store.read(FIT_RUNS, source)
+    parts = [
+        F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(runs.columns) if c != "fitted_at"
+    ]
+    rows = runs.select(F.sha2(F.concat_ws("|", *parts), 256).alias("id")).collect()
+    if len(rows) != 1:
+        raise MissingStage(f"{len(rows)} provenance rows for source {source!r}: run the fit stage.")
+    return rows[0]["id"]
+
+
+def write_draws(store: Store, source: str, method: str, rows: list[tuple]) -> None:
+    """Posterior draws ``(source, draw_id, family, parameter, value)`` of the stored fit.
+
+    Written after its provenance and marked with it; the draws of a family replace its earlier ones.
+    """
+    version = run_id(store, source)
+    table = store.spark.createDataFrame(
+        [(s, method, family, version, draw, name, value) for s, draw, family, name, value in rows],
+        schemas.MODEL_DRAWS,
+    )
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "source", "fit_method", "family"
+    ).parquet(store.path(DRAWS))
+
+
+def read_draws(store: Store, source: str, method: str, family: str) -> DataFrame:
+    """``(draw_id, parameter, value)`` of the fit behind the stored predictions.
+
+    Refused where they were drawn for another fit, or where their means are not the stored
+    parameters: draws, parameters and predictions speak about one posterior or not at all.
+    """
+    store.require("fit", DRAWS)
+    stored = store.read(DRAWS, source).where(
+        (F.col("fit_method") == method) & (F.col("family") == family)
+    )
+    means = stored.groupBy("parameter").agg(
+        F.avg("value").alias("mean"), F.min("run_id").alias("first"), F.max("run_id").alias("last")
+    ).collect()
+    if not means:
+        raise MissingStage(
+            f"no stored {family} draws for source {source!r} by {method!r}: run the fit stage."
+        )
+    version = run_id(store, source)
+    if any(r["first"] != version or r["last"] != version for r in means):
+        raise StaleDraws(f"the {family} draws of source {source!r} belong to another fit.")
+    held = read_parameters(store, source, method, family)
+    for row in means:
+        if not math.isclose(row["mean"], held.get(row["parameter"], math.nan), rel_tol=1e-9):
+            raise StaleDraws(f"{family} {row['parameter']} of source {source!r} is not its draws' mean.")
+    return stored.select("draw_id", "parameter", "value")
+
+
 def _not_empty(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise MissingStage(f"no {what} rows: run the stage that builds it first.")

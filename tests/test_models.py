@@ -11,9 +11,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from returnwise.functions.numeric import correlation_p_value, gauss_series, log_gamma
-from returnwise.models import draws, families, fingerprints
+from returnwise.models import chains, draws, families, fingerprints
 from returnwise.models import fit as models
-from returnwise.models.predict import alive_column, expected_over_states, predict, spend_column
+from returnwise.models.optimizer import NotConverged
+from returnwise.models.predict import (
+    alive_column,
+    expected_over_draws,
+    expected_over_states,
+    predict,
+    spend_column,
+)
 
 # Rounded estimates printed for the full public file, in days.
 BG = (0.250, 33.011, 0.717, 2.125)
@@ -271,7 +278,7 @@ def test_draws_are_seeded_and_bracket_the_optimum(customers, fits):
     assert got["expected_forward_revenue"].between(
         got["forward_revenue_hdi_low"] * 0.8, got["forward_revenue_hdi_high"] * 1.2
     ).all()
-    assert (got["fit_method"] == draws.LAPLACE_SIR).all()
+    assert (got["fit_method"] == draws.MCMC).all()
 
 
 def test_hdi_is_the_narrowest_window(spark):
@@ -338,3 +345,128 @@ def test_prediction_fingerprint_sees_edits(spark, edit, changed):
     assert after["horizon_weighted_expected_purchases"] != pytest.approx(
         plain["horizon_weighted_expected_purchases"], rel=1e-6
     )
+
+
+def banana(points):
+    """A bent ridge: the second coordinate follows the square of the first."""
+    u, w = points[:, 0], points[:, 1]
+    return -0.5 * (u**2 / 4 + (w - u**2 / 4) ** 2 / 0.25)
+
+
+def test_chains_cover_a_bent_ridge_and_two_modes():
+    generator = np.random.default_rng(3)
+    proposals = generator.standard_normal((600, 2)) * 3
+    logs = -0.5 * (proposals**2).sum(axis=1) / 9
+    found = chains.sample(banana, chains.overdispersed(banana, proposals, logs, generator), generator)
+    flat = found.states.reshape(-1, 2)
+    assert found.rhat <= chains.LARGEST_RHAT and found.effective >= chains.LEAST_EFFECTIVE
+    assert flat[:, 0].mean() == pytest.approx(0.0, abs=0.35)
+    assert flat[:, 0].std() == pytest.approx(2.0, rel=0.15)
+    assert flat[:, 1].mean() == pytest.approx(1.0, rel=0.25)
+    residual = flat[:, 1] - flat[:, 0] ** 2 / 4
+    assert residual.std() == pytest.approx(0.5, rel=0.1)
+
+    def modes(points):
+        return np.logaddexp(np.log(0.3) - 0.5 * ((points + 3) ** 2).sum(axis=1),
+                            np.log(0.7) - 0.5 * ((points - 3) ** 2).sum(axis=1))
+
+    proposals = generator.standard_normal((600, 2)) * 4
+    logs = -0.5 * (proposals**2).sum(axis=1) / 16
+    found = chains.sample(modes, chains.overdispersed(modes, proposals, logs, generator), generator)
+    assert (found.states[:, :, 0] > 0).mean() == pytest.approx(0.7, abs=0.08)
+    drawn = found.draws(500, generator)
+    assert (drawn[:, 0] > 0).mean() == pytest.approx(0.7, abs=0.12)
+
+
+def test_steps_from_one_evaluation_equal_steps_one_by_one(monkeypatch):
+    """Evaluating ahead changes how often the target is asked, not the law of the chains."""
+    generator = np.random.default_rng(0)
+    starts = generator.standard_normal((chains.WALKERS, 1))
+    means = []
+    for moves in (1, 4):
+        monkeypatch.setattr(chains, "MOVES", moves)
+        rng, points = np.random.default_rng(5), starts
+        values, seen = -0.5 * points[:, 0] ** 2, []
+        for _ in range(2400 // moves):
+            states, values = chains._advance(lambda x: -0.5 * x[:, 0] ** 2, points, values, starts, rng)
+            points = states[-1]
+            assert np.allclose(values, -0.5 * points[:, 0] ** 2)
+            seen.append(states)
+        flat = np.concatenate(seen)
+        means.append((flat.mean(), flat.std(), (np.diff(flat[..., 0], axis=0) != 0).mean()))
+    assert np.allclose(means[0], means[1], atol=0.03)
+    assert means[1][0] == pytest.approx(0.0, abs=0.03) and means[1][1] == pytest.approx(1.0, abs=0.03)
+
+
+def test_chains_that_cannot_agree_are_an_error(monkeypatch):
+    monkeypatch.setattr(chains, "MOST_BLOCKS", 4)
+    generator = np.random.default_rng(1)
+
+    def apart(points):
+        # Two islands with nothing between them, further apart than any step from one to the other.
+        return np.where(np.abs(np.abs(points[:, 0]) - 1e3) < 1, 0.0, -np.inf)
+
+    starts = np.where(np.arange(chains.WALKERS) % 2, 1e3, -1e3)[:, None] + generator.uniform(-1, 1, (chains.WALKERS, 1))
+    monkeypatch.setattr(chains, "WHOLE_MOVES", 0.0)
+    with pytest.raises(NotConverged):
+        chains.sample(apart, (starts, apart(starts)), generator)
+    with pytest.raises(ArithmeticError):
+        chains.overdispersed(lambda x: np.full(len(x), -np.inf), starts, np.zeros(len(starts)), generator)
+
+
+def test_diagnostics_of_known_chains():
+    generator = np.random.default_rng(2)
+    free = generator.standard_normal((400, 64, 1))
+    assert chains.rhat(free) < 1.01 and chains.autocorrelation_time(free) < 1.3
+    assert chains.rhat(free + 3 * (np.arange(64) % 2)[None, :, None]) > 1.3
+    slow = np.empty((4000, 64, 1))
+    slow[0] = generator.standard_normal((64, 1))
+    for i in range(1, 4000):
+        slow[i] = 0.9 * slow[i - 1] + np.sqrt(1 - 0.81) * generator.standard_normal((64, 1))
+    assert chains.autocorrelation_time(slow) == pytest.approx(19.0, rel=0.1)
+
+
+def test_draws_agree_between_seeds_and_with_a_long_run(customers, fits):
+    df, frame = customers
+    states = models.stored_states(df)
+    first, second = (draws.purchase_draws(states, fits[0], 400, seed=s) for s in (1, 2))
+    assert first.effective >= 400 and first.rhat <= chains.LARGEST_RHAT
+    x, tx, T = (frame[c].to_numpy(float) for c in ("frequency", "recency", "customer_age"))
+    distinct, n = np.unique(np.column_stack([x, tx, T]), axis=0, return_counts=True)
+    center = models._prior_center(families.PARAMETERS[families.BG_NBD], float(T.mean()))
+
+    def posterior(logs):
+        p = tuple(np.exp(logs)[:, [j]] for j in range(4))
+        value = families.log_likelihood(families.BG_NBD, p, *distinct.T) @ n
+        return value + models._log_prior(center, logs)
+
+    # A plain random walk, one chain, many steps.
+    generator, at = np.random.default_rng(9), np.log(np.array(fits[0].vector))[None, :]
+    root = np.linalg.cholesky(fits[0].covariance + 1e-12 * np.eye(4))
+    value, seen = posterior(at)[0], []
+    for _ in range(6000):
+        ahead = at + 1.1 * generator.standard_normal((1, 4)) @ root.T
+        fresh = posterior(ahead)[0]
+        if np.log(generator.random()) < fresh - value:
+            at, value = ahead, fresh
+        seen.append(at[0])
+    long = np.array(seen[500:])
+    spread = long.std(axis=0)
+    for sampled in (first, second):
+        logs = np.log(sampled.points)
+        assert (np.abs(logs.mean(axis=0) - long.mean(axis=0)) < 0.35 * spread).all()
+        for level in (0.03, 0.97):
+            assert (np.abs(np.quantile(logs, level, axis=0) - np.quantile(long, level, axis=0)) < 0.6 * spread).all()
+
+
+def test_expectations_over_draws_are_sums_over_customers(customers, fits):
+    df, frame = customers
+    states = models.stored_states(df)
+    points = np.array([fits[0].vector, BG, (0.9, 20.0, 0.4, 3.0)])
+    got = {(r["length"], r["draw_id"]): r["expected"] for r in
+           expected_over_draws(states, families.BG_NBD, points, [31, 90]).collect()}
+    x, tx, T = (frame[c].to_numpy(float) for c in ("frequency", "recency", "customer_age"))
+    assert len(got) == 6
+    for (length, draw), value in got.items():
+        want = families.expected_purchases(families.BG_NBD, tuple(points[draw]), x, tx, T, float(length))
+        assert value == pytest.approx(want.sum())

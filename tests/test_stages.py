@@ -16,6 +16,7 @@ from returnwise.checks.suite import Expected
 from returnwise.models import draws
 from returnwise.operators import rfm
 from returnwise.plans import stages
+from returnwise.session import materialise
 from returnwise.settings import Settings, SplitWeeks
 from returnwise.sources import store as stored
 from returnwise.sources.checksum import ChecksumMismatch
@@ -108,12 +109,31 @@ def test_full_bayes_brings_intervals(spark, store, tables, validation, tmp_path_
     other = Store(spark, str(tmp_path_factory.mktemp("bayes")))
     stages.transform(other, shop(spark), SETTINGS, check=False)
     outcome = stages.fit(other, "s", SETTINGS, full_bayes=True)
-    assert outcome.method == draws.LAPLACE_SIR
-    kept = stored.read_parameters(other, "s", draws.LAPLACE_SIR, outcome.purchase.family)
+    assert outcome.method == draws.MCMC
+    kept = stored.read_parameters(other, "s", draws.MCMC, outcome.purchase.family)
     assert kept == outcome.purchase.parameters
     result = stages.validate(other, "s", SETTINGS, expected=Expected(recent_window_days=45))
     row = result.tables["intervals"].first()
     assert row["customers"] == 400 and row["median_relative_width"] > 0
+    # The months are averaged over the stored draws, and add up to the stored forecasts.
+    monthly = result.tables["monthly"].toPandas()
+    total = other.read(stored.PREDICTIONS).where("horizon_days = 140").agg(F.sum("expected_purchases")).first()[0]
+    assert monthly["expected"].sum() == pytest.approx(total, rel=1e-6)
+    assert (monthly["expected_low"] < monthly["expected_high"]).all()
+    for family in (outcome.purchase.family, outcome.spend.family):
+        reloaded = stages.load_draws(other, "s", family)
+        assert len(reloaded.points) == 200
+    # Draws of another fit, or other parameters than their means, are refused.
+    rows = stages.load_draws(other, "s").rows("s")
+    stored.write_draws(other, "s", draws.MCMC, [(*r[:4], r[4] * 1.01) for r in rows])
+    with pytest.raises(stored.StaleDraws, match="mean"):
+        stages.load_draws(other, "s")
+    stored.write_draws(other, "s", draws.MCMC, rows)
+    assert np.allclose(stages.load_draws(other, "s").rows("s")[0][4], rows[0][4])
+    runs = other.read(stored.FIT_RUNS, "s").withColumn("calibration_rows", F.lit(401).cast("long"))
+    stored.write_fit_run(other, materialise(runs))
+    with pytest.raises(stored.StaleDraws, match="another fit"):
+        stages.load_draws(other, "s")
 
 
 def test_validate_refuses_edited_predictions(spark, store, validation, tmp_path_factory):
