@@ -8,7 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry.oracles import BG, FORWARD_DAYS, GG, LOOK_BACKS, RECENT_DAYS
+from registry.oracles import BG, BG_DRAWS, FORWARD_DAYS, GG, GG_DRAWS, LOOK_BACKS, RECENT_DAYS
+from returnwise.models import draws
 from returnwise.models import fit as models
 from returnwise.models.fingerprints import fit_run
 from returnwise.models.fit import Fit
@@ -24,6 +25,9 @@ from returnwise.sources.store import Store
 
 LITERAL_PURCHASE = Fit(models.BG_NBD, "map", dict(BG), float("nan"), 0, 0)
 LITERAL_SPEND = Fit(models.GAMMA_GAMMA, "map", dict(GG), float("nan"), 0, 0)
+GIVEN_PURCHASE = draws.given(models.BG_NBD, models.PARAMETERS[models.BG_NBD], BG_DRAWS)
+GIVEN_SPEND = draws.given(models.GAMMA_GAMMA, models.GAMMA_GAMMA_PARAMETERS, GG_DRAWS)
+SOURCES = (retail.ORDERS, retail.EVENTS)
 
 
 class Book:
@@ -116,6 +120,23 @@ class Book:
     def orders_states(self) -> DataFrame:
         return models.stored_states(self.orders_calibration)
 
+    def states_of(self, source: str) -> DataFrame:
+        """The states of one source, written once."""
+        if source == retail.ORDERS:
+            return self.orders_states
+        memo = self.__dict__.setdefault("_states", {})
+        if source not in memo:
+            memo[source] = models.stored_states(self.calibration.where(F.col("source") == source))
+        return memo[source]
+
+    @cached_property
+    def posterior(self) -> tuple[draws.Draws, draws.Draws]:
+        """Draws of both models on the orders source, once per session."""
+        return (
+            draws.purchase_draws(self.orders_states, self.fitted(models.BG_NBD)),
+            draws.spend_draws(self.orders_calibration, self.fitted(models.GAMMA_GAMMA)),
+        )
+
     def fitted(self, family: str) -> Fit:
         """A purchase model fitted on the orders source, once per session."""
         memo = self.__dict__.setdefault("_fits", {})

@@ -13,6 +13,9 @@ import re
 # purchase model (weeks turned into days) and for the spend model.
 BG = {"r": 0.243, "alpha": 30.898, "a": 0.793, "b": 2.426}
 GG = {"p": 6.25, "q": 3.74, "v": 15.44}
+# A small given posterior around them, one row for each draw.
+BG_DRAWS = ((0.243, 30.898, 0.793, 2.426), (0.31, 38.5, 0.62, 2.1), (0.2, 24.0, 0.93, 2.9))
+GG_DRAWS = ((6.25, 3.74, 15.44), (5.1, 4.2, 19.0), (7.4, 3.3, 12.5))
 FORWARD_DAYS = 365
 RECENT_DAYS = 91
 LOOK_BACKS = (30, 61, 91, 100, 122, 152, 182, 273)
@@ -32,13 +35,19 @@ def _series(first: str, second: str, third: str, z: str) -> str:
     )
 
 
-def _expected(t: str) -> str:
-    """Conditional expectation with the literal parameters over ``t`` days."""
-    z = f"({t} / ({_AL} + customer_age + {t}))"
-    c = f"({_A} + {_B} + frequency - 1)"
-    series = _series(f"({_A} + {_B} - 1 - {_R})", f"({_A} - 1)", c, z)
+def _expected(t: str, r: str = _R, alpha: str = _AL, a: str = _A, b: str = _B) -> str:
+    """Conditional expectation over ``t`` days, with the literal parameters where none are given."""
+    z = f"({t} / ({alpha} + customer_age + {t}))"
+    c = f"({a} + {b} + frequency - 1)"
+    series = _series(f"({a} + {b} - 1 - {r})", f"({a} - 1)", c, z)
+    return f"(alive * {c} / ({a} - 1) * (1 - power(1 - {z}, {a} - 1) * {series}))"
+
+
+def _alive(r: str = _R, alpha: str = _AL, a: str = _A, b: str = _B) -> str:
+    """Probability of being active, from a row with the customer's state."""
     return (
-        f"(alive * {c} / ({_A} - 1) * (1 - power(1 - {z}, {_A} - 1) * {series}))"
+        f"case when frequency = 0 then 1.0::double else 1 / (1 + {a} / ({b} + frequency - 1) "
+        f"* exp(({r} + frequency) * ln(({alpha} + customer_age) / ({alpha} + recency)))) end"
     )
 
 
@@ -161,8 +170,7 @@ CTES: dict[str, str] = {
     "csens": _sensitivity("csens", "crecent", "chold"),
     "state": f"""state as (
   select c.*, duration_holdout,
-    case when frequency = 0 then 1.0::double else 1 / (1 + {_A} / ({_B} + frequency - 1)
-      * exp(({_R} + frequency) * ln(({_AL} + customer_age) / ({_AL} + recency)))) end as alive,
+    {_alive()} as alive,
     case when is_gamma_gamma_eligible
       then {_P} * ({_V} + frequency * monetary_value) / ({_P} * frequency + {_Q} - 1)
       else {_P} * {_V} / ({_Q} - 1) end as value
@@ -297,6 +305,40 @@ CTES: dict[str, str] = {
         greatest(unnest(generate_series(date_trunc('month', holdout_start)::timestamp,
           holdout_end::timestamp, interval 1 month))::date, holdout_start) as month
       from win) s))""",
+    "given_draws": "given_draws as (select * from (values "
+    + ", ".join(
+        f"({i}, " + ", ".join(f"{v}::double" for v in (*BG_DRAWS[i], *GG_DRAWS[i])) + ")"
+        for i in range(len(BG_DRAWS))
+    )
+    + ") as t(draw_id, r, alpha, a, b, p, q, v))",
+    "month_ends": """month_ends as (
+  select source, month, days, actual,
+    sum(days) over (partition by source order by month)::bigint as to_day from months)""",
+    "drawn_months": f"""drawn_months as (
+  select source, month, days, actual, draw_id,
+    total - coalesce(lag(total) over (partition by source, draw_id order by month), 0) as expected
+  from (
+    select source, month, days, actual, draw_id,
+      sum(n * {_expected("to_day::double", "r", "alpha", "a", "b")}) as total
+    from (
+      select s.*, m.month, m.days, m.actual, m.to_day, d.draw_id, d.r, d.alpha, d.a, d.b,
+        {_alive("d.r", "d.alpha", "d.a", "d.b")} as alive
+      from (select source, frequency, recency, customer_age, count(*) as n
+            from ccal group by 1, 2, 3, 4) s
+      join month_ends m using (source) cross join given_draws d)
+    group by 1, 2, 3, 4, 5))""",
+    "drawn_forecasts": f"""drawn_forecasts as (
+  select source, customer_id, horizon_days, is_gamma_gamma_eligible, draw_id, alive, value,
+    purchases, purchases * value as revenue
+  from (
+    select *, {_expected("horizon_days::double", "r", "alpha", "a", "b")} as purchases,
+      case when is_gamma_gamma_eligible
+        then p * (v + frequency * monetary_value) / (p * frequency + q - 1)
+        else p * v / (q - 1) end as value
+    from (
+      select c.*, w.duration_holdout as horizon_days, d.*,
+        {_alive("d.r", "d.alpha", "d.a", "d.b")} as alive
+      from ccal c join win w using (source) cross join given_draws d)))""",
     "new_fit": f"""new_fit as (
   select source, sum({_NEW} * n) as fitted
   from (

@@ -15,7 +15,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry.book import LITERAL_PURCHASE, LITERAL_SPEND, Book, book
+from registry.book import GIVEN_PURCHASE, GIVEN_SPEND, LITERAL_PURCHASE, LITERAL_SPEND, SOURCES, Book, book
 from registry.oracles import (
 
     BG,
@@ -31,6 +31,7 @@ from returnwise.metrics import buckets, diagnostics, errors, rank, scoring, verd
 from returnwise.models import draws, fit as models, fingerprints
 from returnwise.models.predict import (
     alive_column,
+    expected_over_draws,
     expected_over_states,
     resolve_horizons,
     spend_column,
@@ -45,7 +46,7 @@ from returnwise.operators import (
     transactions as transaction_ops,
     windows as window_ops,
 )
-from returnwise.plans.stages import challenger_status, with_challengers
+from returnwise.plans.stages import challenger_status, load_draws, with_challengers
 from returnwise.session import checkpoint_root, materialise
 from returnwise.settings import Settings
 from returnwise.sources import checksum, fixed_width, retail, store as stored
@@ -336,6 +337,36 @@ def _(b: Book) -> DataFrame:
     return store.read(stored.PARAMETERS)
 
 
+@query(
+    "a15_draws_round_trip",
+    "source:s draw_id:i parameters:i expected:f3",
+    """select source, draw_id, 7 as parameters, sum(purchases) as expected
+       from drawn_forecasts group by 1, 2""",
+)
+def _(b: Book) -> DataFrame:
+    # A fit's predictions, provenance, parameters and draws, stored; then only what is read back.
+    store = b.new_store()
+    stored.write_predictions(store, b.predictions)
+    stored.write_fit_run(store, b.fit_runs)
+    results = []
+    for source in SOURCES:
+        means = models.parameter_rows([GIVEN_PURCHASE.mean(), GIVEN_SPEND.mean()], source)
+        stored.write_parameters(
+            store, b.spark.createDataFrame(means, stored.schemas.MODEL_PARAMETERS)
+        )
+        rows = GIVEN_PURCHASE.rows(source) + GIVEN_SPEND.rows(source)
+        stored.write_draws(store, source, draws.MCMC, rows)
+        days = b.windows.where(F.col("source") == source).first()["duration_holdout"]
+        kept = load_draws(store, source)
+        held = len(kept.fit.parameters) + len(load_draws(store, source, models.GAMMA_GAMMA).fit.parameters)
+        results.append(
+            expected_over_draws(b.states_of(source), kept.fit.family, kept.points, [days]).select(
+                F.lit(source).alias("source"), "draw_id", F.lit(held).alias("parameters"), "expected"
+            )
+        )
+    return results[0].unionByName(results[1])
+
+
 # ---- B: projections and predicates ------------------------------------------------------------
 
 
@@ -818,6 +849,31 @@ def _(b: Book) -> DataFrame:
     )
 
 
+_MBG = {"r": 0.589, "alpha": 47.954, "a": 0.835, "b": 1.354}
+
+
+@query("j4_log_likelihood_literal", "source:s log_likelihood:f3",
+       f"""select source, sum(lgamma({_MBG['r']} + frequency) - lgamma({_MBG['r']}::double)
+             + {_MBG['r']} * ln({_MBG['alpha']}) + lgamma({_MBG['b']} + frequency + 1)
+             - lgamma({_MBG['b']}::double) - lgamma({_MBG['a']} + {_MBG['b']} + frequency + 1)
+             + lgamma({_MBG['a']}::double + {_MBG['b']})
+             + ln(exp(-({_MBG['r']} + frequency) * ln({_MBG['alpha']} + customer_age))
+               + {_MBG['a']} / ({_MBG['b']} + frequency)
+                 * exp(-({_MBG['r']} + frequency) * ln({_MBG['alpha']} + recency))))
+             as log_likelihood
+           from ccal group by 1""")
+def _(b: Book) -> DataFrame:
+    import numpy as np
+
+    point = np.array([list(_MBG.values())])
+    rows = []
+    for source in SOURCES:
+        states = b.states_of(source)
+        value = models.log_likelihoods(states, models.MBG_NBD, point, models.count_histogram(states))[0]
+        rows.append((source, float(value)))
+    return b.spark.createDataFrame(rows, "source string, log_likelihood double")
+
+
 @query(
     "j2_model_states",
     "frequency:i recency:i T:i n:i",
@@ -923,11 +979,7 @@ def _(b: Book) -> DataFrame:
 
 @query("j16_posterior_draws", "family:s parameter:s draws:i mean:f3")
 def _(b: Book) -> DataFrame:
-    sampled = [
-        draws.purchase_draws(b.orders_states, b.fitted(models.BG_NBD)),
-        draws.spend_draws(b.orders_calibration, b.fitted(models.GAMMA_GAMMA)),
-    ]
-    rows = [row for d in sampled for row in d.rows(retail.ORDERS)]
+    rows = [row for d in b.posterior for row in d.rows(retail.ORDERS)]
     table = b.spark.createDataFrame(
         rows, "source string, draw_id int, family string, parameter string, value double"
     )
@@ -939,10 +991,8 @@ def _(b: Book) -> DataFrame:
 def _bayes(b: Book) -> DataFrame:
     memo = b.__dict__
     if "_bayes_rows" not in memo:
-        purchase = draws.purchase_draws(b.orders_states, b.fitted(models.BG_NBD))
-        spend = draws.spend_draws(b.orders_calibration, b.fitted(models.GAMMA_GAMMA))
         memo["_bayes_rows"] = materialise(
-            draws.predict_draws(b.orders_calibration, purchase, spend, [1204])
+            draws.predict_draws(b.orders_calibration, *b.posterior, [1204])
         )
     return memo["_bayes_rows"]
 
@@ -953,6 +1003,26 @@ def _(b: Book) -> DataFrame:
     return _bayes(b)
 
 
+@query(
+    "j16_forecasts_from_draws",
+    f"{KEYS} horizon_days:i expected_purchases:f5 probability_alive:f8 expected_avg_value:f4 "
+    "expected_forward_revenue:f1 forward_revenue_hdi_low:f1 forward_revenue_hdi_high:f1",
+    """select source, customer_id, horizon_days, avg(purchases) as expected_purchases,
+         avg(alive) as probability_alive, avg(value) as expected_avg_value,
+         avg(revenue) as expected_forward_revenue, min(revenue) as forward_revenue_hdi_low,
+         max(revenue) as forward_revenue_hdi_high
+       from drawn_forecasts group by 1, 2, 3""",
+)
+def _(b: Book) -> DataFrame:
+    # Three given draws: an interval of 94 % steps over two of them, from the least to the largest.
+    parts = []
+    for source in SOURCES:
+        days = b.windows.where(F.col("source") == source).first()["duration_holdout"]
+        rows = b.calibration.where(F.col("source") == source)
+        parts.append(draws.predict_draws(rows, GIVEN_PURCHASE, GIVEN_SPEND, [days]))
+    return parts[0].unionByName(parts[1])
+
+
 _CAL_PRINT = (
     "source:s calibration_rows:i sum_frequency:i sum_recency:i sum_customer_age:i "
     "sum_monetary_value:f4 weighted_frequency:i weighted_recency:i weighted_customer_age:i "
@@ -1218,25 +1288,63 @@ def _(b: Book) -> DataFrame:
     return diagnostics.monthly_actuals(b.cohort, b.windows)
 
 
-def _monthly(b: Book) -> DataFrame:
-    one = F.col("source") == retail.ORDERS
-    return diagnostics.monthly_holdout(
-        b.cohort.where(one), b.windows.where(one), b.orders_states, LITERAL_PURCHASE,
-        retail.ORDERS,
-    )
+def _monthly(b: Book, fit) -> DataFrame:
+    parts = []
+    for source in SOURCES:
+        one = F.col("source") == source
+        parts.append(
+            diagnostics.monthly_holdout(
+                b.cohort.where(one), b.windows.where(one), b.states_of(source), fit, source
+            )
+        )
+    return materialise(parts[0].unionByName(parts[1]))
 
 
-@query("k15_monthly_holdout", "source:s month:s days:i actual:i expected:f3 shortfall:f3")
+@query(
+    "k15_monthly_holdout",
+    "source:s month:s days:i actual:i expected:f3 shortfall:f3",
+    """select source, month, days, actual, expected, expected - actual as shortfall
+       from drawn_months where draw_id = 0""",
+)
 def _(b: Book) -> DataFrame:
-    monthly = materialise(_monthly(b))
-    diagnostics.require_reconciled(monthly, b.scored.where(F.col("source") == retail.ORDERS))
+    monthly = _monthly(b, LITERAL_PURCHASE)
+    for source in SOURCES:
+        one = F.col("source") == source
+        diagnostics.require_reconciled(monthly.where(one), b.scored.where(one))
     return monthly
 
 
-@query("k16_monthly_trend", "source:s expected_change:f4 actual_change:f6 worst_months:s "
-       "worst_share:f4")
+@query(
+    "k15_monthly_over_draws",
+    "source:s month:s days:i actual:i expected:f3 shortfall:f3 expected_low:f3 expected_high:f3",
+    """select source, month, days, actual, avg(expected) as expected,
+         avg(expected) - actual as shortfall, min(expected) as expected_low,
+         max(expected) as expected_high
+       from drawn_months group by 1, 2, 3, 4""",
+)
+def _(b: Book) -> DataFrame:
+    return _monthly(b, GIVEN_PURCHASE)
+
+
+@query(
+    "k16_monthly_trend",
+    "source:s expected_change:f4 actual_change:f6 worst_months:s worst_share:f4",
+    """select source, last_expected / first_expected - 1 as expected_change,
+         last_actual / first_actual - 1 as actual_change, worst_months,
+         worst / shortfall as worst_share
+       from (select source, arg_min(expected / days, month) as first_expected,
+           arg_max(expected / days, month) as last_expected,
+           arg_min(actual / days::double, month) as first_actual,
+           arg_max(actual / days::double, month) as last_actual, sum(expected - actual) as shortfall
+         from drawn_months where draw_id = 0 group by 1)
+       join (select source, sum(expected - actual) as worst,
+           string_agg(month::varchar, ',' order by month) as worst_months
+         from (select *, row_number() over (
+             partition by source order by expected - actual, month) as k
+           from drawn_months where draw_id = 0) where k <= 3 group by 1) using (source)""",
+)
 def _(b: Book) -> DataFrame:
-    return diagnostics.monthly_trend(_monthly(b))
+    return diagnostics.monthly_trend(_monthly(b, LITERAL_PURCHASE))
 
 
 @query(
