@@ -1906,3 +1906,66 @@ def _(b: Book) -> DataFrame:
     return suite.run_checks(tables, suite.POST_FIT)
 
 
+def _planted(b: Book) -> dict[str, DataFrame]:
+    """The transform stage's relations with a defect in each of several of them."""
+    members = b.cohort.select("source", "customer_id").distinct()
+    amount = F.col("gross_amount")
+    full = b.full.where(F.col("customer_id") % 10 != 3)
+    full = full.unionByName(full.where("frequency >= 5"))
+    late = F.when(F.col("frequency") == 1, F.col("customer_age") + 1).otherwise(F.col("recency"))
+    return {
+        "transactions": b.transactions.join(members, ["source", "customer_id"], "left_semi").withColumn(
+            "gross_amount",
+            F.when(F.col("customer_id") % 97 == 0, -amount).otherwise(amount).cast(stored.schemas.LINE_MONEY),
+        ),
+        "analysis_windows": b.windows,
+        "purchase_occasions": b.cohort,
+        "rfm_calibration": b.calibration.withColumn(
+            "monetary_value", F.when(F.col("frequency") > 0, F.col("monetary_value"))
+        ),
+        "rfm_full": full.withColumn("recency", late.cast("int")),
+        "holdout_actuals": _halved(b),
+        "monthly_retention": cohorts.monthly_retention(b.cohort),
+        "recent_window_sensitivity": b.sensitivity,
+    }
+
+
+@query(
+    "l26_transform_report",
+    "check_name:s stage:s violations:i",
+    "select check_name, 'transform' as stage, coalesce(v, 0) as violations from (select unnest(["
+    + ", ".join(f"'{c.name}'" for c in suite.all_checks() if c.stage == suite.TRANSFORM)
+    + """]) as check_name) left join (
+        select 'amounts_plausible' as check_name, count(distinct source) as v
+          from ctx where customer_id % 97 = 0 and gross_amount > 0
+        union all
+        select 'transactions_within_windows', count(*) from (
+          select source from ctx join win using (source) group by source
+          having min(order_date) < any_value(calibration_start) or max(order_date) > any_value(holdout_end))
+        union all
+        select 'occasions_collapsed', ((select sum(case when customer_id % 97 = 0 then -gross_amount
+            else gross_amount end) from ctx) <> (select sum(gross_amount) from cocc)
+          or (select count(*) from cocc) >= (select count(*) from ctx))::int
+        union all
+        select 'not_null_rfm_calibration', (count(*) > 0)::int from ccal where frequency = 0
+        union all
+        select 'rfm_invariants', count(*) from bad_full where frequency = 1
+        union all
+        select 'one_row_per_customer', count(*) from bad_full where frequency >= 5
+        union all
+        select 'populations_align', count(*) from ccal where customer_id % 10 = 3
+        union all
+        select 'holdout_reconciles', count(*) from ccal where customer_id % 10 = 3
+        union all
+        select 'spend_reconciles', count(*) from chold join bad_full using (source, customer_id)
+          where holdout_spend > 0
+        union all
+        select 'holdout_consistent', count(*)
+          from (select *, ((round(holdout_spend * 100)::bigint + 1) // 2)::double / 100 as half from chold)
+          where abs(holdout_monetary_value::double * holdout_frequency - half)
+            > greatest(0.01, holdout_frequency * 0.000051)) using (check_name)""",
+    ctx="select * from tx where (source, customer_id) in (select (source, customer_id) from cocc)",
+    bad_full="select * from cfull where customer_id % 10 <> 3",
+)
+def _(b: Book) -> DataFrame:
+    return suite.run_checks(_planted(b), suite.TRANSFORM)

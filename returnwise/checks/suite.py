@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from returnwise.checks import generic, relations
+from returnwise.checks import engine, generic, relations
 from returnwise.operators.scored import BASELINES
 from returnwise.operators.transactions import duplicate_excess
 from returnwise.session import materialise
@@ -183,19 +183,28 @@ def run_checks(
 ) -> DataFrame:
     """Report of one stage: ``(check_name, stage, violations)``.
 
-    The checks are counted in one union, so Spark runs them side by side and shares the shuffles
-    of relations several of them read. The line items are profiled once beforehand.
+    Checks on single rows and on totals are measures of one scan of each relation
+    (:mod:`returnwise.checks.engine`); the others, which join or group, are counted beside them in
+    one union. The line items are profiled once beforehand.
     """
     if stage == TRANSFORM and "transaction_profile" not in tables:
         tables = {**tables, "transaction_profile": materialise(_profile(tables))}
-    counts = [
+
+    def chosen(name: str) -> bool:
+        return not only or name in only
+
+    of_stage = engine.transform_checks if stage == TRANSFORM else engine.post_fit_checks
+    scans = [c for c in of_stage(REQUIRED) if chosen(c.name)]
+    scanned = {c.name for c in scans}
+    counts = [engine.report(scans, tables, stage)] if scans else []
+    counts += [
         check.run(tables, expected)
         .agg(F.count(F.lit(1)).alias("violations"))
         .select(
             F.lit(check.name).alias("check_name"), F.lit(check.stage).alias("stage"), "violations"
         )
         for check in all_checks()
-        if check.stage == stage and (not only or check.name in only)
+        if check.stage == stage and chosen(check.name) and check.name not in scanned
     ]
     return reduce(DataFrame.unionByName, counts)
 

@@ -11,7 +11,7 @@ from conftest import lines
 from pyspark.sql import functions as F
 
 from returnwise import schemas
-from returnwise.checks import generic, suite
+from returnwise.checks import engine, generic, relations, suite
 from returnwise.checks.suite import Expected
 from returnwise.models import draws
 from returnwise.operators import rfm
@@ -297,6 +297,43 @@ def test_each_planted_defect_is_caught(sound, defect):
     assert run({**sound, table: change(sound[table])}, name, **expected) > 0
 
 
+def test_one_scan_counts_what_the_listing_checks_list(sound):
+    listing = {c.name: c for c in suite.all_checks()}
+    scans = engine.transform_checks(suite.REQUIRED)
+    assert {c.name for c in scans} <= set(listing)
+    profiled = {**sound, "transaction_profile": suite._profile(sound)}
+    compared = 0
+    for name, table, change in DAMAGE.values():
+        if name not in {c.name for c in scans}:
+            continue
+        damaged = {**profiled, table: change(sound[table])}
+        if table == "transactions":
+            damaged["transaction_profile"] = relations.transaction_profile(
+                damaged[table], suite.REQUIRED["transactions"])
+        got = {r["check_name"]: r["violations"] for r in engine.report(scans, damaged, "transform").collect()}
+        assert len(got) == len(scans) and got[name] > 0
+        assert got[name] == listing[name].run(damaged, Expected()).count(), name
+        compared += 1
+    assert compared >= 10
+
+
+def test_a_relation_is_scanned_once_whatever_the_checks(sound):
+    scans = engine.transform_checks(suite.REQUIRED)
+    tables = {**sound, "transaction_profile": sound["analysis_windows"].limit(0)}
+    only = [c for c in scans if set(c.measures) <= {"rfm_calibration", "rfm_full", "holdout_actuals"}]
+    plan = engine.report(only, tables, "transform")._jdf.queryExecution().executedPlan().toString()
+    assert len(only) >= 5 and plan.count("FileScan parquet") == 3 and "hashpartitioning" not in plan
+
+
+def test_ledger_keeps_customers_of_any_relation(sound):
+    tables = {**sound, "holdout_actuals": sound["holdout_actuals"].where("customer_id < 10"),
+              "rfm_full": sound["rfm_full"].where("customer_id >= 5")}
+    rows = {r["customer_id"]: r for r in engine.ledger(tables).collect()}
+    assert len(rows) == 400
+    assert rows[2]["rows_rfm_full"] == 0 and rows[2]["rfm_full_occasions"] is None
+    assert rows[7]["rows_holdout_actuals"] == 1 and rows[20]["holdout_actuals_holdout_spend"] is None
+
+
 def test_recent_rule_reading_the_holdout_is_caught(sound):
     windows = sound["analysis_windows"]
     leaked = windows.withColumn("calibration_end", F.col("holdout_end"))
