@@ -165,3 +165,66 @@ def test_intermediate_tables_can_be_released(spark, monkeypatch):
     assert os.path.isdir(folder)
     assert release_intermediate(spark) == 1
     assert not os.path.exists(folder)
+
+
+def test_weighted_positions_shuffle_the_rows_once(skewed, monkeypatch):
+    df, frame = skewed
+    seen = []
+    monkeypatch.setattr(ranking, "materialise", lambda d: seen.append(d) or d)
+    ranking.global_positions(df, [F.col("v"), F.col("id")], ["g"], weight="id").count()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 0
+
+
+def test_running_sums_across_batches_groups_and_nulls(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        generator = np.random.default_rng(8)
+        rows = [
+            (None if g == 0 else f"g{g}", int(k), int(w))
+            for g in (0, 0, 1, 2, 3, 3, 3) for k, w in zip(generator.integers(0, 40, 60), generator.integers(0, 9, 60))
+        ]
+        df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "g string, k long, w long, i long")
+        got = ranking.global_positions(
+            df.where("g is not null"), [F.col("k"), F.col("i")], ["g"], weight="w"
+        ).toPandas()
+        for g, part in got.groupby("g"):
+            part = part.sort_values(["k", "i"])
+            assert part["position"].tolist() == (part["w"].cumsum() - part["w"]).tolist()
+        whole = ranking.global_positions(df, [F.col("k"), F.col("i")], weight="w").toPandas().sort_values(["k", "i"])
+        assert whole["position"].tolist() == (whole["w"].cumsum() - whole["w"]).tolist()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_quantiles_of_awkward_values(spark):
+    inf, nan = float("inf"), float("nan")
+    cases = {
+        "one": [3.5], "ties": [1.0] * 50 + [2.0] * 3, "wide": [-1.7e308, -1.0, 0.0, 5e-324, 1.7e308],
+        "tiny": [5e-324, 1e-323, 1.5e-323], "signs": [-3.0, -2.0, 0.0, 0.0, 9.0, 11.0],
+        "ends": [-inf, 1.0, 2.0, 3.0, inf], "skew": [10.0**k for k in range(-300, 300, 7)],
+    }
+    rows = [(g, v) for g, values in cases.items() for v in values] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: r for r in ranking.exact_quantiles(df, "v", {"a": 0.0, "b": 0.5, "c": 0.9, "d": 1.0}, ["g"]).collect()}
+    assert set(got) == set(cases)
+    for g, values in cases.items():
+        ordered = sorted(values)
+        for name, p in (("a", 0.0), ("b", 0.5), ("c", 0.9), ("d", 1.0)):
+            at = (len(ordered) - 1) * p
+            low = int(at)
+            want = ordered[low] if at == low else (1 - (at - low)) * ordered[low] + (at - low) * ordered[low + 1]
+            assert got[g][name] == want or math.isclose(got[g][name], want), (g, name)
+    assert ranking.exact_quantiles(df.limit(0), "v", {"a": 0.5}, ["g"]).collect() == []
+    with_nan = spark.createDataFrame([(x,) for x in (1.0, 2.0, nan)], "v double")
+    assert ranking.exact_quantiles(with_nan, "v", {"m": 0.5}).first()["m"] == 2.0
+
+
+def test_quantiles_sort_nothing(skewed, monkeypatch):
+    df, _ = skewed
+    seen = []
+    keep = ranking.materialise
+    monkeypatch.setattr(ranking, "materialise", lambda d: seen.append(d) or keep(d))
+    ranking.exact_quantiles(df, "v", {"m": 0.5}, ["g"]).collect()
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in seen]
+    assert len(plans) >= 3 and not any("rangepartitioning" in p for p in plans)
