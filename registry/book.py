@@ -106,6 +106,26 @@ class Book:
         base = baselines_of(rfm.history_of(self.wide, RECENT_DAYS), self.calibration)
         return materialise(scored_of(base, self.windows, self.predictions))
 
+    @cached_property
+    def open_wide(self) -> DataFrame:
+        """Every customer, whenever acquired: the relation as a source that still grows has it."""
+        return materialise(rfm.customer_windows(self.occasions, self.windows, LOOK_BACKS))
+
+    @cached_property
+    def open_calibration(self) -> DataFrame:
+        return materialise(rfm.calibration_of(self.open_wide))
+
+    @cached_property
+    def open_scored(self) -> DataFrame:
+        """The scored relation of all calibration customers, those of the last day included."""
+        lengths = self.windows.select("source", F.array("duration_holdout").alias("_horizons"))
+        forecasts = predict(
+            self.open_calibration.join(F.broadcast(lengths), "source"),
+            LITERAL_PURCHASE, LITERAL_SPEND, F.col("_horizons"),
+        )
+        base = baselines_of(rfm.history_of(self.open_wide, RECENT_DAYS), self.open_calibration)
+        return materialise(scored_of(base, self.windows, forecasts))
+
     @cached_property
     def fit_runs(self) -> DataFrame:
         return materialise(

@@ -346,6 +346,15 @@ CTES: dict[str, str] = {
     from ccal group by 1, 2) group by 1)""",
 }
 
+# The same relations over every calibration customer, those acquired on the last day included.
+_OPEN = {"ccal": "cal", "chold": "hold", "crecent": "recent"}
+_RENAMED = ("state", "pop", "base", "scored", "pairs", "scores")
+for _name in _RENAMED:
+    _text = CTES[_name]
+    for _old, _new in {**_OPEN, **{n: f"open_{n}" for n in _RENAMED}}.items():
+        _text = re.sub(rf"(\b(?:from|join)\s+){_old}\b", rf"\1{_new}", _text)
+    CTES[f"open_{_name}"] = re.sub(rf"^{_name} as", f"open_{_name} as", _text)
+
 # Other CTEs each one reads, found by name so that a statement lists only what it starts from.
 _NAMES = {key: re.match(r"\s*(\w+) as", text).group(1) for key, text in CTES.items()}
 

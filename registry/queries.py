@@ -658,6 +658,32 @@ def _(b: Book) -> DataFrame:
     return scored_ops.baselines(b.cohort, b.windows, RECENT_DAYS)
 
 
+@query("c10_scored_open", _SCORED, "select * from open_scored")
+def _(b: Book) -> DataFrame:
+    return b.open_scored
+
+
+@query(
+    "c11_population_constants_open",
+    "source:s repeat_rate_per_day:f9 mean_repeat_order_value:f4",
+    "select * from open_pop",
+)
+def _(b: Book) -> DataFrame:
+    return scored_ops.population_constants(b.open_calibration)
+
+
+@query(
+    "c12_naive_rules_open",
+    f"{KEYS} baseline_purchases:f6 baseline_purchases_flat:f6 baseline_avg_value:f6 "
+    "baseline_revenue:f4 baseline_revenue_flat:f4 baseline_carry_forward:f6 "
+    "baseline_revenue_carry_forward:f4 baseline_recent:f6 baseline_revenue_recent:f4 "
+    "baseline_zero:f6",
+    "select * from open_base",
+)
+def _(b: Book) -> DataFrame:
+    return scored_ops.baselines(b.occasions, b.windows, RECENT_DAYS)
+
+
 @query(
     "c19_repeat_series",
     "source:s month:s occasions:i in_calibration:b",
@@ -1122,7 +1148,19 @@ def _(b: Book) -> DataFrame:
     return rank.spearman(rows, "frequency", "holdout_frequency", ["source"])
 
 
-@query("k6_spearman_p_value", "source:s rho:f6 p_value:f9 n:i")
+@query(
+    "k6_spearman_p_value",
+    "source:s rho:f6 p_value:f9 n:i",
+    # Student's t by Simpson's rule from zero to the statistic.
+    f"""select source, rho, n, greatest(0.0, 1 - 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0))
+           / sqrt((n - 2) * pi()) * t / 60000 * list_sum(list_transform(range(0, 20001),
+             lambda i: (case when i = 0 or i = 20000 then 1 when i % 2 = 1 then 4 else 2 end)
+               * pow(1 + pow(i * t / 20000, 2) / (n - 2), -(n - 1) / 2.0)))) as p_value
+         from (select *, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) as t
+           from (select source, corr(rx, ry) as rho, count(*)::double as n
+             from (select source, {_ranked('baseline_revenue', 'source')} as rx,
+                 {_ranked('holdout_spend', 'source')} as ry from scored) group by 1))""",
+)
 def _(b: Book) -> DataFrame:
     return rank.spearman(b.scored, "baseline_revenue", "holdout_spend", ["source"])
 
@@ -1383,6 +1421,76 @@ def _(b: Book) -> DataFrame:
     return diagnostics.lowest_decile(b.scored)
 
 
+@query(
+    "k18_given_parameter_comparison",
+    "source:s parameter:s fitted_days:f6 fitted_weeks:f6 published:f3",
+    """select source, parameter, avg(value) as fitted_days,
+         avg(value) / case parameter when 'alpha' then 7 else 1 end as fitted_weeks,
+         case parameter when 'r' then 0.243 when 'alpha' then 4.414 when 'a' then 0.793
+           else 2.426 end as published
+       from (select source from win) cross join (
+         select unnest(['r', 'alpha', 'a', 'b']) as parameter, unnest([r, alpha, a, b]) as value
+         from given_draws)
+       group by 1, 2""",
+)
+def _(b: Book) -> DataFrame:
+    # The posterior means of given draws, as a fit stores them for every source.
+    store = b.new_store()
+    for row in b.windows.select("source").collect():
+        means = models.parameter_rows([GIVEN_PURCHASE.mean()], row["source"])
+        stored.write_parameters(store, b.spark.createDataFrame(means, stored.schemas.MODEL_PARAMETERS))
+    return diagnostics.parameter_comparison(store.read(stored.PARAMETERS))
+
+
+@query(
+    "j14_posterior_mean_parameters",
+    "source:s fit_method:s family:s parameter:s value:f6",
+    """select source, 'mcmc' as fit_method, family, parameter, avg(value) as value
+       from (select source from win) cross join (
+         select unnest(['bg_nbd', 'bg_nbd', 'bg_nbd', 'bg_nbd', 'gamma_gamma', 'gamma_gamma',
+             'gamma_gamma']) as family,
+           unnest(['r', 'alpha', 'a', 'b', 'p', 'q', 'v']) as parameter,
+           unnest([r, alpha, a, b, p, q, v]) as value from given_draws)
+       group by 1, 3, 4""",
+)
+def _(b: Book) -> DataFrame:
+    store = b.new_store()
+    for row in b.windows.select("source").collect():
+        means = models.parameter_rows([GIVEN_PURCHASE.mean(), GIVEN_SPEND.mean()], row["source"])
+        stored.write_parameters(store, b.spark.createDataFrame(means, stored.schemas.MODEL_PARAMETERS))
+    return store.read(stored.PARAMETERS)
+
+
+@query(
+    "a14_preconditions",
+    "stage:s outcome:s rows:i",
+    """select 'transform' as stage, 'present' as outcome, count(*) as rows from ccal
+       union all
+       select 'fit', 'present', count(*) from pred
+       union all
+       select 'validate', 'scored not found: run the validate stage first', 0""",
+)
+def _(b: Book) -> DataFrame:
+    # A store in which two stages have run and one has not.
+    store = b.new_store()
+    store.overwrite(stored.CALIBRATION, b.calibration)
+    store.overwrite(stored.WINDOWS, b.windows)
+    stored.write_predictions(store, b.predictions)
+    stored.write_fit_run(store, b.fit_runs)
+    stored.require_predictions(store)
+    found = []
+    for stage, relation in (
+        ("transform", stored.CALIBRATION), ("fit", stored.PREDICTIONS), ("validate", stored.SCORED),
+    ):
+        try:
+            store.require(stage, relation)
+            found.append((stage, "present", store.read(relation).count()))
+        except stored.MissingStage as missing:
+            said = str(missing).replace(f" under {store.root}", "").replace("main.", "").rstrip(".")
+            found.append((stage, said, 0))
+    return b.spark.createDataFrame(found, "stage string, outcome string, rows long")
+
+
 @query("k18_parameter_comparison", "source:s parameter:s fitted_days:f3 fitted_weeks:f3 "
        "published:f3")
 def _(b: Book) -> DataFrame:
