@@ -162,7 +162,7 @@ def _text_file(b: Book, layout: Layout) -> str:
     "a1_fixed_width_permissive",
     "outcome:s lines:i amount:f2",
     """select case when width = 26 then 'accepted'
-         else 'expected 26 characters, found ' || width end as outcome,
+         else 'width ' || width || ' instead of 26' end as outcome,
        count(*) as lines, sum(case when width = 26 then gross_amount end)::double as amount
      from (select gross_amount, 4 + greatest(5, length(customer_id::varchar)) + 8
          + greatest(2, length(quantity::varchar)) + greatest(7, length(gross_amount::varchar))
@@ -844,7 +844,7 @@ def _(b: Book) -> DataFrame:
 
 def _outcomes(b: Book) -> tuple[models.ChallengerOutcome, ...]:
     return tuple(
-        models.ChallengerOutcome(f, b.fitted(f), None, 0.0) for f in models.CHALLENGERS
+        models.attempt(f, lambda f=f: b.fitted(f)) for f in models.CHALLENGERS
     )
 
 
@@ -853,6 +853,46 @@ def _(b: Book) -> DataFrame:
     return challenger_status(b.new_store(), _outcomes(b))
 
 
+def _checked(rows: DataFrame, family: str) -> models.Fit:
+    models.check_assumptions(rows)
+    return models.fit_purchase_model(rows, family)
+
+
+@query(
+    "j6_planted_failures",
+    "source:s family:s status:s detail:s",
+    """select source, unnest(['mbg_nbd', 'pareto_nbd']) as family, 'did not fit' as status,
+         'ModelError: calibration rows refused: ' || case source
+           when 'orders' then 'last purchase after the observation ends (' || late || ')'
+           else 'repeat count below zero (' || negative || '); mean value times repeats is not '
+             || 'the repeat spend (' || apart || '); in the spend model without repeat spend ('
+             || eligible || ')' end as detail
+       from (select source, count(*) filter (customer_id % 7 = 0) as late,
+           count(*) filter (customer_id % 5 = 0) as negative,
+           count(*) filter (customer_id % 5 = 0 and (is_gamma_gamma_eligible)) as eligible,
+           count(*) filter (customer_id % 5 = 0 and abs(-monetary_value
+             - (total_spend - first_occasion_spend)::double) > 0.01) as apart
+         from ccal group by 1)""",
+)
+def _(b: Book) -> DataFrame:
+    # Each source's customers with a defect no model can be fitted through.
+    late = F.when(F.col("customer_id") % 7 == 0, F.col("customer_age") + 1)
+    negative = F.when(F.col("customer_id") % 5 == 0, F.lit(-1))
+    parts = []
+    for source, column, change in (
+        (retail.ORDERS, "recency", late), (retail.EVENTS, "frequency", negative),
+    ):
+        rows = b.calibration.where(F.col("source") == source)
+        kept = b.calibration.schema[column].dataType
+        planted = rows.withColumn(column, F.coalesce(change, F.col(column)).cast(kept))
+        outcomes = tuple(
+            models.attempt(f, lambda f=f, planted=planted: _checked(planted, f)) for f in models.CHALLENGERS
+        )
+        status = challenger_status(b.new_store(), outcomes)
+        parts.append(status.withColumn("source", F.lit(source)))
+    return parts[0].unionByName(parts[1])
+
+
 @query("j2_log_likelihood_literal", "source:s log_likelihood:f4",
        f"""select source, sum(lgamma({BG['r']} + frequency) - lgamma({BG['r']}::double)
              + {BG['r']} * ln({BG['alpha']}) + lgamma({BG['b']} + frequency)

@@ -39,7 +39,7 @@ def require_pairs(df: DataFrame, actual: str, predicted: str) -> int:
         F.count_if(F.col(actual).isNull() | F.col(predicted).isNull()).alias("missing"),
     ).first()
     if row["n"] == 0:
-        raise ValueError("cannot compute a metric over an empty population.")
+        raise ValueError("the population to be scored is empty")
     if row["missing"]:
         raise ValueError(
             f"{row['missing']} rows lack {actual} or {predicted}: the join behind them lost rows."

@@ -109,6 +109,7 @@ def score_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+# Names of the stored metrics.
 METRICS = (
     "mae",
     "rmse",

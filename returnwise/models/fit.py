@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from returnwise.functions.numeric import log_gamma
@@ -58,54 +58,48 @@ class Fit:
 # ---- preconditions ----------------------------------------------------------------------------
 
 
-def assumption_counts(calibration: DataFrame) -> DataFrame:
-    """Rows breaking each assumption, and the eligible rows, in one aggregate."""
-    repeat_spend = F.col("total_spend").cast("double") - F.col("first_occasion_spend").cast("double")
-    mean = F.col("monetary_value").cast("double")
-    eligible = F.col("is_gamma_gamma_eligible")
+def _refusals() -> dict[str, tuple[Column, str]]:
+    """By name: what makes a calibration row unusable, and how the rows are spoken of."""
+    mean, count = F.col("monetary_value").cast("double"), F.col("frequency")
+    rest = F.col("total_spend").cast("double") - F.col("first_occasion_spend").cast("double")
     # monetary_value carries four decimals, so its product with the count is only that exact; a
     # cent is allowed while counts are small.
-    allowed = F.greatest(F.lit(0.01), F.col("frequency") * 0.00005 + F.abs(repeat_spend) * 1e-12)
-    return calibration.agg(
-        F.count(F.lit(1)).alias("customers"),
-        F.count_if(F.col("customer_age") < F.col("recency")).alias("age_below_recency"),
-        F.count_if(F.col("frequency") < 0).alias("negative_frequency"),
-        F.count_if(F.col("customer_age") <= 0).alias("no_age"),
-        F.count_if(F.abs(mean * F.col("frequency") - repeat_spend) > allowed).alias(
-            "inconsistent_spend"
+    allowed = F.greatest(F.lit(0.01), count * 0.00005 + F.abs(rest) * 1e-12)
+    return {
+        "age_below_recency": (
+            F.col("customer_age") < F.col("recency"), "last purchase after the observation ends"
         ),
-        F.count_if(eligible & ((F.col("frequency") <= 0) | (mean <= 0))).alias(
-            "inconsistent_eligibility"
+        "negative_frequency": (count < 0, "repeat count below zero"),
+        "no_age": (F.col("customer_age") <= 0, "not observed for a single day"),
+        "inconsistent_spend": (
+            F.abs(mean * count - rest) > allowed, "mean value times repeats is not the repeat spend"
         ),
-        F.count_if(eligible).alias("eligible"),
-    )
+        "inconsistent_eligibility": (
+            F.col("is_gamma_gamma_eligible") & ((count <= 0) | (mean <= 0)),
+            "in the spend model without repeat spend",
+        ),
+    }
 
 
-_BROKEN = (
-    ("age_below_recency", "customers have recency greater than customer_age"),
-    ("negative_frequency", "customers have negative frequency"),
-    ("no_age", "customers have customer_age of zero or less and were never observed"),
-    (
-        "inconsistent_spend",
-        "customers have a monetary_value that does not reconstruct their repeat spend",
-    ),
-    (
-        "inconsistent_eligibility",
-        "customers are flagged eligible for the spend model without repeats or repeat spend",
-    ),
-)
+def assumption_counts(calibration: DataFrame) -> DataFrame:
+    """Rows breaking each assumption, and the eligible rows, in one aggregate."""
+    return calibration.agg(
+        F.count(F.lit(1)).alias("customers"),
+        *[F.count_if(broken).alias(name) for name, (broken, _) in _refusals().items()],
+        F.count_if(F.col("is_gamma_gamma_eligible")).alias("eligible"),
+    )
 
 
 def check_assumptions(calibration: DataFrame) -> dict[str, int]:
-    """Raise on the first broken assumption, with its row count; return the counts otherwise."""
+    """The counts of sound calibration rows; otherwise an error that lists everything wrong."""
     counts = assumption_counts(calibration).first().asDict()
+    wrong = [f"{words} ({counts[name]})" for name, (_, words) in _refusals().items() if counts[name]]
+    if not wrong and not counts["eligible"]:
+        wrong.append("nobody bought again, which leaves the spend model without data")
     if not counts["customers"]:
-        raise ModelError("no calibration rows.")
-    for name, text in _BROKEN:
-        if counts[name]:
-            raise ModelError(f"{counts[name]:,} {text}.")
-    if not counts["eligible"]:
-        raise ModelError("no customer has repeat spend, so the spend model cannot be fitted.")
+        wrong = ["there are none"]
+    if wrong:
+        raise ModelError(f"calibration rows refused: {'; '.join(wrong)}")
     return counts
 
 
@@ -200,7 +194,7 @@ def fit_purchase_model(
 ) -> Fit:
     """Fit a purchase-count family on every customer; maximum likelihood when ``prior`` is off."""
     if family not in PARAMETERS:
-        raise ModelError(f"unknown model family {family!r}; known: {', '.join(PARAMETERS)}.")
+        raise ModelError(f"there is no family {family!r}; there are {', '.join(PARAMETERS)}")
     return fit_states(stored_states(calibration), family, prior)
 
 
@@ -223,6 +217,8 @@ def fit_states(states: DataFrame, family: str, prior: bool = True) -> Fit:
     names = PARAMETERS[family]
     histogram = count_histogram(states)
     customers = float(histogram[1].sum())
+    if not customers:
+        raise ModelError("there are no customers to fit")
     mean_age = states.agg(F.sum(F.col("n") * F.col("T")) / F.sum("n")).first()[0]
     center = _prior_center(names, float(mean_age))
 
@@ -248,33 +244,51 @@ def fit_states(states: DataFrame, family: str, prior: bool = True) -> Fit:
     )
 
 
+#: What a model that does not fit these data may end in. Anything else is a fault, of the cluster or
+#: of the input, and stops the run.
+UNFITTED = (ModelError, NotConverged, ArithmeticError, np.linalg.LinAlgError)
+
+
 @dataclass(frozen=True)
 class ChallengerOutcome:
-    """A challenger's fit, or the reason there is none."""
+    """How an attempt at a fit ended: in a fit or in the failure that stands for it."""
 
     family: str
-    fit: Fit | None
-    error: str | None
+    ending: Fit | Exception
     seconds: float
 
+    @property
+    def fit(self) -> Fit | None:
+        return self.ending if isinstance(self.ending, Fit) else None
+
     @property
     def succeeded(self) -> bool:
-        return self.error is None
+        return self.fit is not None
+
+    @property
+    def detail(self) -> str:
+        """The parameters in order of name, or what went wrong."""
+        if self.fit is None:
+            return f"{type(self.ending).__name__}: {self.ending}"
+        return ", ".join(f"{k} = {v:.3f}" for k, v in sorted(self.fit.parameters.items()))
+
+
+def attempt(family: str, fitting: Callable[[], Fit]) -> ChallengerOutcome:
+    """Run one fitting and keep how it ended, so that one model cannot stop a comparison."""
+    clock = time.perf_counter()
+    ending: Fit | Exception
+    try:
+        ending = fitting()
+    except UNFITTED as failure:
+        ending = failure
+    return ChallengerOutcome(family, ending, time.perf_counter() - clock)
 
 
 def fit_challenger(calibration: DataFrame, family: str) -> ChallengerOutcome:
-    """Fit one alternative; a modelling failure is a result, an unknown name is a mistake."""
+    """An attempt at one of the alternative families."""
     if family not in CHALLENGERS:
-        raise ModelError(f"unknown challenger {family!r}; known: {', '.join(CHALLENGERS)}.")
-    started = time.perf_counter()
-    try:
-        fit = fit_purchase_model(calibration, family)
-    except (ModelError, NotConverged, ArithmeticError, np.linalg.LinAlgError) as failure:
-        # Only a model that does not fit is a row of the report; a fault of the cluster is a fault.
-        return ChallengerOutcome(
-            family, None, f"{type(failure).__name__}: {failure}", time.perf_counter() - started
-        )
-    return ChallengerOutcome(family, fit, None, time.perf_counter() - started)
+        raise ModelError(f"{family!r} is no challenger; there are {' and '.join(CHALLENGERS)}")
+    return attempt(family, lambda: fit_purchase_model(calibration, family))
 
 
 # ---- spend model ------------------------------------------------------------------------------
@@ -315,7 +329,7 @@ def fit_gamma_gamma(calibration: DataFrame, prior: bool = True) -> Fit:
     x, n = count_histogram(spend.groupBy("frequency").agg(F.count(F.lit(1)).alias("n")))
     customers = float(n.sum())
     if not customers:
-        raise ModelError("no customer has repeat spend, so the spend model cannot be fitted.")
+        raise ModelError("nobody bought again, which leaves the spend model without data")
     frequency, z = F.col("frequency").cast("double"), F.col("monetary_value")
     row = spend.agg(
         F.sum(F.log(z)).alias("log_z"),

@@ -239,13 +239,7 @@ def challenger_status(store: Store, outcomes: tuple[models.ChallengerOutcome, ..
     """One row per challenger: fitted with its parameters, or the reason it was not."""
     return store.spark.createDataFrame(
         [
-            (
-                o.family,
-                "fitted" if o.succeeded else "did not fit",
-                ", ".join(f"{k} = {v:.3f}" for k, v in sorted(o.fit.parameters.items()))
-                if o.succeeded
-                else o.error,
-            )
+            (o.family, "fitted" if o.succeeded else "did not fit", o.detail)
             for o in outcomes
         ],
         "family string, status string, detail string",

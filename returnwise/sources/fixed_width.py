@@ -111,12 +111,12 @@ def parse_lines(lines: DataFrame, layout: Layout = TRANSACTION_LAYOUT) -> DataFr
         F.col("value").rlike(r"[^\x00-\x7F]"), F.lit("line has non-ASCII characters")
     ).when(
         F.length("value") != layout.width,
-        F.concat(F.lit(f"expected {layout.width} characters, found "), F.length("value")),
+        F.concat(F.lit("width "), F.length("value"), F.lit(f" instead of {layout.width}")),
     )
     for column in layout.separators:
         error = error.when(
             F.substring("value", column + 1, 1) != " ",
-            F.lit(f"expected a blank at column {column}"),
+            F.lit(f"column {column} should be blank"),
         )
     for field in layout.fields:
         error = error.when(
@@ -141,7 +141,7 @@ def read_transactions(
         F.count(F.lit(1)).alias("rows"), F.count("error").alias("bad")
     ).first()
     if totals["rows"] == 0:
-        raise FixedWidthFormatError(f"{path} is empty.")
+        raise FixedWidthFormatError(f"no lines in {path}: empty input")
     if totals["bad"]:
         first = (
             parsed.where(F.col("error").isNotNull())

@@ -185,22 +185,22 @@ def test_a_failing_challenger_is_a_result_and_an_unknown_one_a_mistake(customers
         "frequency", F.lit(-5)
     )
     outcome = models.fit_challenger(broken, families.MBG_NBD)
-    assert not outcome.succeeded and outcome.error
+    assert not outcome.succeeded and outcome.fit is None and outcome.detail
     with pytest.raises(AnalysisException):  # a fault of the input is not a result
         models.fit_challenger(customers[0].drop("recency"), families.MBG_NBD)
-    with pytest.raises(models.ModelError, match="unknown challenger"):
+    with pytest.raises(models.ModelError, match="is no challenger"):
         models.fit_challenger(customers[0], "bg_bb")
 
 
 @pytest.mark.parametrize(
     "change,message",
     [
-        ({"recency": "customer_age + 1"}, "recency greater"),
-        ({"frequency": "case when customer_id = 3 then -1 else frequency end"}, "1 customers have neg"),
-        ({"customer_age": "0", "recency": "0"}, "customer_age of zero"),
-        ({"monetary_value": "monetary_value * frequency / (frequency + 1)"}, "reconstruct"),
-        ({"is_gamma_gamma_eligible": "true"}, "flagged eligible"),
-        ({"is_gamma_gamma_eligible": "false"}, "no customer has repeat spend"),
+        ({"recency": "customer_age + 1"}, "after the observation ends"),
+        ({"frequency": "case when customer_id = 3 then -1 else frequency end"}, "below zero .1."),
+        ({"customer_age": "0", "recency": "0"}, "not observed for a single day"),
+        ({"monetary_value": "monetary_value * frequency / (frequency + 1)"}, "is not the repeat spend"),
+        ({"is_gamma_gamma_eligible": "true"}, "without repeat spend"),
+        ({"is_gamma_gamma_eligible": "false"}, "nobody bought again"),
     ],
 )
 def test_broken_assumptions_are_named(customers, change, message):

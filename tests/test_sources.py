@@ -47,11 +47,11 @@ def test_good_lines_keep_duplicates_zeroes_and_line_numbers(spark, tmp_path):
 @pytest.mark.parametrize(
     "line,message",
     [
-        (GOOD[0][:20], "expected 26 characters, found 20"),
-        ("", "expected 26 characters, found 0"),
-        (GOOD[0] + " ", "expected 26 characters, found 27"),
-        ("X" + GOOD[0][1:], "expected a blank at column 0"),
-        (GOOD[0][:15] + "7" + GOOD[0][16:], "expected a blank at column 15"),
+        (GOOD[0][:20], "width 20 instead of 26"),
+        ("", "width 0 instead of 26"),
+        (GOOD[0] + " ", "width 27 instead of 26"),
+        ("X" + GOOD[0][1:], "column 0 should be blank"),
+        (GOOD[0][:15] + "7" + GOOD[0][16:], "column 15 should be blank"),
         (GOOD[0][:3] + "x" + GOOD[0][4:], "could not read customer_id"),
         (GOOD[0].replace(" 1 ", " z "), "could not read quantity"),
         (GOOD[0].replace("11.77", "1.1.7"), "could not read gross_amount"),
