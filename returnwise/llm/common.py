@@ -46,13 +46,27 @@ def held_out(column: str, divisor: int, rest: int) -> Column:
     return F.coalesce(remainder(column, divisor) == F.lit(rest), F.lit(True))
 
 
-def by_batch(start: Callable[[], Callable], kind: pa.DataType, ddl: str, arguments: int = 1):
+def by_batch(
+    start: Callable[[], Callable], kind: pa.DataType, ddl: str, arguments: int = 1, rows: int | None = None
+):
     """A column function from lists of values to a list of values.
 
     ``start`` runs once in each task and returns the function that is applied to every batch: with
-    one list for each argument, it returns one value for each row.
+    one list for each argument, it returns one value for each row. With ``rows``, for one argument,
+    a batch is worked on so many rows at a time, which bounds the Python objects alive at once.
     """
-    if arguments == 1:
+    if rows is not None:
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            work = start()
+            for batch in batches:
+                parts = [
+                    pa.array(work(batch.slice(at, rows).to_pylist()), type=kind)
+                    for at in range(0, len(batch), rows)
+                ]
+                yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+
+    elif arguments == 1:
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             work = start()

@@ -49,6 +49,8 @@ SURE_SIZE = 64
 FIRST_EVERY = 4
 #: Members of a ball that are compared with each other at a time, about.
 SLOT_MEMBERS = 256
+#: Rows whose sketches, ball keys or shingle sets a task holds as Python objects at a time.
+ROWS = 256
 #: Bytes of a text that are shingled at a time; longer texts go block by block.
 BLOCK = 1 << 20
 
@@ -247,9 +249,10 @@ def _likeness(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return similarity(np.bitwise_count(_bits(a) ^ _bits(b)).sum(axis=1, dtype=np.int64))
 
 
-def _jaccard(a: list[list[int]], b: list[list[int]]) -> list[float]:
-    common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
-    return [n / max(1, len(x) + len(y) - n) for n, x, y in zip(common, a, b)]
+def _jaccard(a: str, b: str) -> Column:
+    """The Jaccard similarity of two columns of distinct hashes."""
+    common = F.size(F.array_intersect(a, b))
+    return common / F.greatest(F.lit(1), F.size(a) + F.size(b) - common)
 
 
 def near_balls(nodes: DataFrame) -> DataFrame:
@@ -257,7 +260,7 @@ def near_balls(nodes: DataFrame) -> DataFrame:
 
     The members of one ball stand in an order of their own; ``before`` is the one before, if any.
     """
-    keys = by_batch(lambda: _ball_keys, pa.list_(pa.int64()), "array<long>")
+    keys = by_batch(lambda: _ball_keys, pa.list_(pa.int64()), "array<long>", rows=ROWS)
     held = nodes.select("node", F.explode(keys("print")).alias("key"))
     order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"))
     return held.select(
@@ -407,16 +410,15 @@ def _confirmed(pairs: DataFrame, names: DataFrame | None, texts: DataFrame) -> D
     asked = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     hashes = by_batch(
         lambda: lambda texts: [shingle_set(t).view(np.int64) for t in texts],
-        pa.list_(pa.int64()), "array<long>",
+        pa.list_(pa.int64()), "array<long>", rows=ROWS,
     )
     sets = materialise(
         texts.join(asked, "node", "left_semi").select("node", hashes("text").alias("shingles"))
     )
-    alike = by_batch(lambda: _jaccard, pa.float64(), "double", arguments=2)
     exact = (
         open_pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
-        .where(alike("a_set", "b_set") >= NEAR_LEAST)
+        .where(_jaccard("a_set", "b_set") >= NEAR_LEAST)
         .select("a", "b")
     )
     return materialise(sure.union(exact))
@@ -462,7 +464,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     key, mark = free_name(docs, "__row"), free_name(docs, "__sketch")
-    sketches = by_batch(lambda: _sketches, _SKETCH, "class binary, print binary, size long")
+    sketches = by_batch(lambda: _sketches, _SKETCH, "class binary, print binary, size long", rows=ROWS)
     rows = materialise(
         docs.withColumn(key, F.monotonically_increasing_id()).withColumn(mark, sketches("text"))
     )
