@@ -1,17 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages are the queries and every window of every document is searched. A window that
-holds enough words of a passage is a candidate, however common the words are; the words in common
-are counted for every window and passage, and no subsequence is longer. A candidate counts if
-enough of the passage, and enough of its answer, is a common subsequence of the two, so paraphrases
-with words added, dropped or exchanged are found and mere topics are not. A distributed randomised
-SVD of the TF-IDF windows over the benchmark's terms gives a latent space; the cosine of a window
-and its passage in it says how near they are.
+Benchmark passages are the queries and every window of every document is searched. A distributed
+randomised SVD of all TF-IDF windows over the benchmark's terms gives a latent space, in which windows
+close to a passage by cosine are candidates. A candidate counts if enough of the passage, and enough of
+its answer, is a common subsequence of the two, so paraphrases with words added, dropped or exchanged
+are found and mere topics are not.
+
+A term has a weight however common it is. Whether the space tells a passage from what may surround it
+is tried when it is fitted, with paraphrases between words of the corpus and of other passages; passages
+that would not be near enough are searched by their words in common instead, which misses none. Texts of
+fewer words than ``LEAST_WORDS`` are found word for word.
 """
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +26,18 @@ from returnwise.session import materialise
 
 #: Longest passage, in words; longer benchmark texts are cut into passages of this length.
 PASSAGE_WORDS = 64
-#: Benchmark texts with fewer words are no queries: ordinary text would hold them by chance.
+#: Benchmark texts with fewer words are found word for word only.
 LEAST_WORDS = 8
 #: Window classes by the longest passage they serve. A window is a quarter longer, and windows
 #: start every quarter of that length, so each occurrence of a passage lies whole in some window.
 CLASSES = (16, 32, 64)
 RANK, OVERSAMPLE = 64, 8
-#: Share of documents whose windows span the latent space, chosen by a hash of their text.
-FIT_SHARE = 0.125
+#: A window this near to a passage is a candidate.
+COSINE = 0.4
+#: Paraphrases tried of each passage, and how much nearer than ``COSINE`` all of them must be.
+TRIALS, MARGIN = 32, 0.05
+#: Passages whose words in common are counted at a time.
+COUNTED = 256
 COMMON_WORDS = 0.65
 ANSWER_WORDS = 0.6
 #: Benchmark texts held by a task at a time; more are searched block by block.
@@ -39,6 +46,8 @@ BLOCK_ITEMS = 20_000
 BATCH_WORDS = 400_000
 #: Bytes of word counts held at a time, and pairs whose subsequences are sought at a time.
 COUNT_BYTES, PAIRS = 1 << 24, 20_000
+#: Blocks of a text whose places in the space are summed at a time.
+BLOCKS = 4096
 
 _TO_BLANK = bytes(
     32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256)
@@ -70,18 +79,21 @@ class Passage:
 class Space:
     vocabulary: dict[bytes, int]
     passages: list[Passage]
+    short: list[tuple[int | None, list[int]]] = field(default_factory=list)
     latent: np.ndarray | None = None  # term by dimension, weighted
-    queries: dict[int, tuple[np.ndarray, np.ndarray]] | None = None  # class: passages, unit rows
-    holds: dict[int, np.ndarray] | None = None  # class: term by passage, 1 where it holds the term
+    queries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    # Class: passages, their unit rows, and whether the space holds them.
 
 
 def _passages(items: list[tuple[int | None, str]]) -> Space:
     space = Space({}, [])
     for item_id, text in items:
         own = words(text)
+        ids = [space.vocabulary.setdefault(w, len(space.vocabulary)) for w in own]
         if len(own) < LEAST_WORDS:
+            if own:
+                space.short.append((item_id, ids))
             continue
-        ids = [space.vocabulary.setdefault(w, len(space.vocabulary)) for w in own]
         answer = answer_length(text)
         parts = max(1, -(-len(ids) // PASSAGE_WORDS))
         edges = [len(ids) * i // parts for i in range(parts + 1)]
@@ -94,11 +106,12 @@ def _passages(items: list[tuple[int | None, str]]) -> Space:
     return space
 
 
-def common_subsequences(space: Space, which: np.ndarray, windows: np.ndarray) -> np.ndarray:
+def common_subsequences(space: Space, which: np.ndarray, windows: np.ndarray, share: float = 0.0) -> np.ndarray:
     """By pair, bits of the passage's words in a longest common subsequence with the window.
 
     ``which`` are the pairs' passages; ``windows`` has a row of terms for each pair, filled up with
-    the size of the vocabulary. Passages have at most 64 words, so a state is one number.
+    the size of the vocabulary. Passages have at most 64 words, so a state is one number. Pairs with fewer
+    than ``share`` of the passage's words in common have no bits: their subsequence is no longer.
     """
     masks = np.empty(windows.shape, dtype=np.uint64)
     table = np.zeros(len(space.vocabulary) + 1, dtype=np.uint64)
@@ -110,12 +123,17 @@ def common_subsequences(space: Space, which: np.ndarray, windows: np.ndarray) ->
         table[terms] = np.fromiter(own.values(), np.uint64, len(own))
         masks[rows] = table[windows[rows]]
         table[terms] = 0
-    full = np.array([(1 << len(space.passages[i].terms)) - 1 for i in which], dtype=np.uint64)
+    size = np.array([len(p.terms) for p in space.passages])
+    every = np.array([(1 << n) - 1 for n in size.tolist()], dtype=np.uint64)
+    bits = np.zeros(len(which), dtype=np.uint64)
+    enough = np.flatnonzero(np.count_nonzero(masks, axis=1) >= share * size[which] - 1e-9)
+    masks, full = masks[enough], every[which[enough]]
     state = full.copy()
     for mask in np.ascontiguousarray(masks.T):
         both = state & mask
         state = ((state + both) | (state - both)) & full
-    return full & ~state
+    bits[enough] = full & ~state
+    return bits
 
 
 def _terms(texts: Iterator[str | None], vocabulary: dict[bytes, int], overlap: int):
@@ -151,58 +169,64 @@ def _windows(lengths: np.ndarray, size: int, step: int):
 
 
 def _disjoint(texts, vocabulary):
-    """Term hits of disjoint windows: the windows' count, and each hit's window and term."""
+    """Term hits of disjoint windows: counts of windows and words, and each hit's window and term."""
     for _, lengths, ids in _terms(texts, vocabulary, 0):
         _, start, _ = _windows(lengths, PASSAGE_WORDS, PASSAGE_WORDS)
         at = np.flatnonzero(ids >= 0)
-        yield len(start), np.searchsorted(start, at, "right") - 1, ids[at]
+        yield len(start), len(ids), np.searchsorted(start, at, "right") - 1, ids[at]
 
 
-def fit(docs: DataFrame, items: list[tuple[int | None, str]], fit_share: float = FIT_SHARE) -> Space | None:
-    """The latent space of ``items`` within ``docs(text)``; None where no item is long enough."""
+def fit(docs: DataFrame, items: list[tuple[int | None, str]]) -> Space | None:
+    """The latent space of ``items`` within ``docs(text)``; None where no item has a word."""
     spark = docs.sparkSession
     ship(spark)
     space = _passages(items)
     if not space.passages:
-        return None
+        return space if space.short else None
     terms, r = len(space.vocabulary), min(RANK + OVERSAMPLE, len(space.vocabulary))
     shared = spark.sparkContext.broadcast(space.vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(terms + 1, dtype=np.int64), 0
+        counts, times, total, words_read = np.zeros(terms + 1, dtype=np.int64), np.zeros(terms + 1, dtype=np.int64), 0, 0
         for batch in batches:
-            for n, window, term in _disjoint(batch.column(0).to_pylist(), shared.value):
+            for n, size, window, term in _disjoint(batch.column(0).to_pylist(), shared.value):
                 pairs = np.unique(window.astype(np.int64) * terms + term)
                 counts[:terms] += np.bincount(pairs % terms, minlength=terms)
+                times[:terms] += np.bincount(term, minlength=terms)
                 total += n
-        counts[terms] = total
+                words_read += size
+        counts[terms], times[terms] = total, words_read
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(used), "n": pa.array(counts[used])})
+        yield pa.RecordBatch.from_pydict({
+            "term": pa.array(used), "n": pa.array(counts[used]), "times": pa.array(times[used]),
+        })
 
     texts = docs.select("text").where("text is not null")
-    counted = texts.mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    frequency = np.zeros(terms + 1)
+    counted = (
+        texts.mapInArrow(frequencies, "term bigint, n bigint, times bigint")
+        .groupBy("term").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+    )
+    frequency, usual = np.zeros(terms + 1), np.zeros(terms + 1)
     for row in counted.collect():
-        frequency[row.term] = row.n
+        frequency[row.term], usual[row.term] = row.n, row.times
     total, frequency = frequency[terms], frequency[:terms]
+    usual = usual[:terms] / max(usual[terms], 1)
     weight = np.log((total + 1) / (frequency + 1)) + 1
 
     passage_of = np.repeat(np.arange(len(space.passages)), [len(p.terms) for p in space.passages])
     passage_terms = np.concatenate([p.terms for p in space.passages])
     # The passages weigh as much as all windows together, so the space is spanned by both alike.
-    windows_weight = fit_share * float(((weight**2) * frequency).sum())
+    windows_weight = float(((weight**2) * frequency).sum())
     share = max(1.0, windows_weight / max(float((weight[passage_terms] ** 2).sum()), 1e-9))
 
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(10_000)) < int(fit_share * 10_000))
-
     def product(basis: np.ndarray) -> np.ndarray:
-        """Transpose(A) A basis, A the weighted windows of the sample and the passages."""
+        """Transpose(A) A basis, A the weighted windows and the passages."""
         wide = spark.sparkContext.broadcast((weight[:, None] * basis).astype(np.float32))
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros((terms, basis.shape[1]))
             for batch in batches:
-                for n, window, term in _disjoint(batch.column(0).to_pylist(), shared.value):
+                for _, _, window, term in _disjoint(batch.column(0).to_pylist(), shared.value):
                     if len(term):
                         out += _outer(wide.value, window, term, terms)
             rows = np.flatnonzero(np.abs(out).sum(axis=1))
@@ -211,7 +235,7 @@ def fit(docs: DataFrame, items: list[tuple[int | None, str]], fit_share: float =
 
         names = [f"y{i}" for i in range(basis.shape[1])]
         ddl = "term bigint, " + ", ".join(f"{x} double" for x in names)
-        parts = sample.mapInArrow(partial, ddl).groupBy("term").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
+        parts = texts.mapInArrow(partial, ddl).groupBy("term").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
         out = np.zeros((terms, basis.shape[1]))
         out[parts["term"].to_numpy(dtype=np.int64)] = parts[names].to_numpy()
         out += share * _outer(wide.value, passage_of, passage_terms, terms)
@@ -224,21 +248,36 @@ def fit(docs: DataFrame, items: list[tuple[int | None, str]], fit_share: float =
     values, vectors = np.linalg.eigh(basis.T @ again)
     rank = min(RANK, int((values > values[-1] * 1e-9).sum()))
     space.latent = (weight[:, None] * (basis @ vectors[:, ::-1][:, :rank])).astype(np.float32)
-    space.queries, space.holds = {}, {}
     size = np.array([len(p.terms) for p in space.passages])
-    low = 0
+    rng, low = np.random.default_rng(11), 0
     for top in CLASSES:
         own = np.flatnonzero((size > low) & (size <= top))
         low = top
         if len(own):
             rows = np.array([space.latent[space.passages[i].terms].sum(axis=0) for i in own])
-            space.queries[top] = own, (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-            space.holds[top] = np.zeros((terms, len(own)), dtype=np.uint8)
-            for j, i in enumerate(own):
-                space.holds[top][space.passages[i].terms, j] = 1
+            unit = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+            near = [_nearness(space.latent, space.passages[i].terms, u, usual, passage_terms, top, rng) for i, u in zip(own, unit)]
+            space.queries[top] = own, unit, np.array(near) >= COSINE + MARGIN
     return space
 
 
+def _nearness(latent, own: list[int], unit, usual, others, top: int, rng) -> float:
+    """The least cosine with a passage of trial windows that hold just enough of its words.
+
+    The rest of a window is drawn from all documents' words, or runs on in the benchmark's passages.
+    """
+    words, least = np.array(own), int(np.ceil(COMMON_WORDS * len(own) - 1e-9))
+    kept = np.argsort(rng.random((TRIALS, len(own))), axis=1)[:, :least]
+    rest = top + top // 4 - least
+    ends = np.cumsum(usual)
+    drawn = np.searchsorted(ends, rng.random((TRIALS // 2, rest)), "right")
+    blank = np.concatenate((latent, np.zeros((1, latent.shape[1]), latent.dtype)))
+    runs = (rng.integers(0, len(others), (TRIALS - TRIALS // 2, 1)) + np.arange(rest)) % len(others)
+    around = np.concatenate((np.minimum(drawn, len(latent)), others[runs]))
+    rows = latent[words[kept]].sum(axis=1) + blank[around].sum(axis=1)
+    return float((rows @ unit / np.maximum(np.linalg.norm(rows, axis=1), 1e-9)).min())
+
+
 def _outer(wide: np.ndarray, window: np.ndarray, term: np.ndarray, terms: int) -> np.ndarray:
     """Sum by term of the window rows that hold it; ``window`` is sorted."""
     heads = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
@@ -252,12 +291,55 @@ def _outer(wide: np.ndarray, window: np.ndarray, term: np.ndarray, terms: int) -
     return out
 
 
-def _candidates(holds: np.ndarray, least: np.ndarray, hits: np.ndarray, edges: np.ndarray):
-    """Starts of windows and passages that have ``least`` words in common, as blocks and columns.
+def _near(space: Space, own: np.ndarray, unit: np.ndarray, least: np.ndarray, hits, edges, first, stop):
+    """Windows and columns of the passages they are near to.
+
+    ``hits[edges[i]:edges[i + 1]]`` are the terms in block ``i``; window ``j`` is the blocks from
+    ``first[j]`` to before ``stop[j]``.
+    """
+    full = np.flatnonzero(np.diff(edges))
+    prefix = np.zeros((len(edges), unit.shape[1]))
+    low = 0
+    while low < len(full):
+        part = full[low : low + BLOCKS]
+        terms = hits[edges[part[0]] : edges[part[-1] + 1]]
+        prefix[part + 1] = np.add.reduceat(space.latent[terms], edges[part] - edges[part[0]], axis=0)
+        low += BLOCKS
+    np.cumsum(prefix, axis=0, out=prefix)
+    count = edges[stop] - edges[first]
+    filled = np.flatnonzero(count >= least.min())
+    at_once = max(1, COUNT_BYTES // (4 * len(own)))
+    for low in range(0, len(filled), at_once):
+        window = filled[low : low + at_once]
+        rows = (prefix[stop[window]] - prefix[first[window]]).astype(np.float32)
+        norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)
+        w, column = np.nonzero(rows @ unit.T >= COSINE * norm[:, None])
+        enough = count[window[w]] >= least[column]
+        yield window[w[enough]], column[enough]
+
+
+def _common(space: Space, own: np.ndarray, least: np.ndarray, hits, edges):
+    """First blocks of windows and columns of the passages with ``least`` words in common.
 
     ``hits[edges[i]:edges[i + 1]]`` are the terms in block ``i``, five blocks make a window. A count
-    may run on into the next text, which only adds candidates.
+    may run on into the next text, which only adds candidates. Passages are taken ``COUNTED`` at a
+    time, over the terms they hold, so the table stays small whatever the benchmark.
     """
+    for first in range(0, len(own), COUNTED):
+        part = own[first : first + COUNTED]
+        used, place = np.unique(np.concatenate([space.passages[i].terms for i in part]), return_inverse=True)
+        holds = np.zeros((len(used), len(part)), dtype=np.uint8)
+        holds[place, np.repeat(np.arange(len(part)), [len(space.passages[i].terms) for i in part])] = 1
+        row_of = np.full(len(space.vocabulary), -1)
+        row_of[used] = np.arange(len(used))
+        rows_of_hits = row_of[hits]
+        inside = np.flatnonzero(rows_of_hits >= 0)
+        own_edges = np.searchsorted(inside, edges)
+        for block, column in _counted(holds, least[first : first + COUNTED], rows_of_hits[inside], own_edges):
+            yield block, column + first
+
+
+def _counted(holds: np.ndarray, least: np.ndarray, hits: np.ndarray, edges: np.ndarray):
     blocks = len(edges) - 1
     at_once = max(16, COUNT_BYTES // (holds.shape[1] * max(1, -(-len(hits) // blocks))))
     for low in range(0, blocks, at_once):
@@ -273,6 +355,26 @@ def _candidates(holds: np.ndarray, least: np.ndarray, hits: np.ndarray, edges: n
         yield block + low, column
 
 
+def _verbatim(space: Space, lengths: np.ndarray, ids: np.ndarray):
+    """Segments and numbers of the short texts that stand in them word for word."""
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    segment = np.repeat(np.arange(len(lengths)), lengths)
+    by_first: dict[int, list[int]] = {}
+    for i, (_, terms) in enumerate(space.short):
+        by_first.setdefault(terms[0], []).append(i)
+    at = np.flatnonzero(np.isin(ids, list(by_first)))
+    order = at[np.argsort(ids[at], kind="stable")]
+    cuts = np.flatnonzero(np.diff(ids[order])) + 1
+    for starts in np.split(order, cuts):
+        for i in by_first[int(ids[starts[0]])] if len(starts) else ():
+            terms = space.short[i][1]
+            there = starts[starts + len(terms) <= ends[starts]]
+            for j in range(1, len(terms)):
+                there = there[ids[there + j] == terms[j]]
+            for k in np.unique(segment[there]).tolist():
+                yield k, i
+
+
 def _search(space: Space, texts: list) -> list[list[dict]]:
     found: list[dict] = [{} for _ in texts]
     size = np.array([len(p.terms) for p in space.passages])
@@ -283,25 +385,39 @@ def _search(space: Space, texts: list) -> list[list[dict]]:
         if not len(at):
             continue
         hits = ids[at]
-        for top, (own, queries) in space.queries.items():
+        if space.short:
+            for k, i in _verbatim(space, lengths, ids):
+                found[owners[k]][-1 - i] = {"item_id": space.short[i][0], "cosine": 1.0, "common": 1.0, "answer": 1.0}
+        for top, (passages, units, held) in space.queries.items():
             step = top // 4
             segment, start, end = _windows(lengths, top + step, step)
             a, b = np.searchsorted(at, start), np.searchsorted(at, end)
+            unit_of = {int(i): u for i, u in zip(passages, units)}
             # Blocks of a step lie from each window's start to the next; the last ones start none.
-            _, block_start, _ = _windows(lengths, step, step)
+            owner, block_start, _ = _windows(lengths, step, step)
             edges = np.append(np.searchsorted(at, block_start), len(at))
-            place = np.searchsorted(block_start, start, "right") - 1
-            window_of = np.full(len(block_start), -1)
-            window_of[place] = np.arange(len(start))
-            for block, column in _candidates(space.holds[top], least[own], hits, edges):
-                window = window_of[block]
-                column, window = column[window >= 0], window[window >= 0]
-                for low in range(0, len(window), PAIRS):
-                    w, j = window[low : low + PAIRS], column[low : low + PAIRS]
+            first = np.searchsorted(block_start, start, "right") - 1
+            stop = np.minimum(first + 5, np.searchsorted(owner, segment, "right"))
+
+            def candidates():
+                if held.any():
+                    own = passages[held]
+                    for window, column in _near(space, own, units[held], least[own], hits, edges, first, stop):
+                        yield window, own[column]
+                if not held.all():
+                    own = passages[~held]
+                    window_of = np.full(len(block_start), -1)
+                    window_of[first] = np.arange(len(start))
+                    for block, column in _common(space, own, least[own], hits, edges):
+                        window = window_of[block]
+                        yield window[window >= 0], own[column[window >= 0]]
+
+            for windows, columns in candidates():
+                for low in range(0, len(windows), PAIRS):
+                    w, which = windows[low : low + PAIRS], columns[low : low + PAIRS]
                     inside = a[w, None] + np.arange(top + step)
                     rows = np.where(inside < b[w, None], hits[np.minimum(inside, len(hits) - 1)], len(space.vocabulary))
-                    which = own[j]
-                    bits = common_subsequences(space, which, rows)
+                    bits = common_subsequences(space, which, rows, COMMON_WORDS)
                     share = np.bitwise_count(bits) / size[which]
                     last = (size - answers)[which]
                     inner = np.bitwise_count(bits >> np.minimum(last, 63).astype(np.uint64))
@@ -309,15 +425,15 @@ def _search(space: Space, texts: list) -> list[list[dict]]:
                     good = np.flatnonzero((share >= COMMON_WORDS) & (answer >= ANSWER_WORDS))
                     for i in good.tolist():
                         row = space.latent[hits[a[w[i]] : b[w[i]]]].sum(axis=0)
-                        cosine = row @ queries[j[i]] / max(float(np.linalg.norm(row)), 1e-9)
+                        cosine = row @ unit_of[int(which[i])] / max(float(np.linalg.norm(row)), 1e-9)
                         hit = {
                             "item_id": space.passages[which[i]].item_id, "cosine": float(cosine),
                             "common": float(share[i]), "answer": float(answer[i]),
                         }
-                        held = found[owners[segment[w[i]]]]
-                        best = held.setdefault(int(which[i]), hit)
+                        kept = found[owners[segment[w[i]]]]
+                        best = kept.setdefault(int(which[i]), hit)
                         if (hit["common"], hit["cosine"]) > (best["common"], best["cosine"]):
-                            held[int(which[i])] = hit
+                            kept[int(which[i])] = hit
     return [list(x.values()) for x in found]
 
 
@@ -331,8 +447,8 @@ def hits_column(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_
     """A column over ``docs.text``: an array with one hit for each benchmark passage found.
 
     ``benchmark(item_id, text)`` is searched in blocks of about ``block_items`` texts, each with
-    its own latent space. NULL and short benchmark texts have no passages; repeated ones are each
-    found. A NULL document has no hits.
+    its own latent space. NULL benchmark texts and those without words find nothing; repeated ones are
+    each found. A NULL or empty document has no hits; a long one is searched to its end.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -362,12 +478,16 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark passage, unchanged."""
+    """The rows of ``docs`` that hold no benchmark passage, unchanged, repeated ones and NULLs too."""
     return docs.where(F.size(hits_column(docs, benchmark)) == 0)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, contaminated, n_passages, item_ids, best_common, best_cosine`` of every document."""
+    """``doc_id, contaminated, n_passages, item_ids, best_common, best_cosine`` of every document.
+
+    A row for each row of ``docs``, repeated ones too. Without a hit, as for NULL and empty texts, item
+    ids are empty and both measures NULL. A hit of a NULL item_id counts but names no item.
+    """
     ids = F.array_sort(F.array_distinct(F.col("hits.item_id")))
     return search(docs, benchmark).select(
         "doc_id",

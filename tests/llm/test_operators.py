@@ -394,7 +394,7 @@ def test_decontamination(spark, odd, empty):
     rng = np.random.default_rng(2)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
     sentence = lambda n: " ".join(rng.choice(vocabulary, n))
-    items = [(i, f"{sentence(20)}. {sentence(12)}.") for i in range(30)] + [(99, None), (98, "too short")]
+    items = [(i, f"{sentence(20)}. {sentence(12)}.") for i in range(30)] + [(99, None), (98, "too short"), (97, ""), (96, ".")]
     benchmark = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
     docs = []
     for i in range(100, 400):
@@ -436,6 +436,76 @@ def test_decontamination_finds_what_is_common(spark):
         assert {i for i, ids in got.items() if str(k) in ids.split(",")} == own
 
 
+def plain_subsequence(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        before = best[:]
+        for j, y in enumerate(b):
+            best[j + 1] = before[j] + 1 if x == y else max(before[j + 1], best[j])
+    return best[-1]
+
+
+def test_common_subsequences_equal_the_plain_ones():
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join(rng.choice(list("abcdefgh"), n))) for i, n in enumerate([8, 9, 20, 63, 64])]
+    space = decontaminate._passages(items)
+    which = rng.integers(0, len(space.passages), 200)
+    windows = rng.integers(0, len(space.vocabulary) + 1, (200, 40))
+    want = [plain_subsequence(space.passages[k].terms, w.tolist()) for k, w in zip(which, windows)]
+    assert np.bitwise_count(decontaminate.common_subsequences(space, which, windows)).tolist() == want
+    some = np.bitwise_count(decontaminate.common_subsequences(space, which, windows, 0.65))
+    size = np.array([len(p.terms) for p in space.passages])[which]
+    assert all(a == b or (a == 0 and b < 0.65 * n) for a, b, n in zip(some, want, size))
+
+
+def test_paraphrases_are_found_by_cosine_as_by_brute_force(spark):
+    """Passages of shared and of rare words; windows are compared with every passage, word by word."""
+    rng = np.random.default_rng(8)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(2000)])
+    chance = 1 / np.arange(3, len(vocabulary) + 3)
+    sentence = lambda n: " ".join(rng.choice(vocabulary, n, p=chance / chance.sum()))
+    items = [(i, f"{sentence(int(rng.integers(6, 40)))}. {sentence(int(rng.integers(4, 12)))}.") for i in range(60)]
+    rows = []
+    for i in range(400):
+        own = items[i % 60][1].split()
+        kept = np.sort(rng.permutation(len(own))[: int(np.ceil(rng.uniform(0.66, 1) * len(own)))])
+        rows.append((i, f"{sentence(60)} {' '.join(own[k] for k in kept)} {sentence(60)}", "en"))
+    table = documents(spark, rows)
+    space = decontaminate.fit(table, items)
+    found = decontaminate._search(space, [x[1] for x in rows])
+    held = [h for _, _, h in space.queries.values()]
+    assert any(h.any() for h in held)
+    want = set()
+    for i, text, _ in rows:
+        terms = [space.vocabulary.get(w, -1) for w in decontaminate.words(text)]
+        p = space.passages[i % 60]
+        for top in decontaminate.CLASSES:
+            if len(p.terms) <= top:
+                break
+        for a in range(0, max(1, len(terms) - top), top // 4):
+            window = terms[a : a + top + top // 4]
+            share = plain_subsequence(p.terms, window) / len(p.terms)
+            if share >= 0.65 and plain_subsequence(p.terms[-p.answer :], window) / p.answer >= 0.7:
+                want.add((i, p.item_id))
+    got = {(i, h["item_id"]) for i, hits in enumerate(found) for h in hits}
+    assert len(want) > 200 and len(want & got) >= 0.98 * len(want)
+
+
+def test_short_benchmark_texts_are_found_word_for_word(spark):
+    benchmark = spark.createDataFrame(
+        [(1, "What is the capital of France? Paris."), (2, "Paris"), (3, None), (4, "of France")],
+        "item_id long, text string",
+    )
+    texts = [
+        "So: what is the capital of france -- PARIS, they say", "the capital of the France paris", "what is the capital of",
+        "france", None, "", "word " * 500_000 + "of france",
+    ]
+    rows = decontaminate.query(documents(spark, [(i, t, "en") for i, t in enumerate(texts)]), benchmark).collect()
+    assert {r.doc_id: r.item_ids for r in rows} == {0: "1,2,4", 1: "2", 2: "", 3: "", 4: "", 5: "", 6: "4"}
+    clean = decontaminate.clean(documents(spark, [(i, t, "en") for i, t in enumerate(texts)]), benchmark)
+    assert sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 5]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1200, 16))
