@@ -291,21 +291,23 @@ def _outer(wide: np.ndarray, window: np.ndarray, term: np.ndarray, terms: int) -
     return out
 
 
-def _near(space: Space, own: np.ndarray, unit: np.ndarray, least: np.ndarray, hits, edges, first, stop):
-    """Windows and columns of the passages they are near to.
-
-    ``hits[edges[i]:edges[i + 1]]`` are the terms in block ``i``; window ``j`` is the blocks from
-    ``first[j]`` to before ``stop[j]``.
-    """
+def _places(space: Space, hits: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Running sums of the blocks' places in the space; ``hits[edges[i]:edges[i + 1]]`` are in block ``i``."""
     full = np.flatnonzero(np.diff(edges))
-    prefix = np.zeros((len(edges), unit.shape[1]))
-    low = 0
-    while low < len(full):
+    prefix = np.zeros((len(edges), space.latent.shape[1]))
+    for low in range(0, len(full), BLOCKS):
         part = full[low : low + BLOCKS]
         terms = hits[edges[part[0]] : edges[part[-1] + 1]]
         prefix[part + 1] = np.add.reduceat(space.latent[terms], edges[part] - edges[part[0]], axis=0)
-        low += BLOCKS
-    np.cumsum(prefix, axis=0, out=prefix)
+    return np.cumsum(prefix, axis=0, out=prefix)
+
+
+def _near(own: np.ndarray, unit: np.ndarray, least: np.ndarray, prefix, edges, first, stop):
+    """Windows and columns of the passages they are near to.
+
+    Block ``i`` has the hits from ``edges[i]`` to ``edges[i + 1]`` and ``prefix[i]`` sums the places of
+    all before it; window ``j`` is the blocks from ``first[j]`` to before ``stop[j]``.
+    """
     count = edges[stop] - edges[first]
     filled = np.flatnonzero(count >= least.min())
     at_once = max(1, COUNT_BYTES // (4 * len(own)))
@@ -388,6 +390,11 @@ def _search(space: Space, texts: list) -> list[list[dict]]:
         if space.short:
             for k, i in _verbatim(space, lengths, ids):
                 found[owners[k]][-1 - i] = {"item_id": space.short[i][0], "cosine": 1.0, "common": 1.0, "answer": 1.0}
+        # The smallest blocks' sums serve every class: larger blocks are runs of them.
+        fine = min((top for top, (_, _, held) in space.queries.items() if held.any()), default=0) // 4
+        if fine:
+            _, fine_start, _ = _windows(lengths, fine, fine)
+            places = _places(space, hits, np.append(np.searchsorted(at, fine_start), len(at)))
         for top, (passages, units, held) in space.queries.items():
             step = top // 4
             segment, start, end = _windows(lengths, top + step, step)
@@ -402,7 +409,9 @@ def _search(space: Space, texts: list) -> list[list[dict]]:
             def candidates():
                 if held.any():
                     own = passages[held]
-                    for window, column in _near(space, own, units[held], least[own], hits, edges, first, stop):
+                    starts = np.searchsorted(fine_start, block_start)
+                    prefix = places[np.append(starts, len(fine_start))]
+                    for window, column in _near(own, units[held], least[own], prefix, edges, first, stop):
                         yield window, own[column]
                 if not held.all():
                     own = passages[~held]
