@@ -5,8 +5,9 @@ classes of their own inside the network; every other word falls into a class by
 which its smoothed corpus count decides, so each text has a proper probability whatever its words.
 Counts cover all training documents and stay distributed: the commonest words travel to every task
 as a table of bounded size, the rest meet their counts in a join. The network learns by truncated
-backpropagation on all training documents, in tasks whose parameters are averaged after each round. Scoring carries the state from window to window through
-the whole document.
+backpropagation on all training documents. They are dealt by hash into shards of a set size and order,
+and the shards' parameters are averaged after each round, so a model doesn't depend on how many files
+or tasks hold the table. Scoring carries the state from window to window through the whole document.
 """
 
 import math
@@ -31,8 +32,10 @@ EMBEDDING, HIDDEN = 16, 24
 #: Passes over all training documents.
 ROUNDS = 4
 RATE = 0.01
-#: Documents learned from side by side, at least and at most, and steps of a window of backpropagation.
-STREAMS, STEPS = (64, 512), 16
+#: Streams of text learned from side by side, at most, and steps of a window of backpropagation.
+STREAMS, STEPS = 128, 16
+#: Tokens of a shard, about; tokens held at a time; and shards averaged at a time.
+SHARD, HELD, AVERAGED = 500_000, 1_000_000, 64
 #: Documents scored side by side, and steps between evaluations of the output layer.
 SCORED, WINDOW = 2048, 32
 #: Different words that a counting task holds before it passes its counts on.
@@ -127,10 +130,11 @@ class Network:
                 dh[own] += d @ self.O[part]
         return (out, grads, dh) if gradient else out
 
-    def window(self, ids: np.ndarray, mask: np.ndarray, h: np.ndarray):
+    def window(self, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None):
         """Sum of log-probabilities over ``ids[step, stream]``, its gradients, and the last states.
 
-        Gradients stop at the window's start; states go on where ``mask`` holds.
+        Gradients stop at the window's start; states go on where ``mask`` holds and are zero where a
+        text begins, which ``fresh`` marks.
         """
         steps, streams = ids.shape
         n = self.hidden
@@ -138,6 +142,8 @@ class Network:
         inputs = self.E[ids]
         x = inputs @ self.W + self.b
         for t in range(steps):
+            if fresh is not None:
+                h = np.where(fresh[t][:, None], np.float32(0), h)
             before[t] = h
             after, parts = self.step(x[t], h)
             kept.append(parts)
@@ -159,6 +165,8 @@ class Network:
             dx[t] = np.concatenate((dz, dr, dnew), axis=1)
             dg[t] = np.concatenate((dz, dr, dnew * r), axis=1)
             dh = np.where(mask[t][:, None], live * z, dh) + dg[t] @ self.U.T + direct[t]
+            if fresh is not None:
+                dh = np.where(fresh[t][:, None], np.float32(0), dh)
         flat = dx.reshape(-1, 3 * n)
         grads["U"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
         grads["W"] = inputs.reshape(-1, inputs.shape[2]).T @ flat
@@ -169,39 +177,6 @@ class Network:
         grads["E"][read] = np.add.reduceat((flat @ self.W.T)[order], first, axis=0)
         return float(out.sum()), grads, h
 
-    def learn(self, texts: list[np.ndarray]) -> int:
-        """One pass over documents of ids by Adam, windows in order; the number of tokens."""
-        first = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        second = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        turn = seen = 0
-        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        streams = int(np.clip(len(texts) // 8, *STREAMS))
-        for a in range(0, len(order), streams):
-            own = [texts[i] for i in order[a : a + streams]]
-            longest = max(map(len, own))
-            h = np.zeros((len(own), self.hidden), np.float32)
-            for at in range(0, longest, STEPS):
-                live = [x for x in own if len(x) > at]  # the shortest come first
-                h = h[len(own) - len(live) :]
-                own = live
-                ids = np.zeros((STEPS, len(own)), np.int64)
-                mask = np.zeros((STEPS, len(own)), bool)
-                for j, x in enumerate(own):
-                    part = x[at : at + STEPS]
-                    ids[: len(part), j] = part
-                    mask[: len(part), j] = True
-                _, grads, h = self.window(ids, mask, h)
-                count = int(mask.sum())
-                seen += count
-                turn += 1
-                for k in self.NAMES:
-                    g = np.clip(grads[k] / count, -1, 1)
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.99 * second[k] + 0.01 * g * g
-                    move = (first[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.99**turn)) + 1e-6)
-                    setattr(self, k, (getattr(self, k) + RATE * move).astype(np.float32))
-        return seen
-
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Log10-probability of each document of ids, the state carried through all of it."""
         result = np.zeros(len(texts))
@@ -237,6 +212,47 @@ class Network:
             at += old.size
 
 
+class Learner:
+    """Adam over a network; its moments go on from one lot of documents to the next."""
+
+    def __init__(self, network: Network, rate: float):
+        self.network, self.rate, self.turn, self.seen = network, rate, 0, 0
+        self.first = {k: np.zeros_like(getattr(network, k)) for k in network.NAMES}
+        self.second = {k: np.zeros_like(getattr(network, k)) for k in network.NAMES}
+
+    def learn(self, texts: list[np.ndarray]) -> None:
+        """One pass over all tokens of documents of ids, in their order.
+
+        The documents are joined and cut into streams of one length, whatever their own; the state is
+        zero where a document or a stream begins.
+        """
+        ids = np.concatenate(texts).astype(np.int64)
+        begins = np.zeros(len(ids), bool)
+        begins[np.cumsum([0, *map(len, texts[:-1])])] = True
+        streams = int(np.clip(len(ids) // (8 * STEPS), 1, STREAMS))
+        length = -(-len(ids) // streams)
+        spare = streams * length - len(ids)
+        lay = lambda x: np.pad(x, (0, spare)).reshape(streams, length).T
+        whole, fresh, live = lay(ids), lay(begins), lay(np.ones(len(ids), bool))
+        h = np.zeros((streams, self.network.hidden), np.float32)
+        for at in range(0, length, STEPS):
+            part = slice(at, at + STEPS)
+            count = int(live[part].sum())
+            if count:
+                _, grads, h = self.network.window(whole[part], live[part], h, fresh[part])
+                self._move(grads, count, min(1.0, count / (streams * STEPS)))
+        self.seen += len(ids)
+
+    def _move(self, grads: dict, count: int, share: float) -> None:
+        self.turn += 1
+        for k in self.network.NAMES:
+            g = np.clip(grads[k] / count, -1, 1)
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g
+            self.second[k] = 0.99 * self.second[k] + 0.01 * g * g
+            step = (self.first[k] / (1 - 0.9**self.turn)) / (np.sqrt(self.second[k] / (1 - 0.99**self.turn)) + 1e-6)
+            setattr(self.network, k, (getattr(self.network, k) + self.rate * share * step).astype(np.float32))
+
+
 @dataclass
 class Model:
     """Counts and network; ``counts`` is the whole table ``word, n``."""
@@ -317,46 +333,87 @@ def learn(docs: DataFrame, train) -> Model | None:
     def coded(texts):
         return [_to_ids(tokens(t), shared.value, pad).tolist() for t in texts]
 
-    known = materialise(chosen.select(by_batch(lambda: coded, pa.list_(pa.int64()), "array<bigint>")("text").alias("ids")))
-    for _ in range(ROUNDS):
-        network = _round(known, network)
+    shards = max(1, -(-whole.n // SHARD))
+    coded_column = by_batch(lambda: coded, pa.list_(pa.int16()), "array<smallint>")("text")
+    # Equal rows travel once with their number, so a repeated row cannot crowd one shard.
+    known = materialise(
+        chosen.select("doc_id", coded_column.alias("ids")).groupBy("doc_id", "ids").count()
+        .select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"))
+        .select("ids", F.xxhash64("doc_id", "ids", "copy").alias("place"))
+        .withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
+    )
+    for i in range(ROUNDS):
+        network = _round(known, network, shards, RATE * (1 - i / ROUNDS))
     return Model(counts, whole.n, whole.v, head, ids, network, rest + 0.5 * (kinds + 1))
 
 
-def _round(known: DataFrame, network: Network, block: int = 4096) -> Network:
-    """The average of the tasks' networks after each has learned from its documents."""
+def _round(known: DataFrame, network: Network, shards: int, rate: float, block: int = 4096) -> Network:
+    """The average of the shards' networks after each has learned from its ``known(ids, place, shard)``."""
     shared = known.sparkSession.sparkContext.broadcast(network)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
-        mine, seen = copy.deepcopy(shared.value), 0
-        for batch in batches:
-            column = batch.column(0)
-            texts = np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
-            if batch.num_rows:
-                seen += mine.learn(texts)
-        if seen:
-            values = mine.blocks()
+        shard, mine, texts, held = None, None, [], 0
+
+        def flush():
+            nonlocal texts, held
+            if texts:
+                mine.learn(texts)
+            texts, held = [], 0
+
+        def result():
+            flush()
+            values = mine.network.blocks().astype(float)
             parts = [values[i : i + block] for i in range(0, len(values), block)]
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array(range(len(parts)), pa.int32()), "seen": pa.array([seen] * len(parts), pa.int64()),
-                "weights": pa.array([p.tolist() for p in parts], pa.list_(pa.float32())),
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array(range(len(parts)), pa.int32()), "shard": pa.array([shard] * len(parts), pa.int32()),
+                "seen": pa.array([mine.seen] * len(parts), pa.int64()),
+                "weights": pa.array([p.tolist() for p in parts], pa.list_(pa.float64())),
             })
 
+        for batch in batches:
+            column = batch.column(0)
+            own = np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
+            for text, k in zip(own, batch.column(1).to_pylist()):
+                if k != shard:
+                    if mine is not None:
+                        yield result()
+                    shard, mine = k, Learner(copy.deepcopy(shared.value), rate)
+                texts.append(text)
+                held += len(text)
+                if held >= HELD:
+                    flush()
+        if mine is not None:
+            yield result()
+
     def mean(group: pa.Table) -> pa.Table:
+        group = group.sort_by("shard")
         weight = group.column("seen").to_numpy().astype(float)
         flat = group.column("weights").combine_chunks()
         rows = flat.flatten().to_numpy().reshape(len(flat), -1)
         average = (weight @ rows) / weight.sum()
-        return pa.table({"part": group.column("part")[:1], "weights": pa.array([average.tolist()], pa.list_(pa.float32()))})
+        return pa.table({
+            "part": group.column("part")[:1], "shard": pa.array([group.column("shard")[0].as_py() // AVERAGED], pa.int32()),
+            "seen": pa.array([int(weight.sum())], pa.int64()),
+            "weights": pa.array([average.tolist()], pa.list_(pa.float64())),
+        })
 
+    ddl = "part int, shard int, seen bigint, weights array<double>"
     parts = (
-        known.mapInArrow(work, "part int, seen bigint, weights array<float>")
-        .groupBy("part").applyInArrow(mean, "part int, weights array<float>").orderBy("part").collect()
+        known.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+        .select("ids", "shard").mapInArrow(work, ddl)
     )
-    if parts:
-        network.load(np.concatenate([np.array(p.weights, np.float32) for p in parts]))
+    left = shards
+    while True:
+        parts = parts.groupBy("part", (F.col("shard") / AVERAGED).cast("int")).applyInArrow(mean, ddl)
+        left = -(-left // AVERAGED)
+        if left == 1:
+            break
+    rows = parts.orderBy("part").collect()
+    if rows:
+        network.load(np.concatenate([np.array(p.weights, np.float32) for p in rows]))
+    shared.destroy()
     return network
 
 
