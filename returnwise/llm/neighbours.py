@@ -3,17 +3,20 @@
 Distinct vectors are the nodes. Their first lists come from blocks of a few random-projection trees.
 NN-descent then improves them in rounds of joins: a node's neighbours, forward and reverse, meet at
 the node, and each learns of the others, since a neighbour of a neighbour is likely a neighbour. A
-query starts at its own node and follows the graph greedily: the best nodes of its beam that it has
-not yet opened are joined with the graph, until every node of the beam is open.
+query starts at its own node and follows the graph greedily. A round brings it the vectors and the
+lists of the nodes it asked for; it then opens the best nodes of its beam that are not open yet and
+asks for those of their neighbours that it has never seen, until every node of its beam is open.
 
-Similarities within a round are cosines; copies of one vector are one node and come back at the end.
+Graph and search compare unit vectors in single precision; the nearest nodes that the search found are
+scored again in double precision from the original vectors. Copies of one vector are one node and come
+back at the end.
 """
 
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,17 +26,21 @@ from returnwise.session import materialise
 NEIGHBOURS = 5
 #: Length of a node's list, and how many reverse neighbours meet at a node beside it.
 DEGREE, REVERSE = 24, 16
-TREES, LEAF = 8, 512
+LEAF = 512
 #: NN-descent stops when fewer than this share of all list entries changed in a round.
 SETTLED = 0.02
 #: A graph that has not settled after so many rounds is an error.
 MOST_ROUNDS = 100
 #: Candidates that one meeting passes on to each of its members.
 TOLD = 6
-#: Beam of a query, and how many of its nodes are opened in a round.
-BEAM, OPENED = 256, 32
-#: Nodes or queries that one task's group works on.
-GROUP = 1500
+#: How many nodes of its beam a query opens in a round.
+OPENED = 32
+#: Nodes that are scored in double precision for each wanted neighbour.
+RESCORED = 4
+#: Nodes, or queries, that one task's group works on.
+GROUP, QUERIES = 1500, 100
+#: A vector with copies is dealt into so many parts where rows look up their node.
+SALTS = 64
 
 _EDGE = "node bigint, other bigint, cosine float, fresh boolean"
 
@@ -49,6 +56,20 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return held.where(F.size("embedding") == (common.n if common else 0))
 
 
+def _doublings(count: int) -> int:
+    return max(1, math.ceil(math.log2(max(2, count))))
+
+
+def trees(count: int) -> int:
+    """How many projection trees start the graph of ``count`` nodes: one for every two doublings."""
+    return max(4, -(-_doublings(count) // 2))
+
+
+def beam(count: int) -> int:
+    """How many nodes a query of a graph of ``count`` nodes keeps: 16 for every doubling."""
+    return 16 * _doublings(count)
+
+
 def _rows(column: pa.ChunkedArray) -> np.ndarray:
     """A list column as a matrix."""
     flat = column.combine_chunks()
@@ -61,6 +82,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _to_unit():
+    """A column function from a vector to its unit vector, in single precision."""
+    return by_batch(
+        lambda: lambda rows: _unit(np.array(rows, dtype=float)).tolist() if rows else [],
+        pa.list_(pa.float32()), "array<float>",
+    )
+
+
+def _cosine():
+    """A column function: the cosine of two vectors in double precision.
+
+    Both are scaled by a power of two first, which changes no digit and keeps squares in range.
+    """
+
+    def scaled(rows) -> np.ndarray:
+        x = np.array(rows, dtype=float)
+        return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+    def work(left, right):
+        if not left:
+            return []
+        a, b = scaled(left), scaled(right)
+        return ((a * b).sum(axis=1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))).tolist()
+
+    return by_batch(lambda: work, pa.float64(), "double", arguments=2)
+
+
 def _best(node, other, cosine, fresh, degree: int) -> pa.Table:
     """The ``degree`` nearest different neighbours of each node; an old entry wins over a fresh one."""
     order = np.lexsort((fresh, other, node))
@@ -90,6 +138,7 @@ def _grouped(df: DataFrame, key: str, groups: int):
 def _leaves(nodes: DataFrame, count: int, degree: int) -> DataFrame:
     """First lists: the nearest within each node's leaf of each tree."""
     depth = max(0, math.ceil(math.log2(max(1, count / LEAF))))
+    wanted = trees(count)
 
     def start():
         made: dict[int, np.ndarray] = {}
@@ -97,18 +146,18 @@ def _leaves(nodes: DataFrame, count: int, degree: int) -> DataFrame:
         def work(rows):
             if not rows:
                 return []
-            x = _unit(np.array(rows, dtype=float))
+            x = np.array(rows, dtype=np.float32)
             wide = x.shape[1]
             if wide not in made:
-                made[wide] = np.random.default_rng(3).standard_normal((wide, TREES * max(depth, 1)))
-            side = (x @ made[wide] > 0).reshape(len(x), TREES, -1)[:, :, :depth]
-            return (side @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros((len(x), TREES), np.int64)).tolist()
+                made[wide] = np.random.default_rng(3).standard_normal((wide, wanted * max(depth, 1)))
+            side = (x @ made[wide] > 0).reshape(len(x), wanted, -1)[:, :, :depth]
+            return (side @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros((len(x), wanted), np.int64)).tolist()
 
         return work
 
-    code = by_batch(start, pa.list_(pa.int64()), "array<bigint>")("embedding")
+    code = by_batch(start, pa.list_(pa.int64()), "array<bigint>")("unit")
     placed = materialise(
-        nodes.withColumn("codes", code).select("node", "embedding", F.posexplode("codes").alias("tree", "code"))
+        nodes.withColumn("codes", code).select("node", "unit", F.posexplode("codes").alias("tree", "code"))
     )
     # A leaf with more nodes than twice the wanted number is dealt into several at random.
     sizes = placed.groupBy("tree", "code").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
@@ -116,7 +165,7 @@ def _leaves(nodes: DataFrame, count: int, degree: int) -> DataFrame:
 
     def nearest(group: pa.Table) -> pa.Table:
         ids = group.column("node").to_numpy()
-        x = _unit(_rows(group.column("embedding")))
+        x = _rows(group.column("unit"))
         close = x @ x.T
         np.fill_diagonal(close, -2)
         k = min(degree, len(ids) - 1)
@@ -132,19 +181,23 @@ def _leaves(nodes: DataFrame, count: int, degree: int) -> DataFrame:
 
 
 def graph(nodes: DataFrame, count: int, degree: int = DEGREE) -> DataFrame:
-    """The neighbour graph ``node, other, cosine`` of ``nodes(node, embedding)``."""
+    """The neighbour graph ``node, other, cosine`` of ``nodes(node, unit)``."""
     groups = max(1, -(-count // GROUP))
 
     def keep(group: pa.Table) -> pa.Table:
         return _best(*_columns(group, "node", "other", "cosine", "fresh"), degree)
 
-    def select(edges: DataFrame) -> DataFrame:
-        return materialise(_grouped(edges, "node", groups).applyInArrow(lambda g: keep(g), _EDGE))
+    def select(edges: DataFrame) -> tuple[DataFrame, int]:
+        """The best entries of each list, and how many of them are fresh: counted as they are written."""
+        counted = Observation()
+        lists = _grouped(edges, "node", groups).applyInArrow(lambda g: keep(g), _EDGE)
+        lists = materialise(lists.observe(counted, F.count_if("fresh").alias("fresh")))
+        return lists, counted.get["fresh"]
 
     def meet(group: pa.Table) -> pa.Table:
         """Members of each meeting hear of the nearest others; a pair of old members has met before."""
         at, ids, fresh, worst = _columns(group, "at", "member", "fresh", "worst")
-        x = _unit(_rows(group.column("embedding")))
+        x = _rows(group.column("unit"))
         order = np.argsort(at, kind="stable")
         heads = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) != 0)))
         out: list[tuple] = []
@@ -166,9 +219,8 @@ def graph(nodes: DataFrame, count: int, degree: int = DEGREE) -> DataFrame:
         )
         return _best(node, other, cosine, np.ones(len(node), dtype=bool), 1 << 30)
 
-    edges = select(_leaves(nodes, count, degree))
+    edges, fresh = select(_leaves(nodes, count, degree))
     for turn in range(MOST_ROUNDS + 1):
-        fresh = edges.where("fresh").count()
         if fresh <= SETTLED * count * degree:
             break
         if turn == MOST_ROUNDS:
@@ -183,79 +235,118 @@ def graph(nodes: DataFrame, count: int, degree: int = DEGREE) -> DataFrame:
             F.col("node").alias("member"),
             F.when(F.col("n") < degree, F.lit(-1.5)).otherwise(F.col("least")).cast("float").alias("worst"),
         )
-        known = worst.join(nodes.select(F.col("node").alias("member"), F.col("embedding").cast("array<float>").alias("embedding")), "member")
-        told = _grouped(members.join(known, "member").select("at", "member", "fresh", "worst", "embedding"), "at", groups)
+        known = worst.join(nodes.withColumnRenamed("node", "member"), "member")
+        told = _grouped(members.join(known, "member").select("at", "member", "fresh", "worst", "unit"), "at", groups)
         news = told.applyInArrow(lambda g: meet(g.drop(["__group"]) if "__group" in g.column_names else g), _EDGE)
         old = edges.select("node", "other", "cosine", F.lit(False).alias("fresh"))
-        edges = select(old.union(news))
+        edges, fresh = select(old.union(news))
     return edges.select("node", "other", "cosine")
 
 
-def _opened(ids: np.ndarray, is_open: np.ndarray) -> list[int]:
-    return ids[~is_open][:OPENED].tolist()
+_STATE = (
+    "query bigint, unit array<float>, ids array<bigint>, cosines array<float>, shut array<bigint>, "
+    "links array<array<bigint>>, seen array<bigint>, next array<bigint>"
+)
+
 
+def _advance(before: dict, met: tuple[np.ndarray, np.ndarray, list], width: int) -> dict:
+    """One query's state after it met the nodes it asked for: ``(ids, unit vectors, lists)``.
 
-_STATE = "query bigint, embedding array<double>, ids array<bigint>, cosines array<double>, open array<boolean>, next array<bigint>"
+    ``shut`` names the nodes of the beam that are not open, and ``links`` holds their lists.
+    """
+    ids, vectors, lists = met
+    held = dict(zip(before["shut"], before["links"]))
+    held.update(zip(ids.tolist(), lists))
+    all_ids = np.concatenate((np.array(before["ids"], dtype=np.int64), ids))
+    near = np.concatenate((np.array(before["cosines"], dtype=np.float32), vectors @ np.array(before["unit"], dtype=np.float32)))
+    best = np.lexsort((all_ids, -near))[:width]
+    beam_ids = all_ids[best].tolist()
+    shut = [i for i in beam_ids if i in held]
+    seen = set(before["seen"])
+    asked: list[int] = []
+    # Nodes whose neighbours were all seen bring nothing new: go on to the next ones.
+    while shut and not asked:
+        now, shut = shut[:OPENED], shut[OPENED:]
+        fresh = sorted({other for node in now for other in held[node]} - seen)
+        asked.extend(fresh)
+    seen.update(asked)
+    done = not asked
+    return {
+        "query": before["query"], "unit": before["unit"], "ids": beam_ids, "cosines": near[best].tolist(),
+        "shut": shut, "links": [held[i] for i in shut], "seen": [] if done else sorted(seen), "next": asked,
+    }
 
 
 def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, count: int) -> DataFrame:
     """``query, ids, cosines``: the beam of each of ``queries(query)``, nearest first.
 
-    A query is a node. Its beam holds the ``BEAM`` nearest nodes met so far, itself included.
+    A query is a node. Its beam holds the nearest nodes met so far, itself included. What it has seen
+    is bounded by the lists of all nodes that were ever in its beam.
     """
-    links = materialise(edges.groupBy("node").agg(F.collect_list("other").alias("others")))
-    groups = max(1, -(-max(1, count // 50) // 200))
-    state = materialise(
-        queries.join(nodes, queries["query"] == nodes["node"]).select(
-            "query", "embedding", F.array("query").alias("ids"), F.array(F.lit(1.0)).alias("cosines"),
-            F.array(F.lit(True)).alias("open"), F.array("query").alias("next"),
-        )
+    lists = edges.groupBy("node").agg(F.collect_list("other").alias("others"))
+    places = materialise(nodes.join(lists, "node", "left").select(
+        "node", "unit", F.coalesce("others", F.array().cast("array<bigint>")).alias("others")
+    ))
+    groups = max(1, -(-max(1, count // 50) // QUERIES))
+    none = F.array().cast("array<bigint>")
+    state = queries.join(nodes, queries["query"] == nodes["node"]).select(
+        "query", "unit", none.alias("ids"), F.array().cast("array<float>").alias("cosines"), none.alias("shut"),
+        F.array().cast("array<array<bigint>>").alias("links"), F.array("query").alias("seen"), F.array("query").alias("next"),
     )
+    state, width = materialise(state), beam(count)
+    kinds = pa.schema([
+        ("query", pa.int64()), ("unit", pa.list_(pa.float32())), ("ids", pa.list_(pa.int64())),
+        ("cosines", pa.list_(pa.float32())), ("shut", pa.list_(pa.int64())),
+        ("links", pa.list_(pa.list_(pa.int64()))), ("seen", pa.list_(pa.int64())), ("next", pa.list_(pa.int64())),
+    ])
 
-    def advance(before: pa.Table, met: pa.Table) -> pa.Table:
-        queries, nexts = before.column("query").to_pylist(), []
-        vectors = _rows(before.column("embedding"))
+    def step(before: pa.Table, met: pa.Table) -> pa.Table:
         owner = met.column("owner").to_numpy()
-        other = met.column("other").to_numpy()
         order = np.argsort(owner, kind="stable")
-        owner, other = owner[order], other[order]
-        found = _rows(met.column("vector"))[order] if met.num_rows else np.zeros((0, vectors.shape[1]))
-        size = np.linalg.norm(found, axis=1)
-        ids_out, cos_out, open_out = [], [], []
-        held = zip(queries, vectors, before.column("ids").to_pylist(), before.column("cosines").to_pylist(),
-                   before.column("open").to_pylist(), before.column("next").to_pylist())
-        for query, vector, ids, cosines, is_open, opened in held:
-            a, b = np.searchsorted(owner, [query, query + 1])
-            cosine = found[a:b] @ vector / (size[a:b] * np.linalg.norm(vector))
-            now_open = set(opened)
-            all_ids = np.array([*ids, *other[a:b].tolist()], dtype=np.int64)
-            all_cos = np.array([*cosines, *cosine.tolist()])
-            all_open = np.array([*(o or i in now_open for i, o in zip(ids, is_open)), *[False] * (b - a)])
-            _, first = np.unique(all_ids, return_index=True)
-            # Entries of the beam come first, so a node met again stays as it was.
-            all_ids, all_cos, all_open = all_ids[first], all_cos[first], all_open[first]
-            best = np.lexsort((all_ids, -all_cos))[:BEAM]
-            ids_out.append(all_ids[best].tolist())
-            cos_out.append(all_cos[best].tolist())
-            open_out.append(all_open[best].tolist())
-            nexts.append(_opened(all_ids[best], all_open[best]))
-        return pa.table({
-            "query": before.column("query"), "embedding": before.column("embedding"),
-            "ids": pa.array(ids_out, pa.list_(pa.int64())), "cosines": pa.array(cos_out, pa.list_(pa.float64())),
-            "open": pa.array(open_out, pa.list_(pa.bool_())), "next": pa.array(nexts, pa.list_(pa.int64())),
-        })
-
-    def step(before: pa.Table, met: pa.Table) -> pa.Table:
-        return advance(*(t.drop(["__group"]) if "__group" in t.column_names else t for t in (before, met)))
-
-    while not state.where(F.size("next") > 0).isEmpty():
+        sorted_owner = owner[order]
+        node, others = met.column("node").to_numpy(), met.column("others").combine_chunks()
+        vectors = _rows(met.column("unit")) if met.num_rows else None
+        made = []
+        for i in range(before.num_rows):
+            row = before.slice(i, 1).to_pylist()[0]
+            a, b = np.searchsorted(sorted_owner, [row["query"], row["query"] + 1])
+            own = order[a:b]
+            found = vectors[own] if a < b else np.zeros((0, len(row["unit"])), np.float32)
+            made.append(_advance(row, (node[own], found, others.take(pa.array(own)).to_pylist()), width))
+        return pa.Table.from_pylist(made, schema=kinds)
+
+    finished, waiting = [], True
+    while waiting:
         frontier = state.select(F.col("query").alias("owner"), F.explode("next").alias("node"))
-        met = frontier.join(links, "node").select("owner", F.explode("others").alias("other")).distinct()
-        met = met.join(nodes.select(F.col("node").alias("other"), F.col("embedding").alias("vector")), "other")
-        state = materialise(
-            _grouped(state, "query", groups).cogroup(_grouped(met, "owner", groups)).applyInArrow(step, _STATE)
+        met = frontier.join(places, "node").select("owner", "node", "unit", "others")
+        left = Observation()
+        after = _grouped(state, "query", groups).cogroup(_grouped(met, "owner", groups)).applyInArrow(
+            lambda a, b: step(a, b), _STATE
         )
-    return state.select("query", "ids", "cosines")
+        written = materialise(after.observe(left, F.count_if(F.size("next") > 0).alias("waiting")))
+        waiting = left.get["waiting"] > 0
+        # Queries that have nothing to ask leave the rounds.
+        finished.append(written.where(F.size("next") == 0).select("query", "ids", "cosines"))
+        state = written.where(F.size("next") > 0)
+    result = finished[0]
+    for part in finished[1:]:
+        result = result.union(part)
+    return result
+
+
+def _placed(vectors: DataFrame) -> DataFrame:
+    """``vec_id, embedding, node``: the smallest id of its copies is the node of a vector.
+
+    Only vectors with copies are looked up, and each in many parts: one vector may be a third of all.
+    """
+    held = materialise(_usable(vectors).dropDuplicates(["vec_id"]))
+    copied = held.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).where("n > 1")
+    copied = copied.select("embedding", "node", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
+    return materialise(
+        salted.join(copied, ["embedding", "salt"], "left")
+        .select("vec_id", "embedding", F.coalesce("node", "vec_id").alias("node"))
+    )
 
 
 def nearest(vectors: DataFrame, stride: int = 50, k: int = NEIGHBOURS) -> DataFrame:
@@ -268,26 +359,28 @@ def nearest(vectors: DataFrame, stride: int = 50, k: int = NEIGHBOURS) -> DataFr
     of a vector are rows of their own; rows that repeat an id are one. Other columns are ignored.
     """
     ship(vectors.sparkSession)
-    held = materialise(_usable(vectors).dropDuplicates(["vec_id"]))
-    named = held.groupBy("embedding").agg(F.min("vec_id").alias("node"))
-    nodes = materialise(named.select("node", "embedding"))
-    count = nodes.count()
+    placed = _placed(vectors)
+    counted = Observation()
+    originals = placed.where("vec_id = node").select("node", "embedding")
+    nodes = materialise(
+        originals.select("node", _to_unit()("embedding").alias("unit")).observe(counted, F.count("*").alias("n"))
+    )
+    count = counted.get["n"]
     # The first k + 1 copies of each node are all that any result can hold; parts are cut down first.
-    copies = held.join(named, "embedding").select("node", "vec_id")
     part = Window.partitionBy("node", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     whole = Window.partitionBy("node").orderBy("vec_id")
-    copies = copies.withColumn("n", F.row_number().over(part)).where(F.col("n") <= k + 1)
+    copies = placed.select("node", "vec_id").withColumn("n", F.row_number().over(part)).where(F.col("n") <= k + 1)
     copies = materialise(copies.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= k + 1).drop("n"))
-    asked = held.join(named, "embedding").where(F.col("vec_id") % stride == 0).select(F.col("vec_id").alias("query_id"), "node")
+    asked = placed.where(F.col("vec_id") % stride == 0).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     asked = materialise(asked)
-    beams = search(nodes, graph(nodes, count), asked.select(F.col("node").alias("query")).distinct(), count)
-    near = beams.select("query", F.arrays_zip(
-        F.slice("ids", 1, k + 1).alias("node"), F.slice("cosines", 1, k + 1).alias("score")).alias("found"))
-    near = near.select("query", F.inline("found"))
-    rows = (
-        asked.withColumnRenamed("node", "query").join(near, "query")
-        .join(copies, "node").where("vec_id <> query_id")
-    )
+    beams = search(nodes, graph(nodes, count), asked.select("query").distinct(), count)
+    near = beams.select("query", F.explode(F.slice("ids", 1, RESCORED * (k + 1))).alias("node"))
+    near = near.join(originals.withColumnRenamed("embedding", "other"), "node")
+    near = near.join(originals.select(F.col("node").alias("query"), "embedding"), "query")
+    scored = materialise(near.select("query", "node", _cosine()("embedding", "other").alias("score")))
+    close = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    scored = scored.withColumn("n", F.row_number().over(close)).where(F.col("n") <= k + 1).drop("n")
+    rows = asked.join(scored, "query").join(copies, "node").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

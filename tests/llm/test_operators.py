@@ -557,7 +557,8 @@ def test_neighbours_must_settle(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "MOST_ROUNDS", 1)
     monkeypatch.setattr(neighbours, "LEAF", 16)
     x = np.random.default_rng(6).standard_normal((600, 16))
-    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, unit array<float>")
     with pytest.raises(RuntimeError, match="settled"):
         neighbours.graph(nodes, 600)
 
