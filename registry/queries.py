@@ -51,6 +51,7 @@ from returnwise.session import checkpoint_root, materialise
 from returnwise.settings import Settings
 from returnwise.sources import checksum, fixed_width, retail, store as stored
 from returnwise.sources.fixed_width import Field, Layout
+from returnwise.sources.publication import Publication
 
 import uuid
 
@@ -274,6 +275,42 @@ def _(b: Book) -> DataFrame:
     return store.read(stored.FIT_RUNS)
 
 
+@query(
+    "a8_publication",
+    "source:s rows:i calibration_rows:i after_failure:f4 purchases:f4",
+    """select source, rows, calibration_rows, after_failure,
+         case when source = 'events' then 3 else 1 end * after_failure as purchases
+       from (select source, count(*) as rows, sum(expected_purchases) as after_failure from pred group by 1)
+       join (select source, count(*) as calibration_rows from ccal group by 1) using (source)""",
+)
+def _(b: Book) -> DataFrame:
+    """A refit that fails half-way changes nothing; one that ends changes all relations at once."""
+    store = b.new_store()
+    events = b.predictions.where(F.col("source") == retail.EVENTS)
+
+    def times(n: int) -> DataFrame:
+        return events.withColumn("expected_purchases", F.col("expected_purchases") * n)
+
+    def purchases(name: str) -> DataFrame:
+        held = store.read(stored.PREDICTIONS).groupBy("source")
+        return held.agg(F.count(F.lit(1)).alias("rows"), F.sum("expected_purchases").alias(name))
+
+    with Publication(store) as made:
+        stored.write_predictions(store, b.predictions, made)
+        stored.write_fit_run(store, b.fit_runs, made)
+    try:
+        with Publication(store) as made:
+            stored.write_predictions(store, times(2), made)
+            raise InterruptedError("the fit ends before its provenance is written")
+    except InterruptedError:
+        after_failure = materialise(purchases("after_failure"))
+    with Publication(store) as made:
+        stored.write_predictions(store, times(3), made)
+        stored.write_fit_run(store, b.fit_runs.where(F.col("source") == retail.EVENTS), made)
+    runs = store.read(stored.FIT_RUNS).select("source", "calibration_rows")
+    return after_failure.drop("rows").join(purchases("purchases"), "source").join(runs, "source")
+
+
 @query(
     "a9_validation_metrics_round_trip",
     "source:s rows:i population:i",

@@ -33,6 +33,7 @@ from returnwise.settings import Settings
 from returnwise.sources import store as stored
 from returnwise.sources.checksum import require_pinned
 from returnwise.sources.fixed_width import raw_transactions, read_transactions
+from returnwise.sources.publication import Publication
 from returnwise.sources.store import Store
 
 _MAIN = (
@@ -143,9 +144,10 @@ def fit(
 ) -> FitOutcome:
     """Fit both models on one source's calibration customers and store the forecasts.
 
-    Predictions are written first and provenance after them, computed from what was stored, so a
+    Predictions are written first and provenance after them, computed from what was written, so a
     provenance row never speaks for a write that failed. With ``full_bayes`` the posterior draws
-    behind the forecasts come last, marked with that provenance.
+    behind the forecasts come last, marked with that provenance. All of it becomes visible at once;
+    a fit that fails on the way leaves the earlier one whole.
     """
     calibration = stored.load_calibration(store, source)
     models.check_assumptions(calibration)
@@ -169,11 +171,6 @@ def fit(
         drawn = (purchase_posterior, spend_posterior)
     else:
         predictions = predict(calibration, purchase, spend, lengths)
-    rows = stored.write_predictions(store, predictions)
-
-    kept = store.read(stored.PREDICTIONS, source)
-    run = fit_run(store.read(stored.CALIBRATION, source), kept, method, lengths, holdout_days)
-    stored.write_fit_run(store, run)
     parameters = store.spark.createDataFrame(
         [
             (source, method, family, name, value)
@@ -181,10 +178,15 @@ def fit(
         ],
         schemas.MODEL_PARAMETERS,
     )
-    stored.write_parameters(store, parameters)
-    if drawn:
-        rows_drawn = [row for one in drawn for row in one.rows(source)]
-        stored.write_draws(store, source, method, rows_drawn)
+    with Publication(store) as made:
+        rows = stored.write_predictions(store, predictions, made)
+        kept = made.read(stored.PREDICTIONS, source)
+        run = fit_run(store.read(stored.CALIBRATION, source), kept, method, lengths, holdout_days)
+        stored.write_fit_run(store, run, made)
+        stored.write_parameters(store, parameters, made)
+        if drawn:
+            rows_drawn = [row for one in drawn for row in one.rows(source)]
+            stored.write_draws(store, source, method, rows_drawn, made)
     return FitOutcome(source, method, purchase, spend, lengths, rows)
 
 

@@ -2,7 +2,8 @@
 
 A write replaces exactly the sources it carries. Partition overwrite is asked for on the write
 itself, so a session with other defaults cannot turn a refit of one source into the loss of the
-others.
+others. What a fit leaves behind is published in versions (``publication``): predictions,
+provenance, parameters and draws change together.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from returnwise import schemas
+from returnwise.sources import publication
+from returnwise.sources.publication import Publication
 
 
 class MissingStage(RuntimeError):
@@ -38,6 +41,8 @@ class Store:
         return f"{self.root.rstrip('/')}/{schema}/{name}"
 
     def exists(self, relation: str) -> bool:
+        if relation in PUBLISHED:
+            return publication.read(self, relation) is not None
         try:
             self.spark.read.parquet(self.path(relation))
         except AnalysisException:
@@ -59,6 +64,11 @@ class Store:
 
     def _stored(self, relation: str) -> DataFrame:
         """The relation with folder names read as text: ``007`` and ``7`` are different sources."""
+        if relation in PUBLISHED:
+            rows = publication.read(self, relation)
+            if rows is None:
+                raise MissingStage(f"{relation} not found under {self.root}: run the fit stage first.")
+            return rows
         path = self.path(relation)
         found = self.spark.read.parquet(path).schema
         folders = {"source", "fit_method", "family"}
@@ -79,7 +89,7 @@ class Store:
         """
         if self.exists(relation):
             stored = self.read(relation).schema
-            if _shape(stored) != _shape(df.schema):
+            if publication.shape(stored) != publication.shape(df.schema):
                 raise ValueError(
                     f"{relation} is stored as {stored.simpleString()}, "
                     f"the frame is {df.schema.simpleString()}"
@@ -96,10 +106,6 @@ class Store:
         return written.get["rows"]
 
 
-def _shape(schema: T.StructType) -> set[tuple[str, str]]:
-    return {(f.name, f.dataType.simpleString()) for f in schema}
-
-
 PREDICTIONS = "model.customer_predictions"
 FIT_RUNS = "model.fit_runs"
 PARAMETERS = "model.model_parameters"
@@ -111,26 +117,39 @@ OCCASIONS = "main.purchase_occasions"
 SCORED = "main.scored"
 SENSITIVITY = "main.recent_window_sensitivity"
 
+#: What a fit leaves behind, held in versions.
+PUBLISHED = frozenset({PREDICTIONS, FIT_RUNS, PARAMETERS, DRAWS})
+
 
-def write_predictions(store: Store, predictions: DataFrame) -> int:
-    return store.replace_sources(PREDICTIONS, schemas.conform(predictions, schemas.PREDICTIONS))
+def _stage(
+    store: Store, made: Publication | None, relation: str, df: DataFrame, keys: tuple[str, ...] = ("source",)
+) -> int:
+    """Stage rows in ``made``, or publish them at once where there is none."""
+    if made is not None:
+        return made.stage(relation, df, keys)
+    with Publication(store) as alone:
+        return alone.stage(relation, df, keys)
 
 
-def write_fit_run(store: Store, run: DataFrame) -> int:
+def write_predictions(store: Store, predictions: DataFrame, made: Publication | None = None) -> int:
+    return _stage(store, made, PREDICTIONS, schemas.conform(predictions, schemas.PREDICTIONS))
+
+
+def write_fit_run(store: Store, run: DataFrame, made: Publication | None = None) -> int:
     """Provenance of a fit; refused unless that fit's predictions are already stored."""
-    store.require("fit", PREDICTIONS)
-    return store.replace_sources(FIT_RUNS, run)
+    if made is None or not made.holds(PREDICTIONS):
+        store.require("fit", PREDICTIONS)
+    return _stage(store, made, FIT_RUNS, run)
 
 
 def write_validation_metrics(store: Store, metrics: DataFrame) -> int:
     return store.replace_sources(METRICS, schemas.conform(metrics, schemas.VALIDATION_METRICS))
 
 
-def write_parameters(store: Store, parameters: DataFrame) -> None:
+def write_parameters(store: Store, parameters: DataFrame, made: Publication | None = None) -> None:
     """Parameters keyed by (source, fit method, family): one method never overwrites another."""
-    schemas.conform(parameters, schemas.MODEL_PARAMETERS).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("source", "fit_method", "family").parquet(store.path(PARAMETERS))
+    rows = schemas.conform(parameters, schemas.MODEL_PARAMETERS)
+    _stage(store, made, PARAMETERS, rows, publication.PART)
 
 
 def read_parameters(store: Store, source: str, method: str, family: str) -> dict[str, float]:
@@ -149,14 +168,17 @@ def read_parameters(store: Store, source: str, method: str, family: str) -> dict
     return {r["parameter"]: r["value"] for r in rows}
 
 
-def run_id(store: Store, source: str) -> str:
+def run_id(store: Store, source: str, made: Publication | None = None) -> str:
     """What tells one fit of a source from another: a digest of its provenance row.
 
     The row pins what the fit read and wrote, so the same predictions on the same data have the
     same id wherever they were made; the time of the fit is no part of it.
     """
-    store.require("fit", FIT_RUNS)
-    runs = store.read(FIT_RUNS, source)
+    if made is not None and made.holds(FIT_RUNS):
+        runs = made.read(FIT_RUNS, source)
+    else:
+        store.require("fit", FIT_RUNS)
+        runs = store.read(FIT_RUNS, source)
     parts = [
         F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(runs.columns) if c != "fitted_at"
     ]
@@ -166,19 +188,19 @@ def run_id(store: Store, source: str) -> str:
     return rows[0]["id"]
 
 
-def write_draws(store: Store, source: str, method: str, rows: list[tuple]) -> None:
+def write_draws(
+    store: Store, source: str, method: str, rows: list[tuple], made: Publication | None = None
+) -> None:
     """Posterior draws ``(source, draw_id, family, parameter, value)`` of the stored fit.
 
     Written after its provenance and marked with it; the draws of a family replace its earlier ones.
     """
-    version = run_id(store, source)
+    version = run_id(store, source, made)
     table = store.spark.createDataFrame(
         [(s, method, family, version, draw, name, value) for s, draw, family, name, value in rows],
         schemas.MODEL_DRAWS,
     )
-    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "source", "fit_method", "family"
-    ).parquet(store.path(DRAWS))
+    _stage(store, made, DRAWS, table, publication.PART)
 
 
 def read_draws(store: Store, source: str, method: str, family: str) -> DataFrame:

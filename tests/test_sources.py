@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from returnwise import schemas
 from returnwise.operators.transactions import load_summary
-from returnwise.sources import checksum, fixed_width, store as stored
+from returnwise.sources import checksum, fixed_width, publication, store as stored
 from returnwise.sources.fixed_width import Field, FixedWidthFormatError, Layout
+from returnwise.sources.publication import Publication
 from returnwise.sources.store import MissingStage, Store
 
 GOOD = [
@@ -149,6 +151,75 @@ def test_a_refit_replaces_its_source_and_leaves_the_other(spark, tmp_path):
     assert {(r["source"], r["n"], r["v"]) for r in got.collect()} == {("a", 4, 5.0), ("b", 6, 2.0)}
 
 
+def fitted(spark, source, value):
+    parameters = [(source, "map", "bg_nbd", "r", value)]
+    return spark.createDataFrame(parameters, schemas.MODEL_PARAMETERS)
+
+
+def held(store):
+    """What a reader sees of each source: the forecast and the parameter."""
+    rows = store.read(stored.PREDICTIONS).groupBy("source").agg(F.max("expected_purchases").alias("v")).collect()
+    return {r["source"]: (r["v"], stored.read_parameters(store, r["source"], "map", "bg_nbd")["r"]) for r in rows}
+
+
+def test_a_publication_is_seen_whole_or_not_at_all(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for source in ("007", "7"):
+        with Publication(store) as made:
+            stored.write_predictions(store, predictions(spark, source, 1.0), made)
+            stored.write_parameters(store, fitted(spark, source, 1.0), made)
+            assert made.read(stored.PREDICTIONS).count() == 6
+    assert held(store) == {"007": (1.0, 1.0), "7": (1.0, 1.0)}
+    before = store.read(stored.PREDICTIONS, "7")
+    with pytest.raises(ZeroDivisionError), Publication(store) as made:
+        stored.write_predictions(store, predictions(spark, "7", 2.0), made)
+        assert held(store)["7"] == (1.0, 1.0)
+        1 / 0
+    assert held(store) == {"007": (1.0, 1.0), "7": (1.0, 1.0)}
+    with Publication(store) as made:
+        stored.write_predictions(store, predictions(spark, "7", 3.0), made)
+        stored.write_parameters(store, fitted(spark, "7", 3.0), made)
+        with pytest.raises(ValueError, match="already part"):
+            stored.write_predictions(store, predictions(spark, "7", 4.0), made)
+        with pytest.raises(ValueError, match="stored as"):
+            Publication(store).stage(stored.PREDICTIONS, fitted(spark, "7", 4.0))
+    assert held(store) == {"007": (1.0, 1.0), "7": (3.0, 3.0)}
+    # A reader that began before the switch still reads what it saw.
+    assert before.agg(F.max("expected_purchases")).first()[0] == 1.0
+    plan = store.read(stored.PREDICTIONS, "7")._jdf.queryExecution().executedPlan().toString()
+    assert "array_join(array(" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+
+def test_overlapping_publications_do_not_mix(spark, tmp_path):
+    """Both commit in the same turn: one of them wins for every part."""
+    store = Store(spark, str(tmp_path / "store"))
+    one, two = Publication(store), Publication(store)
+    for made, value in ((one, 1.0), (two, 2.0)):
+        stored.write_predictions(store, predictions(spark, "a", value), made)
+        stored.write_parameters(store, fitted(spark, "a", value), made)
+    two.commit()
+    one.commit()
+    assert held(store) == {"a": (1.0, 1.0)}
+    log = publication.manifest(store).withColumn("turn", F.lit(1).cast("long"))
+    tied = Store(spark, str(tmp_path / "tied"))
+    for relation in (stored.PREDICTIONS, stored.PARAMETERS):
+        shutil.copytree(publication.folder(store, relation), publication.folder(tied, relation))
+    log.write.parquet(publication.folder(tied, "manifest"))
+    winner = 1.0 if one.version > two.version else 2.0
+    assert held(tied) == {"a": (winner, winner)}
+
+
+def test_superseded_versions_are_retired(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for value in (1.0, 2.0, 3.0):
+        stored.write_predictions(store, predictions(spark, "a", value))
+    stored.write_predictions(store, predictions(spark, "b", 9.0))
+    assert publication.retire(store) == 0
+    assert publication.retire(store, hours=-1) == 2
+    got = store.read(stored.PREDICTIONS).groupBy("source").agg(F.max("expected_purchases").alias("v"))
+    assert {tuple(r) for r in got.collect()} == {("a", 3.0), ("b", 9.0)}
+
+
 def test_a_changed_shape_is_refused_before_writing(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     df = predictions(spark, "a", 1.0)
