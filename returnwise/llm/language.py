@@ -390,6 +390,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is accepted as one of its languages, unchanged."""
+    """The rows of ``docs`` whose text is accepted as one of its languages, unchanged.
+
+    NULL, empty and letterless texts are rejected; repeated rows are each judged. Where no row has
+    both a text and a lang to learn from, nothing can be called foreign: every row with a letter stays.
+    """
     model = learn(docs, ~held_out("doc_id", 4, 2))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return docs.where(~prediction(docs.sparkSession, model)("text")["rejected"])

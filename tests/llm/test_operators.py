@@ -252,7 +252,11 @@ def test_language(spark, odd, empty):
     assert all(r.lang_pred == right[r.doc_id] and 0.5 < r.score <= 1 for r in got if (r.doc_id or 0) > 20)
     assert {r.lang_pred for r in got if r.doc_id in (1, 2, 8)} >= {"und"}
     assert not collected(language.identify(empty)) and not collected(language.accept(empty))
-    assert all(r.lang_pred == "und" for r in language.identify(odd.where("lang is null")).collect())
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert all(r.lang_pred == "und" for r in language.identify(unlabelled).collect())
+    kept = language.accept(unlabelled)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 4, 5, 6, 7, 9, 10, 11]
 
 
 def test_rare_languages_reject(spark):
