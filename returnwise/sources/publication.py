@@ -23,6 +23,9 @@ if TYPE_CHECKING:
 #: Columns that may tell the parts of a relation apart; a part is replaced as a whole.
 PART = ("source", "fit_method", "family")
 
+#: The version of a part that was taken away: no folder has this name.
+_GONE = ""
+
 _MANIFEST = T.StructType(
     [T.StructField("relation", T.StringType()), T.StructField("keys", T.StringType())]
     + [T.StructField(name, T.StringType()) for name in PART]
@@ -107,6 +110,7 @@ class Publication:
         self.store = store
         self.version = f"v{uuid.uuid4().hex}"
         self._keys: dict[str, list[str]] = {}
+        self._whole: set[str] = set()
 
     def __enter__(self) -> Publication:
         return self
@@ -141,6 +145,12 @@ class Publication:
         self._keys[relation] = list(keys)
         return written.get["rows"]
 
+    def stage_whole(self, relation: str, df: DataFrame, keys: tuple[str, ...] = ("source",)) -> int:
+        """Write rows that replace the relation: parts that they lack disappear."""
+        rows = self.stage(relation, df, keys)
+        self._whole.add(relation)
+        return rows
+
     def holds(self, relation: str) -> bool:
         return relation in self._keys
 
@@ -162,14 +172,18 @@ class Publication:
                 *[(F.col(k) if k in keys else F.lit(None).cast("string")).alias(k) for k in PART],
             ))
         # One row for each part: as few as there are sources, methods and families.
-        named = [tuple(row) for part in parts for row in part.collect()]
+        named = [(*row, self.version) for part in parts for row in part.collect()]
+        carried = {row[:-1] for row in named}
+        for relation in self._whole:
+            held = [(p["relation"], p["keys"], *(p[k] for k in PART)) for p in live(self.store, relation)]
+            named.extend((*part, _GONE) for part in held if part not in carried)
         if not named:
             return
         turn = (manifest(self.store).agg(F.max("turn").alias("turn")).first()["turn"] or 0) + 1
-        rows = self.store.spark.createDataFrame([(*n, self.version, turn) for n in named], _MANIFEST)
+        rows = self.store.spark.createDataFrame([(*n, turn) for n in named], _MANIFEST)
         # One task, one file: the file's appearance is the switch.
         rows.coalesce(1).write.mode("append").parquet(f"{_root(self.store)}/manifest")
-        self._keys = {}
+        self._keys, self._whole = {}, set()
 
 
 def retire(store: Store, hours: float = 24.0) -> int:

@@ -77,6 +77,10 @@ class Store:
 
     def overwrite(self, relation: str, df: DataFrame) -> None:
         """Full refresh of a relation that is rebuilt as a whole, in one folder per source."""
+        if relation in PUBLISHED:
+            with Publication(self) as made:
+                made.stage_whole(relation, df, PUBLISHED[relation])
+            return
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
         if "source" in df.columns:
             writer = writer.partitionBy("source")
@@ -87,6 +91,8 @@ class Store:
 
         A frame whose columns differ from what is stored is refused before anything is written.
         """
+        if relation in PUBLISHED:
+            return _stage(self, None, relation, df)
         if self.exists(relation):
             stored = self.read(relation).schema
             if publication.shape(stored) != publication.shape(df.schema):
@@ -117,18 +123,18 @@ OCCASIONS = "main.purchase_occasions"
 SCORED = "main.scored"
 SENSITIVITY = "main.recent_window_sensitivity"
 
-#: What a fit leaves behind, held in versions.
-PUBLISHED = frozenset({PREDICTIONS, FIT_RUNS, PARAMETERS, DRAWS})
+#: What a fit leaves behind, held in versions, and the columns that tell its parts apart.
+PUBLISHED = {
+    PREDICTIONS: ("source",), FIT_RUNS: ("source",), PARAMETERS: publication.PART, DRAWS: publication.PART,
+}
 
 
-def _stage(
-    store: Store, made: Publication | None, relation: str, df: DataFrame, keys: tuple[str, ...] = ("source",)
-) -> int:
+def _stage(store: Store, made: Publication | None, relation: str, df: DataFrame) -> int:
     """Stage rows in ``made``, or publish them at once where there is none."""
     if made is not None:
-        return made.stage(relation, df, keys)
+        return made.stage(relation, df, PUBLISHED[relation])
     with Publication(store) as alone:
-        return alone.stage(relation, df, keys)
+        return alone.stage(relation, df, PUBLISHED[relation])
 
 
 def write_predictions(store: Store, predictions: DataFrame, made: Publication | None = None) -> int:
@@ -149,7 +155,7 @@ def write_validation_metrics(store: Store, metrics: DataFrame) -> int:
 def write_parameters(store: Store, parameters: DataFrame, made: Publication | None = None) -> None:
     """Parameters keyed by (source, fit method, family): one method never overwrites another."""
     rows = schemas.conform(parameters, schemas.MODEL_PARAMETERS)
-    _stage(store, made, PARAMETERS, rows, publication.PART)
+    _stage(store, made, PARAMETERS, rows)
 
 
 def read_parameters(store: Store, source: str, method: str, family: str) -> dict[str, float]:
@@ -200,7 +206,7 @@ def write_draws(
         [(s, method, family, version, draw, name, value) for s, draw, family, name, value in rows],
         schemas.MODEL_DRAWS,
     )
-    _stage(store, made, DRAWS, table, publication.PART)
+    _stage(store, made, DRAWS, table)
 
 
 def read_draws(store: Store, source: str, method: str, family: str) -> DataFrame:

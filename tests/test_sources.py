@@ -209,6 +209,15 @@ def test_overlapping_publications_do_not_mix(spark, tmp_path):
     assert held(tied) == {"a": (winner, winner)}
 
 
+def test_a_full_refresh_takes_parts_away(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    stored.write_parameters(store, fitted(spark, "a", 1.0).union(fitted(spark, "b", 2.0)))
+    store.overwrite(stored.PARAMETERS, fitted(spark, "b", 3.0))
+    assert [tuple(r) for r in store.read(stored.PARAMETERS).select("source", "value").collect()] == [("b", 3.0)]
+    stored.write_parameters(store, fitted(spark, "a", 4.0))
+    assert store.read(stored.PARAMETERS).count() == 2
+
+
 def test_superseded_versions_are_retired(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     for value in (1.0, 2.0, 3.0):
