@@ -1,7 +1,8 @@
 """Every registered query beside its SQL twin.
 
 A query names its result columns once, with how each is compared: ``s`` text (dates as ISO text),
-``i`` whole number, ``b`` boolean, ``fN`` double to N places. The same list shapes the
+``i`` whole number, ``w`` whole number that may grow past 64 bits, ``b`` boolean, ``fN`` double to
+N places. The same list shapes the
 Spark result and the SQL statement, so the two cannot drift apart in names or types. Undefined
 values (NaN) compare as NULL.
 """
@@ -73,6 +74,8 @@ def _spark_column(name: str, kind: str) -> Column:
         shaped = column.cast("string")
     elif kind == "i":
         shaped = column.cast("long")
+    elif kind == "w":
+        shaped = column.cast("decimal(38,0)")
     elif kind == "b":
         shaped = column.cast("boolean")
     else:
@@ -88,7 +91,7 @@ def _sql_column(name: str, kind: str) -> str:
     quoted = f'"{name}"'
     if kind == "s":
         return f"{quoted}::varchar as {quoted}"
-    if kind == "i":
+    if kind in "iw":
         return f"{quoted}::bigint as {quoted}"
     if kind == "b":
         return f"{quoted}::boolean as {quoted}"
@@ -100,6 +103,21 @@ def _sql_column(name: str, kind: str) -> str:
     )
 
 
+def _narrowed(
+    result: DataFrame, columns: tuple[tuple[str, str], ...]
+) -> tuple[DataFrame, tuple[tuple[str, str], ...]]:
+    """``result``, evaluated once, and its columns with every ``w`` that fits 64 bits as an ``i``.
+
+    The SQL twins have 64 bits. Where a sum is larger its exact digits stay, as a decimal.
+    """
+    fixed = materialise(result)
+    low, high = F.lit(-(2**63)), F.lit(2**63 - 1)
+    fits = fixed.agg(
+        *[F.bool_and(F.col(f"`{n}`").between(low, high)).alias(n) for n, k in columns if k == "w"]
+    ).first().asDict()
+    return fixed, tuple((n, "i" if k == "w" and fits[n] is not False else k) for n, k in columns)
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -109,7 +127,11 @@ class Query:
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
         result = self.build(book(spark, folder))
-        return result.select(*[_spark_column(n, k) for n, k in self.columns])
+        if any(k == "w" for _, k in self.columns):
+            result, kinds = _narrowed(result, self.columns)
+        else:
+            kinds = self.columns
+        return result.select(*[_spark_column(n, k) for n, k in kinds])
 
     def oracle(self) -> str | None:
         if self.sql is None:
@@ -1128,8 +1150,8 @@ def _(b: Book) -> DataFrame:
 
 _CAL_PRINT = (
     "source:s calibration_rows:i sum_frequency:i sum_recency:i sum_customer_age:i "
-    "sum_monetary_value:f4 weighted_frequency:i weighted_recency:i weighted_customer_age:i "
-    "weighted_monetary_value_e4:i"
+    "sum_monetary_value:f4 weighted_frequency:w weighted_recency:w weighted_customer_age:w "
+    "weighted_monetary_value_e4:w"
 )
 _CAL_PRINT_SQL = """select source, count(*) as calibration_rows, sum(frequency) as sum_frequency,
     sum(recency) as sum_recency, sum(customer_age) as sum_customer_age,

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from registry.queries import REGISTRY
+from registry.queries import REGISTRY, Query
 from tools.verify import TABLES, key, same
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -36,3 +36,17 @@ def test_query_matches_its_twin(spark, sql, name):
     want = sorted(sql.execute(f"select {listed} from ({query.oracle()}) t").fetchall(), key=key)
     assert len(got) == len(want)
     assert all(same(a, b) for a, b in zip(got, want))
+
+
+def test_whole_numbers_past_64_bits_keep_their_digits(spark):
+    columns = (("source", "s"), ("small", "w"), ("large", "w"))
+
+    def build(_):
+        return spark.sql(
+            "select 'a' as source, cast(7 as decimal(38,0)) as small,"
+            " cast('836551737674068770840' as decimal(38,0)) as large"
+        )
+
+    frame = Query("wide", columns, build, None).run(spark, FOLDER)
+    assert dict(frame.dtypes)["small"] == "bigint"
+    assert tuple(frame.first()) == ("a", 7, 836551737674068770840)
