@@ -36,6 +36,25 @@ def log_gamma(x):
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2.0 * math.pi) + tail - correction
 
 
+def log_rising(base, y):
+    """ln of Gamma(base + y) / Gamma(base) for y >= 0, to the digits of the difference.
+
+    For a large base both gammas are many times their quotient; their Stirling series are
+    subtracted term by term instead.
+    """
+    base, y = np.broadcast_arrays(np.asarray(base, dtype=float), np.asarray(y, dtype=float))
+    large = base > 12.0
+    low = np.where(large, base, 13.0)
+    high = low + y
+    difference = (low - 0.5) * np.log1p(y / low) + y * np.log(high) - y
+    powers, ratio = (1.0 / high, 1.0 / low), (1.0 / high**2, 1.0 / low**2)
+    for coefficient in STIRLING:
+        difference = difference + coefficient * (powers[0] - powers[1])
+        powers = (powers[0] * ratio[0], powers[1] * ratio[1])
+    near = np.where(large, 1.0, base)
+    return np.where(large, difference, log_gamma(near + y) - log_gamma(near))
+
+
 #: Above this argument the power series is too slow and the integral takes over.
 NEAR_ONE = 0.95
 _NODE = np.arange(-9.0, 4.5, 1.0 / 64.0)

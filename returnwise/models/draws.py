@@ -29,7 +29,7 @@ from returnwise.models.fit import (
 )
 from returnwise.models.families import PARAMETERS
 from returnwise.models.predict import STATE, spend_source_column
-from returnwise.functions.numeric import log_gamma
+from returnwise.functions.numeric import log_gamma, log_rising
 from returnwise.session import materialise
 
 MCMC = "mcmc"
@@ -118,7 +118,7 @@ def purchase_draws(states: DataFrame, fit: Fit, count: int = 200, seed: int = 42
 
 
 class _ScaleSums:
-    """Sums of ln(v + x z) and x ln(v + x z) over customers, as functions of ln v.
+    """Sums of ln(1 + x z / v) and x ln(1 + x z / v) over customers, as functions of ln v.
 
     Both are smooth: a panel of scales is known everywhere from one job over its nodes. Panels are
     added as chains reach them.
@@ -173,9 +173,9 @@ def spend_draws(calibration: DataFrame, fit: Fit, count: int = 200, seed: int =
         chosen = logs[inside]
         p, q = np.exp(chosen[:, [0]]), np.exp(chosen[:, [1]])
         a, b = sums(chosen[:, 2])
-        shape = (log_gamma(p * x + q) - log_gamma(p * x) - log_gamma(q)) @ n
+        shape = (log_rising(q, p * x) - log_gamma(p * x)) @ n
         value = (
-            shape + n.sum() * q[:, 0] * chosen[:, 2] + p[:, 0] * (x_log_z + x_log_x)
+            shape + p[:, 0] * (x_log_z + x_log_x - (n * x).sum() * chosen[:, 2])
             - p[:, 0] * b - q[:, 0] * a
         )
         result[inside] = value + _log_prior(np.zeros(2), chosen[:, :2])

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from returnwise.functions.numeric import gauss_one, gauss_series, log_add, log_gamma
+from returnwise.functions.numeric import gauss_one, gauss_series, log_add, log_rising
 
 BG_NBD = "bg_nbd"
 MBG_NBD = "mbg_nbd"
@@ -26,24 +26,23 @@ PARAMETERS = {
 }
 
 
-def _log_rising(base, x):
-    """ln of Gamma(base + x) / Gamma(base)."""
-    return log_gamma(base + x) - log_gamma(base)
-
-
 # ---- the part of ln L that depends on the repeat count alone ---------------------------------
 
 
 def count_term(family: str, p: tuple, x):
-    """ln L without its date-dependent factor; summed over the histogram of repeat counts."""
+    """ln L without its date-dependent factor; summed over the histogram of repeat counts.
+
+    The powers of the scales, alpha^r and beta^s, are left to the date-dependent factor. They nearly
+    cancel there: of customers who buy alike r is so large that their sums apart lose all digits.
+    """
     if family == PARETO_NBD:
         r, alpha, s, beta = p
-        return _log_rising(r, x) + r * np.log(alpha) + s * np.log(beta)
+        return log_rising(r, x)
     r, alpha, a, b = p
-    shared = _log_rising(r, x) + r * np.log(alpha)
+    shared = log_rising(r, x)
     # A survivor of x purchase opportunities; the modified model also draws before the first.
     draws = x + 1.0 if family == MBG_NBD else x
-    return shared + _log_rising(b, draws) - _log_rising(a + b, draws)
+    return shared + log_rising(b, draws) - log_rising(a + b, draws)
 
 
 # ---- the date-dependent part ------------------------------------------------------------------
@@ -52,37 +51,51 @@ def count_term(family: str, p: tuple, x):
 def _pareto_dropout(p: tuple, x, tx, T):
     """ln of (s / g) * A0, the term for a customer lost between the last purchase and now."""
     r, alpha, s, beta = p
-    g = r + s + x
+    shape = np.broadcast_shapes(*(np.shape(v) for v in (x, tx, T)))
+    x, tx, T = (np.broadcast_to(v, shape).ravel() for v in (x, tx, T))
     high, low = np.maximum(alpha, beta), np.minimum(alpha, beta)
-    # Euler's transformation of the published series leaves one whose terms fall as n^(-s-1).
-    second = np.where(alpha >= beta, s, r + x - 1.0)
 
-    def log_f(u):
+    def log_f(x, u):
+        g = r + s + x
+        # Euler's transformation of the published series leaves one whose terms fall as n^(-s-1).
+        second = np.where(alpha >= beta, s, r + x - 1.0)
         w = (high - low) / (high + u)
         # 2F1(g, m+1; g+1; w) = (1-w)^(-m) 2F1(1, g-m; g+1; w)
         series = gauss_one(g - second, g + 1.0, w)
-        return np.log(series) - second * np.log1p(-w) - g * np.log(high + u)
-
-    early, late = log_f(tx), log_f(T)
+        # (1-w)^(-m) (high + u)^(-g) by the two scales, their powers taken out as count_term says.
+        powers = np.where(
+            alpha >= beta, x * np.log(alpha + u), (x - 1.0) * np.log(alpha + u) + np.log(beta + u)
+        )
+        return np.log(series) - r * np.log1p(u / alpha) - s * np.log1p(u / beta) - powers
+
+    # The series knows a count and one date: far fewer pairs than there are states of two dates.
+    pairs, at = np.unique(np.concatenate([x + 1j * tx, x + 1j * T]), return_inverse=True)
+    table = log_f(pairs.real, pairs.imag)
+    early, late = table[..., at[: x.size]], table[..., at[x.size :]]
     gap = np.minimum(late - early, 0.0)
     with np.errstate(divide="ignore"):
         difference = early + np.log(-np.expm1(gap))
-    return np.log(s / g) + difference
+    lost = np.log(s / (r + s + x)) + difference
+    return lost if shape else lost[..., 0]
 
 
 def _alive_and_lost(family: str, p: tuple, x, tx, T):
-    """ln of the two date-dependent factors: still active at T, and lost before T."""
+    """ln of the two date-dependent factors: still active at T, and lost before T.
+
+    Both with the powers of the scales that :func:`count_term` leaves out.
+    """
     if family == PARETO_NBD:
         r, alpha, s, beta = p
-        alive = -(r + x) * np.log(alpha + T) - s * np.log(beta + T)
+        alive = -r * np.log1p(T / alpha) - x * np.log(alpha + T) - s * np.log1p(T / beta)
         return alive, _pareto_dropout(p, x, tx, T)
     r, alpha, a, b = p
-    alive = -(r + x) * np.log(alpha + T)
+    alive = -r * np.log1p(T / alpha) - x * np.log(alpha + T)
+    late = r * np.log1p(tx / alpha) + x * np.log(alpha + tx)
     if family == BG_NBD:
         odds = np.log(a) - np.log(np.where(x > 0, b + x - 1.0, 1.0))
-        lost = np.where(x > 0, odds - (r + x) * np.log(alpha + tx), -np.inf)
+        lost = np.where(x > 0, odds - late, -np.inf)
     else:
-        lost = np.log(a) - np.log(b + x) - (r + x) * np.log(alpha + tx)
+        lost = np.log(a) - np.log(b + x) - late
     return alive, lost
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from returnwise.functions.numeric import log_gamma
+from returnwise.functions.numeric import log_gamma, log_rising
 from returnwise.models import families, shipping  # noqa: F401  (registers the helpers)
 from returnwise.models.families import BG_NBD, MBG_NBD, PARAMETERS, PARETO_NBD, count_term
 from returnwise.models.optimizer import NotConverged, Optimum, maximise
@@ -202,7 +202,8 @@ def stored_states(calibration: DataFrame) -> DataFrame:
     """The states, written once for the whole search and split over every core.
 
     They are few bytes but many flops per row, so the split follows the cores rather than the
-    byte size adaptive coalescing would go by.
+    byte size adaptive coalescing would go by. Neighbours stay together: what a likelihood needs
+    per count and date is then worked out for many states at once.
     """
     states = model_states(calibration)
     spark = states.sparkSession
@@ -210,7 +211,8 @@ def stored_states(calibration: DataFrame) -> DataFrame:
         spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
-    return materialise(states.repartition(parts))
+    order = ["frequency", "T", "recency"]
+    return materialise(states.repartitionByRange(parts, *order).sortWithinPartitions(*order))
 
 
 def fit_states(states: DataFrame, family: str, prior: bool = True) -> Fit:
@@ -295,11 +297,15 @@ def fit_challenger(calibration: DataFrame, family: str) -> ChallengerOutcome:
 
 
 def _log_scale_sums(spend: DataFrame, scales: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of ln(v + x z) and x ln(v + x z) over customers for every scale v, in one job."""
+    """Sums of ln(1 + x z / v) and x ln(1 + x z / v) over customers for every scale v, in one job.
+
+    The sums of ln(v + x z) are these and a multiple of ln v. That multiple cancels in ln L, where
+    it would be millions of times what remains once the scale is far above all spend.
+    """
     x, z = F.col("frequency").cast("double"), F.col("monetary_value")
     columns = []
     for i, v in enumerate(scales):
-        term = F.log(F.lit(float(v)) + x * z)
+        term = F.log1p(x * z / F.lit(float(v)))
         columns += [F.sum(term).alias(f"a{i}"), F.sum(x * term).alias(f"b{i}")]
     row = spend.agg(*columns).first()
     count = range(len(scales))
@@ -337,15 +343,11 @@ def fit_gamma_gamma(calibration: DataFrame, prior: bool = True) -> Fit:
         F.avg(z).alias("mean"),
     ).first()
     log_z, x_log_z, mean = row["log_z"], row["x_log_z"], row["mean"]
-    x_log_x = float((n * x * np.log(x)).sum())
+    x_log_x, repeats = float((n * x * np.log(x)).sum()), float((n * x).sum())
 
     def likelihood(p: float, q: float, log_v: float, a: float, b: float) -> float:
-        shape = float((n * (log_gamma(p * x + q) - log_gamma(p * x))).sum())
-        value = (
-            shape - customers * float(log_gamma(q)) + customers * q * log_v
-            + p * x_log_z - log_z + p * x_log_x - p * b - q * a
-        )
-        return value
+        shape = float((n * (log_rising(q, p * x) - log_gamma(p * x))).sum())
+        return shape + p * (x_log_z + x_log_x - repeats * log_v) - log_z - p * b - q * a
 
     def penalised(p: float, q: float, log_v: float, a: float, b: float) -> float:
         value = likelihood(p, q, log_v, a, b)
