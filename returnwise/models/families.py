@@ -123,12 +123,16 @@ def _away_from_one(a):
 
 def expected_purchases(family: str, p: tuple, x, tx, T, horizon):
     """Expected purchases in the next ``horizon`` days given the state."""
-    active = probability_alive(family, p, x, tx, T)
+    return probability_alive(family, p, x, tx, T) * expected_if_active(family, p, x, T, horizon)
+
+
+def expected_if_active(family: str, p: tuple, x, T, horizon):
+    """The same of a customer known to be active, whenever the last purchase was."""
     if family == PARETO_NBD:
         r, alpha, s, beta = p
         s1 = _away_from_one(s) - 1.0
         shrink = -np.expm1(-s1 * np.log1p(horizon / (beta + T)))
-        return active * (r + x) * (beta + T) / ((alpha + T) * s1) * shrink
+        return (r + x) * (beta + T) / ((alpha + T) * s1) * shrink
     r, alpha, a, b = p
     a = _away_from_one(a)
     z = horizon / (alpha + T + horizon)
@@ -136,7 +140,7 @@ def expected_purchases(family: str, p: tuple, x, tx, T, horizon):
     c = a + b + x - (1.0 if family == BG_NBD else 0.0)
     first = a + b - r - (1.0 if family == BG_NBD else 0.0)
     series = gauss_series(first, a - 1.0, c, z)
-    return active * c / (a - 1.0) * (1.0 - np.power(1.0 - z, a - 1.0) * series)
+    return c / (a - 1.0) * (1.0 - np.power(1.0 - z, a - 1.0) * series)
 
 
 def expected_new_purchases(p: tuple, age):

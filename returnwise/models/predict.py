@@ -176,11 +176,14 @@ def expected_over_draws(
 
     A vector-valued sum over the distinct states: each task adds up a matrix of lengths by draws
     and hands on its cells, so what is shuffled is bounded by the calendar and the draws. States
-    go through in chunks, since every one of them meets every draw.
+    go through in chunks, since every one of them meets every draw. The date of the last purchase
+    matters to the chance of being active alone, so the lengths are gone through once per count and
+    age, with that chance summed over the states that share them.
     """
     lengths = [int(v) for v in lengths]
     vectors = tuple(points[:, [j]] for j in range(points.shape[1]))
-    ahead, chunk = families.expected_purchases, max(1, 100_000 // len(points))
+    active, ahead = families.probability_alive, families.expected_if_active
+    chunk = max(1, 1_000_000 // len(points))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = np.zeros((len(lengths), len(points)))
@@ -188,8 +191,13 @@ def expected_over_draws(
             columns = [batch[c].to_numpy(dtype=float) for c in ("frequency", "recency", "T", "n")]
             for start in range(0, len(batch), chunk):
                 x, tx, T, n = (c[start : start + chunk] for c in columns)
+                order = np.lexsort((T, x))
+                x, tx, T, n = x[order], tx[order], T[order], n[order]
+                first = np.flatnonzero(np.r_[True, (np.diff(x) != 0) | (np.diff(T) != 0)])
+                weight = np.add.reduceat(active(family, vectors, x, tx, T) * n, first, axis=1)
                 for i, length in enumerate(lengths):
-                    totals[i] += ahead(family, vectors, x, tx, T, float(length)) @ n
+                    each = ahead(family, vectors, x[first], T[first], float(length))
+                    totals[i] += (each * weight).sum(axis=1)
         yield pd.DataFrame(
             {
                 "length": np.repeat(lengths, len(points)),

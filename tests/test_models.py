@@ -470,3 +470,24 @@ def test_expectations_over_draws_are_sums_over_customers(customers, fits):
     for (length, draw), value in got.items():
         want = families.expected_purchases(families.BG_NBD, tuple(points[draw]), x, tx, T, float(length))
         assert value == pytest.approx(want.sum())
+
+
+def test_lengths_are_worked_out_per_count_and_age(spark, monkeypatch):
+    # Forty states of two counts and one age, last bought on twenty days each.
+    rows = [(x, day, 200, 1 + day % 3) for x in (1, 4) for day in range(100, 120)]
+    states = spark.createDataFrame(rows, "frequency long, recency int, T int, n long").coalesce(1)
+    points = np.array([BG, tuple(1.1 * v for v in BG)])
+    kernel = families.expected_if_active
+
+    def narrow(family, p, x, T, horizon):
+        assert len(x) == 2, "a length was worked out per state"
+        return kernel(family, p, x, T, horizon)
+
+    x, tx, T, n = (np.array(c, dtype=float) for c in zip(*rows))
+    want = {
+        (t, i): float(families.expected_purchases(families.BG_NBD, tuple(q), x, tx, T, t) @ n)
+        for t in (30, 60) for i, q in enumerate(points)
+    }
+    monkeypatch.setattr(families, "expected_if_active", narrow)
+    got = expected_over_draws(states, families.BG_NBD, points, [30, 60]).collect()
+    assert {(r["length"], r["draw_id"]): r["expected"] for r in got} == pytest.approx(want, rel=1e-12)
