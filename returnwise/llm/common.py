@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 #: The six ASCII blanks that the contracts strip and split at: space and 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Rows of an Arrow batch where whole documents pass through Python. Spark's own 10,000 of them are
+#: held as Arrow, as strings and as numbers at once, in the JVM's direct memory and in every worker.
+BATCH_ROWS = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _shipped: set[str] = set()
 
 
@@ -32,6 +37,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Have this session deal at most ``BATCH_ROWS`` rows to Python at a time; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(_ROWS_SETTING)) <= BATCH_ROWS:  # 0 or less: no limit
+        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

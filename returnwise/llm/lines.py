@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from returnwise.llm.common import BLANKS, by_batch, free_name, ship
+from returnwise.llm.common import BLANKS, by_batch, free_name, ship, short_batches
 from returnwise.session import materialise
 
 MIN_CHARS = 20
@@ -361,6 +361,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     A NULL text stays NULL where nothing was dropped.
     """
+    short_batches(docs.sparkSession)
     into = free_name(docs, "__lines")
     done = apply(build(docs.select("doc_id", "text")), docs, into)
     changed = {"text": F.when(F.col("text").isNotNull(), F.col(f"{into}.kept"))}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from returnwise.llm.common import by_batch, free_name, ship
+from returnwise.llm.common import by_batch, free_name, ship, short_batches
 from returnwise.llm.graph import connected_components
 from returnwise.session import materialise
 
@@ -463,6 +463,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     no row has an id keeps one row.
     """
     ship(docs.sparkSession)
+    short_batches(docs.sparkSession)
     key, mark = free_name(docs, "__row"), free_name(docs, "__sketch")
     sketches = by_batch(lambda: _sketches, _SKETCH, "class binary, print binary, size long", rows=ROWS)
     rows = materialise(

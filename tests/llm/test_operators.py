@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -163,6 +164,22 @@ def test_a_loose_family_joins_its_origin(spark):
     assert 0 in kept and len(kept) <= 3
 
 
+@pytest.mark.parametrize("stage", [language.accept, lines.deduplicate, simhash.deduplicate])
+def test_whole_texts_reach_python_in_short_batches(spark, stage):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for wanted, most in (("10000", 1000), ("0", 1000), ("70", 70)):
+            spark.conf.set(setting, wanted)
+            stage(documents(spark, [(1, "one two", "en")]))
+            sizes = spark.range(0, 2500, 1, 1).mapInArrow(
+                lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long"
+            )
+            assert max(r.n for r in sizes.collect()) == most
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_a_large_family_of_near_copies_joins(spark):
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(200)]
