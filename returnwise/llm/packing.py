@@ -10,7 +10,7 @@ a node holds a bounded number of them.
 import re
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ LEAST_GAIN = 0.01
 REMEMBERED = 400_000
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: A space beside another blank. Each starts with the space, which is quick to look for.
+_BLANK_AFTER, _BLANK_BEFORE = re.compile(r" \s"), re.compile(r" (?<=\s )")
 _SPECIAL = "<|endoftext|>"
 
 
@@ -70,18 +72,20 @@ class Ids:
         self._special = np.array([special], dtype="<u4").tobytes()
 
         class Memory(dict):
+            """Ids of chunks after their space."""
+
             def __missing__(self, chunk: str) -> bytes:
-                ids = encode(chunk).astype("<u4").tobytes()
+                ids = encode(" " + chunk).astype("<u4").tobytes()
                 if len(self) < REMEMBERED and len(chunk) < 64:
                     self[chunk] = ids
                 return ids
 
+        self._first = lambda chunk: encode(chunk).astype("<u4").tobytes()
         self._look = Memory().__getitem__
 
     def _plain(self, text: str) -> bytes:
-        first, *rest = _SAFE_SPACE.split(text)
-        look = self._look
-        return look(first) + b"".join([look(" " + x) for x in rest])
+        first, *rest = chunks(text)
+        return self._first(first) + b"".join(map(self._look, rest))
 
     def __call__(self, text: str) -> bytes:
         if _SPECIAL not in text:
@@ -89,6 +93,19 @@ class Ids:
         return self._special.join(self._plain(x) if x else b"" for x in text.split(_SPECIAL))
 
 
+@lru_cache(maxsize=1)
+def worker_ids(files: tuple[str, str] | None = None) -> Ids:
+    """The vocabulary of a Python worker, loaded once; chunks seen stay from task to task."""
+    return Ids(files)
+
+
+def chunks(text: str) -> list[str]:
+    """``text`` cut at every single space between two visible characters."""
+    if text[:1] == " " or text[-1:] == " " or _BLANK_AFTER.search(text) or _BLANK_BEFORE.search(text):
+        return _SAFE_SPACE.split(text)
+    return text.split(" ")  # the same cuts, several times faster
+
+
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """``(start, length)`` of a document's pieces: whole, or full ones after a shorter first."""
     first = length % capacity if length > capacity else length
@@ -163,7 +180,7 @@ def pack(
     ship(spark)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(files)
+        ids = worker_ids(files)
         end = np.array([END_ID], dtype="<u4").tobytes()
         found: list[tuple] = []
 

@@ -239,6 +239,14 @@ def test_cuckoo_filter_holds_and_forgets():
     assert small.holds(keys[:100]).all()
 
 
+@pytest.mark.parametrize("text", [
+    "", " ", "a", "a b", " a b", "a b ", "a  b c", "a \n b", "a\nb c", "a\t b", "a\u00a0 b", "a \u2003b c", "a b\x1c c",
+])
+def test_chunks_are_cut_at_single_spaces_between_visible_characters(text):
+    assert packing.chunks(text) == packing._SAFE_SPACE.split(text)
+    assert " ".join(packing.chunks(text)) == text
+
+
 def test_packing(odd, empty):
     from tokenizers import Tokenizer
 
