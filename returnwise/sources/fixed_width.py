@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from returnwise import schemas
-from returnwise.session import materialise
+from returnwise.session import materialise, small
 
 
 class FixedWidthFormatError(ValueError):
@@ -63,7 +63,8 @@ def read_numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataF
 
     A split of a file is read by one task in file order, so rows are numbered per partition and
     shifted by the rows of earlier splits of the same file. The split order is the block start
-    Spark reports in the file metadata; a file's split count is its size over the split size.
+    Spark reports in the file metadata; a file's split count is its size over the split size. The
+    shifts, one row for each split, travel by broadcast: the lines stay where they were read.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -82,7 +83,7 @@ def read_numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataF
     offsets = blocks.select(
         "_path", "_block", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
     )
-    return fixed.join(offsets, ["_path", "_block"]).select(
+    return fixed.join(small(offsets), ["_path", "_block"]).select(
         "value",
         "_source_file",
         (F.col("_before") + F.col("_slot") - F.col("_first") + 1).alias("_line_number"),

@@ -95,6 +95,19 @@ def test_line_numbers_survive_splits_and_several_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_numbering_lines_moves_none_of_them(spark, tmp_path):
+    write(tmp_path, " 00001 19970101  1   11.77\n", "one.txt")
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        lines = fixed_width.read_numbered_lines(spark, str(tmp_path))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set(setting, before)
+
+
 @pytest.mark.parametrize(
     "separators,fields",
     [
