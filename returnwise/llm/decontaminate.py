@@ -15,6 +15,7 @@ fewer words than ``LEAST_WORDS`` are found word for word.
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ RANK, OVERSAMPLE = 64, 8
 COSINE = 0.4
 #: Paraphrases tried of each passage, and how much nearer than ``COSINE`` all of them must be.
 TRIALS, MARGIN = 32, 0.05
-#: Passages whose words in common are counted at a time.
+#: Passages whose marks are compared at a time.
 COUNTED = 256
 COMMON_WORDS = 0.65
 ANSWER_WORDS = 0.6
@@ -44,10 +45,14 @@ ANSWER_WORDS = 0.6
 BLOCK_ITEMS = 20_000
 #: Words of documents worked on at a time.
 BATCH_WORDS = 400_000
-#: Bytes of word counts held at a time, and pairs whose subsequences are sought at a time.
-COUNT_BYTES, PAIRS = 1 << 24, 20_000
+#: Bytes of places and of marks compared at a time, and pairs whose subsequences are sought at a time.
+COUNT_BYTES, PAIR_BYTES, PAIRS = 1 << 24, 1 << 20, 20_000
 #: Blocks of a text whose places in the space are summed at a time.
 BLOCKS = 4096
+#: Commonest terms whose counts by window are a dense table, and windows of such a table.
+DENSE, WINDOWS = 512, 2048
+#: Numbers of 64 bits that mark which terms a window holds.
+MARKS = 4
 
 _TO_BLANK = bytes(
     32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256)
@@ -147,7 +152,7 @@ def _terms(texts: Iterator[str | None], vocabulary: dict[bytes, int], overlap: i
             part = own[a : a + step + overlap]
             owners.append(i)
             lengths.append(len(part))
-            ids.append(np.fromiter((look(w, -1) for w in part), np.int32, len(part)))
+            ids.append(np.fromiter(map(look, part, repeat(-1)), np.int32, len(part)))
             held += len(part)
             if held >= BATCH_WORDS:
                 yield np.array(owners), np.array(lengths), np.concatenate(ids)
@@ -168,12 +173,27 @@ def _windows(lengths: np.ndarray, size: int, step: int):
     return segment, start, np.minimum(start + size, (first + lengths)[segment])
 
 
-def _disjoint(texts, vocabulary):
-    """Term hits of disjoint windows: counts of windows and words, and each hit's window and term."""
-    for _, lengths, ids in _terms(texts, vocabulary, 0):
+def _kind(vocabulary: dict[bytes, int]) -> np.dtype:
+    """The smallest whole numbers that hold the terms of ``vocabulary`` and -1."""
+    return np.dtype(np.int16 if len(vocabulary) < 1 << 15 else np.int32)
+
+
+def _disjoint(rows: list[bytes], kind: np.dtype):
+    """Term hits of disjoint windows: counts of windows and words, and each hit's window and term.
+
+    ``rows`` are segments of texts as terms of ``kind``; about ``BATCH_WORDS`` words are taken at a time.
+    """
+    low = held = 0
+    for high, row in enumerate(rows, 1):
+        held += len(row) // kind.itemsize
+        if held < BATCH_WORDS and high < len(rows):
+            continue
+        lengths = np.array([len(x) for x in rows[low:high]]) // kind.itemsize
+        ids = np.frombuffer(b"".join(rows[low:high]), kind)
+        low, held = high, 0
         _, start, _ = _windows(lengths, PASSAGE_WORDS, PASSAGE_WORDS)
         at = np.flatnonzero(ids >= 0)
-        yield len(start), len(ids), np.searchsorted(start, at, "right") - 1, ids[at]
+        yield len(start), len(ids), np.searchsorted(start, at, "right") - 1, ids[at].astype(np.int64)
 
 
 def fit(docs: DataFrame, items: list[tuple[int | None, str]]) -> Space | None:
@@ -184,13 +204,24 @@ def fit(docs: DataFrame, items: list[tuple[int | None, str]]) -> Space | None:
     if not space.passages:
         return space if space.short else None
     terms, r = len(space.vocabulary), min(RANK + OVERSAMPLE, len(space.vocabulary))
-    shared = spark.sparkContext.broadcast(space.vocabulary)
+    shared, kind = spark.sparkContext.broadcast(space.vocabulary), _kind(space.vocabulary)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, lengths, ids in _terms(batch.column(0).to_pylist(), shared.value, 0):
+                whole, ends = ids.astype(kind).tobytes(), np.cumsum(lengths) * kind.itemsize
+                starts = np.concatenate(([0], ends[:-1]))
+                rows = [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_pydict({"terms": pa.array(rows, pa.binary())})
+
+    # Words are looked up once; the passes below read their terms.
+    coded = materialise(docs.select("text").where("text is not null").mapInArrow(code, "terms binary"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, times, total, words_read = np.zeros(terms + 1, dtype=np.int64), np.zeros(terms + 1, dtype=np.int64), 0, 0
         for batch in batches:
-            for n, size, window, term in _disjoint(batch.column(0).to_pylist(), shared.value):
-                pairs = np.unique(window.astype(np.int64) * terms + term)
+            for n, size, window, term in _disjoint(batch.column(0).to_pylist(), kind):
+                pairs = np.unique(window * terms + term)
                 counts[:terms] += np.bincount(pairs % terms, minlength=terms)
                 times[:terms] += np.bincount(term, minlength=terms)
                 total += n
@@ -201,9 +232,8 @@ def fit(docs: DataFrame, items: list[tuple[int | None, str]]) -> Space | None:
             "term": pa.array(used), "n": pa.array(counts[used]), "times": pa.array(times[used]),
         })
 
-    texts = docs.select("text").where("text is not null")
     counted = (
-        texts.mapInArrow(frequencies, "term bigint, n bigint, times bigint")
+        coded.mapInArrow(frequencies, "term bigint, n bigint, times bigint")
         .groupBy("term").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
     )
     frequency, usual = np.zeros(terms + 1), np.zeros(terms + 1)
@@ -212,6 +242,7 @@ def fit(docs: DataFrame, items: list[tuple[int | None, str]]) -> Space | None:
     total, frequency = frequency[terms], frequency[:terms]
     usual = usual[:terms] / max(usual[terms], 1)
     weight = np.log((total + 1) / (frequency + 1)) + 1
+    dense = np.sort(np.argsort(-frequency, kind="stable")[:DENSE])
 
     passage_of = np.repeat(np.arange(len(space.passages)), [len(p.terms) for p in space.passages])
     passage_terms = np.concatenate([p.terms for p in space.passages])
@@ -226,19 +257,19 @@ def fit(docs: DataFrame, items: list[tuple[int | None, str]]) -> Space | None:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros((terms, basis.shape[1]))
             for batch in batches:
-                for _, _, window, term in _disjoint(batch.column(0).to_pylist(), shared.value):
+                for _, _, window, term in _disjoint(batch.column(0).to_pylist(), kind):
                     if len(term):
-                        out += _outer(wide.value, window, term, terms)
+                        out += _outer(wide.value, window, term, dense)
             rows = np.flatnonzero(np.abs(out).sum(axis=1))
             columns = {"term": pa.array(rows)} | {f"y{i}": pa.array(out[rows, i]) for i in range(out.shape[1])}
             yield pa.RecordBatch.from_pydict(columns)
 
         names = [f"y{i}" for i in range(basis.shape[1])]
         ddl = "term bigint, " + ", ".join(f"{x} double" for x in names)
-        parts = texts.mapInArrow(partial, ddl).groupBy("term").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
+        parts = coded.mapInArrow(partial, ddl).groupBy("term").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
         out = np.zeros((terms, basis.shape[1]))
         out[parts["term"].to_numpy(dtype=np.int64)] = parts[names].to_numpy()
-        out += share * _outer(wide.value, passage_of, passage_terms, terms)
+        out += share * _outer(wide.value, passage_of, passage_terms, dense)
         wide.destroy()
         return weight[:, None] * out
 
@@ -278,83 +309,97 @@ def _nearness(latent, own: list[int], unit, usual, others, top: int, rng) -> flo
     return float((rows @ unit / np.maximum(np.linalg.norm(rows, axis=1), 1e-9)).min())
 
 
-def _outer(wide: np.ndarray, window: np.ndarray, term: np.ndarray, terms: int) -> np.ndarray:
-    """Sum by term of the window rows that hold it; ``window`` is sorted."""
-    heads = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
-    rows = np.add.reduceat(wide[term], heads, axis=0)
-    which = np.cumsum(np.concatenate(([0], (window[1:] != window[:-1]).astype(np.int64))))
-    order = np.argsort(term, kind="stable")
-    ordered = term[order]
-    cuts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    out = np.zeros((terms, wide.shape[1]))
-    out[ordered[cuts]] = np.add.reduceat(rows[which[order]], cuts, axis=0)
+def _outer(wide: np.ndarray, window: np.ndarray, term: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Sum by term of the window rows that hold it; ``window`` is sorted.
+
+    The counts of the ``dense`` terms, the commonest, are taken as tables; the others are sorted.
+    """
+    out = np.zeros(wide.shape)
+    column = np.full(len(wide), -1)
+    column[dense] = np.arange(len(dense))
+    common = wide[dense]
+    for first in range(int(window[0]), int(window[-1]) + 1, WINDOWS):
+        a, b = np.searchsorted(window, (first, first + WINDOWS))
+        which, own = window[a:b] - first, column[term[a:b]]
+        held = own >= 0
+        table = np.bincount(which[held] * len(dense) + own[held], minlength=WINDOWS * len(dense))
+        table = table.reshape(WINDOWS, len(dense)).astype(np.float32)
+        rows = table @ common
+        rare, which = term[a:b][~held], which[~held]
+        if len(rare):
+            heads = np.flatnonzero(np.diff(which, prepend=-1))
+            rows[which[heads]] += np.add.reduceat(wide[rare], heads, axis=0)
+            order = np.argsort(rare, kind="stable")
+            ordered = rare[order]
+            heads = np.flatnonzero(np.diff(ordered, prepend=-1))
+            out[ordered[heads]] += np.add.reduceat(rows[which[order]], heads, axis=0)
+        out[dense] += table.T @ rows
+    return out
+
+
+def _sums(rows: np.ndarray, index: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[index[first:stop]]`` for short runs of ``index``; the last of ``rows`` is zero."""
+    out = np.zeros((len(first), rows.shape[1]), rows.dtype)
+    for low in range(0, len(first), BLOCKS):
+        a, b, part = first[low : low + BLOCKS], stop[low : low + BLOCKS], out[low : low + BLOCKS]
+        for at in range(int((b - a).max())):
+            place = index.take(np.minimum(a + at, len(index) - 1))
+            part += rows.take(np.where(a + at < b, place, len(rows) - 1), axis=0)
     return out
 
 
-def _places(space: Space, hits: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Running sums of the blocks' places in the space; ``hits[edges[i]:edges[i + 1]]`` are in block ``i``."""
+def _marks(terms: int) -> list[np.ndarray]:
+    """For each term its bit of ``MARKS`` numbers; several terms share one."""
+    bit = np.arange(terms) % (64 * MARKS)
+    return [np.where(bit // 64 == i, np.uint64(1) << (bit % 64).astype(np.uint64), np.uint64(0)) for i in range(MARKS)]
+
+
+def _marked(marks: list[np.ndarray], hits: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    """The marks of all terms of each block, and of none at the end."""
     full = np.flatnonzero(np.diff(edges))
-    prefix = np.zeros((len(edges), space.latent.shape[1]))
-    for low in range(0, len(full), BLOCKS):
-        part = full[low : low + BLOCKS]
-        terms = hits[edges[part[0]] : edges[part[-1] + 1]]
-        prefix[part + 1] = np.add.reduceat(space.latent[terms], edges[part] - edges[part[0]], axis=0)
-    return np.cumsum(prefix, axis=0, out=prefix)
+    out = []
+    for own in marks:
+        row = np.zeros(len(edges), np.uint64)
+        if len(full):
+            row[full] = np.bitwise_or.reduceat(own[hits], edges[full])
+        out.append(row)
+    return out
 
 
-def _near(own: np.ndarray, unit: np.ndarray, least: np.ndarray, prefix, edges, first, stop):
+def _near(own: np.ndarray, unit: np.ndarray, least: np.ndarray, places, edges, first, stop):
     """Windows and columns of the passages they are near to.
 
-    Block ``i`` has the hits from ``edges[i]`` to ``edges[i + 1]`` and ``prefix[i]`` sums the places of
-    all before it; window ``j`` is the blocks from ``first[j]`` to before ``stop[j]``.
+    Block ``i`` has the hits from ``edges[i]`` to ``edges[i + 1]`` and its place is ``places[i]``, the last
+    one of which is zero; window ``j`` is the blocks from ``first[j]`` to before ``stop[j]``.
     """
     count = edges[stop] - edges[first]
     filled = np.flatnonzero(count >= least.min())
     at_once = max(1, COUNT_BYTES // (4 * len(own)))
+    index = np.arange(len(places))
     for low in range(0, len(filled), at_once):
         window = filled[low : low + at_once]
-        rows = (prefix[stop[window]] - prefix[first[window]]).astype(np.float32)
+        rows = _sums(places, index, first[window], stop[window])
         norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)
         w, column = np.nonzero(rows @ unit.T >= COSINE * norm[:, None])
         enough = count[window[w]] >= least[column]
         yield window[w[enough]], column[enough]
 
 
-def _common(space: Space, own: np.ndarray, least: np.ndarray, hits, edges):
-    """First blocks of windows and columns of the passages with ``least`` words in common.
+def _common(own: np.ndarray, spare: np.ndarray, own_marks: list[np.ndarray], window_marks: list[np.ndarray]):
+    """Windows and passages of which they lack at most ``spare`` marks, so no more words than may be missed.
 
-    ``hits[edges[i]:edges[i + 1]]`` are the terms in block ``i``, five blocks make a window. A count
-    may run on into the next text, which only adds candidates. Passages are taken ``COUNTED`` at a
-    time, over the terms they hold, so the table stays small whatever the benchmark.
+    Passages are taken ``COUNTED`` at a time, so the table stays small whatever the benchmark.
     """
     for first in range(0, len(own), COUNTED):
         part = own[first : first + COUNTED]
-        used, place = np.unique(np.concatenate([space.passages[i].terms for i in part]), return_inverse=True)
-        holds = np.zeros((len(used), len(part)), dtype=np.uint8)
-        holds[place, np.repeat(np.arange(len(part)), [len(space.passages[i].terms) for i in part])] = 1
-        row_of = np.full(len(space.vocabulary), -1)
-        row_of[used] = np.arange(len(used))
-        rows_of_hits = row_of[hits]
-        inside = np.flatnonzero(rows_of_hits >= 0)
-        own_edges = np.searchsorted(inside, edges)
-        for block, column in _counted(holds, least[first : first + COUNTED], rows_of_hits[inside], own_edges):
-            yield block, column + first
-
-
-def _counted(holds: np.ndarray, least: np.ndarray, hits: np.ndarray, edges: np.ndarray):
-    blocks = len(edges) - 1
-    at_once = max(16, COUNT_BYTES // (holds.shape[1] * max(1, -(-len(hits) // blocks))))
-    for low in range(0, blocks, at_once):
-        cuts = edges[low : min(low + at_once + 4, blocks) + 1]
-        filled = np.flatnonzero(np.diff(cuts))
-        if not len(filled):
-            continue
-        counts = np.zeros((min(at_once, blocks - low) + 4, holds.shape[1]), dtype=np.uint8)
-        rows = holds[hits[cuts[0] : cuts[-1]]]
-        counts[filled] = np.add.reduceat(rows, cuts[filled] - cuts[0], axis=0, dtype=np.uint8)
-        together = sum((counts[i : len(counts) - 4 + i] for i in range(1, 5)), counts[:-4])
-        block, column = np.nonzero(together >= least)
-        yield block + low, column
+        at_once = max(1, PAIR_BYTES // (8 * len(part)))
+        for low in range(0, len(window_marks[0]), at_once):
+            missed = sum(
+                np.bitwise_count(p[part] & ~w[low : low + at_once, None]) for p, w in zip(own_marks, window_marks)
+            )
+            window, column = np.nonzero(missed <= spare[part])
+            if len(window):
+                yield window + low, part[column]
 
 
 def _verbatim(space: Space, lengths: np.ndarray, ids: np.ndarray):
@@ -382,6 +427,11 @@ def _search(space: Space, texts: list) -> list[list[dict]]:
     size = np.array([len(p.terms) for p in space.passages])
     answers = np.array([p.answer for p in space.passages])
     least = np.ceil(COMMON_WORDS * size - 1e-9).astype(np.uint8)
+    spare = size - least
+    marks = _marks(len(space.vocabulary))
+    own_marks = [np.array([np.bitwise_or.reduce(x[p.terms]) for p in space.passages], np.uint64) for x in marks]
+    if space.latent is not None:
+        latent = np.concatenate((space.latent, np.zeros((1, space.latent.shape[1]), np.float32)))
     for owners, lengths, ids in _terms(iter(texts), space.vocabulary, PASSAGE_WORDS * 2):
         at = np.flatnonzero(ids >= 0)
         if not len(at):
@@ -393,8 +443,9 @@ def _search(space: Space, texts: list) -> list[list[dict]]:
         # The smallest blocks' sums serve every class: larger blocks are runs of them.
         fine = min((top for top, (_, _, held) in space.queries.items() if held.any()), default=0) // 4
         if fine:
-            _, fine_start, _ = _windows(lengths, fine, fine)
-            places = _places(space, hits, np.append(np.searchsorted(at, fine_start), len(at)))
+            _, fine_start, fine_end = _windows(lengths, fine, fine)
+            places = _sums(latent, np.where(ids < 0, len(latent) - 1, ids), fine_start, fine_end)
+            places = np.concatenate((places, np.zeros((1, places.shape[1]), np.float32)))
         for top, (passages, units, held) in space.queries.items():
             step = top // 4
             segment, start, end = _windows(lengths, top + step, step)
@@ -405,23 +456,28 @@ def _search(space: Space, texts: list) -> list[list[dict]]:
             edges = np.append(np.searchsorted(at, block_start), len(at))
             first = np.searchsorted(block_start, start, "right") - 1
             stop = np.minimum(first + 5, np.searchsorted(owner, segment, "right"))
+            block_marks = _marked(marks, hits, edges)
+            window_marks = []
+            for row in block_marks:
+                mark = row[first]
+                for i in range(1, 5):
+                    mark |= row[np.where(first + i < stop, first + i, len(block_start))]
+                window_marks.append(mark)
 
             def candidates():
                 if held.any():
                     own = passages[held]
-                    starts = np.searchsorted(fine_start, block_start)
-                    prefix = places[np.append(starts, len(fine_start))]
-                    for window, column in _near(own, units[held], least[own], prefix, edges, first, stop):
+                    starts = np.append(np.searchsorted(fine_start, block_start), len(fine_start))
+                    inside = places if step == fine else _sums(places, np.arange(len(places)), starts, np.append(starts[1:], starts[-1]))
+                    for window, column in _near(own, units[held], least[own], inside, edges, first, stop):
                         yield window, own[column]
                 if not held.all():
-                    own = passages[~held]
-                    window_of = np.full(len(block_start), -1)
-                    window_of[first] = np.arange(len(start))
-                    for block, column in _common(space, own, least[own], hits, edges):
-                        window = window_of[block]
-                        yield window[window >= 0], own[column[window >= 0]]
+                    yield from _common(passages[~held], spare, own_marks, window_marks)
 
             for windows, columns in candidates():
+                # A passage's mark that the window lacks is a word missed; more than it may miss are too many.
+                missed = sum(np.bitwise_count(p[columns] & ~w[windows]) for p, w in zip(own_marks, window_marks))
+                windows, columns = windows[missed <= spare[columns]], columns[missed <= spare[columns]]
                 for low in range(0, len(windows), PAIRS):
                     w, which = windows[low : low + PAIRS], columns[low : low + PAIRS]
                     inside = a[w, None] + np.arange(top + step)

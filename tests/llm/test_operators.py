@@ -540,6 +540,69 @@ def test_paraphrases_are_found_by_cosine_as_by_brute_force(spark):
     assert len(want) > 200 and len(want & got) >= 0.98 * len(want)
 
 
+def test_a_space_is_fitted_with_one_pass_over_the_texts(spark):
+    rng = np.random.default_rng(12)
+    sentence = lambda n: " ".join(rng.choice(list("abcdefghijklmnop"), n))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    table = documents(spark, [(i, sentence(100), "en") for i in range(50)]).select(F.udf(seen)("text").alias("text"))
+    assert decontaminate.fit(table, [(i, sentence(20)) for i in range(5)]).latent is not None
+    assert read.value <= 2 * 50  # once for its words, once to leave NULLs out
+
+
+@pytest.mark.parametrize("size", [600, 40_000])  # more terms than a dense table or 16 bits hold
+def test_windows_and_terms_are_summed_as_one_by_one(monkeypatch, size):
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(decontaminate, "BATCH_WORDS", 1000)
+    vocabulary = {b"%d" % i: i for i in range(size)}
+    lengths = [0, 5, 64, 700, 0, 1300, 129, 0]
+    ids = [np.where(rng.random(n) < 0.4, -1, (size * rng.random(n) ** 3).astype(int)) for n in lengths]
+    kind = decontaminate._kind(vocabulary)
+    wide = rng.standard_normal((size, 6)).astype(np.float32)
+    want, windows = np.zeros((size, 6)), 0
+    for x in ids:
+        for a in range(0, max(1, len(x)), decontaminate.PASSAGE_WORDS):
+            own = x[a : a + decontaminate.PASSAGE_WORDS]
+            np.add.at(want, own[own >= 0], wide[own[own >= 0]].sum(axis=0))
+            windows += 1
+    got, counted = np.zeros((size, 6)), 0
+    monkeypatch.setattr(decontaminate, "WINDOWS", 4)
+    for n, _, window, term in decontaminate._disjoint([x.astype(kind).tobytes() for x in ids], kind):
+        counted += n
+        if len(term):
+            got += decontaminate._outer(wide, window, term, np.arange(0, size, 3)[:512])
+    assert counted == windows
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_marks_lose_no_passage():
+    """Whatever a window holds of a passage, its marks say no more words are missing than are."""
+    rng = np.random.default_rng(14)
+    items = [(i, " ".join(f"w{k}" for k in rng.integers(0, 900, n))) for i, n in enumerate([8, 9, 30, 63, 64])]
+    space = decontaminate._passages(items)
+    marks = decontaminate._marks(len(space.vocabulary))
+    size = np.array([len(p.terms) for p in space.passages])
+    spare = size - np.ceil(0.65 * size - 1e-9).astype(int)
+    own = [np.array([np.bitwise_or.reduce(x[p.terms]) for p in space.passages], np.uint64) for x in marks]
+    windows = []
+    for _ in range(200):
+        p = space.passages[rng.integers(len(items))].terms
+        kept = np.sort(rng.permutation(len(p))[: int(rng.integers(1, len(p) + 1))])
+        windows.append([p[k] for k in kept] + rng.integers(0, len(space.vocabulary), 12).tolist())
+    edges = np.cumsum([0, *map(len, windows)])
+    seen = [x[:-1] for x in decontaminate._marked(marks, np.concatenate(windows), edges)]
+    found = {(int(w), int(k)) for a, b in decontaminate._common(np.arange(5), spare, own, seen) for w, k in zip(a, b)}
+    enough = {
+        (i, k) for i, w in enumerate(windows) for k, p in enumerate(space.passages)
+        if plain_subsequence(p.terms, w) >= 0.65 * size[k] - 1e-9
+    }
+    assert enough and enough <= found and len(found) < len(enough) + 100
+
+
 def test_short_benchmark_texts_are_found_word_for_word(spark):
     benchmark = spark.createDataFrame(
         [(1, "What is the capital of France? Paris."), (2, "Paris"), (3, None), (4, "of France")],
