@@ -33,7 +33,7 @@ REJECT_QUANTILE = 0.999
 REJECT_MARGIN = 2.0
 #: Characters taken at a time; longer texts go slice by slice.
 SLICE = 500_000
-BATCH = 1_000_000
+BATCH = 1 << 17
 
 _SPACE = 32
 

@@ -10,7 +10,7 @@ a node holds a bounded number of them.
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,13 @@ def default_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def special_id(path: str) -> int:
+    """One vocabulary in two files: the id of the special token is that of the first."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).token_to_id(_SPECIAL)
+
+
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes, as ``tokenizers`` gives them.
 
@@ -54,12 +61,11 @@ class Ids:
     that special token, as ``tokenizers`` reads it.
     """
 
-    def __init__(self, files: tuple[str, str] | None = None):
+    def __init__(self, files: tuple[str, str] | None = None, special: int | None = None):
         import base64
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         path, ranks = files or default_files()
         with open(ranks, "rb") as lines:
@@ -67,8 +73,7 @@ class Ids:
         encode = tiktoken.Encoding(
             "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
         ).encode_to_numpy
-        # One vocabulary in two files: the ids of the special token are those of the first.
-        special = Tokenizer.from_file(path).token_to_id(_SPECIAL)
+        special = special_id(path) if special is None else special
         self._special = np.array([special], dtype="<u4").tobytes()
 
         class Memory(dict):
@@ -93,10 +98,23 @@ class Ids:
         return self._special.join(self._plain(x) if x else b"" for x in text.split(_SPECIAL))
 
 
-@lru_cache(maxsize=1)
-def worker_ids(files: tuple[str, str] | None = None) -> Ids:
-    """The vocabulary of a Python worker, loaded once; chunks seen stay from task to task."""
-    return Ids(files)
+class Vocabulary:
+    """The ids of a Python worker, to be broadcast: loaded once, with the chunks seen so far.
+
+    A worker lets go of a broadcast when it turns to a task without it, so what is remembered does
+    not weigh on the jobs that follow.
+    """
+
+    def __init__(self, files: tuple[str, str] | None = None):
+        self._files, self._special, self._ids = files, special_id((files or default_files())[0]), None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_ids": None}
+
+    def ids(self) -> Ids:
+        if self._ids is None:
+            self._ids = Ids(self._files, self._special)
+        return self._ids
 
 
 def chunks(text: str) -> list[str]:
@@ -178,9 +196,10 @@ def pack(
     """
     spark = docs.sparkSession
     ship(spark)
+    shared = spark.sparkContext.broadcast(Vocabulary(files))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = worker_ids(files)
+        ids = shared.value.ids()
         end = np.array([END_ID], dtype="<u4").tobytes()
         found: list[tuple] = []
 

@@ -247,6 +247,22 @@ def test_chunks_are_cut_at_single_spaces_between_visible_characters(text):
     assert " ".join(packing.chunks(text)) == text
 
 
+def test_a_worker_lets_the_vocabulary_go(spark):
+    """Once a worker turns to another job it holds neither the vocabulary nor the chunks it has seen."""
+
+    def held(batches):
+        import gc
+
+        gc.collect()
+        names = [type(x).__qualname__ for x in gc.get_objects() if type(x).__module__ == packing.__name__]
+        yield pa.RecordBatch.from_pydict({"held": pa.array([", ".join(sorted(set(names)))])})
+
+    table = documents(spark, [(i, f"one two {i}", "en") for i in range(40)])
+    assert packing.pack(table).count() == 40
+    left = spark.range(0, 40, 1, 8).mapInArrow(held, "held string").collect()
+    assert {r.held for r in left} == {""}
+
+
 def test_packing(odd, empty):
     from tokenizers import Tokenizer
 
