@@ -32,12 +32,15 @@ EMBEDDING, HIDDEN = 16, 24
 #: Passes over all training documents.
 ROUNDS = 4
 RATE = 0.01
-#: Streams of text learned from side by side, at most, and steps of a window of backpropagation.
-STREAMS, STEPS = 128, 16
+#: Streams of text learned from side by side, steps of a window of backpropagation, and moves of a pass: a
+#: shard that would take more has more streams, up to the second number.
+STREAMS, MOST_STREAMS, STEPS, MOVES = 128, 512, 16, 245
 #: Tokens of a shard, about; tokens held at a time; and shards averaged at a time.
-SHARD, HELD, AVERAGED = 500_000, 1_000_000, 64
+SHARD, HELD, AVERAGED = 2_000_000, 3_000_000, 64
 #: Documents scored side by side, and steps between evaluations of the output layer.
 SCORED, WINDOW = 2048, 32
+#: States whose classes are weighed at a time.
+BLOCK = 512
 #: Different words that a counting task holds before it passes its counts on.
 COUNTED = 300_000
 
@@ -53,10 +56,6 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
     """A gated recurrent unit with a class-factored output, in numpy."""
 
@@ -86,49 +85,77 @@ class Network:
         return np.where(ids < pad, ids // CLASS_WORDS, self.own + ids - pad)
 
     def step(self, x: np.ndarray, h: np.ndarray):
-        """The next state from the input's part ``x`` of the gates, and what its gradient needs."""
+        """The next state from the input's part ``x`` of the gates, and what its gradient needs.
+
+        States and gates have a column for each text, so every gate is one run of memory.
+        """
         n = self.hidden
-        g = h @ self.U
-        zr = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-        return new + z * (h - new), (z, r, new, g[:, 2 * n :])
+        g = self.U.T @ h
+        zr = x[: 2 * n] + g[: 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, g = zr[:n], zr[n:], g[2 * n :]
+        new = r * g
+        new += x[2 * n :]
+        np.tanh(new, out=new)
+        after = h - new
+        after *= z
+        after += new
+        return after, (z, r, new, g)
 
     def losses(self, h: np.ndarray, ids: np.ndarray, gradient: bool = False):
-        """Natural log-probabilities of ``ids`` after states ``h``; with the gradient of their sum."""
-        rows = np.arange(len(ids))
-        kind = self.classes(ids)
-        logit = h @ self.C + self.c
-        logit -= logit.max(axis=1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(axis=1)
-        out = logit[rows, kind] - np.log(total)
-        grads = None
+        """Natural log-probabilities of ``ids`` after states ``h``; with the gradient of their sum.
+
+        ``h`` has a column for each id, and below the state a row of ones that carries the biases.
+        """
+        n, kind = self.hidden, self.classes(ids)
+        above, within = np.vstack((self.C, self.c)), np.column_stack((self.O, self.o))
+        out = np.empty(len(ids), h.dtype)
         if gradient:
-            d = -e / total[:, None]
-            d[rows, kind] += 1
-            grads = {"C": h.T @ d, "c": d.sum(axis=0), "O": np.zeros_like(self.O), "o": np.zeros_like(self.o)}
-            dh = d @ self.C.T
-        order = np.argsort(kind, kind="stable")
+            d_above, d_within, dh = np.zeros_like(above), np.zeros_like(within), np.empty((n, len(ids)), h.dtype)
+        for a in range(0, len(ids), BLOCK):
+            part = slice(a, a + BLOCK)
+            own, mine = h[:, part], (kind[part], np.arange(len(kind[part])))
+            e = above.T @ own
+            e -= e.max(axis=0)
+            picked = e[mine]
+            np.exp(e, out=e)
+            total = e.sum(axis=0)
+            out[part] = picked - np.log(total)
+            if gradient:
+                e *= -1 / total
+                e[mine] += 1
+                d_above += own @ e.T
+                np.matmul(self.C, e, out=dh[:, part])
+        order = np.argsort(kind.astype(np.int16), kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(self.own + 1))
+        order = order[: cuts[-1]]
+        states, place, inside = h.take(order, axis=1), ids[order] % CLASS_WORDS, np.empty(len(order), h.dtype)
+        if gradient:
+            d_states = np.empty((n, len(order)), h.dtype)
         for k in range(self.own):
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own):
+            part, words = slice(cuts[k], cuts[k + 1]), slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
+            if cuts[k] == cuts[k + 1]:
                 continue
-            part = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            inner = h[own] @ self.O[part].T + self.o[part]
-            inner -= inner.max(axis=1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(axis=1)
-            place = ids[own] - k * CLASS_WORDS
-            out[own] += inner[np.arange(len(own)), place] - np.log(total)
+            own, mine = states[:, part], (place[part], np.arange(cuts[k + 1] - cuts[k]))
+            e = within[words] @ own
+            e -= e.max(axis=0)
+            picked = e[mine]
+            np.exp(e, out=e)
+            total = e.sum(axis=0)
+            inside[part] = picked - np.log(total)
             if gradient:
-                d = -e / total[:, None]
-                d[np.arange(len(own)), place] += 1
-                grads["O"][part] += d.T @ h[own]
-                grads["o"][part] += d.sum(axis=0)
-                dh[own] += d @ self.O[part]
-        return (out, grads, dh) if gradient else out
+                e *= -1 / total
+                e[mine] += 1
+                d_within[words] = e @ own.T
+                np.matmul(self.O[words].T, e, out=d_states[:, part])
+        out[order] += inside
+        if not gradient:
+            return out
+        dh[:, order] += d_states
+        return out, {"C": d_above[:n], "c": d_above[n], "O": d_within[:, :n], "o": d_within[:, n]}, dh
 
     def window(self, ids: np.ndarray, mask: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None):
         """Sum of log-probabilities over ``ids[step, stream]``, its gradients, and the last states.
@@ -137,68 +164,92 @@ class Network:
         text begins, which ``fresh`` marks.
         """
         steps, streams = ids.shape
-        n = self.hidden
-        before, kept = np.empty((steps, streams, n), np.float32), []
-        inputs = self.E[ids]
-        x = inputs @ self.W + self.b
+        n, kind = self.hidden, self.U.dtype
+        flat, whole = ids.ravel(), bool(mask.all())
+        begins = [np.flatnonzero(row) for row in fresh] if fresh is not None else [()] * steps
+        table = np.ascontiguousarray((self.E @ self.W + self.b).T)
+        # A column for each step and stream; the row of ones carries the biases.
+        before, kept = np.ones((n + 1, steps, streams), kind), []
+        h = h.T.astype(kind)
         for t in range(steps):
-            if fresh is not None:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            before[t] = h
-            after, parts = self.step(x[t], h)
+            if len(begins[t]):
+                h[:, begins[t]] = 0
+            before[:n, t] = h
+            after, parts = self.step(table.take(ids[t], axis=1), h)
             kept.append(parts)
-            h = np.where(mask[t][:, None], after, h)
-        at = np.flatnonzero(mask.ravel())
-        out, grads, dstate = self.losses(before.reshape(-1, n)[at], ids.ravel()[at], gradient=True)
-        direct = np.zeros((steps * streams, n), np.float32)
-        direct[at] = dstate
-        direct = direct.reshape(steps, streams, n)
-        dx = np.zeros((steps, streams, 3 * n), np.float32)
-        dg = np.zeros_like(dx)
-        dh = np.zeros((streams, n), np.float32)
+            h = after if whole else np.where(mask[t], after, h)
+        states = before.reshape(n + 1, -1)
+        if whole:
+            out, grads, direct = self.losses(states, flat, gradient=True)
+        else:
+            at = np.flatnonzero(mask.ravel())
+            out, grads, some = self.losses(states.take(at, axis=1), flat[at], gradient=True)
+            direct = np.zeros((n, len(flat)), kind)
+            direct[:, at] = some
+        direct = direct.reshape(n, steps, streams)
+        dx, dg = np.empty((3 * n, steps, streams), kind), np.empty((3 * n, steps, streams), kind)
+        dh = np.zeros((n, streams), kind)
         for t in range(steps - 1, -1, -1):
             z, r, new, g = kept[t]
-            live = np.where(mask[t][:, None], dh, 0)
-            dnew = live * (1 - z) * (1 - new * new)
-            dz = live * (before[t] - new) * z * (1 - z)
-            dr = dnew * g * r * (1 - r)
-            dx[t] = np.concatenate((dz, dr, dnew), axis=1)
-            dg[t] = np.concatenate((dz, dr, dnew * r), axis=1)
-            dh = np.where(mask[t][:, None], live * z, dh) + dg[t] @ self.U.T + direct[t]
-            if fresh is not None:
-                dh = np.where(fresh[t][:, None], np.float32(0), dh)
-        flat = dx.reshape(-1, 3 * n)
-        grads["U"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
-        grads["W"] = inputs.reshape(-1, inputs.shape[2]).T @ flat
-        grads["b"] = flat.sum(axis=0)
+            live = dh if whole else np.where(mask[t], dh, 0)
+            carried = live * z
+            dnew = new * new
+            np.subtract(1, dnew, out=dnew)
+            dnew *= live - carried
+            dz = before[:n, t] - new
+            dz *= carried
+            dz *= 1 - z
+            dr = dnew * r
+            dg[2 * n :, t] = dr
+            dr *= g
+            dr *= 1 - r
+            dx[:n, t], dx[n : 2 * n, t], dx[2 * n :, t] = dz, dr, dnew
+            dg[:n, t], dg[n : 2 * n, t] = dz, dr
+            if not whole:
+                carried = np.where(mask[t], carried, dh)
+            dh = self.U @ dg[:, t]
+            dh += carried
+            dh += direct[:, t]
+            if len(begins[t]):
+                dh[:, begins[t]] = 0
+        dx, dg = dx.reshape(3 * n, -1), dg.reshape(3 * n, -1)
+        grads["U"] = states[:n] @ dg.T
+        # Gates' gradients are summed by word read; its embedding and ``W`` have theirs from the sums.
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        read, first = np.unique(flat[order], return_index=True)
+        sums = np.add.reduceat(dx.take(order, axis=1), first, axis=1)
+        grads["W"] = (sums @ self.E[read]).T
+        grads["b"] = sums.sum(axis=1)
         grads["E"] = np.zeros_like(self.E)
-        order = np.argsort(ids, axis=None, kind="stable")
-        read, first = np.unique(ids.ravel()[order], return_index=True)
-        grads["E"][read] = np.add.reduceat((flat @ self.W.T)[order], first, axis=0)
-        return float(out.sum()), grads, h
+        grads["E"][read] = (self.W @ sums).T
+        return float(out.sum()), grads, h.T
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Log10-probability of each document of ids, the state carried through all of it."""
         result = np.zeros(len(texts))
-        table = self.E @ self.W + self.b
+        table = np.ascontiguousarray((self.E @ self.W + self.b).T)
         order = np.array(sorted(range(len(texts)), key=lambda i: -len(texts[i])), dtype=np.int64)
         for a in range(0, len(order), SCORED):
             own = order[a : a + SCORED]
             lengths = np.array([len(texts[i]) for i in own])
             joined = np.concatenate([texts[i] for i in own])
             starts = np.cumsum(lengths) - lengths
-            h = np.zeros((len(own), self.hidden), np.float32)
+            # Documents longer than t, for every step t.
+            longer = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left").tolist()
+            h = np.zeros((self.hidden, len(own)), table.dtype)
             for at in range(0, int(lengths[0]), WINDOW):
-                states, targets, owners = [], [], []
-                for t in range(at, min(at + WINDOW, int(lengths[0]))):
-                    live = int(np.searchsorted(-lengths, -t, "left"))  # documents longer than t
+                lives = longer[at : at + WINDOW]
+                ends = np.cumsum(lives).tolist()
+                states = np.ones((self.hidden + 1, ends[-1]), table.dtype)
+                targets = np.empty(ends[-1], joined.dtype)
+                for t, (live, end) in enumerate(zip(lives, ends), at):
                     ids = joined[starts[:live] + t]
-                    states.append(h[:live])
-                    targets.append(ids)
-                    owners.append(np.arange(live))
-                    h, _ = self.step(table[ids], h[:live])
-                loss = self.losses(np.concatenate(states), np.concatenate(targets))
-                result[own] += np.bincount(np.concatenate(owners), loss, len(own))
+                    targets[end - live : end] = ids
+                    states[: self.hidden, end - live : end] = h[:, :live]
+                    h, _ = self.step(table.take(ids, axis=1), h[:, :live])
+                loss = self.losses(states, targets)
+                owners = np.concatenate([np.arange(live) for live in lives])
+                result[own] += np.bincount(owners, loss, len(own))
         return result / math.log(10)
 
     def blocks(self) -> np.ndarray:
@@ -229,7 +280,8 @@ class Learner:
         ids = np.concatenate(texts).astype(np.int64)
         begins = np.zeros(len(ids), bool)
         begins[np.cumsum([0, *map(len, texts[:-1])])] = True
-        streams = int(np.clip(len(ids) // (8 * STEPS), 1, STREAMS))
+        most = int(np.clip(len(ids) // (MOVES * STEPS), STREAMS, MOST_STREAMS))
+        streams = int(np.clip(len(ids) // (8 * STEPS), 1, most))
         length = -(-len(ids) // streams)
         spare = streams * length - len(ids)
         lay = lambda x: np.pad(x, (0, spare)).reshape(streams, length).T

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -455,6 +456,23 @@ def test_network_gradients_and_windows():
     assert np.allclose(net.score(texts), alone)
 
 
+def test_a_large_shard_takes_wide_streams(monkeypatch):
+    """Every token is learned from once, in no more moves than a small shard takes; states start anew."""
+    net = lm.Network(np.full(1 + lm.ENDINGS, 1 / (1 + lm.ENDINGS)), np.ones(32), hidden=2, embedding=2)
+    learner, read, fresh = lm.Learner(net, 0.01), [], []
+
+    def window(ids, mask, h, begins):
+        read.append(ids[mask])
+        fresh.append(int(begins.sum()))
+        return 0.0, {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}, h
+
+    monkeypatch.setattr(net, "window", window)
+    texts = [np.full(500, i % 32, np.int16) for i in range(4000)]
+    learner.learn(texts)
+    assert learner.turn <= 260 and sum(fresh) == len(texts)
+    assert np.array_equal(np.bincount(np.concatenate(read)), np.bincount(np.concatenate(texts)))
+
+
 def test_decontamination(spark, odd, empty):
     rng = np.random.default_rng(2)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
