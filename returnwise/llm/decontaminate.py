@@ -43,8 +43,8 @@ COMMON_WORDS = 0.65
 ANSWER_WORDS = 0.6
 #: Benchmark texts held by a task at a time; more are searched block by block.
 BLOCK_ITEMS = 20_000
-#: Words of documents worked on at a time.
-BATCH_WORDS = 400_000
+#: Words of documents worked on at a time, in whole windows; their places in the space are held at once.
+BATCH_WORDS = 1600 * PASSAGE_WORDS
 #: Bytes of places and of marks compared at a time, and pairs whose subsequences are sought at a time.
 COUNT_BYTES, PAIR_BYTES, PAIRS = 1 << 24, 1 << 20, 20_000
 #: Blocks of a text whose places in the space are summed at a time.

@@ -473,6 +473,32 @@ def test_a_large_shard_takes_wide_streams(monkeypatch):
     assert np.array_equal(np.bincount(np.concatenate(read)), np.bincount(np.concatenate(texts)))
 
 
+def test_decontamination_holds_few_places(monkeypatch):
+    """A batch of texts of any size is searched in bounded memory, with the hits of one piece."""
+    rng = np.random.default_rng(4)
+    vocabulary = np.array([f"w{i}" for i in range(400)])
+    items = [(i, " ".join(rng.choice(vocabulary, n))) for i, n in enumerate((12, 16, 30, 32, 60, 64))]
+    space = decontaminate._passages(items)
+    space.latent = rng.standard_normal((len(space.vocabulary), 64)).astype(np.float32)
+    for i, top in enumerate(decontaminate.CLASSES):
+        own = np.arange(2 * i, 2 * i + 2)
+        rows = np.array([space.latent[space.passages[k].terms].sum(axis=0) for k in own])
+        unit = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+        space.queries[top] = own, unit, np.array([True, False])
+    texts = [f"{' '.join(rng.choice(vocabulary, 3000))} {items[i % 6][1]} w1 w2" for i in range(60)]
+    texts.append(f"{' '.join(rng.choice(vocabulary, 180_000))} {items[5][1]} {' '.join(rng.choice(vocabulary, 20_000))}")
+    tracemalloc.start()
+    got = decontaminate._search(space, texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 55, peak
+    monkeypatch.setattr(decontaminate, "BATCH_WORDS", 6400 * decontaminate.PASSAGE_WORDS)
+    want = decontaminate._search(space, texts)
+    named = lambda rows: [sorted((h["item_id"], h["common"], h["answer"]) for h in r) for r in rows]
+    assert named(got) == named(want) and all(i % 6 in {h["item_id"] for h in got[i]} for i in range(60))
+    assert 5 in {h["item_id"] for h in got[60]}
+
+
 def test_decontamination(spark, odd, empty):
     rng = np.random.default_rng(2)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
