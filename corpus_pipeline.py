@@ -10,6 +10,9 @@ from returnwise.llm import decontaminate, language, lines, packing, simhash
 from returnwise.llm.common import table
 from returnwise.session import checkpoint_root
 
+#: Chunks of text whose ids a packing task remembers; executors also hold the earlier stages' workers.
+REMEMBERED = 100_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents accepted as one of the corpus's languages."""
@@ -33,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -61,7 +61,9 @@ class Ids:
     that special token, as ``tokenizers`` reads it.
     """
 
-    def __init__(self, files: tuple[str, str] | None = None, special: int | None = None):
+    def __init__(
+        self, files: tuple[str, str] | None = None, special: int | None = None, remembered: int | None = None
+    ):
         import base64
 
         import public_tokenizers
@@ -75,13 +77,14 @@ class Ids:
         ).encode_to_numpy
         special = special_id(path) if special is None else special
         self._special = np.array([special], dtype="<u4").tobytes()
+        most = REMEMBERED if remembered is None else remembered
 
         class Memory(dict):
             """Ids of chunks after their space."""
 
             def __missing__(self, chunk: str) -> bytes:
                 ids = encode(" " + chunk).astype("<u4").tobytes()
-                if len(self) < REMEMBERED and len(chunk) < 64:
+                if len(self) < most and len(chunk) < 64:
                     self[chunk] = ids
                 return ids
 
@@ -111,7 +114,9 @@ class Vocabulary:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_ids": None}
 
-    def ids(self) -> Ids:
+    def ids(self, remembered: int | None = None) -> Ids:
+        if remembered is not None:
+            return Ids(self._files, self._special, remembered)
         if self._ids is None:
             self._ids = Ids(self._files, self._special)
         return self._ids
@@ -186,6 +191,7 @@ def pack(
     nearly_full: int = NEARLY_FULL,
     node_bins: int = NODE_BINS,
     files: tuple[str, str] | None = None,
+    remembered: int | None = None,
 ) -> DataFrame:
     """Pieces of every row of ``docs(doc_id, text)`` with their place in a sequence.
 
@@ -193,13 +199,16 @@ def pack(
     token ids and then id 0; a NULL or empty text is id 0 alone. Documents longer than a sequence
     are cut into full pieces after a first piece that may be shorter; others stay whole. Repeated
     rows and rows without an id are packed like any other. Other columns are ignored.
+
+    A worker keeps the vocabulary and the chunks seen for its next task. With ``remembered`` it
+    remembers so many chunks at most and lets all go at the task's end, for less memory and more time.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(Vocabulary(files))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value.ids()
+        ids = shared.value.ids(remembered)
         end = np.array([END_ID], dtype="<u4").tobytes()
         found: list[tuple] = []
 

@@ -473,6 +473,19 @@ def test_a_large_shard_takes_wide_streams(monkeypatch):
     assert np.array_equal(np.bincount(np.concatenate(read)), np.bincount(np.concatenate(texts)))
 
 
+def test_packing_that_remembers_little(spark, odd):
+    """Nothing stays in the worker's vocabulary, no more chunks are kept than asked for, and ids are the same."""
+    words = [f"{i:x}z{i % 7}" for i in range(3000)]
+    text, vocabulary = " ".join(words + words), packing.Vocabulary()
+    few = vocabulary.ids(50)
+    assert few(text) == vocabulary.ids()(text) and vocabulary.ids(50) is not few
+    assert len(few._look.__self__) == 50 < len(vocabulary.ids()._look.__self__)
+    rows = lambda **more: sorted(
+        (str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in packing.pack(odd, **more).collect()
+    )
+    assert rows(remembered=50) == rows()
+
+
 def test_decontamination_holds_few_places(monkeypatch):
     """A batch of texts of any size is searched in bounded memory, with the hits of one piece."""
     rng = np.random.default_rng(4)
