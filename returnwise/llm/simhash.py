@@ -47,6 +47,10 @@ DOUBT = (0.65, 0.9)
 SURE_SIZE = 64
 #: Of so many balls, one is used to join families of close copies before all balls are compared.
 FIRST_EVERY = 4
+#: Members of a ball whose pairs are all listed, so that each is compared once however many balls it shares.
+FEW_MEMBERS = 8
+#: Partners that a node gives in one round, of those met in balls of few members.
+PARTNERS = 4
 #: Members of a ball that are compared with each other at a time, about.
 SLOT_MEMBERS = 256
 #: Rows whose sketches, ball keys or shingle sets a task holds as Python objects at a time.
@@ -243,10 +247,17 @@ def similarity(bits_apart: np.ndarray) -> np.ndarray:
     return cosine / (2 - cosine)
 
 
-def _likeness(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    if not a:
-        return np.zeros(0)
-    return similarity(np.bitwise_count(_bits(a) ^ _bits(b)).sum(axis=1, dtype=np.int64))
+def _words(prints: list[bytes]) -> list[np.ndarray]:
+    return list(_bits(prints).view("<i8")) if prints else []
+
+
+def _likeness(a: Column, b: Column) -> Column:
+    """:func:`similarity` of two columns of prints as arrays of 64-bit words."""
+    apart = sum(
+        (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(WIDE_BITS // 64)), F.lit(0)
+    )
+    cosine = F.cos(apart * (np.pi / WIDE_BITS))
+    return cosine / (2 - cosine)
 
 
 def _jaccard(a: str, b: str) -> Column:
@@ -256,7 +267,7 @@ def _jaccard(a: str, b: str) -> Column:
 
 
 def near_balls(nodes: DataFrame) -> DataFrame:
-    """``(key, node, before)`` of every ball that holds two or more of ``nodes(node, print)``.
+    """``(key, node, members, before)`` of every ball that holds two or more of ``nodes(node, print)``.
 
     The members of one ball stand in an order of their own; ``before`` is the one before, if any.
     """
@@ -268,7 +279,24 @@ def near_balls(nodes: DataFrame) -> DataFrame:
         "node",
         F.count("*").over(Window.partitionBy("key")).alias("members"),
         F.lag("node").over(order).alias("before"),
-    ).where("members > 1").drop("members")
+    ).where("members > 1")
+
+
+def _pairs_met(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b, alike, larger)`` of those ``pairs(a, b)`` whose prints are near.
+
+    ``nodes(node, words, size)`` hold the prints as words.
+    """
+    sides = [
+        nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("words", "size")])
+        for x in "ab"
+    ]
+    larger = (F.col("a_size") >= SURE_SIZE) & (F.col("b_size") >= SURE_SIZE)
+    return (
+        pairs.join(sides[0], "a").join(sides[1], "b")
+        .select("a", "b", _likeness(F.col("a_words"), F.col("b_words")).alias("alike"), larger.alias("larger"))
+        .where(F.col("alike") >= DOUBT[0])
+    )
 
 
 def _first_pairs(balls: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -283,17 +311,48 @@ def _first_pairs(balls: DataFrame, nodes: DataFrame) -> DataFrame:
         .select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
         .distinct()
     )
-    alike = by_batch(lambda: _likeness, pa.float64(), "double", arguments=2)
-    sides = [
-        nodes.select(F.col("node").alias(x), F.col("print").alias(f"{x}_print"), F.col("size").alias(f"{x}_size"))
-        for x in "ab"
-    ]
-    larger = (F.col("a_size") >= SURE_SIZE) & (F.col("b_size") >= SURE_SIZE)
-    return (
-        pairs.join(sides[0], "a").join(sides[1], "b")
-        .select("a", "b", alike("a_print", "b_print").alias("alike"), larger.alias("larger"))
-        .where(F.col("alike") >= DOUBT[0])
+    return _pairs_met(pairs, nodes)
+
+
+def _few_pairs(balls: DataFrame, names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b, alike, larger)`` of pairs in balls of few members, in different components so far.
+
+    Each pair is there once, if its prints are near. Unrelated texts that share a ball by chance are
+    nearly always two or three, so they are seen here and not again, and their rows carry no more than
+    two numbers until the prints are fetched.
+    """
+    together = (
+        balls.where(F.col("members") <= FEW_MEMBERS).join(names, "node", "left")
+        .groupBy("key")
+        .agg(F.collect_list(F.struct("node", F.coalesce("component", "node").alias("label"))).alias("all"))
+    )
+
+    def later(x: Column, at: Column) -> Column:
+        others = F.filter(F.slice("all", at + 2, FEW_MEMBERS), lambda y: y.label != x.label)
+        return F.transform(
+            others, lambda y: F.struct(F.least(x.node, y.node).alias("a"), F.greatest(x.node, y.node).alias("b"))
+        )
+
+    pairs = together.select(F.inline(F.flatten(F.transform("all", later)))).distinct()
+    return _pairs_met(pairs, nodes)
+
+
+def _still_open(met: DataFrame, names: DataFrame, best: bool) -> DataFrame:
+    """Those of ``met(a, b, alike, larger)`` that lie in different components by now.
+
+    With ``best``, each node gives its ``PARTNERS`` most alike ones alone.
+    """
+    a = names.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+    b = names.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    apart = (
+        met.join(a, "a", "left").join(b, "b", "left")
+        .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "alike", "larger")
     )
+    if not best:
+        return apart
+    chosen = apart.select(F.explode(F.array("a", "b")).alias("node"), F.struct("alike", "a", "b", "larger").alias("pair"))
+    nearest = F.slice(F.sort_array(F.collect_list("pair"), asc=False), 1, PARTNERS)
+    return chosen.groupBy("node").agg(nearest.alias("pairs")).select(F.inline("pairs"))
 
 
 def _met_in_block(rows: pa.Table, best: bool) -> tuple[np.ndarray, ...]:
@@ -428,19 +487,25 @@ def near_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """``(node, component)`` of the linked ones of ``nodes(node, print, size)``.
 
     ``texts(node, text)`` are theirs. First members of some balls are compared with one other,
-    which joins families of close copies. Balls that still hold several components are then
-    compared wholly: each member's most alike partner first, for as long as that adds links, and
-    what these leave apart after that; no pair is compared shingle by shingle twice. So every two texts that share a ball are compared unless
-    links join them already.
+    which joins families of close copies. Then all pairs in balls of few members are compared, once.
+    Larger balls that still hold several components are compared wholly: each member's most alike
+    partner first, for as long as that adds links, and what these leave apart after that; no pair is
+    compared shingle by shingle twice. So every two texts that share a ball are compared unless links
+    join them already.
     """
     balls = materialise(near_balls(nodes))
-    pairs = materialise(_first_pairs(balls, nodes))
+    words = by_batch(lambda: _words, pa.list_(pa.int64()), "array<long>", rows=ROWS)
+    held = materialise(nodes.select("node", words("print").alias("words"), "size"))
+    pairs = materialise(_first_pairs(balls, held))
     links, asked = _confirmed(pairs, None, texts), pairs.select("a", "b")
     names = connected_components(links)
+    met = materialise(_few_pairs(balls, names, held).join(asked, ["a", "b"], "left_anti"))
+    crowded = balls.where(F.col("members") > FEW_MEMBERS)
     best = True
     while True:
-        pairs = _rest_pairs(balls, names, nodes, best)
-        pairs = materialise(pairs.join(asked, ["a", "b"], "left_anti"))
+        few = _still_open(met.join(asked, ["a", "b"], "left_anti"), names, best)
+        many = _rest_pairs(crowded, names, nodes, best).join(asked, ["a", "b"], "left_anti")
+        pairs = materialise(few.unionByName(many).dropDuplicates(["a", "b"]))
         added, asked = _confirmed(pairs, names, texts), asked.union(pairs.select("a", "b"))
         if not added.isEmpty():
             links = links.union(added)

@@ -152,6 +152,34 @@ def test_balls_are_compared_wholly(spark, monkeypatch):
         assert best <= expected and {x for p in best for x in p} == {x for p in expected for x in p}
 
 
+def test_pairs_in_small_balls_are_compared_once(spark):
+    # Wherever a ball has few members, each near pair of different components is there once, without Python.
+    rng = np.random.default_rng(8)
+    prints = [rng.integers(0, 256, 128, dtype=np.uint8) for _ in range(6)]
+    prints += [np.packbits(np.unpackbits(prints[i % 6]) ^ (rng.random(1024) < p)) for i, p in enumerate([0.02, 0.1] * 9)]
+    nodes = spark.createDataFrame([(i, bytes(p), 100) for i, p in enumerate(prints)], "node long, print binary, size long")
+    holders = {}
+    for i, keys in enumerate(simhash._ball_keys([bytes(p) for p in prints])):
+        for key in keys:
+            holders.setdefault(key, []).append(i)
+    sizes = {k: len(h) for k, h in holders.items() if len(h) > 1}
+    balls = simhash.near_balls(nodes)
+    assert {r.key: r.members for r in balls.collect()} == sizes and 2 in sizes.values()
+    names = spark.createDataFrame([(0, 0), (6, 0)], "node long, component long")
+    expected = {
+        (i, j) for h in holders.values() if len(h) <= simhash.FEW_MEMBERS for i, j in itertools.combinations(sorted(h), 2)
+        if (i, j) != (0, 6)
+        and simhash.similarity(int(np.unpackbits(prints[i] ^ prints[j]).sum())) >= simhash.DOUBT[0]
+    }
+    words = [(i, [int(w) for w in x], 100) for i, x in enumerate(simhash._words([bytes(p) for p in prints]))]
+    pairs = simhash._few_pairs(balls, names, spark.createDataFrame(words, "node long, words array<long>, size long"))
+    rows = pairs.collect()
+    assert {(r.a, r.b) for r in rows} == expected and len(rows) == len(expected) > 10
+    for r in rows:
+        assert r.alike == pytest.approx(simhash.similarity(int(np.unpackbits(prints[r.a] ^ prints[r.b]).sum())))
+    assert simhash.near_components(nodes, nodes.select("node", F.lit(None).cast("string").alias("text"))).count()
+
+
 def test_a_loose_family_joins_its_origin(spark):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(400)]
