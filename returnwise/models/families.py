@@ -88,15 +88,23 @@ def _alive_and_lost(family: str, p: tuple, x, tx, T):
         r, alpha, s, beta = p
         alive = -r * np.log1p(T / alpha) - x * np.log(alpha + T) - s * np.log1p(T / beta)
         return alive, _pareto_dropout(p, x, tx, T)
+    return _alive(p, x, T), _lost(family, p, x, tx)
+
+
+def _alive(p: tuple, x, T):
+    """The first factor of the two families that lose customers at purchases."""
+    r, alpha, a, b = p
+    return -r * np.log1p(T / alpha) - x * np.log(alpha + T)
+
+
+def _lost(family: str, p: tuple, x, tx):
+    """The second factor of the same: lost at the last purchase."""
     r, alpha, a, b = p
-    alive = -r * np.log1p(T / alpha) - x * np.log(alpha + T)
     late = r * np.log1p(tx / alpha) + x * np.log(alpha + tx)
     if family == BG_NBD:
         odds = np.log(a) - np.log(np.where(x > 0, b + x - 1.0, 1.0))
-        lost = np.where(x > 0, odds - late, -np.inf)
-    else:
-        lost = np.log(a) - np.log(b + x) - late
-    return alive, lost
+        return np.where(x > 0, odds - late, -np.inf)
+    return np.log(a) - np.log(b + x) - late
 
 
 def state_term(family: str, p: tuple, x, tx, T):
@@ -104,6 +112,56 @@ def state_term(family: str, p: tuple, x, tx, T):
     return log_add(*_alive_and_lost(family, p, x, tx, T))
 
 
+#: Parameter rows and states whose terms are summed at a time: their tables stay in cache.
+POINTS_AT_ONCE, STATES_AT_ONCE = 128, 256
+
+
+def state_totals(family: str, points: np.ndarray, x, tx, T, n):
+    """:func:`state_term` summed over states with counts ``n``, for every parameter row.
+
+    Where each of the two factors knows the count and one date alone, they are worked out once per
+    such pair, of which the calendar has far fewer than there are states; a state then costs one
+    exponential and one logarithm.
+    """
+    if family == PARETO_NBD:
+        return state_term(family, tuple(points[:, [j]] for j in range(points.shape[1])), x, tx, T) @ n
+    ages, at_age = np.unique(np.stack([x, T]), axis=1, return_inverse=True)
+    lasts, at_last = np.unique(np.stack([x, tx]), axis=1, return_inverse=True)
+    at_age, at_last = at_age.ravel(), at_last.ravel()
+    held = np.bincount(at_age, weights=n, minlength=ages.shape[1])
+    totals = np.empty(len(points))
+    with np.errstate(all="ignore"):
+        for first in range(0, len(points), POINTS_AT_ONCE):
+            rows = points[first : first + POINTS_AT_ONCE]
+            p = tuple(rows[None, :, j] for j in range(rows.shape[1]))
+            alive = _alive(p, *ages[:, :, None])
+            lost = _lost(family, p, *lasts[:, :, None])
+            total = held @ alive
+            for start in range(0, len(x), STATES_AT_ONCE):
+                own = slice(start, start + STATES_AT_ONCE)
+                gap = lost[at_last[own]]
+                gap -= alive[at_age[own]]
+                total += n[own] @ np.maximum(gap, 0.0)
+                np.abs(gap, out=gap)
+                np.negative(gap, out=gap)
+                np.exp(gap, out=gap)
+                gap += 1.0
+                total += n[own] @ np.log(gap, out=gap)
+            totals[first : first + POINTS_AT_ONCE] = total
+    # Where a factor vanishes the difference above has no value; its sum may have one.
+    odd = np.flatnonzero(~np.isfinite(totals))
+    if odd.size:
+        totals[odd] = state_term(family, tuple(points[odd][:, [j]] for j in range(points.shape[1])), x, tx, T) @ n
+    return totals
+
+
+def once_each(kernel, *columns, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """``kernel`` of the distinct rows among ``columns``, along its last axis, and each row's place there."""
+    distinct, at = np.unique(np.stack(columns), axis=1, return_inverse=True)
+    parts = [kernel(*distinct[:, i : i + most]) for i in range(0, distinct.shape[1], most)]
+    return np.concatenate(parts, axis=-1), at.ravel()
+
+
 def log_likelihood(family: str, p: tuple, x, tx, T):
     return count_term(family, p, x) + state_term(family, p, x, tx, T)
 

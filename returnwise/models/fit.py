@@ -146,16 +146,14 @@ def count_histogram(states: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def state_sums(states: DataFrame, family: str, points: np.ndarray) -> np.ndarray:
     """Sum of the date-dependent log-likelihood term for every parameter row, in one job."""
-    kernel = families.state_term
+    summed = families.state_totals
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = np.zeros(len(points))
-        vectors = tuple(points[:, [j]] for j in range(points.shape[1]))
         for batch in batches:
-            x, tx, T, n = (
-                batch[c].to_numpy(dtype=float) for c in ("frequency", "recency", "T", "n")
-            )
-            totals += kernel(family, vectors, x, tx, T) @ n
+            if len(batch):
+                columns = (batch[c].to_numpy(dtype=float) for c in ("frequency", "recency", "T", "n"))
+                totals += summed(family, points, *columns)
         yield pd.DataFrame({"point": np.arange(len(points)), "total": totals})
 
     rows = (

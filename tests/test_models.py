@@ -491,3 +491,29 @@ def test_lengths_are_worked_out_per_count_and_age(spark, monkeypatch):
     monkeypatch.setattr(families, "expected_if_active", narrow)
     got = expected_over_draws(states, families.BG_NBD, points, [30, 60]).collect()
     assert {(r["length"], r["draw_id"]): r["expected"] for r in got} == pytest.approx(want, rel=1e-12)
+
+
+def test_likelihood_terms_are_worked_out_once_per_count_and_date(monkeypatch):
+    generator = np.random.default_rng(6)
+    x = generator.integers(0, 5, 3000).astype(float)
+    T = generator.integers(50, 60, 3000).astype(float)
+    tx = np.where(x > 0, np.floor(T * generator.random(3000)), 0.0)
+    n = generator.integers(1, 9, 3000).astype(float)
+    points = np.exp(generator.normal([1, 3, -1, 1], 2.0, (300, 4)))
+    points[:3] = [[500.0, 1e5, 1e-8, 40.0], [1e-9, 1e-6, 2.0, 3.0], [1e306, 1e-300, 2.0, 3.0]]
+    lost, seen = families._lost, []
+    for family in families.PARAMETERS:
+        some = points[:40] if family == families.PARETO_NBD else points
+        with np.errstate(all="ignore"):
+            expected = families.state_term(family, tuple(some[:, [j]] for j in range(4)), x, tx, T) @ n
+        monkeypatch.setattr(
+            families, "_lost", lambda f, p, x, tx: seen.append(np.broadcast(x, tx).size) or lost(f, p, x, tx)
+        )
+        got = families.state_totals(family, some, x, tx, T, n)
+        monkeypatch.undo()
+        sound = np.isfinite(expected)
+        assert sound.sum() >= len(some) - 1 and np.allclose(got[sound], expected[sound], rtol=1e-13)
+        assert not np.isfinite(got[~sound]).any()
+    pairs = len(np.unique(np.column_stack([x, tx]), axis=0))
+    # Three blocks of points for either family, and the sum over all states for a point without value.
+    assert pairs < 300 and sorted(set(seen)) in ([pairs], [pairs, 3000]) and seen.count(pairs) == 6
