@@ -113,6 +113,17 @@ def gauss_series(a, b, c, z, tolerance: float = 1e-14, most: int = 20_000):
     return total.reshape(shape)
 
 
+def narrowest(values, mass: float):
+    """Ends of the narrowest interval over each column's sorted values that spans floor(mass * n) steps."""
+    ordered = np.sort(values, axis=0)
+    steps = int(np.floor(len(values) * mass))
+    with np.errstate(invalid="ignore"):
+        widths = ordered[steps:] - ordered[: len(values) - steps]
+    start = np.where(np.isnan(widths), np.inf, widths).argmin(axis=0)
+    at = np.arange(values.shape[1])
+    return ordered[start, at], ordered[start + steps, at]
+
+
 def log_add(first, second):
     """ln(e^first + e^second), either of which may be -inf."""
     return np.logaddexp(first, second)

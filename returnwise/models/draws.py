@@ -29,7 +29,7 @@ from returnwise.models.fit import (
 )
 from returnwise.models.families import PARAMETERS
 from returnwise.models.predict import STATE, spend_source_column
-from returnwise.functions.numeric import log_gamma, log_rising
+from returnwise.functions.numeric import log_gamma, log_rising, narrowest
 from returnwise.session import materialise
 
 MCMC = "mcmc"
@@ -202,14 +202,8 @@ def hdi(values: Column, mass: float = MASS) -> tuple[Column, Column]:
 
 
 def hdi_rows(values: np.ndarray, mass: float = MASS) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`hdi` of every column of ``values``, for use inside tasks."""
-    ordered = np.sort(values, axis=0)
-    steps = int(np.floor(len(values) * mass))
-    with np.errstate(invalid="ignore"):
-        widths = ordered[steps:] - ordered[: len(values) - steps]
-    start = np.where(np.isnan(widths), np.inf, widths).argmin(axis=0)
-    at = np.arange(values.shape[1])
-    return ordered[start, at], ordered[start + steps, at]
+    """:func:`hdi` of every column of ``values``."""
+    return narrowest(values, mass)
 
 
 _DRAWN = (
@@ -226,28 +220,35 @@ def predict_draws(
     Purchases and order value are multiplied draw by draw, so the interval carries both. Each
     customer's draws live in one row of one Arrow batch and are never regrouped. A row costs
     hundreds of model evaluations, so the rows are spread by count over the cores first; splits
-    by byte size would leave tasks of hours.
+    by byte size would leave tasks of hours. Like customers go to the same task: what an active one
+    will buy depends on count, age and horizon alone, the chance of being active on the state, and
+    both are worked out once where rows of a batch share them.
     """
     family = purchase.fit.family
     count = min(len(purchase.points), len(spend.points))
     parameters = tuple(purchase.points[:count, [j]] for j in range(purchase.points.shape[1]))
     p, q, v = (spend.points[:count, [j]] for j in range(3))
-    ahead, active = families.expected_purchases, families.probability_alive
+    ahead, active, once_each = families.expected_if_active, families.probability_alive, families.once_each
+    between = narrowest  # executors get it by value, with its module
 
     def drawn(
         x: pd.Series, tx: pd.Series, T: pd.Series, z: pd.Series, own: pd.Series, t: pd.Series
     ) -> pd.DataFrame:
         columns = [s.to_numpy(dtype=float) for s in (x, tx, T, z, t, own)]
+        counts, last, age, mean, days, fitted = columns
+        if_active, at_pair = once_each(lambda *c: ahead(family, parameters, *c), counts, age, days, most=CHUNK)
+        chance, at_state = once_each(lambda *c: active(family, parameters, *c), counts, last, age, most=CHUNK)
         pieces = []
         # A few hundred customers at a time: the draws of a whole batch would not stay in cache.
         for start in range(0, len(x), CHUNK):
-            counts, last, age, mean, days, fitted = (c[start : start + CHUNK] for c in columns)
-            purchases = ahead(family, parameters, counts, last, age, days)
-            alive = active(family, parameters, counts, last, age)
+            here = slice(start, start + CHUNK)
+            counts, mean, fitted = (c[here] for c in (columns[0], columns[3], columns[5]))
+            alive = chance[:, at_state[here]]
+            purchases = alive * if_active[:, at_pair[here]]
             individual = p * (v + counts * mean) / (p * counts + q - 1.0)
             value = np.where(fitted > 0, individual, p * v / (q - 1.0))
             revenue = purchases * value
-            low, high = hdi_rows(revenue)
+            low, high = between(revenue, MASS)
             pieces.append(
                 pd.DataFrame(
                     {
@@ -268,7 +269,9 @@ def predict_draws(
         4 * spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
-    rows = calibration.repartition(tasks).select(
+    like = ["frequency", "customer_age", "recency"]
+    spread = calibration.repartitionByRange(tasks, *like, "customer_id").sortWithinPartitions(*like)
+    rows = spread.select(
         "source",
         "customer_id",
         *STATE,

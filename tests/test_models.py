@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -517,3 +521,49 @@ def test_likelihood_terms_are_worked_out_once_per_count_and_date(monkeypatch):
     pairs = len(np.unique(np.column_stack([x, tx]), axis=0))
     # Three blocks of points for either family, and the sum over all states for a point without value.
     assert pairs < 300 and sorted(set(seen)) in ([pairs], [pairs, 3000]) and seen.count(pairs) == 6
+
+
+def test_draw_forecasts_of_like_customers_are_worked_out_once(spark, monkeypatch):
+    captured, original = [], F.pandas_udf
+    monkeypatch.setattr(draws.F, "pandas_udf", lambda f, kind: captured.append(f) or original(f, kind))
+    points = np.array([[0.4, 40.0, 0.8, 2.5], [0.6, 60.0, 0.5, 2.0], [0.5, 50.0, 0.7, 2.2]])
+    purchase = draws.given(families.BG_NBD, families.PARAMETERS[families.BG_NBD], points)
+    spend = draws.given(models.GAMMA_GAMMA, models.GAMMA_GAMMA_PARAMETERS, np.array([[6.0, 4.0, 15.0]] * 3))
+    rows = [("s", i, i % 4, 10 * (i % 4), 90 + i % 5, 20.0, i % 4 > 0) for i in range(600)]
+    frame = spark.createDataFrame(
+        rows, "source string, customer_id long, frequency int, recency int, customer_age int, "
+        "monetary_value double, is_gamma_gamma_eligible boolean",
+    )
+    forecasts = draws.predict_draws(frame, purchase, spend, [30, 60])
+    got = {(r.customer_id, r.horizon_days): r for r in forecasts.collect()}
+    assert len(got) == 1200
+    for i, h in ((0, 30), (7, 60), (599, 30)):
+        state = [np.array([float(v)]) for v in (rows[i][2], rows[i][3], rows[i][4])]
+        expected = families.expected_purchases(families.BG_NBD, tuple(points.T[:, :, None]), *state, float(h)).mean()
+        assert got[i, h].expected_purchases == pytest.approx(expected, rel=1e-12)
+    # In one batch of all rows: a column of draws for each count, age and horizon.
+    counted, ahead = [], families.expected_if_active
+    drawn = captured[0]
+    cell = drawn.__code__.co_freevars.index("ahead")
+    monkeypatch.setattr(
+        drawn.__closure__[cell], "cell_contents",
+        lambda family, p, x, T, t: counted.append(np.size(x)) or ahead(family, p, x, T, t),
+    )
+    columns = frame.toPandas()
+    series = [columns[c] for c in ("frequency", "recency", "customer_age", "monetary_value", "is_gamma_gamma_eligible")]
+    assert len(drawn(*series, pd.Series([30] * 600))) == 600 and sum(counted) == 20
+
+
+def test_draw_forecasts_run_where_the_package_is_not_installed(spark, monkeypatch, tmp_path):
+    captured, original = [], F.pandas_udf
+    monkeypatch.setattr(draws.F, "pandas_udf", lambda f, kind: captured.append(f) or original(f, kind))
+    purchase = draws.given(families.BG_NBD, families.PARAMETERS[families.BG_NBD], np.full((3, 4), 0.5))
+    spend = draws.given(models.GAMMA_GAMMA, models.GAMMA_GAMMA_PARAMETERS, np.full((3, 3), 4.0))
+    frame = spark.createDataFrame([], "source string, customer_id long, frequency int, recency int, "
+                                  "customer_age int, monetary_value double, is_gamma_gamma_eligible boolean")
+    draws.predict_draws(frame, purchase, spend, [30])
+    shipped = tmp_path / "drawn.pickle"
+    shipped.write_bytes(cloudpickle.dumps(captured[0]))
+    code = f"import pickle; pickle.load(open({str(shipped)!r}, 'rb'))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": os.environ["PATH"]}, capture_output=True)
+    assert done.returncode == 0, done.stderr.decode()
