@@ -51,14 +51,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_root[application]
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, into: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, into another session if one is given.
 
     The result no longer depends on the shuffles that made it, so a lost executor costs a re-read
     rather than a recomputation, and values that could differ between two evaluations (range
     boundaries, the last bits of a double sum) are fixed once.
     """
-    spark = df.sparkSession
+    spark = into or df.sparkSession
     path = f"{checkpoint_root(spark)}/returnwise-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)

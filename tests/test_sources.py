@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import shutil
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +294,33 @@ def test_a_full_refresh_drops_sources_it_no_longer_has(spark, tmp_path):
     assert kept.schema["source"].dataType.simpleString() == "string"
     plan = store.read("main.x", "7")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(source" in plan
+
+
+def test_large_files_are_hashed_as_they_are_read(spark, tmp_path, monkeypatch):
+    generator = np.random.default_rng(4)
+    mark, noise = b"\xef\xbb\xbf", generator.bytes(300_000)
+    contents = {
+        "noise.parquet": noise, "noise_ends.parquet": noise + b"\n", "marked.csv": mark + noise,
+        "marked_ends.csv": mark + noise + b"\r\n\n", "two_marks.csv": mark + mark + b"\n" * 5000,
+        "one_line.bin": b"\0" * 200_000, "feeds.bin": b"\n" * 3000, "short.txt": b"ab\n",
+        "odd [1] name%20.txt": b"\r\n\xff" * 900, "packed.gz": gzip.compress(noise),
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(checksum, "STREAMED", 1000)
+    monkeypatch.setattr(checksum, "LINES", 7)
+    expected = {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()}
+    found = checksum.file_checksums(spark, f"{tmp_path}/*").collect()
+    assert {r.file_name: (r.size_bytes, r.sha256) for r in found} == expected and len(found) == len(contents)
+    # None but the short files and the packed one are ever held whole.
+    whole = spark.read.format("binaryFile").load(f"{tmp_path}/*").where(checksum._held_whole())
+    assert {r.path.rsplit("/", 1)[1] for r in whole.select("path").collect()} == {"short.txt", "packed.gz"}
+    # A file dealt to several tasks is an error, never a digest of a part.
+    run = checksum._line_digests()
+    part = pa.RecordBatch.from_pydict({"path": ["d/p"], "size": [90], "line": [b"abc\n"]})
+    with pytest.raises(ValueError, match="one task"):
+        list(run([part]))
+    both = pa.concat_batches([part.slice(0, 1), pa.RecordBatch.from_pydict(
+        {"path": ["d/q"], "size": [3], "line": [b"xyz\n"]})])
+    small = both.set_column(1, "size", pa.array([4, 3]))
+    assert [r["file_name"] for b in run([small]) for r in b.to_pylist()] == ["p", "q"]
