@@ -49,7 +49,7 @@ SURE_SIZE = 64
 FIRST_EVERY = 4
 #: Members of a ball whose pairs are all listed, so that each is compared once however many balls it shares.
 FEW_MEMBERS = 8
-#: Partners that a node gives in one round, of those met in balls of few members.
+#: Partners that a node gives in one round, while rounds take the most alike.
 PARTNERS = 4
 #: Members of a ball that are compared with each other at a time, about.
 SLOT_MEMBERS = 256
@@ -337,22 +337,21 @@ def _few_pairs(balls: DataFrame, names: DataFrame, nodes: DataFrame) -> DataFram
     return _pairs_met(pairs, nodes)
 
 
-def _still_open(met: DataFrame, names: DataFrame, best: bool) -> DataFrame:
-    """Those of ``met(a, b, alike, larger)`` that lie in different components by now.
-
-    With ``best``, each node gives its ``PARTNERS`` most alike ones alone.
-    """
+def _still_open(met: DataFrame, names: DataFrame) -> DataFrame:
+    """Those of ``met(a, b, alike, larger)`` that lie in different components by now."""
     a = names.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
     b = names.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-    apart = (
+    return (
         met.join(a, "a", "left").join(b, "b", "left")
         .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "alike", "larger")
     )
-    if not best:
-        return apart
-    chosen = apart.select(F.explode(F.array("a", "b")).alias("node"), F.struct("alike", "a", "b", "larger").alias("pair"))
-    nearest = F.slice(F.sort_array(F.collect_list("pair"), asc=False), 1, PARTNERS)
-    return chosen.groupBy("node").agg(nearest.alias("pairs")).select(F.inline("pairs"))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs(a, b, alike, larger)`` those with one of the ``PARTNERS`` most alike partners of a node."""
+    both = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("alike", "a", "b", "larger").alias("pair"))
+    chosen = F.slice(F.sort_array(F.collect_set("pair"), asc=False), 1, PARTNERS)
+    return both.groupBy("node").agg(chosen.alias("pairs")).select(F.inline("pairs"))
 
 
 def _met_in_block(rows: pa.Table, best: bool) -> tuple[np.ndarray, ...]:
@@ -503,9 +502,9 @@ def near_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     crowded = balls.where(F.col("members") > FEW_MEMBERS)
     best = True
     while True:
-        few = _still_open(met.join(asked, ["a", "b"], "left_anti"), names, best)
-        many = _rest_pairs(crowded, names, nodes, best).join(asked, ["a", "b"], "left_anti")
-        pairs = materialise(few.unionByName(many).dropDuplicates(["a", "b"]))
+        found = _still_open(met, names).unionByName(_rest_pairs(crowded, names, nodes, best))
+        found = found.join(asked, ["a", "b"], "left_anti")
+        pairs = materialise((_nearest(found) if best else found).dropDuplicates(["a", "b"]))
         added, asked = _confirmed(pairs, names, texts), asked.union(pairs.select("a", "b"))
         if not added.isEmpty():
             links = links.union(added)
